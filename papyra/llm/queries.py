@@ -12,6 +12,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import read_tokens, write_tokens
+
+    return read_tokens(spark, write_tokens(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")), ids=False)
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_documents
+
+    return encode_documents(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), ids=False)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
@@ -39,7 +57,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("removed_lines").cast("long").alias("removed_lines"), F.col("removed_chunks").cast("long").alias("removed_chunks"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_license_scan, op8_quality_classifier, op9_mixing, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_token_output, op6_sentencepiece, op7_license_scan, op8_quality_classifier, op9_mixing, op10_line_dedup)}
 
 #: DuckDB SQL where it can express a query.
 ORACLE_SQL: dict[str, str] = {}
