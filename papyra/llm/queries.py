@@ -24,6 +24,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_pairs(_read(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_join import range_join
+
+    return range_join(_read(spark, sf_dir, "embeddings"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import read_tokens, write_tokens
 
@@ -63,7 +69,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("removed_lines").cast("long").alias("removed_lines"), F.col("removed_chunks").cast("long").alias("removed_chunks"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fingerprints, op5_token_output, op6_sentencepiece, op7_license_scan, op8_quality_classifier, op9_mixing, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fingerprints, op4_embedding_dedup, op5_token_output, op6_sentencepiece, op7_license_scan, op8_quality_classifier, op9_mixing, op10_line_dedup)}
 
 #: DuckDB SQL where it can express a query.
 ORACLE_SQL: dict[str, str] = {}
