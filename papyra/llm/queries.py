@@ -18,6 +18,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shingle_join import shingle_classes
+
+    return shingle_classes(_read(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import edit_pairs
 
@@ -69,7 +75,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("removed_lines").cast("long").alias("removed_lines"), F.col("removed_chunks").cast("long").alias("removed_chunks"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fingerprints, op4_embedding_dedup, op5_token_output, op6_sentencepiece, op7_license_scan, op8_quality_classifier, op9_mixing, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shingle_join, op2_fingerprints, op4_embedding_dedup, op5_token_output, op6_sentencepiece, op7_license_scan, op8_quality_classifier, op9_mixing, op10_line_dedup)}
 
 #: DuckDB SQL where it can express a query.
 ORACLE_SQL: dict[str, str] = {}
