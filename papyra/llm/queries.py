@@ -30,6 +30,13 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_pairs(_read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    out = suffix_dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_join import range_join
 
@@ -75,7 +82,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("removed_lines").cast("long").alias("removed_lines"), F.col("removed_chunks").cast("long").alias("removed_chunks"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shingle_join, op2_fingerprints, op4_embedding_dedup, op5_token_output, op6_sentencepiece, op7_license_scan, op8_quality_classifier, op9_mixing, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shingle_join, op2_fingerprints, op3_suffix_dedup, op4_embedding_dedup, op5_token_output, op6_sentencepiece, op7_license_scan, op8_quality_classifier, op9_mixing, op10_line_dedup)}
 
 #: DuckDB SQL where it can express a query.
 ORACLE_SQL: dict[str, str] = {}

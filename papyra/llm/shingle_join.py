@@ -148,7 +148,7 @@ def _meta(ids: pa.Array, n: np.ndarray, k: np.ndarray, s1: np.ndarray, s2: np.nd
     return out
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple]]]:
+def _grouped(batches: Iterator[pa.RecordBatch], kind_of_meta: np.dtype = _META) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple]]]:
     """uid, meta, local credits and the answers of all receivers, of batches sorted by uid and kind."""
     now, meta, local, answers = None, None, None, []
     for batch in batches:
@@ -158,7 +158,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarra
                     yield now, meta, local, answers
                 now, answers = uid, []
             if kind == 0:
-                meta, local = np.frombuffer(a, _META), np.frombuffer(b, np.uint32)
+                meta, local = np.frombuffer(a, kind_of_meta), np.frombuffer(b, np.uint32)
             else:
                 answers.append((a, b, c, d))
     if now is not None:
