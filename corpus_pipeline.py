@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyra.llm.common import stored
@@ -25,7 +25,43 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-STAGES = [("quality_classifier", quality_stage), ("line_dedup", line_stage)]
+def shingle_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies; equal rows count once, documents without words stay."""
+    from papyra.llm.shingle_join import shingle_classes
+
+    stay = shingle_classes(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
+    hashed = docs.select(*COLUMNS, F.xxhash64("text").alias("_hash"))
+    kept = hashed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_hash"]).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: 0, 1 or 2 times."""
+    from papyra.llm.mixing import mix, word_count
+
+    key = [F.col(c) for c in ("doc_id", "source", "size")]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("copies"))
+    # Rows of equal id, source and size are told apart by number; which is which doesn't matter.
+    taken = mix(docs).select("doc_id", "source", "size", "copies").withColumn("_n", nth).where("copies > 0")
+    numbered = docs.select(*COLUMNS, word_count(F.col("text")).alias("size"), F.lit(0).alias("copies")).withColumn("_n", nth).drop("copies")
+    mine, other = numbered.alias("d"), taken.alias("t")
+    same = F.lit(True)
+    for c in ("doc_id", "source", "size", "_n"):
+        same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}"))
+    joined = mine.join(other, same)
+    return joined.select(*(F.col(f"d.{c}").alias(c) for c in COLUMNS), F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias("_copy")).select(*COLUMNS)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of each document, and digests of ids and decoded text."""
+    import public_tokenizers
+
+    from papyra.llm.pieces import encode_documents
+
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("decoded")
+
+
+STAGES = [("quality_classifier", quality_stage), ("line_dedup", line_stage), ("shingle_join", shingle_stage), ("mixing", mixing_stage), ("sentencepiece", pieces_stage)]
 
 #: Line hashes, trees and SentencePiece have no SQL form.
 ORACLE_SQL = None

@@ -138,13 +138,13 @@ class Receiver:
         return keys, uids[order], docs[order], np.cumsum(new) - 1, np.flatnonzero(new)
 
 
-_META = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<i4"), ("k", "<i4"), ("s1", "<u8"), ("s2", "<u8")])
+_META = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<i4"), ("k", "<i4"), ("s1", "<u8"), ("s2", "<u8"), ("h", "<i8")])
 
 
-def _meta(ids: pa.Array, n: np.ndarray, k: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+def _meta(ids: pa.Array, n: np.ndarray, k: np.ndarray, s1: np.ndarray, s2: np.ndarray, h: np.ndarray | int = 0) -> np.ndarray:
     out = np.zeros(len(n), _META)
     out["id"], out["null"] = np.asarray(ids.fill_null(0)), np.asarray(ids.is_null())
-    out["n"], out["k"], out["s1"], out["s2"] = n, k, s1, s2
+    out["n"], out["k"], out["s1"], out["s2"], out["h"] = n, k, s1, s2, h
     return out
 
 
@@ -166,7 +166,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], kind_of_meta: np.dtype = _META)
 
 
 def document_sets(docs: DataFrame, size: int, percent: int, receivers: int) -> DataFrame:
-    """doc_id, n, s1, s2 (the set's signature), survives: step 1."""
+    """doc_id, n, s1, s2 (the set's signature), text_hash (xxhash64 of the text), survives: step 1."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Sender(receivers, merge=True)
@@ -177,7 +177,7 @@ def document_sets(docs: DataFrame, size: int, percent: int, receivers: int) -> D
                 s1, s2 = signatures(hashes, cut)
                 picked = hashes & _U(3) == 0
                 k = np.diff(np.concatenate([[0], np.cumsum(picked)])[cut])
-                out.add(hashes[picked], k, _meta(batch.column(0).slice(a, b - a), np.diff(cut), k, s1, s2))
+                out.add(hashes[picked], k, _meta(batch.column(0).slice(a, b - a), np.diff(cut), k, s1, s2, np.asarray(batch.column(2))[a:b]))
                 if out.size > FLUSH:
                     yield from out.flush()
         yield from out.flush()
@@ -201,7 +201,7 @@ def document_sets(docs: DataFrame, size: int, percent: int, receivers: int) -> D
                 rows.append(_wire(0, 1, int(uids[s]), who, n.astype(np.uint32)))
         yield from _rows(rows)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("survives", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("text_hash", pa.int64()), ("survives", pa.bool_())])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, meta, local, answers in _grouped(batches):
@@ -212,11 +212,11 @@ def document_sets(docs: DataFrame, size: int, percent: int, receivers: int) -> D
             survives = (n > 0) & (credits >= k - allowed(n, percent))
             for a in range(0, len(meta), 10_000):
                 m = meta[a : a + 10_000]
-                yield batch_of(schema, pa.array(m["id"], mask=m["null"].astype(bool)), m["n"].astype(np.int64), m["s1"].copy().view(np.int64), m["s2"].copy().view(np.int64), survives[a : a + 10_000])
+                yield batch_of(schema, pa.array(m["id"], mask=m["null"].astype(bool)), m["n"].astype(np.int64), m["s1"].copy().view(np.int64), m["s2"].copy().view(np.int64), m["h"].copy(), survives[a : a + 10_000])
 
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, _WIRE).repartition(receivers, "r")
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInArrow(send, _WIRE).repartition(receivers, "r")
     answered = sent.mapInArrow(credit, _WIRE).repartition(receivers, "uid").sortWithinPartitions("uid", "kind")
-    return answered.mapInArrow(settle, "doc_id long, n long, s1 long, s2 long, survives boolean")
+    return answered.mapInArrow(settle, "doc_id long, n long, s1 long, s2 long, text_hash long, survives boolean")
 
 
 def ordered_sets(docs: DataFrame, survivors: DataFrame, size: int, percent: int, receivers: int) -> DataFrame:
@@ -384,7 +384,10 @@ def join_group(sets: list[np.ndarray], sizes: list[int], prefixes: list[int], pe
 
 
 def shingle_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles long, component_id long: a row for each row of docs."""
+    """doc_id, n_shingles long, component_id long, text_hash long, kept boolean: a row for each row of docs.
+
+    kept: sets without shingles, and of each class the first by (doc_id, null last; text_hash).
+    """
     spark = docs.sparkSession
     receivers = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     sets = stored(document_sets(docs, size, percent, receivers), "shingle-sets")
@@ -437,5 +440,8 @@ def shingle_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         classes = classes.unionByName(components(links.where("not whole").select("a", "b"), "shingle-classes").select(F.col("id").alias("s1"), F.col("component").alias("class")))
     placed = sets.join(classes, "s1", "left").withColumn("class", F.coalesce("class", "s1"))
     # Sets without shingles have no class; a null doc_id has one only through its set.
-    least = placed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
+    least = placed.where("n > 0").groupBy("class").agg(F.min(first).alias("first"))
+    component = F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    kept = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    return placed.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash", kept.alias("kept"))
