@@ -34,7 +34,7 @@ def _limits(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     table = _ROLL[data]
     factor = 1
     for k in range(WINDOW):
-        rolled[k:] += table[: n - k] * np.uint32(factor)
+        rolled[k:] += table[: max(n - k, 0)] * np.uint32(factor)
         factor = factor * 0x9E3779B1 & 0xFFFFFFFF
     rolled ^= rolled >> np.uint32(15)
     rolled *= np.uint32(0x2C1B3C6D)
