@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -21,7 +23,7 @@ def _tokenizer(name: str) -> str:
 def op1_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shingle_join import shingle_classes
 
-    return shingle_classes(_read(spark, sf_dir, "documents"))
+    return shingle_classes(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +87,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shingle_join, op2_fingerprints, op3_suffix_dedup, op4_embedding_dedup, op5_token_output, op6_sentencepiece, op7_license_scan, op8_quality_classifier, op9_mixing, op10_line_dedup)}
 
 #: DuckDB SQL where it can express a query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_shingle_join": oracles.SHINGLES, "op4_embedding_dedup": oracles.EMBEDDINGS, "op7_license_scan": oracles.licenses()}
