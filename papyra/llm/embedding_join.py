@@ -155,7 +155,7 @@ def range_join(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, pivot
         def open(self) -> None:
             self.x, self.ids, self.weights = unit_rows(self.v), np.array(self.own), np.array(self.copies, np.int64)
             self.links, self.labels = np.zeros(len(self.ids), np.int64), self.ids.copy()
-            self.v = []
+            self.v, self.moves = [], [np.zeros((2, 0), np.int64)]
             for a in range(0, len(self.ids), 2048):
                 hit = linked(self.x, self.x[a : a + 2048], least)
                 hit[np.arange(a, min(a + 2048, len(self.ids))), np.arange(hit.shape[1])] = False
@@ -172,8 +172,12 @@ def range_join(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, pivot
                 mine = np.where(part, self.labels[rows][:, None], top).min(0)
                 guests[columns] = np.minimum(guests[columns], mine)
                 new = np.minimum(self.labels[rows], np.where(part, guests[columns][None, :], top).min(1))
-                if (new == self.labels[rows]).all():
+                old = self.labels[rows]
+                moved = new != old
+                if not moved.any():
                     return guests
+                # What else has an old label is linked to the new one.
+                self.moves.append(np.unique(np.stack([old[moved], new[moved]]), axis=1))
                 self.labels[rows] = new
 
         def visit(self, ids: list, raw: list, weights: list) -> pa.RecordBatch | None:
@@ -190,7 +194,8 @@ def range_join(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, pivot
             return batch_of(schema, nodes, self.weights @ hit, labels)
 
         def close(self) -> pa.RecordBatch:
-            return batch_of(schema, self.ids, self.links, self.labels)
+            old, new = np.unique(np.concatenate(self.moves, axis=1), axis=1)
+            return batch_of(schema, np.concatenate([self.ids, old]), np.concatenate([self.links, np.zeros(len(old), np.int64)]), np.concatenate([self.labels, new]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: Block | None = None
