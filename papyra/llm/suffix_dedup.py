@@ -300,19 +300,35 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     known = stored(texts.join(places, "sig", "left").where("copies > 1 or places is not null"), "suffix-anchors")
     sources = known.where("places is not null").select(F.col("sig").alias("_sig"), F.col("one").alias("_one"), "places")
     rows = signed.join(sources, F.col("sig") == F.col("_sig")).where(F.col("doc_id").eqNullSafe(F.col("_one"))).select("sig", "text", "places")
-    stretch = pa.schema([("anchor", pa.int64()), ("sig", pa.binary()), ("start", pa.int64()), ("windows", pa.int32()), ("body", pa.binary())])
+    stretch = pa.schema([("anchor", pa.int64()), ("windows", pa.int32()), ("body", pa.binary()), ("places", pa.binary())])
 
     def cut_out(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Stretches of a batch, equal ones once with all their places, so that what stands everywhere isn't sent as often."""
+        found: dict[tuple[int, bytes], list] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            items = list(found.items())
+            found.clear()
+            for k in range(0, len(items), 2000):
+                part = items[k : k + 2000]
+                yield batch_of(stretch, [a for (a, _), _ in part], [v[0] for _, v in part], [b for (_, b), _ in part], [b"".join(v[1:]) for _, v in part])
+
         for sig, text, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode()
-            data = np.frombuffer(raw, np.uint8)
             at = np.array([p["at"] for p in spots], np.int64)
-            hashes = range_hash(byte_sums(data), at, at + GRAM).view(np.int64)
-            for k in range(0, len(spots), 2000):
-                own = spots[k : k + 2000]
-                yield batch_of(stretch, hashes[k : k + 2000], [sig] * len(own), [p["first"] for p in own], [p["last"] - p["first"] + 1 for p in own], [raw[p["first"] : p["last"] + length] for p in own])
+            hashes = range_hash(byte_sums(np.frombuffer(raw, np.uint8)), at, at + GRAM).view(np.int64).tolist()
+            for h, p in zip(hashes, spots, strict=True):
+                body = raw[p["first"] : p["last"] + length]
+                own = found.setdefault((h, body), [p["last"] - p["first"] + 1])
+                size += len(body) if len(own) == 1 else 0
+                own.append(sig + p["first"].to_bytes(8, "little"))
+            if size > 4 * SHARD:
+                yield from flush()
+                size = 0
+        yield from flush()
 
-    pieces = arrow_map(rows, cut_out, "anchor long, sig binary, start long, windows int, body binary").repartition(receivers, "anchor").sortWithinPartitions("anchor")
+    pieces = arrow_map(rows, cut_out, "anchor long, windows int, body binary, places binary").repartition(receivers, "anchor").sortWithinPartitions("anchor")
     out_schema = pa.schema([("sig", pa.binary()), ("spans", pa.binary())])
 
     def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +364,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
                 yield batch_of(out_schema, [s for s, _ in part], [np.array(v, np.int64).tobytes() for _, v in part])
 
         for batch in batches:
-            for own, sig, start, windows, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for own, windows, body, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != anchor:
                     size += settle_group() if group else 0
                     group.clear()
@@ -358,7 +374,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
                         size = 0
                     if len(out) > 20_000:
                         yield from flush()
-                group.setdefault(body, [windows, []])[1].append((sig, start))
+                group.setdefault(body, [windows, []])[1].extend((places[k : k + 16], int.from_bytes(places[k + 16 : k + 24], "little")) for k in range(0, len(places), 24))
         if group:
             settle_group()
         if bodies:
