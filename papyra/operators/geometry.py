@@ -101,8 +101,10 @@ def column_bounds(headers: DataFrame) -> DataFrame:
 
 def projection(blocks: DataFrame, low: str = "x_min", high: str = "x_max") -> DataFrame:
     """Per page and integer position: how many blocks cover it, ends excluded. Positions that none covers are absent."""
-    spots = blocks.where(F.col(high).cast("int") > F.col(low).cast("int")).select(*PAGE, F.explode(F.sequence(F.col(low).cast("int"), F.col(high).cast("int") - 1)).alias("at"))
-    return spots.groupBy(*PAGE, "at").agg(F.count("*").alias("n"))
+    lo, hi = F.col(low).cast("int"), F.col(high).cast("int")
+    # Equal stretches, as a column's cells are, count before they spread.
+    stretches = blocks.where(hi > lo).groupBy(*PAGE, lo.alias("lo"), hi.alias("hi")).agg(F.count("*").alias("k"))
+    return stretches.select(*PAGE, "k", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("at")).groupBy(*PAGE, "at").agg(F.sum("k").alias("n"))
 
 
 def projection_columns(histogram: DataFrame, ratio: float = 0.3) -> DataFrame:

@@ -350,9 +350,11 @@ def header_keyset(spark, sf):
 _HIST = "select doc_id, page, unnest(range(cast(x_min as bigint), cast(x_max as bigint))) as \"at\" from {fx_blocks}"
 
 
-@query(f"select doc_id, page, \"at\", count(*) as n from ({_HIST}) group by doc_id, page, \"at\"")
+@query(f"with h as (select doc_id, page, \"at\", count(*) as n from ({_HIST}) group by doc_id, page, \"at\") select doc_id, page, count(*) as positions, cast(sum(n) as bigint) as covered, max(n) as highest, cast(sum(\"at\" * n) as bigint) as moment from h group by doc_id, page")
 def projection_hist(spark, sf):
-    return geometry.projection(geometry.with_geometry(blocks(spark, sf))).withColumn("at", F.col("at").cast("long"))
+    """The histogram itself has a row a position; its digest by page is compared."""
+    h = geometry.projection(geometry.with_geometry(blocks(spark, sf)))
+    return h.groupBy("doc_id", "page").agg(F.count("*").alias("positions"), F.sum("n").alias("covered"), F.max("n").alias("highest"), F.sum(F.col("at") * F.col("n")).alias("moment"))
 
 
 @query(f"""with h as (select doc_id, page, "at", count(*) as n from ({_HIST}) group by doc_id, page, "at"), m as (select *, max(n) over (partition by doc_id, page) as mx, max("at") over (partition by doc_id, page) as e from h),
