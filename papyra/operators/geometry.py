@@ -44,6 +44,16 @@ def upper_median(blocks: DataFrame, column: str = "height") -> DataFrame:
     return ranked.where(F.col("_k") == F.floor(F.col("_n") / 2)).select(*PAGE, F.col(column).alias("median"))
 
 
+def in_order(frame: DataFrame, keys: tuple[str, ...], columns: list[str], name: str) -> Column:
+    """Aggregate: an array of (keys, a struct of the columns as name) sorted by the keys, which have no nulls."""
+    listed = F.collect_list(F.struct(*keys, F.struct(*columns).alias(name)))
+    if not any("map<" in kind or "variant" in kind for _, kind in frame.dtypes):
+        return F.sort_array(listed)
+    # Maps have no order of their own.
+    first = lambda x: F.struct(*(x[k].alias(k) for k in keys))
+    return F.array_sort(listed, lambda x, y: F.when(first(x) < first(y), -1).when(first(x) > first(y), 1).otherwise(0))
+
+
 def row_clusters(blocks: DataFrame) -> DataFrame:
     """blocks with row_index and pos: rows by the running mean of y centres, items by x.
 
@@ -52,18 +62,21 @@ def row_clusters(blocks: DataFrame) -> DataFrame:
     memory; pages spread over the cluster.
     """
     g = with_geometry(blocks).where("x_center is not null") if "x_center" not in blocks.columns else blocks.where("x_center is not null")
-    folded = g.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y_center", "ordinal"))).alias("items"), F.coalesce(F.avg(F.when(F.col("height") > 0, F.col("height"))), F.lit(20.0)).alias("mean"))
+    rest = [c for c in g.columns if c not in PAGE]
+    ordered = in_order(g, ("y_center", "ordinal"), rest, "_block")
+    folded = g.groupBy(*PAGE).agg(ordered.alias("items"), F.coalesce(F.avg(F.when(F.col("height") > 0, F.col("height"))), F.lit(20.0)).alias("mean"))
     near = F.greatest(F.col("mean") * 0.5, F.lit(5.0))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<struct<ordinal:bigint,row:int>>").alias("out"))
+    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         joins = (s["n"] > 0) & (F.abs(x["y_center"] - s["total"] / F.greatest(s["n"], F.lit(1))) <= near)
         row = F.when(joins, s["row"]).otherwise(s["row"] + 1)
-        return F.struct(row.alias("row"), F.when(joins, s["total"] + x["y_center"]).otherwise(x["y_center"]).alias("total"), F.when(joins, s["n"] + 1).otherwise(F.lit(1)).alias("n"), F.concat(s["out"], F.array(F.struct(x["ordinal"].cast("long").alias("ordinal"), row.alias("row")))).alias("out"))
+        return F.struct(row.alias("row"), F.when(joins, s["total"] + x["y_center"]).otherwise(x["y_center"]).alias("total"), F.when(joins, s["n"] + 1).otherwise(F.lit(1)).alias("n"), F.concat(s["out"], F.array(row)).alias("out"))
 
-    rows = folded.select(*PAGE, F.inline(F.aggregate("items", start, step, lambda s: s["out"]))).withColumnRenamed("row", "row_index")
-    joined = g.join(rows, [*PAGE, "ordinal"])
-    return joined.withColumn("pos", F.row_number().over(Window.partitionBy(*PAGE, "row_index").orderBy("x_center", "y_center", "ordinal")) - 1)
+    # The blocks travel in the folded array, so nothing is joined back and the page's partitioning holds downstream.
+    numbered = folded.select(*PAGE, "items", F.aggregate("items", start, step, lambda s: s["out"]).alias("rows"))
+    placed = numbered.select(*PAGE, "rows", F.posexplode("items").alias("_k", "_item")).select(*PAGE, *(F.col("_item._block")[c].alias(c) for c in rest), F.col("rows")[F.col("_k")].alias("row_index"))
+    return placed.withColumn("pos", F.row_number().over(Window.partitionBy(*PAGE, "row_index").orderBy("x_center", "y_center", "ordinal")) - 1)
 
 
 def row_texts(clustered: DataFrame) -> DataFrame:
@@ -80,23 +93,22 @@ def layout_text(rows: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.when(F.size("p") > 1, F.array_join(banner, "\n")).otherwise(F.col("p")[0]["page_text"]).alias("layout_text"))
 
 
-def assign_columns(items: DataFrame, columns: DataFrame) -> DataFrame:
-    """items with column_index: the nearest centre among columns whose range, widened by half its width, holds x; else the nearest of all."""
-    c = columns.select(*PAGE, F.col("column_index").cast("int").alias("column_index"), F.col("left").alias("_l"), F.col("right").alias("_r"))
-    center, slack = (F.col("_l") + F.col("_r")) / 2, (F.col("_r") - F.col("_l")) * 0.5
-    outside = ~F.col("x_center").between(F.col("_l") - slack, F.col("_r") + slack)
-    best = F.min(F.struct(outside.alias("o"), F.abs(F.col("x_center") - center).alias("d"), F.col("column_index").alias("i")))
-    picked = items.join(c, list(PAGE), "left").groupBy(*PAGE, "ordinal").agg(F.coalesce(best["i"], F.lit(-1)).alias("column_index"))
-    return items.join(picked, [*PAGE, "ordinal"])
+def nearest_column(columns: Column, x: Column) -> Column:
+    """Of an array of columns (column_index, name, left, right) the struct (o, d, i, name) of the nearest centre among those whose range, widened by half its width, holds x; else of all."""
 
+    def rank(c: Column) -> Column:
+        slack = (c["right"] - c["left"]) * 0.5
+        return F.struct((~x.between(c["left"] - slack, c["right"] + slack)).alias("o"), F.abs(x - (c["left"] + c["right"]) / 2).alias("d"), c["column_index"].alias("i"), c["name"].alias("name"))
 
-def column_bounds(headers: DataFrame) -> DataFrame:
-    """Column ranges from header items (pos, x_min, x_max, x_center): midpoints to the neighbours; the first starts 50 before, the last ends 100 behind."""
-    w = Window.partitionBy(*PAGE).orderBy("pos")
-    before, after = F.lag("x_center").over(w), F.lead("x_center").over(w)
-    left = F.when(before.isNull(), F.greatest(F.lit(0.0), F.col("x_min") - 50)).otherwise((before + F.col("x_center")) / 2)
-    right = F.when(after.isNull(), F.col("x_max") + 100).otherwise((F.col("x_center") + after) / 2)
-    return headers.withColumns({"left": left, "right": right, "column_index": (F.row_number().over(w) - 1).cast("int")})
+    return F.array_min(F.transform(columns, rank))
+
+
+def assign_columns(items: DataFrame, columns: DataFrame) -> DataFrame:
+    """items with column_index: the nearest centre among columns whose range, widened by half its width, holds x; else the nearest of all; -1 on pages without columns."""
+    each = F.struct(F.col("column_index").cast("int").alias("column_index"), F.lit("").alias("name"), "left", "right")
+    c = columns.groupBy(*PAGE).agg(F.collect_list(each).alias("_columns"))
+    joined = items.join(c, list(PAGE), "left")
+    return joined.withColumn("column_index", F.coalesce(nearest_column(F.col("_columns"), F.col("x_center"))["i"], F.lit(-1))).drop("_columns")
 
 
 def projection(blocks: DataFrame, low: str = "x_min", high: str = "x_max") -> DataFrame:
@@ -118,6 +130,33 @@ def projection_columns(histogram: DataFrame, ratio: float = 0.3) -> DataFrame:
     return runs.select(*PAGE, (F.row_number().over(page.orderBy("first")) - 1).cast("int").alias("column_index"), "first", "last")
 
 
+def projection_runs(spans: Column, ratio: float = 0.3) -> Column:
+    """projection_columns of one page's array of spans (lo, hi): an array of (column_index, first, last), by a sweep over its sorted ends."""
+    edges = F.flatten(F.transform(F.filter(spans, lambda s: s["hi"] > s["lo"]), lambda s: F.array(F.struct(s["lo"].alias("at"), F.lit(1).alias("d")), F.struct(s["hi"].alias("at"), F.lit(-1).alias("d")))))
+    steps = "array<struct<at:int,n:int>>"
+
+    def sweep(s: Column, e: Column) -> Column:
+        last = F.try_element_at(s, F.lit(-1))
+        n = F.coalesce(last["n"], F.lit(0)) + e["d"]
+        earlier = F.when(last["at"] == e["at"], F.slice(s, 1, F.size(s) - 1)).otherwise(s)
+        return F.concat(earlier, F.array(F.struct(e["at"].cast("int").alias("at"), n.alias("n"))))
+
+    swept = F.aggregate(F.sort_array(edges), F.array().cast(steps), sweep)
+
+    def runs(page: Column) -> Column:
+        def turn(s: Column, x: Column) -> Column:
+            on = x["n"] > page["highest"] * ratio
+            run = F.struct(F.size(s["out"]).alias("column_index"), s["first"].alias("first"), F.least(x["at"], page["end"] - 1).alias("last"))
+            return F.struct(on.alias("on"), F.when(s["on"], s["first"]).otherwise(x["at"]).alias("first"), F.when(s["on"] & ~on, F.concat(s["out"], F.array(run))).otherwise(s["out"]).alias("out"))
+
+        start = F.struct(F.lit(False).alias("on"), F.lit(0).alias("first"), F.array().cast("array<struct<column_index:int,first:int,last:int>>").alias("out"))
+        return F.aggregate(page["levels"], start, turn, lambda s: s["out"])
+
+    # Lambdas over arrays of one element bind what is used more than once.
+    page = F.transform(F.array(swept), lambda v: F.struct(v.alias("levels"), F.array_max(F.transform(v, lambda x: x["n"])).alias("highest"), F.array_max(F.transform(v, lambda x: x["at"])).alias("end")))
+    return F.flatten(F.transform(page, runs))
+
+
 def row_gaps(histogram: DataFrame, least: int = 5) -> DataFrame:
     """Centres of stretches of at least `least` empty positions that ink follows; the margin before the first ink counts."""
     w = Window.partitionBy(*PAGE).orderBy("at")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import HEADERS, KEY_HEADERS, NOT_HEADERS, SIMPLE_HEADER_WORDS, UNIT_CHARACTERS
 from ..functions.text import contains_any, header_matches, header_name, hits, row_class, simple_row_class
-from .geometry import PAGE, assign_columns, column_bounds, projection, projection_columns, row_texts
+from .geometry import PAGE, in_order, nearest_column, projection_runs
 
 
 def header_scores(rows: DataFrame) -> DataFrame:
@@ -34,14 +34,8 @@ def widest_row(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE).agg(F.min(F.struct((-F.col("n_items")).alias("k"), "row_index")).alias("b")).select(*PAGE, F.col("b.row_index").alias("row_index"), (-F.col("b.k")).alias("n_items"))
 
 
-def header_items(items: DataFrame) -> DataFrame:
-    """Named columns of header-row items (pos, text, x_min, x_max): page, column, name, x_center, x_min, x_max.
-
-    Data values are skipped; two neighbouring single characters less than 50 apart become one name; a lone 位 means
-    单位; other lone characters count only if a spelling holds them. A header row is one small array a page.
-    """
-    item = F.struct(((F.col("x_min") + F.col("x_max")) / 2).alias("c"), "pos", F.trim("text").alias("t"), F.col("x_min").cast("double").alias("a"), F.col("x_max").cast("double").alias("b"))
-    rows = items.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
+def named_headers(items: Column) -> Column:
+    """Array (name, x_center, x_min, x_max) of a header row's sorted items (c, pos, t, a, b); see header_items."""
     kind = "array<struct<name:string,c:double,a:double,b:double>>"
     spellings = [v for variants in HEADERS.values() for v in variants]
 
@@ -51,7 +45,7 @@ def header_items(items: DataFrame) -> DataFrame:
     start = F.struct(F.array().cast(kind).alias("out"), F.lit(False).alias("skip"), F.lit(0).alias("i"))
 
     def step(s: Column, x: Column) -> Column:
-        following = F.get(F.col("items"), s["i"] + 1)
+        following = F.get(items, s["i"] + 1)
         single = F.length(x["t"]) == 1
         merges = single & following.isNotNull() & (F.length(following["t"]) == 1) & (following["a"] - x["b"] < 50)
         known = reduce(lambda p, q: p | q, [F.lit(v).contains(x["t"]) for v in spellings])
@@ -64,41 +58,88 @@ def header_items(items: DataFrame) -> DataFrame:
         )
         return F.struct(F.concat(s["out"], found).alias("out"), (~s["skip"] & ~x["t"].isin(*NOT_HEADERS) & F.coalesce(merges, F.lit(False))).alias("skip"), (s["i"] + 1).alias("i"))
 
-    merged = rows.select(*PAGE, F.aggregate("items", start, step, lambda s: s["out"]).alias("named"))
-    return merged.select(*PAGE, F.posexplode("named").alias("pos", "n")).select(*PAGE, "pos", F.col("n.name").alias("name"), F.col("n.c").alias("x_center"), F.col("n.a").alias("x_min"), F.col("n.b").alias("x_max"))
+    return F.aggregate(items, start, step, lambda s: s["out"])
+
 
+def _header_item(x) -> Column:
+    return F.struct(((x("x_min") + x("x_max")) / 2).alias("c"), x("pos").alias("pos"), F.trim(x("text")).alias("t"), x("x_min").cast("double").alias("a"), x("x_max").cast("double").alias("b"))
 
-def _named(name: str):
-    return lambda x: x["name"] == name
+
+def header_items(items: DataFrame) -> DataFrame:
+    """Named columns of header-row items (pos, text, x_min, x_max): page, column, name, x_center, x_min, x_max.
+
+    Data values are skipped; two neighbouring single characters less than 50 apart become one name; a lone 位 means
+    单位; other lone characters count only if a spelling holds them. A header row is one small array a page.
+    """
+    rows = items.groupBy(*PAGE).agg(F.sort_array(F.collect_list(_header_item(F.col))).alias("items"))
+    merged = rows.select(*PAGE, F.posexplode(named_headers(F.col("items"))).alias("pos", "n"))
+    return merged.select(*PAGE, "pos", F.col("n.name").alias("name"), F.col("n.c").alias("x_center"), F.col("n.a").alias("x_min"), F.col("n.b").alias("x_max"))
+
+
+def with_template(named: Column) -> Column:
+    """named (name, c, a, b) with the eight standard headers if two key names but under eight columns were seen."""
+    lo, hi = F.array_min(F.transform(named, lambda x: x["a"])), F.array_max(F.transform(named, lambda x: x["b"]))
+    fits = (F.size(F.array_intersect(F.transform(named, lambda x: x["name"]), F.array(*map(F.lit, KEY_HEADERS)))) >= 2) & (F.size(named) < 8)
+    wide = (hi - lo) / 8
+    standard = F.transform(F.array(*map(F.lit, HEADERS)), lambda name, k: F.struct(name.alias("name"), k.alias("k"), F.try_element_at(F.filter(named, lambda x: x["name"] == name), F.lit(-1)).alias("own")))
+    filled = F.transform(standard, lambda s: F.struct(s["name"].alias("name"), F.coalesce(s["own"]["c"], lo + (s["k"] + 0.5) * wide).alias("c"), F.coalesce(s["own"]["a"], lo + s["k"] * wide).alias("a"), F.coalesce(s["own"]["b"], lo + (s["k"] + 1) * wide).alias("b")))
+    return F.when(fits, filled).otherwise(named)
 
 
 def template_headers(named: DataFrame) -> DataFrame:
     """Headers with two key names but under eight columns become the eight standard ones, evenly placed where not seen."""
-    page = named.groupBy(*PAGE).agg(F.collect_set("name").alias("names"), F.count("*").alias("n"), F.min("x_min").alias("lo"), F.max("x_max").alias("hi"), F.collect_list(F.struct("name", "pos", "x_center", "x_min", "x_max")).alias("seen"))
-    fits = (F.size(F.array_intersect("names", F.array(*map(F.lit, KEY_HEADERS)))) >= 2) & (F.col("n") < 8)
-    wide = (F.col("hi") - F.col("lo")) / 8
-    standard = []
-    for k, name in enumerate(HEADERS):
-        own = F.array_max(F.transform(F.filter("seen", _named(name)), lambda x: F.struct(x["pos"].alias("pos"), x["x_center"].alias("c"), x["x_min"].alias("a"), x["x_max"].alias("b"))))
-        place = F.struct(F.lit(k).alias("pos"), F.lit(name).alias("name"), F.coalesce(own["c"], F.col("lo") + (k + 0.5) * wide).alias("x_center"), F.coalesce(own["a"], F.col("lo") + k * wide).alias("x_min"), F.coalesce(own["b"], F.col("lo") + (k + 1) * wide).alias("x_max"))
-        standard.append(place)
-    kept = F.transform("seen", lambda x: F.struct(x["pos"].cast("int").alias("pos"), x["name"].alias("name"), x["x_center"].alias("x_center"), x["x_min"].alias("x_min"), x["x_max"].alias("x_max")))
-    return page.select(*PAGE, F.inline(F.when(fits, F.array(*standard)).otherwise(kept)))
+    seen = F.sort_array(F.collect_list(F.struct("pos", "name", "x_center", "x_min", "x_max")))
+    page = named.groupBy(*PAGE).agg(F.transform(seen, lambda x: F.struct(x["name"].alias("name"), x["x_center"].cast("double").alias("c"), x["x_min"].cast("double").alias("a"), x["x_max"].cast("double").alias("b"))).alias("seen"))
+    each = page.select(*PAGE, F.posexplode(with_template(F.col("seen"))).alias("pos", "n"))
+    return each.select(*PAGE, "pos", F.col("n.name").alias("name"), F.col("n.c").alias("x_center"), F.col("n.a").alias("x_min"), F.col("n.b").alias("x_max"))
+
+
+def header_bounds(named: Column) -> Column:
+    """Column ranges from one page's headers (name, c, a, b): midpoints to the neighbours; the first starts 50 before, the last ends 100 behind."""
+
+    def bounds(x: Column, k: Column) -> Column:
+        before, after = F.get(named, k - 1)["c"], F.get(named, k + 1)["c"]
+        left = F.when(before.isNull(), F.greatest(F.lit(0.0), x["a"] - 50)).otherwise((before + x["c"]) / 2)
+        right = F.when(after.isNull(), x["b"] + 100).otherwise((x["c"] + after) / 2)
+        return F.struct(k.alias("column_index"), x["name"].alias("name"), left.alias("left"), right.alias("right"))
+
+    return F.transform(named, bounds)
+
+
+def rows_with_items(clustered: DataFrame) -> DataFrame:
+    """row_texts with the row's whole items by pos: everything a page's table needs, in one grouping by page and row."""
+    rows = clustered.groupBy(*PAGE, "row_index").agg(in_order(clustered, ("pos",), _item_columns(clustered), "item").alias("items"))
+    return rows.withColumns({"row_text": F.array_join(F.transform("items", lambda x: x["item"]["text"]), " "), "n_items": F.size("items").cast("long")})
+
+
+def _unpacked(rows: DataFrame, kept: tuple[str, ...], item_columns: list[str]) -> DataFrame:
+    each = rows.select(*PAGE, "row_index", *kept, F.explode("items").alias("_x"))
+    return each.select(*PAGE, *(F.col("_x.item")[c].alias(c) for c in item_columns), "row_index", F.col("_x.pos").alias("pos"), *kept)
+
+
+def _item_columns(clustered: DataFrame) -> list[str]:
+    return [c for c in clustered.columns if c not in (*PAGE, "row_index", "pos")]
 
 
 def simple_table(clustered: DataFrame) -> DataFrame:
     """items with row_type, column_index, column_name: columns of the header row or of the widest row; header items have column -1."""
-    clustered = clustered.persist()  # several branches read it
-    texts = row_texts(clustered)
-    header = simple_header_row(texts).withColumn("is_header", F.lit(True))
-    basis = widest_row(texts).select(*PAGE, F.col("row_index").alias("wide")).join(header.select(*PAGE, F.col("row_index").alias("head")), list(PAGE), "left")
-    typed = texts.join(header, [*PAGE, "row_index"], "left").select(*PAGE, "row_index", F.when(F.col("is_header"), F.lit("header")).otherwise(simple_row_class(F.col("row_text"))).alias("row_type"))
-    source = clustered.join(basis, list(PAGE)).where(F.col("row_index") == F.coalesce("head", "wide"))
-    columns = source.select(*PAGE, F.col("pos").alias("column_index"), F.col("x_min").alias("left"), F.col("x_max").alias("right"), F.when(F.col("head").isNotNull(), F.trim("text")).otherwise(F.lit("")).alias("column_name"))
-    placed = assign_columns(clustered, columns).join(typed, [*PAGE, "row_index"])
-    names = columns.select(*PAGE, F.col("column_index").cast("int").alias("column_index"), "column_name")
-    out = placed.withColumn("column_index", F.when(F.col("row_type") == "header", F.lit(-1)).otherwise(F.col("column_index")))
-    return out.join(names, [*PAGE, "column_index"], "left").withColumn("column_name", F.coalesce("column_name", F.lit("")))
+    rows, w = rows_with_items(clustered), Window.partitionBy(*PAGE)
+    is_header = (F.col("row_index") < 5) & (hits(F.col("row_text"), SIMPLE_HEADER_WORDS) >= 2)
+    rows = rows.withColumn("_h", F.when(is_header, F.col("row_index")))
+    rows = rows.withColumns({"_head": F.min("_h").over(w), "_wide": F.min(F.struct(-F.col("n_items"), "row_index")).over(w)["row_index"]})
+    named = F.col("_head").isNotNull()
+    own = F.transform("items", lambda x: F.struct(x["pos"].cast("int").alias("column_index"), F.when(named, F.trim(x["item"]["text"])).otherwise(F.lit("")).alias("name"), x["item"]["x_min"].alias("left"), x["item"]["x_max"].alias("right")))
+    basis = F.when(F.col("row_index") == F.coalesce("_head", "_wide"), own)
+    rows = rows.withColumns({"_columns": F.max(basis).over(w), "row_type": F.when(F.col("row_index") == F.col("_head"), F.lit("header")).otherwise(simple_row_class(F.col("row_text")))})
+    out = _unpacked(rows, ("row_type", "_columns"), _item_columns(clustered))
+    return _placed(out, F.col("row_type") == "header")
+
+
+def _placed(items: DataFrame, outside: Column) -> DataFrame:
+    """items with column_index and column_name from their page's _columns; -1 and no name for those outside."""
+    found = items.withColumn("_near", nearest_column(F.col("_columns"), F.col("x_center")))
+    index = F.when(outside, F.lit(-1)).otherwise(F.coalesce(F.col("_near.i"), F.lit(-1)))
+    return found.withColumns({"column_index": index, "column_name": F.when(outside, F.lit("")).otherwise(F.coalesce(F.col("_near.name"), F.lit("")))}).drop("_columns", "_near")
 
 
 def segment(texts: DataFrame) -> DataFrame:
@@ -114,26 +155,39 @@ def region_counts(segmented: DataFrame) -> DataFrame:
     return segmented.groupBy(*PAGE).agg(F.count_if("in_body").alias("body_rows"), *(F.count_if(F.col("row_type") == k).alias(f"{k}_rows") for k in ("subtotal", "total", "footer")))
 
 
+def _with_columns(rows: DataFrame) -> DataFrame:
+    """rows_with_items with their page's _columns: from the header row, else from the projection, else from the widest row.
+
+    Windows over the page, whose partitioning the rows have; nothing is joined.
+    """
+    w = Window.partitionBy(*PAGE)
+    scored = header_scores(rows).withColumn("_score", F.when((F.col("row_index") < 8) & (F.col("matches") >= 3), F.struct("matches", -F.col("row_index"))))
+    best = scored.withColumns({"_best": F.max("_score").over(w), "_wide": F.min(F.struct(-F.col("n_items"), "row_index")).over(w)["row_index"]})
+    item = lambda x: {"pos": x["pos"], "text": x["item"]["text"], "x_min": x["item"]["x_min"], "x_max": x["item"]["x_max"]}.get
+    head = F.when(F.col("_score") == F.col("_best"), F.sort_array(F.transform("items", lambda x: _header_item(item(x)))))
+    wide = F.when(F.col("row_index") == F.col("_wide"), F.transform("items", lambda x: F.struct(x["pos"].cast("int").alias("column_index"), F.lit("").alias("name"), x["item"]["x_min"].alias("left"), x["item"]["x_max"].alias("right"))))
+    found = best.withColumns({"_head": head, "_widest": wide}).withColumn("_named", F.when(F.col("_head").isNotNull(), named_headers(F.col("_head"))))
+    found = found.withColumn("_full", with_template(F.col("_named"))).withColumn("_bounds", header_bounds(F.col("_full")))
+    page = found.withColumns({"_bounds": F.max("_bounds").over(w), "_widest": F.max("_widest").over(w)}).withColumn("_rest", F.coalesce(F.size("_bounds"), F.lit(0)) <= 0)
+    # Only pages without a header row gather the spans of their blocks.
+    spans = F.when(F.col("_rest"), F.transform("items", lambda x: F.struct(x["item"]["x_min"].cast("int").alias("lo"), x["item"]["x_max"].cast("int").alias("hi"))))
+    page = page.withColumn("_spans", F.collect_list(spans).over(w))
+    runs = F.transform(projection_runs(F.flatten("_spans")), lambda r: F.struct(r["column_index"].alias("column_index"), F.lit("").alias("name"), r["first"].cast("double").alias("left"), r["last"].cast("double").alias("right")))
+    page = page.withColumn("_runs", F.when(F.col("_rest"), runs))
+    chosen = F.when(~F.col("_rest"), F.col("_bounds")).when(F.size("_runs") > 0, F.col("_runs")).otherwise(F.col("_widest"))
+    return page.withColumn("_columns", chosen).select(*rows.columns, "_columns")
+
+
 def adaptive_columns(clustered: DataFrame) -> DataFrame:
     """column_index, name, left, right a page: from the header row, else from the projection, else from the widest row."""
-    clustered = clustered.persist()  # several branches read it
-    texts = row_texts(clustered)
-    header = header_row(texts).select(*PAGE, "row_index")
-    named = column_bounds(template_headers(header_items(clustered.join(header, [*PAGE, "row_index"])))).select(*PAGE, "column_index", "name", "left", "right").persist()
-    rest = clustered.join(named.select(*PAGE).distinct(), list(PAGE), "left_anti")
-    runs = projection_columns(projection(rest)).select(*PAGE, "column_index", F.lit("").alias("name"), F.col("first").cast("double").alias("left"), F.col("last").cast("double").alias("right"))
-    last = rest.join(runs.select(*PAGE).distinct(), list(PAGE), "left_anti")
-    wide = last.join(widest_row(row_texts(last)).select(*PAGE, "row_index"), [*PAGE, "row_index"]).select(*PAGE, F.col("pos").cast("int").alias("column_index"), F.lit("").alias("name"), F.col("x_min").alias("left"), F.col("x_max").alias("right"))
-    return named.unionByName(runs).unionByName(wide)
+    rows = _with_columns(rows_with_items(clustered)).where("row_index = 0")
+    return rows.select(*PAGE, F.inline("_columns"))
 
 
 def advanced_table(clustered: DataFrame) -> DataFrame:
     """items with row_type, in_body, column_index, column_name by adaptive columns and the segmenter."""
-    clustered = clustered.persist()  # several branches read it
-    columns = adaptive_columns(clustered).persist()
-    rows = segment(row_texts(clustered)).select(*PAGE, "row_index", "row_type", "in_body")
-    placed = assign_columns(clustered, columns).join(rows, [*PAGE, "row_index"])
-    return placed.join(columns.select(*PAGE, "column_index", F.col("name").alias("column_name")), [*PAGE, "column_index"], "left").withColumn("column_name", F.coalesce("column_name", F.lit("")))
+    rows = segment(_with_columns(rows_with_items(clustered)))
+    return _placed(_unpacked(rows, ("row_type", "in_body", "_columns"), _item_columns(clustered)), F.lit(False))
 
 
 def document_structure(table: DataFrame) -> DataFrame:

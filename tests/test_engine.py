@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 from papyra.registry import ORACLE_SQL, QUERIES  # noqa: E402
 
-QUICK = sorted(set(QUERIES) - {"column_bounds", "table_advanced", "document_structure", "table_simple", "projection_hist", "projection_columns", "header_template8"}) if not os.environ.get("TEST_ALL") else sorted(QUERIES)
+QUICK = sorted(set(QUERIES) - {"projection_hist", "projection_columns"}) if not os.environ.get("TEST_ALL") else sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +45,43 @@ def test_row_cluster_traced(spark):
     assert [r.row_index for r in row_clusters(at_limit).orderBy("ordinal").collect()] == [0, 0, 1]
 
 
+def test_cluster_keeps_unordered_columns(spark):
+    from papyra.operators.geometry import row_clusters
+
+    rows = [(1, 1, k, float(y), 10.0, 0.0, {"k": k}) for k, y in enumerate((31, 10, 11))]
+    frame = spark.createDataFrame(rows, "doc_id long, page int, ordinal long, y_center double, height double, x_center double, more map<string,int>")
+    assert [(r.row_index, r.more["k"]) for r in row_clusters(frame).orderBy("ordinal").collect()] == [(1, 0), (0, 1), (0, 2)]
+
+
+def test_projection_runs_equal_the_histogram(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from papyra.operators import geometry
+
+    random.seed(5)
+    rows = [(d, 1, lo, lo + random.randint(0, 30)) for d in range(12) for lo in (random.randint(0, 200) for _ in range(d * 2))]
+    spans = spark.createDataFrame(rows, "doc_id long, page int, x_min int, x_max int")
+    swept = spans.groupBy("doc_id", "page").agg(F.collect_list(F.struct(F.col("x_min").alias("lo"), F.col("x_max").alias("hi"))).alias("s")).select("doc_id", "page", F.inline(geometry.projection_runs(F.col("s"))))
+    want = geometry.projection_columns(geometry.projection(spans))
+    assert sorted(map(tuple, swept.collect())) == sorted(map(tuple, want.select(swept.columns).collect()))
+
+
+def test_columns_without_header(spark):
+    """Without a header row the projection gives the columns; without ink, the widest row's points."""
+    from papyra.operators.geometry import row_clusters
+    from papyra.operators.table import adaptive_columns, advanced_table, simple_table
+
+    rows = [(1, 1, 4 * r + c, "x", 50.0 * c, 50.0 * c + 20, 50.0 * c + 10, 40.0 * r, 20.0) for r in range(3) for c in range(3)]
+    rows += [(2, 1, c, "x", 50.0 * c, 50.0 * c, 50.0 * c, 40.0, 20.0) for c in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, page int, ordinal long, text string, x_min double, x_max double, x_center double, y_center double, height double")
+    got = sorted(map(tuple, adaptive_columns(row_clusters(frame)).collect()))
+    assert got == [(1, 1, 0, "", 0.0, 20.0), (1, 1, 1, "", 50.0, 70.0), (1, 1, 2, "", 100.0, 119.0), (2, 1, 0, "", 0.0, 0.0), (2, 1, 1, "", 50.0, 50.0)]
+    for build in (advanced_table, simple_table):
+        assert all(r.column_index == r.x_center // 50 and r.column_name == "" for r in build(row_clusters(frame)).collect())
+
+
 def test_rules_traced(spark):
     from papyra.operators.rules import apply_rules
     from papyra.plans.queries import built_in
