@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -64,20 +65,30 @@ def contains(fields: DataFrame, blocks: DataFrame) -> DataFrame:
     return _result(j.groupBy("doc_id", "field_key", "normalized").agg(F.min(F.struct("ordinal", "text")).alias("b")), "contains", F.lit(0.9))
 
 
-@F.pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Ratcliff-Obershelp similarity, null if it is under `least`; two cheaper upper bounds come first."""
+
+    @F.pandas_udf(T.DoubleType())
+    def compared(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: str, y: str) -> float | None:
+            m = difflib.SequenceMatcher(None, x, y)
+            if m.real_quick_ratio() < least or m.quick_ratio() < least:
+                return None
+            return r if (r := m.ratio()) >= least else None
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return compared(a, b)
 
 
 def fuzzy(fields: DataFrame, blocks: DataFrame, least: float = 0.85) -> DataFrame:
-    """The most similar block of half to twice the length. Lengths, and a bound by common characters, come before the comparison."""
+    """The most similar block of half to twice the length. Bounds by lengths and by common characters come before the comparison."""
     f = _fields(fields)
     b = blocks.select("doc_id", "ordinal", "text", norm_default(F.col("text")).alias("solid")).where("solid <> ''")
     n, m = F.length("normalized"), F.length("solid")
     # 2 * min / (n + m) bounds the ratio.
     j = f.join(b, "doc_id").where((m >= n * 0.5) & (m <= n * 2) & (2 * F.least(n, m) >= (n + m) * least))
-    scored = j.withColumn("r", ratio("normalized", "solid")).where(F.col("r") >= least)
+    scored = j.withColumn("r", ratio(F.col("normalized"), F.col("solid"), least)).where(F.col("r") >= least)
     best = scored.groupBy("doc_id", "field_key", "normalized").agg(F.max(F.struct("r", (-F.col("ordinal")).alias("o"), "text")).alias("m"))
     return _result(best.withColumn("b", F.struct((-F.col("m.o")).alias("ordinal"), F.col("m.text").alias("text"))), "fuzzy", F.col("m.r"))
 
@@ -102,10 +113,16 @@ def adjacent(fields: DataFrame, blocks: DataFrame, gap: float = 50.0) -> DataFra
 
 
 def cascade(fields: DataFrame, blocks: DataFrame) -> DataFrame:
-    """All fields with a place: context, exact, contains, fuzzy, adjacent, in that order."""
-    found = None
-    for strategy in (context, exact, contains, fuzzy, adjacent):
-        rest = fields if found is None else fields.join(found.select("doc_id", "field_key"), ["doc_id", "field_key"], "left_anti")
-        new = strategy(rest, blocks)
-        found = new if found is None else found.unionByName(new)
-    return found
+    """All fields with a place: context, exact, contains, fuzzy, adjacent, in that order.
+
+    The first three are cheap and look at every field; only what they leave is compared by similarity and by runs of
+    blocks. A field's rows of its first successful strategy stay, so the plan grows with the strategies, not with
+    their combinations.
+    """
+    key = ["doc_id", "field_key"]
+    ranked = lambda k, strategy, over: strategy(over, blocks).withColumn("_rank", F.lit(k))
+    early = reduce(DataFrame.unionByName, (ranked(k, s, fields) for k, s in enumerate((context, exact, contains))))
+    rest = fields.join(early.select(*key), key, "left_anti")
+    found = early.unionByName(ranked(3, fuzzy, rest)).unionByName(ranked(4, adjacent, rest))
+    first = F.min("_rank").over(Window.partitionBy(*key))
+    return found.withColumn("_first", first).where(F.col("_rank") == F.col("_first")).select(*RESULT)

@@ -579,13 +579,14 @@ def evidence_adjacent(spark, sf):
     return evidence.adjacent(f, _evidence_blocks(spark, sf)).select("doc_id", "ordinal")
 
 
-@query()
+@query("select doc_id, 'title' as field_key, 'expensoclaim' as normalized, cast(0 as bigint) as ordinal, 'Expense claim' as snippet, cast(22 as double) / cast(24 as double) as confidence, 'fuzzy' as match_type from {fx_docs} where expected = 'EXPENSE'")
 def evidence_fuzzy(spark, sf):
     f = frame(spark, sf, "fx_docs").where("expected = 'EXPENSE'").select("doc_id", F.lit("title").alias("field_key"), F.lit("Expenso claim").alias("field_value"))
     return evidence.fuzzy(f, _evidence_blocks(spark, sf))
 
 
-@query()
+@query(f"""with b as {_LINES}, f as (select doc_id, 'invoiceNo' as field_key, lpad(cast(doc_id as varchar), 8, '0') as normalized from {{fx_docs}} where expected = 'INVOICE' union all select doc_id, 'contractNo', concat('ht-', doc_id) from {{fx_docs}} where expected = 'CONTRACT')
+ select f.doc_id, field_key, normalized, cast(min(line_index) as bigint) as ordinal, arg_min(text, line_index) as snippet, cast(0.9 as double) as confidence, 'contains' as match_type from f join b on b.doc_id = f.doc_id and contains(lower(text), normalized) group by f.doc_id, field_key, normalized""")
 def evidence_match(spark, sf):
     return evidence.cascade(_evidence_fields(spark, sf), _evidence_blocks(spark, sf))
 
