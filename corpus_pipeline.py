@@ -19,10 +19,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the multi-line chunks that stand elsewhere already."""
-    from papyra.llm.line_dedup import dedup_lines
+    """All documents, without the passages of two lines or more that stand elsewhere already."""
+    from papyra.llm.line_dedup import dedup_passages
 
-    return dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return dedup_passages(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def shingle_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,22 @@
-"""Line dedup by content-defined chunks, with built-in functions only.
-
-A text is split at newlines and every line hashed. A rolling hash over the hashes of two neighbouring lines ends a
-chunk wherever it is 0 modulo `modulus`, so chunk limits depend on nearby lines alone and shift along with inserted
-text. Chunks of at least `least_lines` lines that stand in the table more than once are removed but for one place:
-the document with the smallest id, there the first. Chunks count as repeated only where their bytes agree: they are
-grouped by the text itself, and a hash that two different texts share (64 bits) marks nothing.
-
-Defined results: a null text stays null and has no lines; an empty text is one empty line; rows of equal doc_id
-count as one document, of which each row keeps its first place; rows of null doc_id count as one document after all
-others. Further columns of the input come through unchanged; `n_lines`, `removed_lines` and `removed_chunks` are
+"""Line dedup with built-in functions only: of whole repeated passages, and of content-defined chunks.
+
+`dedup_passages` removes every passage of two lines or more that stands at another place already. Two neighbouring
+lines are a pair; a passage of two lines or more is repeated where its pairs are, so a line goes if one of its pairs
+isn't at the pair's first place: in the document with the smallest id, there the first. The first place of every line
+stays, as its pairs can't be elsewhere before. Pairs are told apart by the hashes of their lines; hashes that two
+different lines share (64 bits, found by grouping the lines themselves) mark nothing. No passage is missed, whatever
+its surroundings; n_lines, removed_lines and removed_chunks (runs of neighbouring lines that went) are added.
+
+`dedup_lines` is the coarser rule of chunks: a text is split at newlines and every line hashed. A rolling hash over
+the hashes of two neighbouring lines ends a chunk wherever it is 0 modulo `modulus`, so chunk limits depend on nearby
+lines alone and shift along with inserted text. Chunks of at least `least_lines` lines that stand in the table more
+than once are removed but for one place: the document with the smallest id, there the first. Chunks count as repeated
+only where their bytes agree: they are grouped by the text itself, and a hash that two different texts share (64
+bits) marks nothing.
+
+Defined results of both: a null text stays null and has no lines; an empty text is one empty line; rows of equal
+doc_id count as one document, of which each row keeps its first place; rows of null doc_id count as one document after
+all others. Further columns of the input come through unchanged; `n_lines`, `removed_lines` and `removed_chunks` are
 replaced if the input has such columns.
 """
 
@@ -88,3 +96,43 @@ def dedup_lines(docs: DataFrame, modulus: int = 3, least_lines: int = 2) -> Data
     own = [c for c in docs.columns if c not in ("text", "n_lines", "removed_lines", "removed_chunks")]
     out = joined.select(*(F.col(f"`{c}`") for c in own), F.when(F.col("text").isNull(), F.lit(0)).otherwise(lines).alias("n_lines"), result.alias("_ld_r"))
     return out.select(*(F.col(f"`{c}`") if c != "text" else F.col("_ld_r.text").alias("text") for c in docs.columns if c == "text" or c in own), "n_lines", F.col("_ld_r.removed_lines"), F.col("_ld_r.removed_chunks"))
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """docs with `text` without repeated passages of two lines or more, and n_lines, removed_lines, removed_chunks int."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    # Rows of equal id are told apart by their text: places are positions in it.
+    body = F.unhex(F.md5(F.col("text")))
+    split = F.split(F.col("text"), "\n", -1)
+    neighbours = _let(F.transform(split, lambda x: F.xxhash64(x)), lambda h: F.arrays_zip(F.slice(h, F.lit(1), F.size(h) - 1).alias("a"), F.slice(h, F.lit(2), F.size(h) - 1).alias("b")))
+    pairs = docs.select(key.alias("d"), body.alias("t"), F.posexplode(neighbours).alias("i", "p")).select("d", "t", "i", "p.a", "p.b")
+    lines = docs.select(F.explode(split).alias("line")).select(F.xxhash64("line").alias("h"), "line").distinct()
+    shared = lines.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
+    repeated = pairs.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("d").alias("first")).where("times > 1").drop("times")
+    for side in ("a", "b"):
+        repeated = repeated.join(shared.withColumnRenamed("h", side), side, "left_anti")
+    # Later places of the first document go as well: its places are sorted, and all but the first of equal pairs marked.
+    marks = pairs.join(repeated, ["a", "b"]).groupBy("d", "t").agg(
+        F.collect_set(F.when(F.col("d") != F.col("first"), F.col("i"))).alias("gone"),
+        F.collect_set(F.when(F.col("d") == F.col("first"), F.struct("a", "b", "i"))).alias("own"),
+    )
+    again = _let(F.array_sort("own"), lambda own: F.filter(own, lambda x, k: (k > 0) & (F.get(own, k - 1)["a"] == x["a"]) & (F.get(own, k - 1)["b"] == x["b"])))
+    marks = marks.select(F.col("d").alias("_ld_d"), F.col("t").alias("_ld_t"), F.array_sort(F.concat("gone", F.transform(again, lambda x: x["i"]))).alias("_ld_m")).where("size(_ld_m) > 0")
+    joined = docs.withColumns({"_ld_d": key, "_ld_t": body}).join(marks, ["_ld_d", "_ld_t"], "left")
+
+    def sift(whole: Column) -> Column:
+        def left(gone: Column) -> Column:
+            # Pair i covers lines i and i + 1: what stays lies between a pair's end and the next pair.
+            start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(gone, k - 1) + 2)
+            end = lambda k: F.when(k == F.size(gone), F.size(whole)).otherwise(F.get(gone, k))
+            kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: F.slice(whole, start(k) + 1, F.greatest(end(k) - start(k), F.lit(0)))))
+            runs = F.size(F.filter(gone, lambda x, k: (k == 0) | (x > F.get(gone, k - 1) + 2)))
+            return _let(kept, lambda x: F.struct(F.array_join(x, "\n").alias("text"), (F.size(whole) - F.size(x)).alias("removed_lines"), runs.alias("removed_chunks")))
+
+        return _let(F.col("_ld_m"), left)
+
+    result = F.when(F.col("_ld_m").isNull(), F.struct(F.col("text").alias("text"), F.lit(0).alias("removed_lines"), F.lit(0).alias("removed_chunks"))).otherwise(_let(split, sift))
+    own = [c for c in docs.columns if c not in ("n_lines", "removed_lines", "removed_chunks")]
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split))
+    out = joined.select(*(F.col(f"`{c}`") for c in own if c != "text"), n_lines.alias("n_lines"), result.alias("_ld_r"))
+    return out.select(*(F.col("_ld_r.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in own), "n_lines", "_ld_r.removed_lines", "_ld_r.removed_chunks")

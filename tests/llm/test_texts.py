@@ -359,3 +359,54 @@ def test_line_dedup_brute_force(spark):
             seen.add(x.body)
         want[i] = "\n".join(kept)
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()} == want
+
+
+def passages_by_brute_force(rows):
+    """rows (id, text): (kept text, lines removed), by all pairs of neighbouring lines; rows of an id count as one document."""
+    rank = lambda i: (1 << 63) if i is None else i
+    first = {}
+    for i, t in rows:
+        x = (t or "").split("\n")
+        for p in zip(x, x[1:]):
+            first[p] = min(first.get(p, rank(i)), rank(i))
+    out = []
+    for i, t in rows:
+        if t is None:
+            out.append((None, 0))
+            continue
+        x, gone, seen = t.split("\n"), set(), set()
+        for k, p in enumerate(zip(x, x[1:])):
+            if first[p] != rank(i) or p in seen:
+                gone |= {k, k + 1}
+            seen.add(p)
+        out.append(("\n".join(v for k, v in enumerate(x) if k not in gone), len(gone)))
+    return out
+
+
+def test_passages_brute_force(spark, empty):
+    rnd = random.Random(7)
+    blocks = ["\n".join(f"{rnd.randrange(400)} line" for _ in range(n)) for n in (2, 2, 3, 3, 4, 7, 9)]
+    rows = [(i, "\n".join(rnd.choice([*blocks, f"lone {i} {rnd.random()}", "common"]) for _ in range(rnd.randrange(1, 8)))) for i in range(80)]
+    rows += [(90, None), (91, ""), (92, "x"), (93, "a\na\na\na"), (94, "a\na"), (None, blocks[6]), (None, "own\ntwo\nown\ntwo"), (5, rows[5][1]), (5, blocks[5])]
+    frame = spark.createDataFrame([(i, t, 9, "z") for i, t in rows], "doc_id long, text string, _x int, n_lines string").repartition(3)
+    got = line_dedup.dedup_passages(frame)
+    assert got.columns == ["doc_id", "text", "_x", "n_lines", "removed_lines", "removed_chunks"]
+    got = got.collect()
+    want = [(i, *w, len(t.split("\n")) if t is not None else 0) for (i, t), w in zip(rows, passages_by_brute_force(rows), strict=True)]
+    assert sorted(map(repr, ((r.doc_id, r.text, r.removed_lines, r.n_lines) for r in got))) == sorted(map(repr, want))
+    # A passage of two lines between foreign ones goes whole, which chunk limits may cut or exempt; the first place stays.
+    two = spark.createDataFrame([(k, f"before {k}\np one\np two\nafter {k}") for k in range(40)], "doc_id long, text string")
+    assert {r.doc_id: (r.text, r.removed_chunks) for r in line_dedup.dedup_passages(two).collect()} == {k: (f"before {k}\nafter {k}", 1) if k else (f"before {k}\np one\np two\nafter {k}", 0) for k in range(40)}
+    assert line_dedup.dedup_passages(empty).count() == 0
+
+
+def test_queries_remove_whole_passages(spark, tmp_path):
+    import corpus_pipeline
+    from papyra.llm import queries
+
+    rows = [(k, f"before {k}\np one\np two\nafter {k}", "en", "s", 30) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_line_dedup(spark, str(tmp_path)).collect()
+    assert {(r.n_lines, r.removed_lines, r.removed_chunks) for r in got if r.doc_id} == {(4, 2, 1)}
+    stage = corpus_pipeline.line_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert {r.text for r in stage if r.doc_id == 7} == {"before 7\nafter 7"}
