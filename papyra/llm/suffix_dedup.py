@@ -5,7 +5,11 @@
    the anchors that stand more than once; windows of other anchors can't repeat. Each window has one anchor, so each
    is looked at once.
 2. Shards. Of one row a distinct text, the stretch of text that an anchor's windows cover goes to the shard of the
-   anchor's hash. Equal stretches of a shard are one, with their places.
+   anchor's hash. Equal stretches of a shard are one, with their places. An anchor of more than HOT bytes of distinct
+   stretches isn't sorted: each window has half of what the anchor leaves of it on one side, and goes to the shard of
+   those bytes and the anchor in the next round (`split`). Equal windows go the same way, so this is exact, and in the
+   last round (the anchor is the whole window by then) nothing but equal windows is left. So no task holds more than
+   SHARD + HOT bytes of stretches, whatever the corpus.
 3. Induced sorting. A shard's stretches are suffix-sorted: LMS substrings are sorted by induction and named, names are
    doubled until they decide `length` bytes, and the order of all suffixes is induced from the LMS suffixes. Induction
    pops the queues of 256 byte values in order, and a queue passes all its suffixes to their predecessors' queues at
@@ -34,8 +38,9 @@ from .kernel import byte_sums, range_hash
 from .shingle_join import _WIRE, FLUSH, Receiver, Sender, _grouped, _rows, _wire
 
 GRAM = 160
-#: Bytes of stretches that are sorted together (a single anchor's may be more), and items from which a queue is on disk.
-SHARD, ON_DISK = 2_000_000, 32_000_000
+#: Bytes of stretches that are sorted together (a single anchor's may be HOT), and items from which a queue is on disk.
+SHARD, HOT, ON_DISK = 2_000_000, 4_000_000, 32_000_000
+_PLACE = np.dtype([("sig", "V16"), ("at", "<i8")])
 _ANCHOR = np.dtype([("sig", "S16"), ("at", "<u4"), ("first", "<u4"), ("last", "<u4")])
 
 
@@ -222,6 +227,20 @@ def merged(parts: np.ndarray) -> np.ndarray:
     return np.stack([parts[new, 0], upto[np.append(np.flatnonzero(new)[1:] - 1, len(parts) - 1)]], 1)
 
 
+def split(key: int, body: bytes, at: int, known: int, length: int) -> list[tuple[int, bytes, int, int]]:
+    """(key, body, at, start in the stretch) of the stretches that a stretch's windows are dealt to: those that reach half
+    of what the known bytes leave of a window to their left, by these bytes, and the others by as many to their right.
+    at: where the `known` bytes start that all windows of the stretch hold."""
+    step = -(-(length - known) // 2)
+    last = len(body) - length
+    out = []
+    for side, a, b, block in ((b"l", 0, min(last, at - step), (at - step, at + known)), (b"r", max(0, at - step + 1), last, (at, at + known + step))):
+        if a <= b:
+            mark = hashlib.blake2b(key.to_bytes(8, "little", signed=True) + side + body[block[0] : block[1]], digest_size=8).digest()
+            out.append((int.from_bytes(mark, "little", signed=True), body[a : b + length], block[0] - a, a))
+    return out
+
+
 def _signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sig", F.unhex(F.md5("text")))
 
@@ -288,8 +307,11 @@ def repeated_anchors(docs: DataFrame, length: int, receivers: int) -> DataFrame:
     return answered.mapInArrow(settle, "sig binary, places array<struct<at:long,first:long,last:long>>")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, text, n_bytes, n_removed, n_spans long, kept binary, spans array<struct<start,end>>: a row for each row of docs."""
+def suffix_dedup(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
+    """doc_id, text, n_bytes, n_removed, n_spans long, kept binary, spans array<struct<start,end>>: a row for each row of docs.
+
+    hot: bytes of distinct stretches from which an anchor is split.
+    """
     spark = docs.sparkSession
     receivers = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     signed = _signed(docs)
@@ -300,88 +322,134 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     known = stored(texts.join(places, "sig", "left").where("copies > 1 or places is not null"), "suffix-anchors")
     sources = known.where("places is not null").select(F.col("sig").alias("_sig"), F.col("one").alias("_one"), "places")
     rows = signed.join(sources, F.col("sig") == F.col("_sig")).where(F.col("doc_id").eqNullSafe(F.col("_one"))).select("sig", "text", "places")
-    stretch = pa.schema([("anchor", pa.int64()), ("windows", pa.int32()), ("body", pa.binary()), ("places", pa.binary())])
+    stretch = pa.schema([("anchor", pa.int64()), ("at", pa.int32()), ("body", pa.binary()), ("places", pa.binary())])
+    out_schema = pa.schema([("sig", pa.binary()), ("spans", pa.binary()), *stretch])
 
-    def cut_out(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Stretches of a batch, equal ones once with all their places, so that what stands everywhere isn't sent as often."""
-        found: dict[tuple[int, bytes], list] = {}
-        size = 0
+    class Stretches:
+        """Stretches with their places, equal ones once, so that what stands everywhere isn't sent as often."""
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            items = list(found.items())
-            found.clear()
+        def __init__(self):
+            self.found: dict[tuple[int, bytes], list] = {}
+            self.size = 0
+
+        def add(self, key: int, body: bytes, at: int, places: bytes) -> None:
+            own = self.found.setdefault((key, body), [at])
+            self.size += len(places) + (len(body) if len(own) == 1 else 0)
+            own.append(places)
+
+        def flush(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+            items = list(self.found.items())
+            self.found, self.size = {}, 0
             for k in range(0, len(items), 2000):
                 part = items[k : k + 2000]
-                yield batch_of(stretch, [a for (a, _), _ in part], [v[0] for _, v in part], [b for (_, b), _ in part], [b"".join(v[1:]) for _, v in part])
+                columns = ([a for (a, _), _ in part], [v[0] for _, v in part], [b for (_, b), _ in part], [b"".join(v[1:]) for _, v in part])
+                yield batch_of(schema, *[[None] * len(part)] * (len(schema) - len(columns)), *columns)
 
+    def cut_out(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = Stretches()
         for sig, text, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode()
             at = np.array([p["at"] for p in spots], np.int64)
             hashes = range_hash(byte_sums(np.frombuffer(raw, np.uint8)), at, at + GRAM).view(np.int64).tolist()
             for h, p in zip(hashes, spots, strict=True):
-                body = raw[p["first"] : p["last"] + length]
-                own = found.setdefault((h, body), [p["last"] - p["first"] + 1])
-                size += len(body) if len(own) == 1 else 0
-                own.append(sig + p["first"].to_bytes(8, "little"))
-            if size > 4 * SHARD:
-                yield from flush()
-                size = 0
-        yield from flush()
-
-    pieces = arrow_map(rows, cut_out, "anchor long, windows int, body binary, places binary").repartition(receivers, "anchor").sortWithinPartitions("anchor")
-    out_schema = pa.schema([("sig", pa.binary()), ("spans", pa.binary())])
-
-    def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bodies: dict[bytes, list] = {}  # stretch: windows, and its places
+                found.add(h, raw[p["first"] : p["last"] + length], p["at"] - p["first"], sig + p["first"].to_bytes(8, "little"))
+            if found.size > 4 * SHARD:
+                yield from found.flush(stretch)
+        yield from found.flush(stretch)
+
+    def sort_shards(batches: Iterator[pa.RecordBatch], known: int) -> Iterator[pa.RecordBatch]:
+        """Spans of the stretches' places, and the stretches of hot anchors, split. known: bytes that an anchor has."""
+        bodies: dict[tuple[int, bytes], list] = {}  # stretches that wait for their shard: at, and places as sent
         group: dict[bytes, list] = {}
-        size, anchor = 0, None
+        later = Stretches()
+        size = own_size = 0
+        anchor, splitting = None, False
         out: dict[bytes, list] = {}
 
-        def give(places: list, found: list[tuple[int, int]]) -> None:
-            for sig, start in places:
-                out.setdefault(sig, []).extend((start + s, start + e) for s, e in found)
-
-        def settle_group() -> int:
-            """Stretches that are alone need no sorting; the others wait for their shard."""
-            if len(group) == 1:
-                (body, (windows, places)) = next(iter(group.items()))
-                if len(places) > 1:
-                    give(places, [(0, windows + length - 1)])
-                return 0
-            bodies.update({(anchor, b): v for b, v in group.items()})
-            return sum(map(len, group))
-
-        def sort() -> None:
-            for ((_, body), (windows, places)), hit in zip(bodies.items(), repeated_windows([b for _, b in bodies], [v[0] for v in bodies.values()], length), strict=True):
-                give(places, [(0, windows + length - 1)] if len(places) > 1 else spans(hit, length))
-            bodies.clear()
-
         def flush() -> Iterator[pa.RecordBatch]:
             items = list(out.items())
             out.clear()
             for k in range(0, len(items), 2000):
                 part = items[k : k + 2000]
-                yield batch_of(out_schema, [s for s, _ in part], [np.array(v, np.int64).tobytes() for _, v in part])
+                columns = ([s for s, _ in part], [np.array(v, np.int64).tobytes() for _, v in part])
+                yield batch_of(out_schema, *columns, *[[None] * len(part)] * len(stretch))
+
+        def give(places: list[bytes], found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            if not found:
+                return
+            for part in places:
+                for k in range(0, len(part), 24):
+                    start = int.from_bytes(part[k + 16 : k + 24], "little")
+                    out.setdefault(part[k : k + 16], []).extend((start + s, start + e) for s, e in found)
+                    if len(out) > 20_000:
+                        yield from flush()
+
+        def several(places: list[bytes]) -> bool:
+            return len(places) > 1 or len(places[0]) > 24
+
+        def sort() -> Iterator[pa.RecordBatch]:
+            texts = [b for _, b in bodies]
+            for (body, (_, *places)), hit in zip(((b, v) for (_, b), v in bodies.items()), repeated_windows(texts, [len(b) - length + 1 for b in texts], length), strict=True):
+                yield from give(places, [(0, len(body))] if several(places) else spans(hit, length))
+            bodies.clear()
+
+        def defer(body: bytes, at: int, places: bytes) -> Iterator[pa.RecordBatch]:
+            for key, part, place, start in split(anchor, body, at, known, length):
+                moved = np.frombuffer(places, _PLACE).copy()
+                moved["at"] += start
+                later.add(key, part, place, moved.tobytes())
+            if later.size > 4 * SHARD:
+                yield from later.flush(out_schema)
+
+        def settle_group() -> Iterator[pa.RecordBatch]:
+            """Stretches that are alone need no sorting; the others wait for their shard."""
+            nonlocal size, own_size, splitting
+            if len(group) == 1:
+                body, (_, *places) = next(iter(group.items()))
+                if several(places):
+                    yield from give(places, [(0, len(body))])
+            elif group:
+                bodies.update({(anchor, b): v for b, v in group.items()})
+                size += own_size
+            group.clear()
+            own_size, splitting = 0, False
+            if size > SHARD:
+                yield from sort()
+                size = 0
 
         for batch in batches:
-            for own, windows, body, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for own, at, body, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != anchor:
-                    size += settle_group() if group else 0
-                    group.clear()
+                    yield from settle_group()
                     anchor = own
-                    if size > SHARD:
-                        sort()
-                        size = 0
-                    if len(out) > 20_000:
-                        yield from flush()
-                group.setdefault(body, [windows, []])[1].extend((places[k : k + 16], int.from_bytes(places[k + 16 : k + 24], "little")) for k in range(0, len(places), 24))
-        if group:
-            settle_group()
+                if splitting:
+                    yield from defer(body, at, places)
+                    continue
+                held = group.setdefault(body, [at])
+                own_size += len(body) if len(held) == 1 else 0
+                held.append(places)
+                if own_size > hot and len(group) > 1 and known < length:
+                    for b, (a, *parts) in group.items():
+                        yield from defer(b, a, b"".join(parts))
+                    group.clear()
+                    own_size, splitting = 0, True
+        yield from settle_group()
         if bodies:
-            sort()
+            yield from sort()
         yield from flush()
-
-    found_spans = stored(pieces.mapInArrow(sort_shards, "sig binary, spans binary"), "suffix-spans")
+        yield from later.flush(out_schema)
+
+    columns = "anchor long, at int, body binary, places binary"
+    pieces, width, found_spans = arrow_map(rows, cut_out, columns), GRAM, None
+    while True:
+        shards = pieces.repartition(receivers, "anchor").sortWithinPartitions("anchor")
+        done = stored(shards.mapInArrow(lambda batches, width=width: sort_shards(batches, width), f"sig binary, spans binary, {columns}"), "suffix-spans")
+        spans_of = done.where("sig is not null").select("sig", "spans")
+        found_spans = spans_of if found_spans is None else found_spans.unionByName(spans_of)
+        pieces = done.where("anchor is not null").select("anchor", "at", "body", "places")
+        if width == length or pieces.isEmpty():
+            break
+        width += -(-(length - width) // 2)
     by_text = found_spans.groupBy("sig").agg(F.collect_list("spans").alias("spans"))
     marks = known.select("sig", "copies").join(by_text, "sig", "left").where("copies > 1 or spans is not null")
     joined = signed.join(marks.withColumnRenamed("sig", "_sig"), F.col("sig") == F.col("_sig"), "left").select("doc_id", "text", "copies", "spans")

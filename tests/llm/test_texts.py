@@ -167,6 +167,57 @@ def test_suffix_dedup(spark, docs, rows, empty):
     assert got == {1: 401, 2: 600, None: 0, 4: 600}
 
 
+def hot_rows(length=400):
+    """One passage under the length that many documents hold in different surroundings, some of them alike."""
+    rnd = random.Random(11)
+    letters = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    out = []
+    for passage in (letters(170), letters(290), letters(length - 1), letters(length + 30)):
+        near = letters(250)
+        for k in range(45):
+            before, after = letters(rnd.randrange(0, 500)), letters(rnd.randrange(0, 500))
+            if k % 5 == 0:
+                before += near[rnd.randrange(0, 250) :]
+            if k % 7 == 0:
+                after = near[: rnd.randrange(0, 250)] + after
+            out.append((len(out), before + passage + after))
+    return out
+
+
+def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
+    rows = hot_rows()
+    want = {i: w for (i, _), w in zip(rows, removed_by_brute_force([t for _, t in rows], 400), strict=True)}
+    assert 10 < sum(n > 0 for _, n, _, _ in want.values()) < len(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    rounds = []
+    keep = suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, name: rounds.append(name) or keep(df, name))
+    for hot in (1, 3000, 10_000):
+        rounds.clear()
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(frame, hot=hot).collect()}
+        assert got == want
+        assert rounds.count("suffix-spans") > (2 if hot < 10_000 else 1)
+
+
+def test_split_sends_equal_windows_alike():
+    rnd = random.Random(12)
+    for _ in range(200):
+        length, known = 40, rnd.randrange(8, 41)
+        body = bytes(rnd.randrange(97, 100) for _ in range(rnd.randrange(length, 2 * length - known + 1)))
+        last = len(body) - length
+        at = rnd.randrange(last, length - known + 1)
+        parts = suffix_dedup.split(5, body, at, known, length)
+        windows = [start + k for _, part, _, start in parts for k in range(len(part) - length + 1)]
+        assert sorted(windows) == list(range(last + 1))
+        now = known + -(-(length - known) // 2)
+        for key, part, place, start in parts:
+            # A window that stands alone gets the same key, and all windows hold the bytes at the new place.
+            for k in range(len(part) - length + 1):
+                assert k <= place and place + now <= k + length
+                alone = suffix_dedup.split(5, part[k : k + length], at - start - k, known, length)
+                assert [(x[0], x[2]) for x in alone] == [(key, place - k)]
+
+
 def test_suffix_order_random(monkeypatch):
     import numpy as np
 
