@@ -1,20 +1,26 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with notice templates.
 
-A block is a line. A template is found in it if the block holds at least `threshold` of the template's distinct
-words. Template words are ordered by the number of blocks in the whole corpus that hold them, rarest first (ties by
-the word). A block that reaches the threshold holds one of the first |T| - ceil(threshold*|T|) + 1 words (prefix
-filter), at least ceil(threshold*|T|) distinct words (length filter), and from its first shared word on enough of
-the template is left (positional filter). What passes is counted exactly. The vocabulary is that of the templates, so
-corpus counts and index are small whatever the corpus.
-
-Defined results: null and empty texts have no words, no labels and score 0; a block is scanned once however often a
-template's words repeat in it.
+A block is a window of words, whatever line breaks and signs stand between them, so wrapped and commented notices are
+whole. Its length is the template's over `threshold`, so words scattered over a long line are no notice. A template is
+found in it if the window holds at least `threshold` of the template's distinct words.
+
+A text can have such a window only if it holds so many of the words itself, which is joined first. Template words are
+ordered by the number of texts in the whole corpus that hold them, rarest first (ties by the word). A text that reaches
+the threshold holds one of the first |T| - ceil(threshold*|T|) + 1 words (prefix filter), at least ceil(threshold*|T|)
+distinct words (length filter), and from its first shared word on enough of the template is left (positional filter).
+What passes is counted exactly, and its windows are then slid over the template's words. The vocabulary is that of the
+templates, so corpus counts and index are small whatever the corpus.
+
+Defined results: null and empty texts have no words, no labels and score 0; windows that reach the threshold and
+overlap are one block, with the line and the containment of the best of them, the first of equals.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,23 +41,26 @@ TEMPLATES = {
 }
 #: Every byte that is no word byte becomes a space, A-Z become lower case: words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_LINES = _WORDS[:10] + b"\n" + _WORDS[11:]
 
 
 def template_sets(templates: dict[str, tuple[str, ...]]) -> list[tuple[str, frozenset[bytes]]]:
     return [(label, frozenset(notice.encode().translate(_WORDS).split())) for label, notices in templates.items() for notice in notices]
 
 
+def template_lengths(templates: dict[str, tuple[str, ...]]) -> list[int]:
+    """Words of each notice, in the order of template_sets."""
+    return [len(notice.encode().translate(_WORDS).split()) for notices in templates.values() for notice in notices]
+
+
 def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
-    """Blocks of the corpus that hold each word of the vocabulary (bounded by the templates' size)."""
+    """Texts of the corpus that hold each word of the vocabulary (bounded by the templates' size)."""
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def step(batch):
         found: Counter = Counter()
         for text in batch.column(0).cast(pa.binary()).to_pylist():
             if text:
-                for line in text.translate(_LINES).split(b"\n"):
-                    found.update(vocabulary.intersection(line.split()))
+                found.update(vocabulary.intersection(text.translate(_WORDS).split()))
         yield batch_of(schema, list(found), list(found.values()))
 
     rows = arrow_map(docs.select("text"), step, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
@@ -59,10 +68,11 @@ def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[byte
 
 
 class Join:
-    """The index of the templates and its probe."""
+    """The index of the templates and its probe. lengths: words of each template, as many as are distinct by default."""
 
-    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], frequencies: dict[bytes, int], threshold: float):
+    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], frequencies: dict[bytes, int], threshold: float, lengths: list[int] | None = None):
         self.threshold, self.index, self.templates = threshold, {}, []
+        self.windows = [math.ceil(n / threshold - 1e-9) for n in lengths or [len(words) for _, words in templates]]
         for label, words in templates:
             ordered = sorted(words, key=lambda w: (frequencies.get(w, 0), w))
             need = math.ceil(threshold * len(ordered) - 1e-9)
@@ -72,19 +82,58 @@ class Join:
                 self.index.setdefault(word, []).append((at, place))
         self.prefixes = frozenset(self.index)
 
-    def probe(self, block: frozenset[bytes]) -> dict[str, float]:
-        """label: containment, of templates that reach the threshold."""
+    def reached(self, block: frozenset[bytes]) -> dict[int, int]:
+        """number of a template: shared words, of templates that reach the threshold."""
         first: dict[int, int] = {}
         for word in self.prefixes & block:
             for at, place in self.index[word]:
                 first[at] = min(place, first.get(at, place))
-        out: dict[str, float] = {}
+        out: dict[int, int] = {}
         for at, place in first.items():
-            label, words, size, need = self.templates[at]
+            _, words, size, need = self.templates[at]
             if len(block) >= need and size - place >= need and (shared := len(words & block)) >= need:
-                out[label] = max(out.get(label, 0.0), shared / size)
+                out[at] = shared
         return out
 
+    def probe(self, block: frozenset[bytes]) -> dict[str, float]:
+        """label: containment, of templates that reach the threshold."""
+        out: dict[str, float] = {}
+        for at, shared in self.reached(block).items():
+            label, _, size, _ = self.templates[at]
+            out[label] = max(out.get(label, 0.0), shared / size)
+        return out
+
+    def blocks(self, words: list[bytes]) -> list[tuple[int, str, float]]:
+        """(first word, label, containment) of each block of a text's words, in this order."""
+        out = []
+        for at in self.reached(frozenset(words)):
+            label, sought, size, need = self.templates[at]
+            places = [k for k, word in enumerate(words) if word in sought]
+            held: Counter = Counter()
+            left, end, best = 0, -1, None
+            for k in places:
+                held[words[k]] += 1
+                while places[left] <= k - self.windows[at]:
+                    held[words[places[left]]] -= 1
+                    if not held[words[places[left]]]:
+                        del held[words[places[left]]]
+                    left += 1
+                if len(held) >= need:
+                    if best and places[left] > end:
+                        out.append(best)
+                        best = None
+                    if not best or len(held) / size > best[2]:
+                        # Words in front that the window holds again don't belong to the notice.
+                        start, more = left, held.copy()
+                        while more[words[places[start]]] > 1:
+                            more[words[places[start]]] -= 1
+                            start += 1
+                        best = (places[start], label, len(held) / size)
+                    end = k
+            if best:
+                out.append(best)
+        return sorted(out)
+
 
 def _phrase_places(joined: bytes, phrase: bytes) -> list[int]:
     """Starts, in words, of a phrase in words joined and surrounded by single spaces."""
@@ -101,7 +150,8 @@ def _phrase_places(joined: bytes, phrase: bytes) -> list[int]:
 def scan(docs: DataFrame, threshold: float = 0.8, phrases: dict[str, str] | None = None, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word long, base_labels, labels string, score double, blocks array<struct<line int, label string, containment double>>."""
     known = template_sets(TEMPLATES if templates is None else templates)
-    join = Join(known, word_frequencies(docs, frozenset().union(*(w for _, w in known))), threshold)
+    lengths = template_lengths(TEMPLATES if templates is None else templates)
+    join = Join(known, word_frequencies(docs, frozenset().union(*(w for _, w in known))), threshold, lengths)
     sought = [(label, b" " + b" ".join(phrase.encode().translate(_WORDS).split()) + b" ") for label, phrase in (PHRASES if phrases is None else phrases).items()]
     kind = docs.schema["doc_id"].dataType.simpleString()
     block = pa.list_(pa.struct([("line", pa.int32()), ("label", pa.string()), ("containment", pa.float64())]))
@@ -120,9 +170,9 @@ def scan(docs: DataFrame, threshold: float = 0.8, phrases: dict[str, str] | None
                     base.add(label)
             blocks = []
             if not join.prefixes.isdisjoint(words):
-                for k, line in enumerate(text.translate(_LINES).split(b"\n")):
-                    if not join.prefixes.isdisjoint(own := line.split()):
-                        blocks += [{"line": k, "label": label, "containment": c} for label, c in sorted(join.probe(frozenset(own)).items())]
+                if found := join.blocks(words):
+                    ends = list(accumulate(len(line.translate(_WORDS).split()) for line in text.split(b"\n")))
+                    blocks = [{"line": bisect_right(ends, k), "label": label, "containment": c} for k, label, c in found]
             score = max([1.0] * bool(base) + [b["containment"] for b in blocks], default=0.0)
             row = (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | {b["label"] for b in blocks})), score, blocks)
             for column, value in zip(columns, row, strict=True):

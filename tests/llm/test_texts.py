@@ -321,6 +321,49 @@ def test_license_join_is_exact():
         assert join.probe(block) == {label: len(w & block) / len(w) for label, w in known if len(w & block) >= 0.8 * len(w) - 1e-9}
 
 
+def test_license_windows(spark, tmp_path):
+    from papyra.llm import queries
+
+    mit = licenses.TEMPLATES["mit"][1]
+    w = mit.split(" ")
+    wrapped = "\n".join("# " + " ".join(w[k : k + 6]) for k in range(0, len(w), 6))
+    prose = [f"word{k}" for k in range(60)]
+    texts = [
+        "code\n" + wrapped + "\nmore code",
+        " ".join(["all", *prose, "rights", *prose, "reserved"]),
+        " ".join([*prose, "All rights reserved.", *prose]),
+        " ".join(x for k in range(len(w)) for x in (w[k], *prose[:3])),
+        "a\n\n" + "\n".join(w) + "\n" + " ".join(prose) + "\nAll\nrights\nreserved\n" + " ".join(prose) + "\n" + mit,
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(frame).collect()}
+    found = {i: [(b.line, b.label, b.containment) for b in r.blocks] for i, r in got.items()}
+    assert found == {0: [(1, "mit", 1.0)], 1: [], 2: [(0, "all-rights-reserved", 1.0)], 3: [], 4: [(2, "mit", 1.0), (3 + len(w), "all-rights-reserved", 1.0), (7 + len(w), "mit", 1.0)]}
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = {r.doc_id: (r.labels, r.score) for r in queries.op7_license_scan(spark, str(tmp_path)).collect()}
+    assert labels[0] == ("mit", 1.0) and labels[1] == ("", 0.0)
+
+
+def test_license_windows_are_exact():
+    rnd = random.Random(13)
+    vocabulary = [bytes([97 + k]) for k in range(14)]
+    for _ in range(300):
+        known = [(f"t{k}", frozenset(rnd.sample(vocabulary, rnd.randrange(1, 8)))) for k in range(4)]
+        join = licenses.Join(known, {x: rnd.randrange(5) for x in vocabulary}, 0.8)
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randrange(0, 60))]
+        want = {}
+        for (label, sought), width in zip(known, join.windows, strict=True):
+            most = max((len(sought & set(words[k : k + width])) / len(sought) for k in range(len(words))), default=0)
+            if most >= 0.8 - 1e-9:
+                want[label] = most
+        got = {}
+        for k, label, c in join.blocks(words):
+            got[label] = max(got.get(label, 0), c)
+            width, sought = next((x, y) for x, (name, y) in zip(join.windows, known, strict=True) if name == label)
+            assert len(sought & set(words[k : k + width])) / len(sought) >= c
+        assert got == want
+
+
 def test_quality(spark, docs, rows, empty):
     rnd = random.Random(9)
     good = [(1000 + i, " ".join(f"word{rnd.randrange(500)}" for _ in range(rnd.randrange(20, 90))) + ".") for i in range(150)]
