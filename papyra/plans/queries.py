@@ -640,9 +640,10 @@ def cells_to_blocks(spark, sf):
 
 @query("select page_id, 0 as n_cells from pages where contains(html, '<table')")
 def html_tables_in_pages(spark, sf):
-    """The crawled pages hold no tables: a negative case over the whole table."""
+    """The cells of each page with a table. The crawled pages hold none, and the SQL expects none."""
     p = frame(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "html").where(F.col("html").contains("<table"))
-    return ingest.html_cells(p).groupBy(F.col("doc_id").alias("page_id")).agg(F.lit(0).alias("n_cells"))
+    n = ingest.html_cells(p).groupBy("doc_id").agg(F.count_if(F.col("kind") == "cell").alias("n"))
+    return p.join(n, "doc_id", "left").select(F.col("doc_id").alias("page_id"), F.coalesce("n", F.lit(0)).cast("int").alias("n_cells"))
 
 
 @query("select doc_id, md5(text) as content_key from documents where strlen(text) <= 1048576")

@@ -151,6 +151,13 @@ def test_html_and_model(spark):
     assert table_rows("") == ([], [])
 
 
+def test_html_tables_in_pages_counts_cells(spark, tmp_path):
+    rows = [(1, "u", "<p>none</p>"), (2, "u", "<p>x</p><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr><tr><td>3</td><td>4</td></tr></table>"), (3, "u", "<table></table>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["html_tables_in_pages"](spark, str(tmp_path)).collect()
+    assert {r.page_id: r.n_cells for r in got} == {2: 6, 3: 0}
+
+
 def test_page_merge_weighs_blocks(spark):
     from papyra.operators.ingest import merge_pages
 
