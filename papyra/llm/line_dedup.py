@@ -3,9 +3,9 @@
 `dedup_passages` removes every passage of two lines or more that stands at another place already. Two neighbouring
 lines are a pair; a passage of two lines or more is repeated where its pairs are, so a line goes if one of its pairs
 isn't at the pair's first place: in the document with the smallest id, there the first. The first place of every line
-stays, as its pairs can't be elsewhere before. Pairs are told apart by the hashes of their lines; hashes that two
-different lines share (64 bits, found by grouping the lines themselves) mark nothing. No passage is missed, whatever
-its surroundings; n_lines, removed_lines and removed_chunks (runs of neighbouring lines that went) are added.
+stays, as its pairs can't be elsewhere before. Pairs are told apart by the hashes of their lines; where two different
+lines share a hash (64 bits, found by grouping the lines themselves), pairs with it are told apart by their bytes. No
+passage is missed, whatever its surroundings; n_lines, removed_lines and removed_chunks (runs of neighbouring lines that went) are added.
 
 `dedup_lines` is the coarser rule of chunks: a text is split at newlines and every line hashed. A rolling hash over
 the hashes of two neighbouring lines ends a chunk wherever it is 0 modulo `modulus`, so chunk limits depend on nearby
@@ -22,12 +22,20 @@ replaced if the input has such columns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 _LAST = (1 << 63) - 1
 
 
+def _hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def _let(value: Column, body) -> Column:
     """body of value, evaluated once: a column that a lambda captures would be worked out for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -37,14 +45,14 @@ def chunks(text: Column, modulus: int) -> Column:
     """array<struct<h long, n int, body string>> of a text's chunks in order."""
 
     def cut(lines: Column) -> Column:
-        hashes = F.transform(lines, lambda x: F.xxhash64(x))
+        hashes = F.transform(lines, _hash)
 
         def ends(h: Column) -> Column:
             return F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (i == F.size(h)) | ((i > 1) & (F.pmod(F.xxhash64(F.get(h, i - 2), F.get(h, i - 1)), F.lit(modulus)) == 0)))
 
         def bodies(e: Column) -> Column:
             pairs = F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice(e, 1, F.size(e) - 1)).alias("s"), e.alias("e"))
-            return F.transform(pairs, lambda p: _let(F.array_join(F.slice(lines, p["s"] + 1, p["e"] - p["s"]), "\n"), lambda b: F.struct(F.xxhash64(b).alias("h"), (p["e"] - p["s"]).alias("n"), b.alias("body"))))
+            return F.transform(pairs, lambda p: _let(F.array_join(F.slice(lines, p["s"] + 1, p["e"] - p["s"]), "\n"), lambda b: F.struct(_hash(b).alias("h"), (p["e"] - p["s"]).alias("n"), b.alias("body"))))
 
         return _let(_let(hashes, ends), bodies)
 
@@ -56,25 +64,23 @@ def dedup_lines(docs: DataFrame, modulus: int = 3, least_lines: int = 2) -> Data
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     cut = chunks(F.col("text"), modulus)
     pieces = docs.select(key.alias("d"), F.inline(cut)).where(F.col("n") >= least_lines)
-    bodies = pieces.groupBy("h", "body").agg(F.count("*").alias("times"), F.min("d").alias("first"))
-    repeated = bodies.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("times").alias("times"), F.min("first").alias("first")).where("kinds = 1 and times > 1").select("h", "first")
-    places = docs.select(key.alias("d"), F.explode(F.transform(F.filter(cut, lambda c: c["n"] >= least_lines), lambda c: c["h"])).alias("h")).groupBy("d", "h").agg(F.count("*").alias("own"))
+    places = pieces.groupBy("d", "h", "body").agg(F.count("*").alias("own"))
+    repeated = places.groupBy("h", "body").agg(F.sum("own").alias("times"), F.min("d").alias("first")).where("times > 1").drop("times")
     # One row a document and chunk; those that keep their only place need no mark.
-    marks = places.join(repeated, "h").where("own > 1 or d <> first")
-    marks = marks.groupBy("d").agg(F.collect_list(F.when(F.col("d") != F.col("first"), F.col("h"))).alias("gone"), F.collect_list(F.when(F.col("d") == F.col("first"), F.col("h"))).alias("once"))
+    marks = places.join(repeated, ["h", "body"]).where("own > 1 or d <> first")
+    marks = marks.groupBy("d").agg(F.collect_list(F.when(F.col("d") != F.col("first"), F.col("body"))).alias("gone"), F.collect_list(F.when(F.col("d") == F.col("first"), F.col("body"))).alias("once"))
     joined = docs.withColumn("_ld_d", key).join(marks.select(F.col("d").alias("_ld_d"), F.struct("gone", "once").alias("_ld_m")), "_ld_d", "left")
 
     def sift(all_chunks: Column) -> Column:
         marked = F.col("_ld_m")
 
         def lookup(m: Column) -> Column:
-            hashes = F.transform(all_chunks, lambda c: c["h"])
+            bodies = F.transform(all_chunks, lambda c: c["body"])
 
-            def kept(h: Column) -> Column:
-                out = F.filter(all_chunks, lambda c, i: ~((c["n"] >= least_lines) & (F.array_contains(m["gone"], c["h"]) | (F.array_contains(m["once"], c["h"]) & (F.array_position(h, c["h"]) < i + 1)))))
-                return out
+            def kept(b: Column) -> Column:
+                return F.filter(all_chunks, lambda c, i: ~((c["n"] >= least_lines) & (F.array_contains(m["gone"], c["body"]) | (F.array_contains(m["once"], c["body"]) & (F.array_position(b, c["body"]) < i + 1)))))
 
-            return _let(hashes, kept)
+            return _let(bodies, kept)
 
         return F.when(marked.isNull(), all_chunks).otherwise(_let(marked, lookup))
 
@@ -98,26 +104,40 @@ def dedup_lines(docs: DataFrame, modulus: int = 3, least_lines: int = 2) -> Data
     return out.select(*(F.col(f"`{c}`") if c != "text" else F.col("_ld_r.text").alias("text") for c in docs.columns if c == "text" or c in own), "n_lines", F.col("_ld_r.removed_lines"), F.col("_ld_r.removed_chunks"))
 
 
+def _repeated_pairs(pairs: DataFrame, pair: list[str]) -> DataFrame:
+    """d, t, m: the places i, in order, of a document's pairs that aren't the first of their kind."""
+    repeated = pairs.groupBy(*pair).agg(F.count("*").alias("times"), F.min("d").alias("first")).where("times > 1").drop("times")
+    # Later places of the first document go as well: its places are sorted, and all but the first of equal pairs marked.
+    marks = pairs.join(repeated, pair).groupBy("d", "t").agg(
+        F.collect_set(F.when(F.col("d") != F.col("first"), F.col("i"))).alias("gone"),
+        F.collect_set(F.when(F.col("d") == F.col("first"), F.struct(*pair, "i"))).alias("own"),
+    )
+    alike = lambda x, y: reduce(lambda p, q: p & q, [x[c] == y[c] for c in pair])
+    again = _let(F.array_sort("own"), lambda own: F.filter(own, lambda x, k: (k > 0) & alike(F.get(own, k - 1), x)))
+    return marks.select("d", "t", F.array_sort(F.concat("gone", F.transform(again, lambda x: x["i"]))).alias("m"))
+
+
 def dedup_passages(docs: DataFrame) -> DataFrame:
     """docs with `text` without repeated passages of two lines or more, and n_lines, removed_lines, removed_chunks int."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     # Rows of equal id are told apart by their text: places are positions in it.
     body = F.unhex(F.md5(F.col("text")))
     split = F.split(F.col("text"), "\n", -1)
-    neighbours = _let(F.transform(split, lambda x: F.xxhash64(x)), lambda h: F.arrays_zip(F.slice(h, F.lit(1), F.size(h) - 1).alias("a"), F.slice(h, F.lit(2), F.size(h) - 1).alias("b")))
+    neighbours = _let(F.transform(split, _hash), lambda h: F.arrays_zip(F.slice(h, F.lit(1), F.size(h) - 1).alias("a"), F.slice(h, F.lit(2), F.size(h) - 1).alias("b")))
     pairs = docs.select(key.alias("d"), body.alias("t"), F.posexplode(neighbours).alias("i", "p")).select("d", "t", "i", "p.a", "p.b")
-    lines = docs.select(F.explode(split).alias("line")).select(F.xxhash64("line").alias("h"), "line").distinct()
-    shared = lines.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
-    repeated = pairs.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("d").alias("first")).where("times > 1").drop("times")
-    for side in ("a", "b"):
-        repeated = repeated.join(shared.withColumnRenamed("h", side), side, "left_anti")
-    # Later places of the first document go as well: its places are sorted, and all but the first of equal pairs marked.
-    marks = pairs.join(repeated, ["a", "b"]).groupBy("d", "t").agg(
-        F.collect_set(F.when(F.col("d") != F.col("first"), F.col("i"))).alias("gone"),
-        F.collect_set(F.when(F.col("d") == F.col("first"), F.struct("a", "b", "i"))).alias("own"),
-    )
-    again = _let(F.array_sort("own"), lambda own: F.filter(own, lambda x, k: (k > 0) & (F.get(own, k - 1)["a"] == x["a"]) & (F.get(own, k - 1)["b"] == x["b"])))
-    marks = marks.select(F.col("d").alias("_ld_d"), F.col("t").alias("_ld_t"), F.array_sort(F.concat("gone", F.transform(again, lambda x: x["i"]))).alias("_ld_m")).where("size(_ld_m) > 0")
+    lines = docs.select(F.explode(split).alias("line")).select(_hash(F.col("line")).alias("h"), "line").distinct()
+    shared = stored(lines.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h"), "lines-shared")
+    if shared.isEmpty():
+        marks = _repeated_pairs(pairs, ["a", "b"])
+    else:
+        for side in ("a", "b"):
+            pairs = pairs.join(shared.select(F.col("h").alias(side), F.lit(True).alias(f"_{side}")), side, "left")
+        odd = F.coalesce("_a", "_b", F.lit(False))
+        told = docs.select(key.alias("d"), body.alias("t"), split.alias("whole")).distinct()
+        bytes_of = pairs.where(odd).join(told, ["d", "t"]).select("d", "t", "i", F.get("whole", F.col("i")).alias("a"), F.get("whole", F.col("i") + 1).alias("b"))
+        marks = _repeated_pairs(pairs.where(~odd), ["a", "b"]).unionByName(_repeated_pairs(bytes_of, ["a", "b"]))
+        marks = marks.groupBy("d", "t").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
+    marks = marks.select(F.col("d").alias("_ld_d"), F.col("t").alias("_ld_t"), F.col("m").alias("_ld_m")).where("size(_ld_m) > 0")
     joined = docs.withColumns({"_ld_d": key, "_ld_t": body}).join(marks, ["_ld_d", "_ld_t"], "left")
 
     def sift(whole: Column) -> Column:

@@ -494,6 +494,29 @@ def test_passages_brute_force(spark, empty):
     assert line_dedup.dedup_passages(empty).count() == 0
 
 
+def test_lines_that_share_a_hash(spark, monkeypatch):
+    """With a hash of seven values most lines share theirs: pairs and chunks are still told apart by their bytes."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(17)
+    blocks = ["\n".join(f"{rnd.randrange(400)} line" for _ in range(n)) for n in (2, 3, 4, 7)]
+    rows = [(i, "\n".join(rnd.choice([*blocks, f"lone {i} {rnd.random()}", "common"]) for _ in range(rnd.randrange(1, 8)))) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "_hash", lambda x: F.pmod(F.xxhash64(x), F.lit(7)))
+    want = {i: kept for (i, _), (kept, _) in zip(rows, passages_by_brute_force(rows), strict=True)}
+    assert {r.doc_id: r.text for r in line_dedup.dedup_passages(frame).collect()} == want
+    cut = {r.doc_id: r.c for r in frame.select("doc_id", line_dedup.chunks(F.col("text"), 3).alias("c")).collect()}
+    seen, want = set(), {}
+    for i, _ in rows:
+        kept = []
+        for x in cut[i]:
+            if x.n < 2 or x.body not in seen:
+                kept.append(x.body)
+            seen.add(x.body)
+        want[i] = "\n".join(kept)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()} == want
+
+
 def test_queries_remove_whole_passages(spark, tmp_path):
     import corpus_pipeline
     from papyra.llm import queries
