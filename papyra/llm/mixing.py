@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WEIGHTS = (5, 2, 1)
+#: A multiplier known to this moves no document's rate by more than rounding.
+NARROW = 1e-12
 _UNIT = 1 << 20
 _EXACT = "decimal(28,6)"
 
@@ -60,8 +62,12 @@ def targets(sizes: DataFrame, share: float, most: float) -> DataFrame:
     return named.withColumn("target", F.least(F.col("weight") * level, most * F.col("source_size")) if free else most * F.col("source_size"))
 
 
-def balance(sizes: DataFrame, goals: DataFrame, most: float, rounds: int = 60, near: float = 1e-9) -> DataFrame:
-    """skey, scale, multiplier of each source; null where the rate is `most` throughout."""
+def balance(sizes: DataFrame, goals: DataFrame, most: float, newton: int = 30, near: float = 1e-9) -> DataFrame:
+    """skey, scale, multiplier of each source; null where the rate is `most` throughout.
+
+    Goes on until every source is within `near` of its target, or its multiplier's bracket within NARROW. After `newton`
+    rounds all steps halve the bracket, so that there is an end.
+    """
     counts = stored(sizes.where("size > 0").groupBy("skey", "size").agg(F.count("*").alias("n")), "mix-counts")
     state = stored(
         goals.where((F.col("source_size") > 0) & (F.col("target") < most * F.col("source_size"))).select(
@@ -69,7 +75,8 @@ def balance(sizes: DataFrame, goals: DataFrame, most: float, rounds: int = 60, n
         ),
         "mix-state",
     )
-    for _ in range(rounds):
+    turn = 0
+    while True:
         x = F.col("l") * F.col("size") / F.col("scale")
         mass = F.col("n") * F.col("size") * F.exp(F.least(x, F.lit(math.log(most))))
         slope = F.when(x < math.log(most), mass * F.col("size") / F.col("scale")).otherwise(0.0)
@@ -78,10 +85,11 @@ def balance(sizes: DataFrame, goals: DataFrame, most: float, rounds: int = 60, n
         # Newton's step for log(mass) = log(target); halving where it would leave the bracket.
         step = F.col("l") - (F.log(F.col("mass")) - F.log(F.col("target"))) * F.col("mass") / F.nullif(F.col("slope"), F.lit(0.0))
         moved = state.join(sums, "skey").select("skey", "target", "scale", low.alias("low"), high.alias("high"), step.alias("step"), F.abs(F.col("mass") / F.col("target") - 1).alias("off"), "l")
-        inside = (F.col("step") > F.col("low")) & (F.col("step") < F.col("high"))
+        inside = (F.col("step") > F.col("low")) & (F.col("step") < F.col("high")) & F.lit(turn < newton)
         state = stored(moved.select("skey", "target", "scale", F.when(F.col("off") < near, F.col("l")).when(inside, F.col("step")).otherwise((F.col("low") + F.col("high")) / 2).alias("l"), "low", "high", "off"), "mix-state")
-        if (state.agg(F.max("off")).first()[0] or 0.0) < near:
+        if not state.where((F.col("off") >= near) & (F.col("high") - F.col("low") > NARROW)).limit(1).count():
             break
+        turn += 1
     return state.select("skey", "scale", F.col("l").alias("multiplier"))
 
 
