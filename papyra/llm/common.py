@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,10 +17,12 @@ STEP_BYTES = 1 << 20
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder that the session names; /tmp/checkpoints where none is set, as in tests."""
+    """A fresh folder below the shared folder that the session names; /tmp/checkpoints where a local session names none."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file:///tmp/checkpoints"
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(base)
@@ -33,6 +37,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a table of the shared folder that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives free memory back to the system at its end: Python workers stay for later tasks and stages."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _release()
+
+    return held
+
+
 def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow of a function of one batch."""
 
@@ -40,7 +69,7 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[pa.Record
         for batch in batches:
             yield from step(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(freed(run), schema)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,28 +101,35 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a long, b long): rows (id, component), component the smallest id reachable.
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """Connected components of edges (a, b of one ordered type): rows (id, component), component the smallest id reachable.
 
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and
-    Beyond", 2014) until no edge changes. Each step groups by node with partial aggregation, its joins are
-    plain equi-joins that adaptive execution can split, and each round is a table in the shared folder.
-    Empty edges give no rows.
+    Beyond", 2014) until no edge changes; each lowers labels or leaves all as they are, so it ends. Each step groups
+    by node with partial aggregation, its joins are plain equi-joins that adaptive execution can split, and each round
+    is a table in the shared folder that goes once the next is written. Empty edges give no rows.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
+    spark = edges.sparkSession
+
+    def written(df: DataFrame) -> tuple[DataFrame, str]:
+        path = work_folder(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    now, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
-        now = stored(small, f"{name}-round")
-        figures = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
-        if tuple(figures) == seen:
+        before = path
+        now, path = written(small)
+        dropped(spark, before)
+        figures = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first())
+        if figures == seen:
             break
-        seen = tuple(figures)
-    else:
-        raise RuntimeError("components did not settle")
+        seen = figures
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()

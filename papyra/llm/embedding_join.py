@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, components, stored
+from .common import arrow_map, batch_of, components, freed, stored
 
 PIVOT_SAMPLE, PIVOTS, BLOCK = 2048, 16, 4096
 
@@ -228,7 +228,7 @@ def range_join(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, pivot
                 now.open()
             yield now.close()
 
-    found = stored(dealt.mapInArrow(compare, "node long, links long, least long"), "vectors-links")
+    found = stored(dealt.mapInArrow(freed(compare), "node long, links long, least long"), "vectors-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")), "vectors")
     nodes = distinct.select("node", "key", "id", "copies").join(links, "node", "left").join(joined.withColumnRenamed("id", "node"), "node", "left")

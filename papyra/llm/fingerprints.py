@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, batch_of, stored
+from .common import STEP_BYTES, batch_of, freed, stored
 from .kernel import byte_sums, mix, range_hash
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -225,7 +225,7 @@ def edit_pairs(docs: DataFrame) -> DataFrame:
         if ids:
             yield end(1)
 
-    made = stored(dealt.mapInArrow(run, columns), "fingerprints")
+    made = stored(dealt.mapInArrow(freed(run), columns), "fingerprints")
     # Two rows a task: the last of each with the first of the next task, and of the last with the first.
     ends = made.where("part is not null").select("doc_id", "part", "at", "text")
     first = ends.where("at = 0").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
@@ -239,5 +239,5 @@ def edit_pairs(docs: DataFrame) -> DataFrame:
                 schema, values = result(one.column(0).to_pylist() * 2, [one.column(1)[0].as_py(), one.column(2)[0].as_py()], batch.schema.field(0).type)
                 yield batch_of(schema, *values, [None], [None], [None])
 
-    closing = last.join(first, "next_part").select("doc_id", "text", "next_text").mapInArrow(close, columns)
+    closing = last.join(first, "next_part").select("doc_id", "text", "next_text").mapInArrow(freed(close), columns)
     return made.where("part is null").unionByName(closing).drop("part", "at", "text")

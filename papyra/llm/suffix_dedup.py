@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, steps, stored, text_bytes
+from .common import arrow_map, batch_of, freed, steps, stored, text_bytes
 from .kernel import byte_sums, range_hash
-from .shingle_join import _WIRE, FLUSH, Receiver, Sender, _grouped, _rows, _wire
+from .shingle_join import FLUSH, Sender, exchange, grouped, present
 
 GRAM = 160
 #: Bytes of stretches that are sorted together (a single anchor's may be HOT), and items from which a queue is on disk.
@@ -249,7 +249,7 @@ def repeated_anchors(docs: DataFrame, length: int, receivers: int) -> DataFrame:
     """sig, places array<struct<at,first,last>> of the anchors of each text that stand more than once in the table."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sender(receivers, merge=True)
+        out = Sender(receivers)
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             sigs = np.array(batch.column(1).to_pylist(), "S16") if len(batch) else np.zeros(0, "S16")
@@ -265,30 +265,13 @@ def repeated_anchors(docs: DataFrame, length: int, receivers: int) -> DataFrame:
                     yield from out.flush()
         yield from out.flush()
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = Receiver()
-        got.take(batches)
-        rows = got.passed
-        if got.keys:
-            _, uids, owners, run, at = got.runs()
-            shared = np.diff(np.append(at, len(run))) > 1
-            marked = owners == np.uint32(0xFFFFFFFF)
-            shared[run[marked]] = True
-            give = shared[run] & ~marked
-            uids, owners = uids[give], owners[give]
-            order = np.argsort(uids, kind="stable")
-            uids, owners = uids[order], owners[order]
-            cut = np.append(np.flatnonzero(np.append(True, uids[1:] != uids[:-1])[: len(uids)]), len(uids))
-            rows += [_wire(0, 1, int(uids[s]), owners[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-        yield from _rows(rows)
-
     place = pa.struct([("at", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
     schema = pa.schema([("sig", pa.binary()), ("places", pa.list_(place))])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, meta, local, answers in _grouped(batches, _ANCHOR):
-            again = local > 0
-            for a, _, _, _ in answers:
+        for (meta, local, *_), answers in grouped(batches):
+            meta, again = np.frombuffer(meta, _ANCHOR), np.frombuffer(local, np.uint32) > 0
+            for a, *_ in answers:
                 again[np.frombuffer(a, np.uint32)] = True
             found = meta[again]
             if not len(found):
@@ -302,9 +285,7 @@ def repeated_anchors(docs: DataFrame, length: int, receivers: int) -> DataFrame:
             for k in range(0, len(sigs), 1000):
                 yield batch_of(schema, sigs[k : k + 1000], whole.slice(k, 1000))
 
-    sent = docs.select("text", "sig").mapInArrow(send, _WIRE).repartition(receivers, "r")
-    answered = sent.mapInArrow(answer, _WIRE).repartition(receivers, "uid").sortWithinPartitions("uid", "kind")
-    return answered.mapInArrow(settle, "sig binary, places array<struct<at:long,first:long,last:long>>")
+    return exchange(docs.select("text", "sig"), send, present, settle, "sig binary, places array<struct<at:long,first:long,last:long>>", receivers)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
@@ -443,7 +424,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFram
     pieces, width, found_spans = arrow_map(rows, cut_out, columns), GRAM, None
     while True:
         shards = pieces.repartition(receivers, "anchor").sortWithinPartitions("anchor")
-        done = stored(shards.mapInArrow(lambda batches, width=width: sort_shards(batches, width), f"sig binary, spans binary, {columns}"), "suffix-spans")
+        done = stored(shards.mapInArrow(freed(lambda batches, width=width: sort_shards(batches, width)), f"sig binary, spans binary, {columns}"), "suffix-spans")
         spans_of = done.where("sig is not null").select("sig", "spans")
         found_spans = spans_of if found_spans is None else found_spans.unionByName(spans_of)
         pieces = done.where("anchor is not null").select("anchor", "at", "body", "places")
