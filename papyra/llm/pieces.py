@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map, batch_of, steps, text_bytes
 from .kernel import byte_sums, range_hash
-from .slots import MOST, Slots
+from .slots import Slots
 
 LONG = 48
 _NONE = np.int32(1 << 30)
@@ -68,7 +68,8 @@ class Codec:
             if len(p) == 1:
                 points[ord(p)] = i
         self.points = points
-        self.cache, self.strings = Slots(), []
+        self.cache = Slots()
+        self.names = [str(i) for i in range(self.limit)]
         self.checked = self.differed = 0
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +163,8 @@ class Codec:
                 ids.append(s)
         return ids
 
-    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Slots of all segments, each row's first segment, all ids, and each row's first id."""
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and each row's first id."""
         rows = len(offsets) - 1
         raw = data.tobytes()
         if _MARK.encode() in raw:
@@ -175,7 +176,7 @@ class Codec:
             data = np.insert(data, offsets[:-1][full], 32)
             offsets = offsets + np.concatenate([[0], np.cumsum(full)])
         if not len(data):
-            return np.zeros(0, np.int64), np.zeros(rows + 1, np.int64), np.zeros(0, np.int32), np.zeros(rows + 1, np.int64)
+            return np.zeros(0, np.int32), np.zeros(rows + 1, np.int64)
         space = data == 32
         first = space.copy()
         first[1:] &= ~space[:-1]
@@ -187,9 +188,8 @@ class Codec:
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(data))
         keys, at, inverse = np.unique(range_hash(byte_sums(data), starts, ends), return_index=True, return_inverse=True)
-        if self.cache.size + len(keys) > MOST:
+        if self.cache.full():
             self.cache.clear()
-            self.strings = []
         slots = self.cache.find(keys)
         new = np.flatnonzero(slots < 0)
         if len(new):
@@ -197,11 +197,8 @@ class Codec:
             texts = [whole[starts[k] : ends[k]].decode().replace(" ", _MARK) for k in at[new].tolist()]
             ids = self._checked(texts, self.encode_segments(texts))
             slots[new] = self.cache.add(keys[new], np.array([len(x) for x in ids], np.int32), np.array([i for x in ids for i in x], np.int32))
-            self.strings += [",".join(map(str, x)) for x in ids]
-        slots = slots[inverse]
-        flat, counts = self.cache.gather(slots)
-        cut = np.searchsorted(starts, offsets)
-        return slots, cut, flat, np.concatenate([[0], np.cumsum(counts)])[cut]
+        flat, counts = self.cache.gather(slots[inverse])
+        return flat, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, offsets)]
 
     def _checked(self, texts: list[str], ids: list[list[int]]) -> list[list[int]]:
         if not self.prefix:
@@ -216,7 +213,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         data, offsets = text_bytes(pa.array(texts, pa.string()))
-        _, _, flat, cut = self.encode_bytes(data, offsets)
+        flat, cut = self.encode_bytes(data, offsets)
         return [flat[cut[i] : cut[i + 1]].tolist() for i in range(len(texts))]
 
 
@@ -246,20 +243,19 @@ def encode_documents(docs: DataFrame, model_path: str, ids: bool = True) -> Data
         data, offsets = text_bytes(batch.column(1))
         for a, b in steps(offsets):
             part, cut_bytes = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            slots, cut, flat, id_cut = own.encode_bytes(part, cut_bytes)
+            flat, id_cut = own.encode_bytes(part, cut_bytes)
             probe = int(np.argmax(np.diff(cut_bytes) > 0))
             if own.library.encode(part[cut_bytes[probe] : cut_bytes[probe + 1]].tobytes().decode(), num_threads=1) != flat[id_cut[probe] : id_cut[probe + 1]].tolist():
                 own.differed += 1
                 lists = own.library.encode([part[cut_bytes[i] : cut_bytes[i + 1]].tobytes().decode() for i in range(b - a)], num_threads=1)
-                strings = [",".join(map(str, x)) for x in lists]
                 flat, id_cut = np.array([i for x in lists for i in x], np.int32), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
             else:
-                numbers, get = slots.tolist(), own.strings.__getitem__
                 lists = [flat[id_cut[i] : id_cut[i + 1]].tolist() for i in range(b - a)]
-                strings = [",".join(map(get, numbers[cut[i] : cut[i + 1]])) for i in range(b - a)]
+            digests = [hashlib.sha256(",".join(map(own.names.__getitem__, x)).encode()).hexdigest() for x in lists]
             decoded = own.library.decode(lists, num_threads=1) if lists else []
+            del lists
             more = [pa.ListArray.from_arrays(pa.array(id_cut.astype(np.int32)), pa.array(flat, pa.int32())), decoded] if ids else []
-            yield batch_of(schema, batch.column(0).slice(a, b - a), np.diff(id_cut), [hashlib.sha256(x.encode()).hexdigest() for x in strings], [hashlib.sha256(x.encode()).hexdigest() for x in decoded], *more)
+            yield batch_of(schema, batch.column(0).slice(a, b - a), np.diff(id_cut), digests, [hashlib.sha256(x.encode()).hexdigest() for x in decoded], *more)
 
     out = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
     return arrow_map(docs.select("doc_id", "text"), step, out)

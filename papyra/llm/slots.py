@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Entries after which a cache starts anew: about 100 MB.
-MOST = 1_500_000
+#: Bytes of arrays from which a cache starts anew before it takes more.
+MOST_BYTES = 48 << 20
 
 
 class Slots:
@@ -21,6 +21,9 @@ class Slots:
         self.starts, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.pool, self.used = np.zeros(4096, np.int32), 0
 
+    def full(self) -> bool:
+        return sum(x.nbytes for x in (*self.keys, *self.slots, self.starts, self.counts, self.pool)) > MOST_BYTES
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Slots of distinct keys; -1 where missing."""
         out = np.full(len(keys), -1, np.int64)

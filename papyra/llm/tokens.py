@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, steps, text_bytes, work_folder
+from .common import arrow_map, batch_of, freed, steps, text_bytes, work_folder
 from .kernel import prefix_sums, range_hash
-from .slots import MOST, Slots
+from .slots import Slots
 
 MAGIC = b"PAPYTOK1"
 #: Code points whose classes all Unicode versions since 6.0 agree on and that numpy splits; others go to the library.
@@ -130,7 +130,7 @@ class Encoder:
             starts = pretoken_starts(points, kinds, chars[:-1][np.diff(chars) > 0])
             ends = np.append(starts[1:], len(points))
             keys, at, inverse = np.unique(range_hash(prefix_sums((points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)), starts, ends), return_index=True, return_inverse=True)
-            if self.cache.size + len(keys) > MOST:
+            if self.cache.full():
                 self.cache.clear()
             slots = self.cache.find(keys)
             new = np.flatnonzero(slots < 0)
@@ -243,7 +243,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> Files
 
     first = work_folder(spark, "token-ids")
     # Each part is one task and one file; its units are in order.
-    ordered.mapInArrow(tokenise, "part int, seq long, doc_ids array<long>, counts array<int>, ids binary, tally binary").write.option("compression", "zstd").parquet(first)
+    ordered.mapInArrow(freed(tokenise), "part int, seq long, doc_ids array<long>, counts array<int>, ids binary, tally binary").write.option("compression", "zstd").parquet(first)
     units = spark.read.parquet(first)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +254,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> Files
         ids = np.flatnonzero(total)
         yield batch_of(pa.schema([("id", pa.int64()), ("n", pa.int64())]), ids, total[ids])
 
-    tallies = units.where("tally is not null").select("tally").mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    tallies = units.where("tally is not null").select("tally").mapInArrow(freed(spread), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     got = tallies.toPandas()  # a row a vocabulary entry at most
     order = np.lexsort((got["id"], -got["n"]))
     by_rank = got["id"].to_numpy()[order]
