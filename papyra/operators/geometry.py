@@ -54,29 +54,126 @@ def in_order(frame: DataFrame, keys: tuple[str, ...], columns: list[str], name:
     return F.array_sort(listed, lambda x, y: F.when(first(x) < first(y), -1).when(first(x) > first(y), 1).otherwise(0))
 
 
+_SPLIT = ("text", "x_min", "x_max", "y_min", "y_max", "width", "height")
+#: Parts of a vertical block are numbered from here, so that they follow all whole blocks.
+_PARTS = 1 << 40
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, evaluated once: a column that a lambda captures would be worked out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _page_items(blocks: DataFrame) -> tuple[DataFrame, list[str]]:
+    """A row a page: items, its blocks with geometry as structs (y_center, ordinal, _block), sorted; and _block's columns."""
+    g = with_geometry(blocks) if "x_center" not in blocks.columns else blocks
+    g = g.where("x_center is not null")
+    rest = [c for c in g.columns if c not in PAGE]
+    return g.groupBy(*PAGE).agg(in_order(g, ("y_center", "ordinal"), rest, "_block").alias("items")), rest
+
+
+def _split_items(items: Column, rest: list[str]) -> Column:
+    """A page's items in which vertical blocks are replaced by their parts; see vertical_split."""
+
+    def split(page: Column) -> Column:
+        median = page["median"]
+
+        def tall(x: Column) -> Column:
+            b = x["_block"]
+            solid = F.replace(b["text"], F.lit(" "), F.lit(""))
+            high = (b["height"] > median * 2.5) & (b["height"] > b["width"] * 2) & (F.length(b["text"]) > 2)
+            return F.coalesce(high & (F.size(F.array_distinct(F.split(solid, ""))) <= 2), F.lit(False))
+
+        others = F.filter(items, lambda x: ~tall(x))
+
+        def parts(x: Column) -> Column:
+            b = x["_block"]
+            middle = (b["x_min"] + b["x_max"]) / 2
+            beside = F.filter(others, lambda y: y["y_center"].between(b["y_min"] - median, b["y_max"] + median) & (F.abs(y["_block"]["x_center"] - middle) >= median * 2))
+            far = lambda s, y: (F.size(s) == 0) | (y["y_center"] - F.element_at(s, -1) > median * 0.4)
+            rows = F.aggregate(beside, F.array().cast("array<double>"), lambda s, y: F.when(far(s, y), F.concat(s, F.array(y["y_center"]))).otherwise(s))
+            chars = F.split(F.replace(b["text"], F.lit(" "), F.lit("")), "")
+            # The commonest character, the first of equals.
+            counts = F.transform(F.array_distinct(chars), lambda c: F.named_struct(F.lit("n"), F.size(F.filter(chars, lambda x: x == c)), F.lit("p"), -F.array_position(chars, c), F.lit("c"), c))
+
+            def placed(y: Column) -> Column:
+                anchored = F.size(y) > 0
+                step = (b["y_max"] - b["y_min"]) / F.size(chars)
+                centers = F.when(anchored, y).otherwise(F.transform(chars, lambda c, k: b["y_min"] + (k + 0.5) * step))
+                half = F.when(anchored, median).otherwise(step) / 2
+
+                def part(c: Column, k: Column) -> Column:
+                    low, high = c - half, c + half
+                    text = F.when(anchored, F.array_max(counts)["c"]).otherwise(F.get(chars, k))
+                    new = {"text": text, "ordinal": F.lit(_PARTS) + b["ordinal"] * (1 << 16) + k, "y_center": c, "y_min": low, "y_max": high, "x_center": middle, "width": b["x_max"] - b["x_min"], "height": half * 2}
+                    new["bbox"] = F.array(F.array(b["x_min"], low), F.array(b["x_max"], low), F.array(b["x_max"], high), F.array(b["x_min"], high))
+                    fields = [(new[c2] if c2 in new else b[c2]).alias(c2) for c2 in rest]
+                    return F.struct(c.alias("y_center"), new["ordinal"].alias("ordinal"), F.struct(*fields).alias("_block"))
+
+                return F.transform(centers, part)
+
+            return _let(rows, placed)
+
+        first = lambda x: F.struct(x["y_center"].alias("y"), x["ordinal"].alias("o"))
+        mixed = F.array_sort(F.concat(others, F.flatten(F.transform(F.filter(items, tall), parts))), lambda x, y: F.when(first(x) < first(y), -1).when(first(x) > first(y), 1).otherwise(0))
+        return F.when(F.exists(items, tall), mixed).otherwise(items)
+
+    heights = F.array_sort(F.transform(items, lambda x: x["_block"]["height"]))
+    return _let(F.struct(F.get(heights, F.floor(F.size(items) / 2).cast("int")).alias("median")), split)
+
+
+def vertical_split(blocks: DataFrame) -> DataFrame:
+    """blocks in which a page's vertical ones (see vertical_blocks) are replaced by one block for each anchor row.
+
+    Anchor rows are the y centres, more than 0.4 upper median heights apart, of blocks at its height that stand two
+    medians or more beside it; each gets the commonest character, a median high. Without any, the characters are spread
+    evenly. Parts keep the other columns of their block; their ordinals follow those of all whole blocks. Everything is
+    worked out on a page's sorted array, so one grouping by page does for this and for row_clusters.
+    """
+    pages, rest = _page_items(blocks)
+    each = pages.select(*PAGE, F.explode(_split_items(F.col("items"), rest)).alias("_x"))
+    return each.select(*PAGE, *(F.col("_x._block")[c].alias(c) for c in rest))
+
+
 def row_clusters(blocks: DataFrame) -> DataFrame:
     """blocks with row_index and pos: rows by the running mean of y centres, items by x.
 
-    A page's blocks, sorted by (y_center, ordinal), join the current row while within max(half the mean positive
-    height, 5) of its mean, which moves with each. The fold is over one page's sorted array, so a page is the unit of
-    memory; pages spread over the cluster.
+    Vertical blocks are split first, where the columns for it are there. A page's blocks, sorted by (y_center, ordinal),
+    join the current row while within max(half the mean positive height, 5) of its mean, which moves with each. The fold
+    keeps row starts alone; rows are slices of the page's array, so a page is the unit of memory and pages spread over
+    the cluster.
     """
-    g = with_geometry(blocks).where("x_center is not null") if "x_center" not in blocks.columns else blocks.where("x_center is not null")
-    rest = [c for c in g.columns if c not in PAGE]
-    ordered = in_order(g, ("y_center", "ordinal"), rest, "_block")
-    folded = g.groupBy(*PAGE).agg(ordered.alias("items"), F.coalesce(F.avg(F.when(F.col("height") > 0, F.col("height"))), F.lit(20.0)).alias("mean"))
-    near = F.greatest(F.col("mean") * 0.5, F.lit(5.0))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    pages, rest = _page_items(blocks)
+    if all(c in rest for c in _SPLIT):
+        pages = pages.withColumn("items", _split_items(F.col("items"), rest))
+    start = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"))
+
+    def rows(page: Column) -> Column:
+        items = page["items"]
+        near = F.greatest(page["mean"] * 0.5, F.lit(5.0))
+
+        def step(s: Column, x: Column) -> Column:
+            joins = (s["n"] > 0) & (F.abs(x["y_center"] - s["total"] / F.greatest(s["n"], F.lit(1))) <= near)
+            total, n = F.when(joins, s["total"]).otherwise(F.lit(0.0)), F.when(joins, s["n"]).otherwise(F.lit(0))
+            return F.struct((s["k"] + 1).alias("k"), (total + x["y_center"]).alias("total"), (n + 1).alias("n"), F.when(joins, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["k"]))).alias("starts"))
+
+        cut = lambda s: F.transform(s, lambda a, r: F.slice(items, a + 1, F.coalesce(F.get(s, r + 1), F.size(items)) - a))
+        return _let(F.aggregate(items, start, step, lambda s: s["starts"]), cut)
 
-    def step(s: Column, x: Column) -> Column:
-        joins = (s["n"] > 0) & (F.abs(x["y_center"] - s["total"] / F.greatest(s["n"], F.lit(1))) <= near)
-        row = F.when(joins, s["row"]).otherwise(s["row"] + 1)
-        return F.struct(row.alias("row"), F.when(joins, s["total"] + x["y_center"]).otherwise(x["y_center"]).alias("total"), F.when(joins, s["n"] + 1).otherwise(F.lit(1)).alias("n"), F.concat(s["out"], F.array(row)).alias("out"))
+    high = F.transform(F.filter("items", lambda x: x["_block"]["height"] > 0), lambda x: x["_block"]["height"])
+    mean = F.coalesce(F.aggregate(high, F.lit(0.0), lambda a, h: a + h) / F.nullif(F.size(high), F.lit(0)), F.lit(20.0))
+    cut = pages.select(*PAGE, F.posexplode(_let(F.struct("items", mean.alias("mean")), rows)).alias("row_index", "_row"))
+    order = lambda x: F.struct(x["_block"]["x_center"].alias("x"), x["y_center"].alias("y"), x["ordinal"].alias("o"))
+    ranked = F.array_sort("_row", lambda x, y: F.when(order(x) < order(y), -1).when(order(x) > order(y), 1).otherwise(0))
+    placed = cut.select(*PAGE, "row_index", F.posexplode(ranked).alias("pos", "_x"))
+    return placed.select(*PAGE, *(F.col("_x._block")[c].alias(c) for c in rest), "row_index", "pos")
 
-    # The blocks travel in the folded array, so nothing is joined back and the page's partitioning holds downstream.
-    numbered = folded.select(*PAGE, "items", F.aggregate("items", start, step, lambda s: s["out"]).alias("rows"))
-    placed = numbered.select(*PAGE, "rows", F.posexplode("items").alias("_k", "_item")).select(*PAGE, *(F.col("_item._block")[c].alias(c) for c in rest), F.col("rows")[F.col("_k")].alias("row_index"))
-    return placed.withColumn("pos", F.row_number().over(Window.partitionBy(*PAGE, "row_index").orderBy("x_center", "y_center", "ordinal")) - 1)
+
+def bottom_half(blocks: DataFrame) -> DataFrame:
+    """The lower half of each page's blocks by (y_min, ordinal), the middle one included."""
+    w = Window.partitionBy(*PAGE)
+    ranked = blocks.withColumns({"_k": F.row_number().over(w.orderBy("y_min", "ordinal")), "_n": F.count("*").over(w)})
+    return ranked.where("_k > floor(_n / 2)").drop("_k", "_n")
 
 
 def row_texts(clustered: DataFrame) -> DataFrame:
@@ -166,26 +263,8 @@ def row_gaps(histogram: DataFrame, least: int = 5) -> DataFrame:
 
 
 def vertical_blocks(blocks: DataFrame) -> DataFrame:
-    """Tall blocks of one or two different characters: higher than 2.5 medians and twice their width, more than one character."""
+    """Tall blocks of one or two different characters: higher than 2.5 medians and twice their width, over two characters."""
     medians = upper_median(blocks)
-    solid = F.regexp_replace("text", r"(?U)\s+", "")
-    kinds = F.size(F.array_distinct(F.split(solid, "")))
-    tall = (F.col("height") > F.col("median") * 2.5) & (F.col("height") > F.col("width") * 2) & (F.length("text") > 1)
-    return blocks.join(medians, list(PAGE)).where(tall & (F.length("text") > 2) & (kinds <= 2))
-
-
-def vertical_split(blocks: DataFrame) -> DataFrame:
-    """Vertical blocks as one block an anchor row: rows are the y centres, more than 0.4 medians apart, of blocks beside it; without any, even parts by character."""
-    tall = vertical_blocks(blocks).select(*PAGE, F.col("ordinal").alias("tall"), F.col("text").alias("tall_text"), "median", F.col("x_center").alias("tx"), F.col("y_min").alias("t0"), F.col("y_max").alias("t1"))
-    near = blocks.select(*PAGE, "ordinal", "x_center", "y_center").join(tall, list(PAGE))
-    near = near.where((F.col("ordinal") != F.col("tall")) & F.col("y_center").between(F.col("t0") - F.col("median"), F.col("t1") + F.col("median")) & (F.abs(F.col("x_center") - F.col("tx")) >= F.col("median") * 2))
-    ys = near.groupBy(*PAGE, "tall").agg(F.array_sort(F.collect_list("y_center")).alias("ys"))
-    keep = lambda m: F.aggregate("ys", F.array().cast("array<double>"), lambda s, y: F.when((F.size(s) == 0) | (y - F.element_at(s, -1) > m * 0.4), F.concat(s, F.array(y))).otherwise(s))
-    joined = tall.join(ys, [*PAGE, "tall"], "left")
-    chars = F.split(F.regexp_replace("tall_text", r"(?U)\s+", ""), "")
-    even = F.transform(F.sequence(F.lit(1), F.size(chars)), lambda k: F.col("t0") + (F.col("t1") - F.col("t0")) * (k - 0.5) / F.size(chars))
-    placed = joined.withColumn("anchored", F.col("ys").isNotNull()).withColumn("centers", F.when(F.col("ys").isNull(), even).otherwise(keep(F.col("median"))))
-    # The commonest character, the first of equals.
-    counts = F.transform(F.array_distinct(chars), lambda c: F.named_struct(F.lit("n"), F.size(chars) - F.size(F.filter(chars, lambda x: x != c)), F.lit("p"), -F.array_position(chars, c), F.lit("c"), c))
-    common = F.array_max(counts)["c"]
-    return placed.select(*PAGE, F.col("tall").alias("ordinal"), "anchored", F.posexplode("centers").alias("part", "part_y"), common.alias("common"), chars.alias("chars")).select(*PAGE, "ordinal", "part", "part_y", F.when(F.col("anchored"), F.col("common")).otherwise(F.get("chars", "part")).alias("text"))
+    kinds = F.size(F.array_distinct(F.split(F.replace("text", F.lit(" "), F.lit("")), "")))
+    tall = (F.col("height") > F.col("median") * 2.5) & (F.col("height") > F.col("width") * 2) & (F.length("text") > 2)
+    return blocks.join(medians, list(PAGE)).where(tall & (kinds <= 2))

@@ -460,11 +460,7 @@ def cells_rowcol(spark, sf):
 
 @query("select doc_id, page, ordinal from (select doc_id, page, ordinal, row_number() over (partition by doc_id, page order by y_min, ordinal) as k, count(*) over (partition by doc_id, page) as n from {fx_blocks}) where k > floor(n / 2)")
 def bottom_half(spark, sf):
-    from pyspark.sql import Window
-
-    g = geometry.with_geometry(blocks(spark, sf))
-    w = Window.partitionBy("doc_id", "page")
-    return g.withColumns({"k": F.row_number().over(w.orderBy("y_min", "ordinal")), "n": F.count("*").over(w)}).where("k > floor(n / 2)").select("doc_id", "page", "ordinal")
+    return geometry.bottom_half(geometry.with_geometry(blocks(spark, sf))).select("doc_id", "page", "ordinal")
 
 
 def _tall(spark, sf):
@@ -478,13 +474,25 @@ def _tall(spark, sf):
     return g.drop("bbox").unionByName(tall)
 
 
-@query("select doc_id, page, cast(last_rn - case when page = 2 then 8 else 0 end as bigint) as least_parts from {fx_pages_of} where last_rn - case when page = 2 then 8 else 0 end > 2")
+#: The tall block of _tall is 20 wide about x = 350, so its anchors stand 48 or more beside it, at its height give or take
+#: 24; the cells of a row are less than 9.6 apart, so a row's anchor is its highest block.
+_VERTICAL = """t as (select doc_id, page, cast(last_rn - case when page = 2 then 8 else 0 end as int) as n, cast(120 + 40 * case when page = 2 then 9 else 1 end as double) as t0 from {fx_pages_of}),
+ v as (select doc_id, page, t0, t0 + 40 * n - 10 as t1 from t where n > 2), a as (select * from {fx_blocks} where text <> '件'),
+ p as (select a.doc_id, a.page, floor((a.y_center - 80) / 40) as band, min(a.y_center) as part_y from a join v on a.doc_id = v.doc_id and a.page = v.page
+   where a.y_center between v.t0 - 24 and v.t1 + 24 and abs(a.x_center - 350) >= 48 group by all)"""
+
+
+@query(f"with {_VERTICAL} select doc_id, page, cast(row_number() over (partition by doc_id, page order by part_y) - 1 as bigint) as part, '件' as text, part_y, part_y - 12 as y_min, cast(340 as double) as x_min, cast(20 as double) as width from p")
 def vertical_split(spark, sf):
-    """At least one part a line of the page; all are 件."""
+    """The parts of each page's tall block, a row beside it each."""
     parts = geometry.vertical_split(_tall(spark, sf)).where("text = '件'")
-    n = parts.groupBy("doc_id", "page").agg(F.count("*").alias("n"))
-    want = frame(spark, sf, "fx_pages_of").select("doc_id", "page", (F.col("last_rn") - F.when(F.col("page") == 2, 8).otherwise(0)).alias("lines"))
-    return n.join(want, ["doc_id", "page"]).where("n >= lines").select("doc_id", "page", F.col("lines").cast("long").alias("least_parts"))
+    return parts.select("doc_id", "page", (F.col("ordinal") % (1 << 16)).alias("part"), "text", F.col("y_center").alias("part_y"), "y_min", "x_min", "width")
+
+
+@query(f"with {_VERTICAL}, u as (select doc_id, page, floor((y_center - 80) / 40) as band, text, x_center, y_center from a union all select doc_id, page, band, '件', 350, part_y from p), r as (select doc_id, page, band, count(*) as n_items, string_agg(text, ' ' order by x_center, y_center) as row_text from u group by doc_id, page, band) select doc_id, page, cast(row_number() over (partition by doc_id, page order by band) - 1 as int) as row_index, n_items, row_text from r")
+def row_cluster_vertical(spark, sf):
+    """Row clustering splits vertical blocks first: each part stands in the row of its anchors."""
+    return geometry.row_texts(geometry.row_clusters(_tall(spark, sf))).select("doc_id", "page", "row_index", "n_items", "row_text")
 
 
 @query("select doc_id, page, 'buyer' as region_type from {fx_pages_of}")
