@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..catalog import MERGED_REMARK, PARTY_ADDRESS, PARTY_BANK, PARTY_CODES, PARTY_NAMES, RAW_REMARK, REGION_REMARK, TEXT_REMARK
 from .text import FLAGS, collapse_cjk, first_of, strip
 
 _PUNCTUATION = r"^[;；：:，,。.、\s]+$"
-_ORDER = ("号码", "账期", "人工备注", "收款人", "复核人")
 
 
 def _found(text: Column, pattern: str, flags: str = FLAGS) -> Column:
@@ -24,50 +24,60 @@ def _period(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, FLAGS + r"[,，\s]+", "、"), "^、+|、+$", "")
 
 
+def _labelled(parts: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*(F.when(value.isNotNull(), F.concat(F.lit(f"{name}："), value)) for name, value in parts.items())))
+
+
 def _joined(parts: dict[str, Column]) -> Column:
-    labelled = [F.when(value.isNotNull(), F.concat(F.lit(f"{name}："), value)) for name, value in parts.items()]
-    return F.array_join(F.array_compact(F.array(*labelled)), "; ")
+    return F.array_join(_labelled(parts), "; ")
+
+
+def distinct_parts(parts: Column) -> Column:
+    """Parts that differ in more than colons, semicolons and white space from all before them."""
+    keys = F.transform(parts, lambda p: F.regexp_replace(p, FLAGS + r"[：:;\s]", ""))
+    return F.filter(parts, lambda p, k: F.array_position(keys, F.get(keys, k)) == k + 1)
+
+
+def finished(parts: Column) -> Column:
+    """A remark of its distinct parts; null if nothing of more than one character is left."""
+    built = F.regexp_replace(F.array_join(distinct_parts(parts), "; "), FLAGS + r"^[;；\s]+|[;；\s]+$", "")
+    return F.when(F.length(built) > 1, built)
+
+
+def remark_parts(full_text: Column) -> Column:
+    """The labelled parts that a whole text names, in order."""
+    text, dot_all = collapse_cjk(full_text), "(?s)" + FLAGS
+    found = {name: F.coalesce(*(_found(text, p, dot_all if name in ("收款人", "复核人") else FLAGS) for p in patterns)) for name, patterns in TEXT_REMARK.items()}
+    found["账期"] = _period(found["账期"])
+    found["人工备注"] = _solid(strip(found["人工备注"]))
+    found |= {name: _solid(found[name]) for name in ("收款人", "复核人")}
+    return _labelled(found)
+
+
+def raw_remark(full_text: Column) -> Column:
+    """What follows the remark's label, in one line; null if it has no more than one character."""
+    raw = F.regexp_replace(strip(_found(collapse_cjk(full_text), RAW_REMARK, "(?s)" + FLAGS)), FLAGS + r"\s+", " ")
+    return F.when(F.length(raw) > 1, raw)
 
 
 def text_remark(full_text: Column) -> Column:
     """The remark of a whole text by its labelled parts, or else what follows the label; null if neither is there."""
-    text = collapse_cjk(full_text)
-    dot_all = "(?s)" + FLAGS
-    parts = {
-        "号码": F.coalesce(*(_found(text, p + r"[：:]\s*(\d{5,20})") for p in (r"号\s*码", "联系电话", "电话"))),
-        "账期": _period(F.coalesce(*(_found(text, p + r"[：:]\s*([\d]{4,8}(?:[、,，\s]+[\d]{4,8})*)") for p in (r"账\s*期", "期间")))),
-        "人工备注": _solid(strip(_found(text, r"人\s*工\s*备\s*注[：:]\s*([^;；\n]{1,200})"))),
-        "收款人": _solid(_found(text, r"备\s*注[：:].*?收\s*款\s*人[：:]\s*([^\s;；\n]{1,20})", dot_all)),
-        "复核人": _solid(_found(text, r"备\s*注[：:].*?复\s*核\s*人?[：:]\s*([^\s;；\n]{1,20})", dot_all)),
-    }
-    built = F.regexp_replace(_joined(parts), FLAGS + r"^[;；\s]+|[;；\s]+$", "")
-    raw = F.regexp_replace(strip(_found(text, r"备\s*注[：:]\s*(.+?)(?=\n\s*(?:收款人|复核|开票人|销售方|购买方)|\z)", dot_all)), FLAGS + r"\s+", " ")
-    return F.when(F.length(built) > 1, built).when(F.length(raw) > 1, raw)
+    return F.coalesce(finished(remark_parts(full_text)), raw_remark(full_text))
 
 
 def region_remark(text: Column) -> Column:
     """The remark of a region's text: its labelled parts, or the text without its label's characters."""
     clean = F.regexp_replace(strip(text), FLAGS + r"\s+", " ")
-    parts = {
-        "号码": _found(clean, r"号\s*码[：:]\s*([0-9]{5,20})"),
-        "账期": _period(_found(clean, r"账\s*期[：:]\s*([\d、,，\s]+)")),
-        "人工备注": _solid(strip(_found(clean, r"人\s*工\s*备\s*注[：:]\s*([^;；\n]*)"))),
-        "收款人": _found(clean, r"收\s*款\s*人[：:]\s*([^;；\n\s复]+)"),
-        "复核人": _found(clean, r"复\s*核\s*人[：:]\s*([^;；\n\s开]+)"),
-    }
+    parts = {name: _found(clean, p) for name, p in REGION_REMARK.items()}
+    parts["账期"], parts["人工备注"] = _period(parts["账期"]), _solid(strip(parts["人工备注"]))
     built = _joined(parts)
     bare = F.regexp_replace(F.regexp_replace(clean, FLAGS + r"^[备注\s]+|[备注\s]+$", ""), FLAGS + r"\s+[备注]\s+", " ")
     return F.when(F.length(text) > 0, F.when(built != "", built).otherwise(_solid(bare)))
 
 
 def _merge_parts(text: Column) -> dict[str, Column]:
-    return {
-        "号码": _found(text, r"号\s*码[：:]\s*(\d{5,20})"),
-        "账期": _period(_found(text, r"账\s*期[：:]\s*([\d、,，\s]+)")),
-        "人工备注": strip(_found(text, r"人\s*工\s*备\s*注[：:]\s*([^;；\n]{1,200})")),
-        "收款人": _found(text, r"收\s*款\s*人[：:]\s*([^\s;；\n]{1,20})"),
-        "复核人": _found(text, r"复\s*核\s*人?[：:]\s*([^\s;；\n]{1,20})"),
-    }
+    parts = {name: _found(text, p) for name, p in MERGED_REMARK.items()}
+    return parts | {"账期": _period(parts["账期"]), "人工备注": strip(parts["人工备注"])}
 
 
 def merge_remarks(original: Column, vertical: Column) -> Column:
@@ -75,7 +85,7 @@ def merge_remarks(original: Column, vertical: Column) -> Column:
     mine, other = F.coalesce(original, F.lit("")), F.coalesce(vertical, F.lit(""))
     a, b = _merge_parts(mine), _merge_parts(other)
     kept = {}
-    for name in _ORDER:
+    for name in MERGED_REMARK:
         x, y = F.nullif(a[name], F.lit("")), F.nullif(b[name], F.lit(""))
         kept[name] = F.when(x.isNull() | (F.length(y) > F.length(x)), y).otherwise(x)
     built = _joined(kept)
@@ -88,14 +98,14 @@ def party_fields(text: Column) -> Column:
     clean = collapse_cjk(text)
     lines = "(?sm)" + FLAGS
     names = []
-    for p in (r"名\s*称[：:]\s*(.+?)(?=统一社会|纳税人|识别号|地址|电话|开户|$)", r"名称[：:]\s*(.+?)(?=\s{2,}|$)", r"^(.+?公司|.+?有限公司|.+?集团)(?=\s|统一社会|纳税人|$)", r"^(.+?)(?=统一社会|纳税人|识别号)"):
+    for p in PARTY_NAMES:
         name = F.regexp_replace(F.regexp_replace(_found(clean, p, lines), FLAGS + r"\s+", ""), "[：:，,。.]+$", "")
         names.append(F.when(F.length(name) >= 2, name))
     codes = []
-    for p in (r"统一社会信用代码[/／]?纳税人识别号[：:]\s*([A-Za-z0-9]{15,20})", r"纳税人识别号[：:]\s*([A-Za-z0-9]{15,20})", r"识别号[：:]\s*([A-Za-z0-9]{15,20})", r"(?<![A-Za-z0-9])([A-Za-z0-9]{18})(?![A-Za-z0-9])", r"(?<![A-Za-z0-9])([A-Za-z0-9]{15})(?![A-Za-z0-9])"):
+    for p in PARTY_CODES:
         code = F.upper(_found(clean, p))
         codes.append(F.when(~code.rlike(r"^1[3-9]\d{9}$"), code))
     spaced = lambda c: F.regexp_replace(strip(c), FLAGS + r"\s+", " ")
-    address = spaced(_found(clean, r"地\s*址[,，]?\s*电\s*话[：:]\s*(.+?)(?=开户|\z)", "(?s)" + FLAGS))
-    bank = spaced(_found(clean, r"开户[行银]?及?\s*账\s*号[：:]\s*(.+?)\z", "(?s)" + FLAGS))
+    address = spaced(_found(clean, PARTY_ADDRESS, "(?s)" + FLAGS))
+    bank = spaced(_found(clean, PARTY_BANK, "(?s)" + FLAGS))
     return F.struct(F.coalesce(*names).alias("name"), F.coalesce(*codes).alias("tax_no"), address.alias("address_phone"), bank.alias("bank_account"))

@@ -44,8 +44,9 @@ from .kernel import mix, shingle_sets
 
 #: Shingles that a map task gathers before it passes them on, and that a group holds in one task.
 FLUSH, GROUP = 2_000_000, 3_000_000
-#: Parts of a receiver's share of the hashes, of which it holds one at a time.
-FINE = 16
+#: Parts at most of a receiver's share of the hashes, of which it holds one at a time, and shingles a message has at least
+#: in a full flush: with many receivers, shares are small enough undivided.
+FINE, MESSAGE = 16, 4096
 _U = np.uint64
 #: Marks the number of holders in place of a holder.
 _MANY = np.uint32(1 << 31)
@@ -92,6 +93,7 @@ class Sender:
 
     def __init__(self, receivers: int, owners: bool = False):
         self.receivers, self.with_owners, self.seq = receivers, owners, 0
+        self.fine = min(max(FLUSH // (receivers * MESSAGE), 1), FINE)
         self.clear()
 
     def clear(self) -> None:
@@ -122,7 +124,7 @@ class Sender:
         holders = np.where(several, _MANY | counts.astype(np.uint32), owners[cut[:-1]])
         del hashes, owners, run
         yield from _rows([_wire(uid % self.receivers, -1, uid, meta, *beside)])
-        parts = self.receivers * FINE
+        parts = self.receivers * self.fine
         of = ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
         cut, _ = runs_of(of)
         rows = []
@@ -130,7 +132,7 @@ class Sender:
             part = int(of[a])
             # The high bits of sorted keys compress well by themselves.
             own = keys[a:b]
-            rows.append(_wire(part // FINE, part, uid, own.astype(np.uint32), (own >> _U(32)).astype(np.uint16), (own >> _U(48)).astype(np.uint16), holders[a:b]))
+            rows.append(_wire(part // self.fine, part, uid, own.astype(np.uint32), (own >> _U(32)).astype(np.uint16), (own >> _U(48)).astype(np.uint16), holders[a:b]))
             if len(rows) == 1024:
                 yield from _rows(rows)
                 rows = []
@@ -516,6 +518,7 @@ def shingle_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     ordered = stored(ordered_sets(docs, survivors, size, percent, receivers).withColumn("node", F.monotonically_increasing_id()), "shingle-order")
     held = ordered.select("node", F.explode("prefix").alias("shingle"))
     least = held.groupBy("shingle").agg(F.min("node").alias("m"), F.count("*").alias("times")).where("times > 1").drop("times")
+    least = stored(least, "shingle-least")  # a table, so that adaptive execution may split the join of a hot shingle
     groups = components(held.join(least, "shingle").select(F.col("node").alias("a"), F.col("m").alias("b")), "shingle-groups").select(F.col("id").alias("node"), F.col("component").alias("grp"))
     members = stored(ordered.join(groups, "node"), "shingle-members")
     blocks = members.groupBy("grp").agg(F.ceil(F.sum(F.length("shared")) / F.lit(8 * GROUP)).cast("int").alias("blocks"))

@@ -62,12 +62,53 @@ def vertical_regions(blocks: DataFrame, least_ratio: float = 2.0) -> DataFrame:
     return blocks.where(tall).withColumn("region_type", kind).where("region_type is not null").withColumns({c: F.col(s).cast("int") for c, s in (("x", "x_min"), ("y", "y_min"), ("w", "width"), ("h", "height"))})
 
 
-def match_templates(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """The first template, by ordinal, whose key stands in the text."""
-    hit = docs.select("doc_id", "full_text").join(templates, F.col("full_text").contains(F.col("supplier_key")))
+def match_templates(docs: DataFrame, templates: DataFrame, form: str | None = None) -> DataFrame:
+    """The first template, by ordinal, whose key stands in the text.
+
+    form: a pattern that every key matches as a whole wherever it stands in a text. With it the texts' candidates meet
+    the keys in an equi-join; without it each text is searched for each key, which suits small catalogues.
+    """
+    if form:
+        found = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("full_text", F.lit(f"({form})"), F.lit(1)))).alias("supplier_key"))
+        hit = found.join(templates, "supplier_key")
+    else:
+        hit = docs.select("doc_id", "full_text").join(templates, F.col("full_text").contains(F.col("supplier_key")))
     return hit.groupBy("doc_id").agg(F.min_by("supplier_key", "ordinal").alias("supplier_key"), F.min("ordinal").alias("ordinal"))
 
 
+def bounding_boxes(blocks: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
+    """The union of the blocks' bounds: x1, y1, x2, y2."""
+    return blocks.groupBy(*keys).agg(F.min("x_min").alias("x1"), F.min("y_min").alias("y1"), F.max("x_max").alias("x2"), F.max("y_max").alias("y2"))
+
+
+def cell_grid(cells: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
+    """n_rows, n_cols of cell boxes: their distinct tops and left edges."""
+    return cells.groupBy(*keys).agg(F.count_distinct("y_min").alias("n_rows"), F.count_distinct("x_min").alias("n_cols"))
+
+
+def primary_tables(tables: DataFrame) -> DataFrame:
+    """Each document's first table: that of its smallest page, there the first."""
+    order = F.struct("page", *(["ordinal"] if "ordinal" in tables.columns else []))
+    columns = [c for c in tables.columns if c != "doc_id"]
+    return tables.groupBy("doc_id").agg(F.min_by(F.struct(*columns), order).alias("_t")).select("doc_id", *(F.col("_t")[c].alias(c) for c in columns))
+
+
+def structure_regions(items: DataFrame) -> DataFrame:
+    """Regions of a structure model's items (doc_id, ordinal, type, box array<double>, score, html, cells
+    array<array<double>>, lines array<struct<text>>): tables have their HTML and the number of distinct tops and left
+    edges of their cells, texts their lines; a missing box is four zeros, a missing score 0."""
+    kind = structure_label(F.col("type"))
+    box = [F.coalesce(F.get("box", F.lit(k)), F.lit(0.0)).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))]
+    distinct = lambda k: F.size(F.array_distinct(F.transform("cells", lambda c: F.get(c, F.lit(k)))))
+    sized = (F.col("region_type") == "table") & (F.size("cells") > 0)
+    content = F.array_join(F.transform("lines", lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
+    typed = items.select("doc_id", "ordinal", kind.alias("region_type"), *box, F.coalesce("score", F.lit(0.0)).alias("confidence"), "html", "cells", "lines")
+    return typed.select(
+        "doc_id", "ordinal", "region_type", "x1", "y1", "x2", "y2", "confidence", F.when(F.col("region_type") == "table", F.col("html")).alias("table_html"),
+        F.when(sized, distinct(1)).alias("n_rows"), F.when(sized, distinct(0)).alias("n_cols"), F.when((F.col("region_type") == "text") & F.col("lines").isNotNull(), content).otherwise("").alias("content"),
+    )
+
+
 def merge_fields(original: DataFrame, vertical: DataFrame) -> DataFrame:
     """doc_id, field_key, value, source, confidence of both: vertical values where the original is missing, empty or under 0.7; remarks are merged."""
     o = original.select("doc_id", "field_key", F.col("value").alias("ov"), F.col("confidence").alias("oc"), F.col("source").alias("os"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import BUILTIN_RULES, FIELD_PATTERNS
@@ -10,7 +14,7 @@ from ..functions.remark import text_remark
 from ..functions.text import FLAGS, doc_type, first_match, first_of, java_replacement
 
 RULE_SCHEMA = "id string, rule_type string, pattern string, replacement string, doc_type string, field_name string, priority int, is_enabled boolean, ordinal int"
-#: Rules that may be applied at most in one fold; beyond it, write a table and join.
+#: Rules that become one expression at most; more are joined to the values as a table.
 MOST_RULES = 1000
 
 
@@ -26,11 +30,33 @@ def union_rules(*sources: DataFrame) -> DataFrame:
     return out
 
 
+def remove(rules: DataFrame, rule_id: str) -> DataFrame:
+    """All rules but those of the id."""
+    return rules.where(~F.col("id").eqNullSafe(F.lit(rule_id)))
+
+
 def applicable(values: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules of each value in their order: enabled, of its type or ALL, of its field or of every field."""
-    v, r = values.alias("v"), rules.where("is_enabled").alias("r")
-    scope = ((F.col("r.doc_type") == F.col("v.doc_type")) | (F.col("r.doc_type") == "ALL")) & (F.col("r.field_name").isNull() | (F.col("r.field_name") == F.col("v.field_name")))
-    return v.join(r, scope).select("v.*", F.col("r.id").alias("rule_id"), F.col("r.rule_type"), F.col("r.priority"), F.col("r.ordinal"))
+    """Rules of each value: enabled, of its type or ALL, of its field or of every field; turn is their order, from 0.
+
+    A value looks for its own type and for ALL, so this is an equi-join whatever the number of rules.
+    """
+    r = rules.where("is_enabled").select(F.col("id").alias("rule_id"), "rule_type", "priority", "ordinal", F.col("doc_type").alias("_type"), F.col("field_name").alias("_field"))
+    sought = values.withColumn("_type", F.explode(F.array_distinct(F.array("doc_type", F.lit("ALL")))))
+    met = sought.join(r, "_type").where(F.col("_field").isNull() | (F.col("_field") == F.col("field_name"))).drop("_type", "_field")
+    own = [c for c in values.columns]
+    turn = F.row_number().over(Window.partitionBy(*own).orderBy("priority", "ordinal")) - 1
+    return met.select(*own, "rule_id", "rule_type", "priority", "ordinal", turn.alias("turn"))
+
+
+def works(spark: SparkSession, rule: dict) -> bool:
+    """Whether a rule's pattern compiles and its replacement names only groups that the pattern has."""
+    if rule["rule_type"] not in ("regex", "normalize"):
+        return True
+    try:
+        pattern = spark.sparkContext._jvm.java.util.regex.Pattern.compile(FLAGS + rule["pattern"])
+    except (Py4JError, PySparkException):
+        return False
+    return max((int(g) for g in re.findall(r"\\(\d)", rule["replacement"] or "")), default=0) <= pattern.matcher("").groupCount()
 
 
 def apply_rule(value: Column, rule_type: str, pattern: str, replacement: str | None) -> Column:
@@ -59,14 +85,16 @@ def _step(rule: dict, fits: Column):
 def apply_rules(values: DataFrame, rules: list, types: Column | None = None) -> DataFrame:
     """values with `value` corrected and `applied` array<struct<rule_id, before, after>>, an entry for each change.
 
-    The rules are a small catalogue (MOST_RULES at most) and become one expression: no join, no shuffle.
+    A rule that doesn't work changes nothing. Up to MOST_RULES rules become one expression: no join, no shuffle. More
+    are a table that meets the values by document type.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; {MOST_RULES} at most become one expression")
     kind = F.col("doc_type") if types is None else types
-    log = "array<struct<rule_id:string,before:string,after:string>>"
-    state = F.struct(F.col("value").alias("v"), F.array().cast(log).alias("log"))
-    for r in sorted((r for r in rules if r["is_enabled"]), key=lambda r: (r["priority"], r["ordinal"])):
+    sound = [r for r in rules if r["is_enabled"] and works(values.sparkSession, r)]
+    sound = sorted(sound, key=lambda r: (r["priority"], r["ordinal"]))
+    if len(sound) > MOST_RULES:
+        return _apply_table(values, sound, kind)
+    state = F.struct(F.col("value").alias("v"), F.array().cast(_LOG).alias("log"))
+    for r in sound:
         fits = F.lit(True)
         if r["doc_type"] != "ALL":
             fits = fits & (kind == r["doc_type"])
@@ -76,6 +104,44 @@ def apply_rules(values: DataFrame, rules: list, types: Column | None = None) ->
     return values.withColumn("_rules", state).withColumn("value", F.col("_rules.v")).withColumn("applied", F.col("_rules.log")).drop("_rules")
 
 
+_LOG = "array<struct<rule_id:string,before:string,after:string>>"
+_TABLE = "turn int, id string, literal boolean, pattern string, replacement string, doc_type string, field_name string"
+
+
+def _apply_table(values: DataFrame, rules: list, kind: Column) -> DataFrame:
+    """apply_rules with the rules as a table: those of a document type and field, in order, are one array that is joined
+    and folded over the value."""
+    spark = values.sparkSession
+    rows = []
+    for turn, r in enumerate(rules):
+        if r["rule_type"] in ("regex", "normalize"):
+            rows.append((turn, r["id"], False, FLAGS + r["pattern"], java_replacement(r["replacement"]), r["doc_type"], r["field_name"]))
+        elif r["rule_type"] == "fuzzy":
+            rows.append((turn, r["id"], False, "(?iu)\\Q" + r["pattern"] + "\\E", java_replacement((r["replacement"] or "").replace("\\", "\\\\")), r["doc_type"], r["field_name"]))
+        elif r["rule_type"] == "dict":
+            rows.append((turn, r["id"], True, r["pattern"], r["replacement"] or "", r["doc_type"], r["field_name"]))
+    table = spark.createDataFrame(rows, _TABLE)
+    scopes = values.select(kind.alias("_type"), "field_name").distinct().select("_type", F.col("field_name").alias("_name"))
+    fits = table.where(F.col("doc_type").isNotNull()).withColumnRenamed("doc_type", "_rule_type")
+    met = scopes.withColumn("_rule_type", F.explode(F.array_distinct(F.array("_type", F.lit("ALL"))))).join(fits, "_rule_type").where(F.col("field_name").isNull() | (F.col("field_name") == F.col("_name")))
+    lists = met.groupBy("_type", "_name").agg(F.array_sort(F.collect_list(F.struct("turn", "id", "literal", "pattern", "replacement"))).alias("_turns"))
+
+    def turn(s: Column, r: Column) -> Column:
+        new = F.when(r["literal"], F.replace(s["v"], r["pattern"], r["replacement"])).otherwise(F.regexp_replace(s["v"], r["pattern"], r["replacement"]))
+
+        def logged(x: Column) -> Column:
+            entry = F.struct(r["id"].alias("rule_id"), s["v"].alias("before"), x.alias("after"))
+            return F.struct(x.alias("v"), F.when(x != s["v"], F.concat(s["log"], F.array(entry))).otherwise(s["log"]).alias("log"))
+
+        return F.get(F.transform(F.array(new), logged), F.lit(0))
+
+    joined = values.withColumn("_t", kind).join(lists, F.col("_t").eqNullSafe(F.col("_type")) & F.col("field_name").eqNullSafe(F.col("_name")), "left")
+    state = F.struct(F.col("value").alias("v"), F.array().cast(_LOG).alias("log"))
+    done = F.when(F.col("_turns").isNull() | F.col("value").isNull(), state).otherwise(F.aggregate("_turns", state, turn))
+    out = joined.withColumn("_done", done).withColumns({"value": F.col("_done.v"), "applied": F.col("_done.log")})
+    return out.drop("_t", "_type", "_name", "_turns", "_done")
+
+
 def extract_fields(docs: DataFrame, patterns: dict | None = None, remark: bool = True) -> DataFrame:
     """doc_id, doc_type, field_name, value of each field found; a document without fields has no row.
 
@@ -96,10 +162,10 @@ def extract_fields(docs: DataFrame, patterns: dict | None = None, remark: bool =
     return typed.select("doc_id", "doc_type", F.inline(fields)).where("value <> ''")
 
 
-def value_confidence(fields: DataFrame, blocks: DataFrame) -> DataFrame:
+def value_confidence(fields: DataFrame, blocks: DataFrame, overall: bool = False) -> DataFrame:
     """fields with `confidence`: of the first block that holds the value, else of the first that shares a word, else 0.7.
 
-    A document without blocks has 0.
+    A document without blocks has 0. overall: also overall_confidence, the mean of all blocks of the document.
     """
     low = F.lower(F.col("value"))
     words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
@@ -108,9 +174,9 @@ def value_confidence(fields: DataFrame, blocks: DataFrame) -> DataFrame:
     inside = F.when(F.lower("_text").contains(low), F.struct(place.alias("o"), F.col("_c").alias("c")))
     shares = F.when(F.arrays_overlap(words(low), words(F.lower("_text"))), F.struct(place.alias("o"), F.col("_c").alias("c")))
     keys = fields.columns
-    out = joined.groupBy(*keys).agg(F.min(inside).alias("_inside"), F.min(shares).alias("_shares"), F.count("_text").alias("_n"))
+    out = joined.groupBy(*keys).agg(F.min(inside).alias("_inside"), F.min(shares).alias("_shares"), F.count("_text").alias("_n"), F.avg("_c").alias("overall_confidence"))
     value = F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.coalesce("_inside.c", "_shares.c", F.lit(0.7)))
-    return out.select(*keys, value.alias("confidence"))
+    return out.select(*keys, value.alias("confidence"), *(["overall_confidence"] if overall else []))
 
 
 def review(fields: DataFrame, overall: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -120,13 +186,15 @@ def review(fields: DataFrame, overall: DataFrame, threshold: float = 0.8) -> Dat
     return out.select("doc_id", F.coalesce("low_fields", F.array().cast("array<string>")).alias("low_fields"), ((F.col("overall_confidence") < threshold) | F.col("low_fields").isNotNull()).alias("needs_review"))
 
 
-def post_process(docs: DataFrame, blocks: DataFrame, rules: list, threshold: float = 0.8) -> DataFrame:
+def post_process(docs: DataFrame, blocks: DataFrame, rules: list, threshold: float = 0.8, remark: bool = True) -> DataFrame:
     """doc_id, doc_type, field_name, value, confidence, n_changes, needs_review: fields extracted, corrected and reviewed.
 
-    Confidences belong to the values before correction. One shuffle by doc_id carries blocks and fields together.
+    Confidences belong to the values before correction. Fields meet their document's blocks once, by doc_id; the means of
+    all its blocks and the low fields of the document are taken from the same rows. A document without blocks needs
+    review.
     """
-    fields = value_confidence(extract_fields(docs), blocks)
-    overall = blocks.groupBy("doc_id").agg(F.avg("confidence").alias("overall_confidence"))
-    fixed = apply_rules(fields, rules)
-    flags = review(fields, overall, threshold).select("doc_id", "needs_review")
-    return fixed.join(flags, "doc_id", "left").select("doc_id", "doc_type", "field_name", "value", "confidence", F.size("applied").alias("n_changes"), F.coalesce("needs_review", F.lit(True)).alias("needs_review"))
+    fields = value_confidence(extract_fields(docs, remark=remark), blocks, overall=True)
+    doc = Window.partitionBy("doc_id")
+    low = F.max((F.col("confidence") < threshold) | (F.coalesce("overall_confidence", F.lit(0.0)) < threshold)).over(doc)
+    fixed = apply_rules(fields.withColumn("needs_review", low), rules)
+    return fixed.select("doc_id", "doc_type", "field_name", "value", "confidence", F.size("applied").alias("n_changes"), "needs_review")

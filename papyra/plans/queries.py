@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import catalog
 from ..functions import remark as R
 from ..functions import text as X
-from ..operators import evidence, geometry, ingest, layout, rules, table, tasks
+from ..operators import evidence, geometry, ingest, layout, remarks, rules, table, tasks
 from .fixtures import duck, frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,14 +126,33 @@ for _kind in catalog.FIELD_PATTERNS:
     _extraction(f"extract_{_kind.lower()}", _kind)
 
 
-_REMARK_SQL = r"""with p as (select doc_id, regexp_extract(full_text, '号\s*码[：:]\s*(\d{5,20})', 1) as phone, regexp_extract(full_text, '账\s*期[：:]\s*([\d]{4,8}(?:[、,，\s]+[\d]{4,8})*)', 1) as period from {fx_docs} where contains(full_text, '备注：'))
- select doc_id, concat('号码：', phone, '; 账期：', regexp_replace(period, '[,，\s]+', '、', 'g')) as remark  from p"""
+_PERIOD = r"regexp_extract(full_text, '账\s*期[：:]\s*([\d]{4,8}(?:[、,，\s]+[\d]{4,8})*)', 1)"
+_REMARK_PARTS = r"concat('号码：', regexp_extract(full_text, '号\s*码[：:]\s*(\d{5,20})', 1), case when PERIOD <> '' then concat('; 账期：', regexp_replace(PERIOD, '[,，\s]+', '、', 'g')) else '' end)".replace("PERIOD", _PERIOD)
+_REMARK_SQL = f"select doc_id, {_REMARK_PARTS} as remark, cast(0.7 as double) as confidence from {{fx_docs}} where contains(full_text, '备注：')"
 
 
 @query(_REMARK_SQL)
 def extract_remark(spark, sf):
+    """Remarks by the parts that the text names; the blocks come to nothing here, remark_positional shows them."""
     docs = frame(spark, sf, "fx_docs").where(F.col("full_text").contains("备注："))
-    return docs.select("doc_id", R.text_remark(F.col("full_text")).alias("remark")).where("remark is not null")
+    lines = doc_blocks(spark, sf).select("doc_id", F.col("line_index").alias("ordinal"), "text", "confidence", (F.col("line_index") * 40.0).alias("y_min"))
+    return remarks.extract_remark(docs, lines)
+
+
+#: Page 1 as a document. With an even number, the row 小计 is a lone label, and the row 40 below it the remark.
+@query("select doc_id, case when doc_id % 2 = 0 then '价税合计（小写） 200' else '开票人 张三' end as part, confidence from {fx_blocks} where page = 1 and text = case when doc_id % 2 = 0 then '价税合计（小写） 200' else '备注 开票人 张三' end")
+def remark_positional(spark, sf):
+    shown = F.when((F.col("doc_id") % 2 == 0) & (F.col("text") == "小计 100"), "备 注：").otherwise(F.col("text"))
+    page = geometry.with_geometry(blocks(spark, sf)).where("page = 1").withColumn("text", shown)
+    return remarks.positional_remark(page)
+
+
+@query("select n_nationkey, case when n_nationkey % 2 = 0 then concat('号码：', n_nationkey + 10000) else concat('号码：', n_nationkey + 10000, '; 账期：202504') end as remark from nation")
+def remark_distinct_parts(spark, sf):
+    """Parts that differ in signs and spaces alone count once, the first of them."""
+    phone = F.concat(F.lit("号码："), (F.col("n_nationkey") + 10000).cast("string"))
+    again = F.regexp_replace(phone, "：", ": ")
+    return frame(spark, sf, "nation").select("n_nationkey", R.finished(F.when(F.col("n_nationkey") % 2 == 0, F.array(phone, again)).otherwise(F.array(phone, again, F.lit("账期：202504"), phone))).alias("remark"))
 
 
 def _rules_sql(value: str, steps: list[str]) -> str:
@@ -181,9 +200,9 @@ def rule_hits(spark, sf):
 _RULES_TABLE = "(values " + ", ".join(f"('{r[0]}', '{r[4]}', " + (f"'{r[5]}'" if r[5] else "null") + f", {r[6]}, {k})" for k, r in enumerate(catalog.BUILTIN_RULES)) + ") as r(id, doc_type, field_name, priority, ordinal)"
 
 
-@query(f"select v.doc_id, r.id as rule_id, r.priority from {{fx_amounts}} v join {_RULES_TABLE} on (r.doc_type = v.doc_type or r.doc_type = 'ALL') and (r.field_name is null or r.field_name = v.field_name)")
+@query(f"select v.doc_id, r.id as rule_id, r.priority, cast(row_number() over (partition by v.doc_id order by r.priority, r.ordinal) - 1 as int) as turn from {{fx_amounts}} v join {_RULES_TABLE} on (r.doc_type = v.doc_type or r.doc_type = 'ALL') and (r.field_name is null or r.field_name = v.field_name)")
 def rule_applicable(spark, sf):
-    return rules.applicable(frame(spark, sf, "fx_amounts"), rules.builtin_rules(spark)).select("doc_id", "rule_id", "priority")
+    return rules.applicable(frame(spark, sf, "fx_amounts"), rules.builtin_rules(spark)).select("doc_id", "rule_id", "priority", "turn")
 
 
 @query(f"select id, count(*) as n from (select id from {_RULES_TABLE} union all select id from {_RULES_TABLE}) group by id")
@@ -194,7 +213,7 @@ def rules_union(spark, sf):
 
 @query(f"select id from {_RULES_TABLE} where id <> 'builtin_trim'")
 def rules_remove(spark, sf):
-    return rules.builtin_rules(spark).where("id <> 'builtin_trim'").select("id")
+    return rules.remove(rules.builtin_rules(spark), "builtin_trim").select("id")
 
 
 @query(f"select id, priority, ordinal from {_RULES_TABLE}")
@@ -231,21 +250,19 @@ def needs_review(spark, sf):
 
 @query(f"with b as {_LINES} select doc_id, round(avg(confidence), 6) as confidence from b group by doc_id")
 def doc_confidence(spark, sf):
-    return doc_blocks(spark, sf).groupBy("doc_id").agg(F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("confidence"))
+    return ingest.mean_confidence(doc_blocks(spark, sf)).select("doc_id", F.round("confidence", 6).alias("confidence"))
 
 
 _FIX = r"""case when field_name = 'amount' then regexp_replace(value, '[\s,]+(\d\d\d)', ',\1', 'g') when field_name = 'invoice_date' then regexp_replace(value, '(\d\d\d\d)[年/](\d\d?)[月/](\d\d?)日?', '\1-\2-\3', 'g') else value end"""
 
 
-@query(f"with {_CONFIDENT}, o as (select doc_id, avg(confidence) as m from b group by doc_id), l as (select distinct doc_id from c where confidence < cast(0.8 as double)) select c.doc_id, c.doc_type, c.field_name, {_FIX} as value, c.confidence, case when {_FIX} <> value then 1 else 0 end as n_changes, (o.m < cast(0.8 as double) or l.doc_id is not null) as needs_review from c join o on c.doc_id = o.doc_id left join l on c.doc_id = l.doc_id")
+_WITH_REMARKS = _CONFIDENT.replace(f"({_ALL_FIELDS})", f"({_ALL_FIELDS} union all select d.doc_id, d.doc_type, 'remark', {_REMARK_PARTS} from d where doc_type = 'INVOICE')")
+
+
+@query(f"with {_WITH_REMARKS}, o as (select doc_id, avg(confidence) as m from b group by doc_id), l as (select distinct doc_id from c where confidence < cast(0.8 as double)) select c.doc_id, c.doc_type, c.field_name, {_FIX} as value, c.confidence, case when {_FIX} <> value then 1 else 0 end as n_changes, (o.m < cast(0.8 as double) or l.doc_id is not null) as needs_review from c join o on c.doc_id = o.doc_id left join l on c.doc_id = l.doc_id")
 def post_process(spark, sf):
-    """The flagship, with the fields that have SQL patterns (remarks have their own query)."""
-    b = doc_blocks(spark, sf)
-    docs = frame(spark, sf, "fx_docs").select("doc_id", "full_text")
-    fields = rules.value_confidence(rules.extract_fields(docs, remark=False), b)
-    fixed = rules.apply_rules(fields, built_in())
-    flags = rules.review(fields, b.groupBy("doc_id").agg(F.avg("confidence").alias("overall_confidence"))).select("doc_id", "needs_review")
-    return fixed.join(flags, "doc_id").select("doc_id", "doc_type", "field_name", "value", "confidence", F.size("applied").alias("n_changes"), "needs_review")
+    """The flagship, remarks included."""
+    return rules.post_process(frame(spark, sf, "fx_docs").select("doc_id", "full_text"), doc_blocks(spark, sf), built_in())
 
 
 # ---------------------------------------------------------------- geometry, rows, tables
@@ -412,8 +429,7 @@ def document_structure(spark, sf):
 
 @query("select doc_id, page, min(x_min) as x1, min(y_min) as y1, max(x_max) as x2, max(y_max) as y2 from {fx_blocks} group by doc_id, page")
 def region_bbox(spark, sf):
-    g = geometry.with_geometry(blocks(spark, sf))
-    return g.groupBy("doc_id", "page").agg(F.min("x_min").alias("x1"), F.min("y_min").alias("y1"), F.max("x_max").alias("x2"), F.max("y_max").alias("y2"))
+    return layout.bounding_boxes(geometry.with_geometry(blocks(spark, sf)))
 
 
 _REGIONS = f"""j as (select b.*, s.width as w, s.height as h, b.y_center / s.height as q from {{fx_blocks}} b join {{fx_page_sizes}} s on b.doc_id = s.doc_id and b.page = s.page),
@@ -450,12 +466,12 @@ def blocks_in_table(spark, sf):
 @query("select doc_id, n from (select doc_id, row_number() over (partition by doc_id order by page) as p, n from (select doc_id, page, count(*) as n from {fx_blocks} group by doc_id, page)) where p = 1")
 def primary_table(spark, sf):
     n = blocks(spark, sf).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
-    return n.groupBy("doc_id").agg(F.min_by("n", "page").alias("n"))
+    return layout.primary_tables(n).select("doc_id", "n")
 
 
 @query("select doc_id, page, count(distinct y_min) as n_rows, count(distinct x_min) as n_cols from {fx_blocks} group by doc_id, page")
 def cells_rowcol(spark, sf):
-    return geometry.with_geometry(blocks(spark, sf)).groupBy("doc_id", "page").agg(F.count_distinct("y_min").alias("n_rows"), F.count_distinct("x_min").alias("n_cols"))
+    return layout.cell_grid(geometry.with_geometry(blocks(spark, sf)))
 
 
 @query("select doc_id, page, ordinal from (select doc_id, page, ordinal, row_number() over (partition by doc_id, page order by y_min, ordinal) as k, count(*) over (partition by doc_id, page) as n from {fx_blocks}) where k > floor(n / 2)")
@@ -517,10 +533,11 @@ def label_map(spark, sf):
     return frame(spark, sf, "fx_tasks").select("message_id", layout.structure_label(label).alias("region_type"))
 
 
-@query("with t as (select c_custkey as o, replace(c_name, '#', '') as k from customer order by c_custkey limit 20), h as (select d.doc_id, t.o, t.k, row_number() over (partition by d.doc_id order by t.o) as p from {fx_docs} d join t on contains(d.full_text, t.k)) select doc_id, k as supplier_key, o as ordinal from h where p = 1")
+@query("with t as (select c_custkey as o, replace(c_name, '#', '') as k from customer), f as (select distinct doc_id, unnest(regexp_extract_all(full_text, 'Customer[0-9]+')) as k from {fx_docs}), h as (select f.doc_id, t.o, t.k, row_number() over (partition by f.doc_id order by t.o) as p from f join t on f.k = t.k) select doc_id, k as supplier_key, o as ordinal from h where p = 1")
 def template_match(spark, sf):
-    t = frame(spark, sf, "customer").orderBy("c_custkey").limit(20).select(F.col("c_custkey").alias("ordinal"), F.replace("c_name", F.lit("#"), F.lit("")).alias("supplier_key"))
-    return layout.match_templates(frame(spark, sf, "fx_docs"), t)
+    """All customers are templates; their names have a form, so candidates meet them in an equi-join."""
+    t = frame(spark, sf, "customer").select(F.col("c_custkey").alias("ordinal"), F.replace("c_name", F.lit("#"), F.lit("")).alias("supplier_key"))
+    return layout.match_templates(frame(spark, sf, "fx_docs"), t, "Customer[0-9]+")
 
 
 _O = "select doc_id, 'amount' as field_key, value, case when doc_id % 2 = 0 then cast(0.9 as double) else cast(0.5 as double) end as confidence, 'OCR' as source from {fx_amounts} where doc_id % 3 > 0"
@@ -546,10 +563,10 @@ def region_remark(spark, sf):
     return frame(spark, sf, "nation").select("n_nationkey", R.region_remark(t).alias("remark"))
 
 
-@query("select n_nationkey, concat(n_name, '公司') as name, concat('91', lpad(cast(n_nationkey as varchar), 16, '0')) as tax_no from nation")
+@query("select n_nationkey, concat(n_name, '公司') as name, concat('91', lpad(cast(n_nationkey as varchar), 16, '0')) as tax_no, concat('Road ', n_nationkey, ' 010-12345') as address_phone, concat('BANK ', n_nationkey + 600) as bank_account from nation")
 def party_fields(spark, sf):
-    t = F.concat(F.lit("名称："), "n_name", F.lit("公司 纳税人识别号：91"), F.lpad(F.col("n_nationkey").cast("string"), 16, "0"))
-    return frame(spark, sf, "nation").select("n_nationkey", R.party_fields(t).alias("p")).select("n_nationkey", "p.name", "p.tax_no")
+    t = F.concat(F.lit("名称："), "n_name", F.lit("公司 纳税人识别号：91"), F.lpad(F.col("n_nationkey").cast("string"), 16, "0"), F.lit(" 地址、电话：Road ".replace("、", ",")), "n_nationkey", F.lit("  010-12345 开户行及账号：BANK "), F.col("n_nationkey") + 600)
+    return frame(spark, sf, "nation").select("n_nationkey", R.party_fields(t).alias("p")).select("n_nationkey", "p.*")
 
 
 # ---------------------------------------------------------------- evidence
@@ -662,8 +679,16 @@ def content_hash(spark, sf):
 
 @query("with h as (select doc_id, md5(text) as k from documents), f as (select k, min(doc_id) as first_id from h group by k) select h.doc_id, h.doc_id <> f.first_id as cached from h join f on h.k = f.k")
 def cache_probe(spark, sf):
-    h = frame(spark, sf, "documents").select("doc_id", ingest.content_hash(F.encode("text", "UTF-8")).alias("k"))
-    return h.join(h.groupBy("k").agg(F.min("doc_id").alias("first_id")), "k").select("doc_id", (F.col("doc_id") != F.col("first_id")).alias("cached"))
+    """A document is in the cache if an earlier one has its content."""
+    h = frame(spark, sf, "documents").select("doc_id", ingest.content_hash(F.encode("text", "UTF-8")).alias("content_key"))
+    cache = h.select("content_key", F.col("doc_id").alias("cached_at"), F.col("doc_id").alias("result"))
+    return ingest.cache_lookup(h, cache).select("doc_id", (F.col("doc_id") != F.col("result")).alias("cached"))
+
+
+@query("select doc_id, md5(text) as content_key from documents")
+def content_hash_exact(spark, sf):
+    """The whole content, whatever its size: files that share a head and a size stay apart."""
+    return frame(spark, sf, "documents").select("doc_id", ingest.content_hash(F.encode("text", "UTF-8"), exact=True).alias("content_key"))
 
 
 # ---------------------------------------------------------------- tasks
@@ -752,9 +777,8 @@ def task_pending(spark, sf):
 @query("select message_id from {fx_tasks} where event_type = 'view' and (epoch_us(ts) // 1000) <= (select max((epoch_us(ts) // 1000)) - 60000 from {fx_tasks})")
 def stale_claim(spark, sf):
     t = frame(spark, sf, "fx_tasks").withColumn("delivered_at", F.unix_millis(F.col("ts").cast("timestamp")))
-    now = t.agg(F.max("delivered_at").alias("now"))
-    rows = tasks.stale(t.crossJoin(F.broadcast(now)).select("message_id", "delivered_at"), t.where("event_type <> 'view'"), F.lit(t.agg(F.max("delivered_at")).first()[0]))
-    return rows.select("message_id")
+    now = t.agg(F.max("delivered_at")).scalar()
+    return tasks.stale(t.select("message_id", "delivered_at"), t.where("event_type <> 'view'"), now).select("message_id")
 
 
 @query("select message_id from {fx_tasks} order by message_id desc limit 1000")
@@ -762,22 +786,68 @@ def stream_trim(spark, sf):
     return tasks.trim(frame(spark, sf, "fx_tasks"), 1000).select("message_id")
 
 
-@query("select message_id, concat('/data/', user_id, '/', event_type, '.pdf') as file_path, concat(event_type, '.pdf') as file_name from {fx_tasks}")
+@query("with l as (select max(message_id) - 5 as last from {fx_tasks}) select count(*) as length, min(message_id) as first_id, max(message_id) as last_id from (select message_id from {fx_tasks} order by message_id desc limit 300)")
+def stream_append(spark, sf):
+    """Five messages are appended to all others, of which the last 300 stay."""
+    t = frame(spark, sf, "fx_tasks").select("message_id")
+    last = t.agg(F.max("message_id")).scalar()
+    kept = tasks.append(t.where(F.col("message_id") <= last - 5), t.where(F.col("message_id") > last - 5), 300)
+    return kept.agg(F.count("*").alias("length"), F.min("message_id").alias("first_id"), F.max("message_id").alias("last_id"))
+
+
+@query("select message_id from {fx_tasks} where event_type <> 'view' order by message_id limit 25")
+def task_next(spark, sf):
+    """One read of 25 messages: the number is the operator's own."""
+    t = frame(spark, sf, "fx_tasks").select("message_id", "event_type")
+    return tasks.next_messages(t, t.where("event_type = 'view'"), 25).select("message_id")
+
+
+@query("select message_id, concat('t-', user_id) as task_id, concat('/data/', user_id, '/', event_type, '.pdf') as file_path, case when message_id % 3 = 0 then 'given.pdf' else concat(event_type, '.pdf') end as file_name, 'AUTO' as doc_type, 'auto' as prefer_mode, '0' as retry, '7000' as created_at, 'http://back' as callback, case when message_id % 2 = 0 then 'x' end as tenant, cast(case when message_id % 2 = 0 then 9 else 8 end as int) as n_keys from {fx_tasks}")
 def task_submit(spark, sf):
     t = frame(spark, sf, "fx_tasks")
     path = F.concat(F.lit("/data/"), F.col("user_id").cast("string"), F.lit("/"), "event_type", F.lit(".pdf"))
-    return t.select("message_id", path.alias("file_path"), F.element_at(F.split(path, "/"), -1).alias("file_name"))
+    files = t.select("message_id", F.col("tid").alias("task_id"), path.alias("file_path"), F.when(F.col("message_id") % 3 == 0, "given.pdf").otherwise("").alias("file_name"))
+    extra = F.when(F.col("message_id") % 2 == 0, F.create_map(F.lit("tenant"), F.lit("x"))).otherwise(F.create_map().cast("map<string,string>"))
+    m = tasks.submit(files, F.lit(7000), "http://back", extra)
+    keys = {"task_id": "taskId", "file_path": "filePath", "file_name": "fileName", "doc_type": "docType", "prefer_mode": "preferMode", "retry": "retry", "created_at": "createdAt", "callback": "callbackUrl", "tenant": "tenant"}
+    return m.select("message_id", *(F.try_element_at("data", F.lit(k)).alias(c) for c, k in keys.items()), F.size("data").alias("n_keys"))
 
 
-@query("select message_id, concat('{{\"user\":', user_id, ',\"kind\":\"', event_type, '\"}}') as payload from {fx_tasks}".replace("{{", "' || chr(123) || '").replace("}}", "' || chr(125) || '"))
+_OBJECT = "concat(chr(123), '\"user\":', user_id, ',\"kind\":\"', event_type, '\"', chr(125))"
+
+
+@query(f"select message_id, concat('t-', user_id) as task_id, 'ROI' as task_type, {_OBJECT} as payload, cast(user_id as varchar) as plain, cast(6 as int) as n_keys from {{fx_tasks}}")
 def task_submit_generic(spark, sf):
-    return frame(spark, sf, "fx_tasks").select("message_id", F.to_json(F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("kind"))).alias("payload"))
+    t = frame(spark, sf, "fx_tasks").select("message_id", F.col("tid").alias("task_id"), F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("kind")).alias("who"), F.col("user_id").alias("plain"))
+    m = tasks.submit_generic(t, "ROI", ["who", "plain"], F.lit(7000))
+    return m.select("message_id", "task_id", F.col("data")["taskType"].alias("task_type"), F.col("data")["who"].alias("payload"), F.col("data")["plain"].alias("plain"), F.size("data").alias("n_keys"))
+
+
+@query("select message_id, kind <> 'EVIDENCE_ENRICH' and task_id <> '' as full_page, doc_type in ('INVOICE', 'AUTO') as table_mode from (select *, case event_type when 'view' then 'INVOICE' when 'click' then 'CONTRACT' else 'AUTO' end as doc_type from {fx_tasks})")
+def task_table_mode(spark, sf):
+    """Which document types go to the table recogniser; tasks without a type are AUTO."""
+    m = messages(spark, sf)
+    kind = F.when(F.col("event_type") == "view", "INVOICE").when(F.col("event_type") == "click", "CONTRACT")
+    typed = m.withColumn("data", F.when(kind.isNotNull(), F.map_concat("data", F.create_map(F.lit("docType"), kind))).otherwise(F.col("data")))
+    t = tasks.table_mode(tasks.route(tasks.parse(typed)))
+    return t.select("message_id", (F.col("route") == "full_page").alias("full_page"), "table_mode")
 
 
-@query("select event_id, cast(regexp_extract(props, '([0-9]+)', 1) as varchar) as k from events")
+@query("select event_id, cast(regexp_extract(props, '([0-9]+)', 1) as varchar) as k, cast(null as varchar) as missing from events")
 def json_fields(spark, sf):
-    e = frame(spark, sf, "events")
-    return e.select("event_id", F.from_json("props", "map<string,string>")["k"].alias("k"))
+    return frame(spark, sf, "events").select("event_id", tasks.json_fields(F.col("props"), ["k", "missing"]).alias("f")).select("event_id", "f.*")
+
+
+@query("select count_if(failed) as cleared, cast(0 as bigint) as \"left\" from {fx_tasks}")
+def dlq_clear(spark, sf):
+    return tasks.clear_dead(_failures(spark, sf))
+
+
+@query("select message_id, tid as task_id, 'PROGRESS' as status, cast(least(greatest(retry * 40 - 20, 0), 100) as varchar) as progress, case when failed then '' else event_type end as message, cast((epoch_us(ts) // 1000) as varchar) as \"timestamp\" from {fx_tasks}".replace("select message_id, tid", "select tid"))
+def progress_event(spark, sf):
+    t = frame(spark, sf, "fx_tasks")
+    note = F.when(~F.col("failed"), F.col("event_type"))
+    return ingest.progress_event(t.select(F.col("tid").alias("task_id"), (F.col("retry") * 40 - 20).alias("progress"), note.alias("note"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_millis")))
 
 
 _STATUS = "case when failed then 'FAILED' when retry > 2 then 'NEED_REVIEW' else 'SUCCESS' end"
@@ -799,24 +869,27 @@ def result_envelope(spark, sf):
 
 @query("select count(*) as total, count_if(not failed) as succeeded, count_if(failed) as failed, bool_and(not failed) as success from {fx_tasks}")
 def batch_summary(spark, sf):
-    t = frame(spark, sf, "fx_tasks")
-    return t.agg(F.count("*").alias("total"), F.count_if(~F.col("failed")).alias("succeeded"), F.count_if("failed").alias("n_failed"), F.bool_and(~F.col("failed")).alias("success")).withColumnRenamed("n_failed", "failed")
+    return tasks.batch_summary(frame(spark, sf, "fx_tasks"))
 
 
 @query("select count(*) as requests, count_if(event_type = 'click') as cache_hits, count_if(event_type <> 'click') as cache_misses, round(avg(value), 4) as mean_duration from {fx_tasks}")
 def request_metrics(spark, sf):
-    hit = F.col("event_type") == "click"
-    return frame(spark, sf, "fx_tasks").agg(F.count("*").alias("requests"), F.count_if(hit).alias("cache_hits"), F.count_if(~hit).alias("cache_misses"), F.round(F.coalesce(F.avg("value"), F.lit(0.0)), 4).alias("mean_duration"))
+    r = frame(spark, sf, "fx_tasks").select((F.col("event_type") == "click").alias("cached"), F.col("value").alias("duration"))
+    return tasks.request_metrics(r).withColumn("mean_duration", F.round("mean_duration", 4))
+
+
+def _stream(spark, sf) -> DataFrame:
+    return frame(spark, sf, "fx_tasks").select("message_id", F.col("user_id").alias("consumer"), (F.col("event_type") != "view").alias("acknowledged"), F.col("failed").alias("dead"))
 
 
 @query("select count(*) as length, min(message_id) as first_id, max(message_id) as last_id, count_if(event_type = 'view') as pending, count_if(failed) as dead, count(distinct user_id) as consumers from {fx_tasks}")
 def stream_stats(spark, sf):
-    return frame(spark, sf, "fx_tasks").agg(F.count("*").alias("length"), F.min("message_id").alias("first_id"), F.max("message_id").alias("last_id"), F.count_if(F.col("event_type") == "view").alias("pending"), F.count_if("failed").alias("dead"), F.count_distinct("user_id").alias("consumers"))
+    return tasks.stream_stats(_stream(spark, sf))
 
 
-@query("select user_id, count(*) as handled, count_if(event_type = 'view') as pending, max(message_id) as last_id from {fx_tasks} group by user_id")
+@query("select user_id as consumer, count(*) as handled, count_if(event_type = 'view') as pending, max(message_id) as last_id from {fx_tasks} group by user_id")
 def consumer_stats(spark, sf):
-    return frame(spark, sf, "fx_tasks").groupBy("user_id").agg(F.count("*").alias("handled"), F.count_if(F.col("event_type") == "view").alias("pending"), F.max("message_id").alias("last_id"))
+    return tasks.consumer_stats(_stream(spark, sf))
 
 
 @query("select concat('requests_', event_type) as name, concat('# HELP requests_', event_type, ' count', chr(10), '# TYPE requests_', event_type, ' counter', chr(10), 'requests_', event_type, ' ', count(*)) as metric from {fx_tasks} group by event_type")
@@ -836,41 +909,124 @@ def kv_last_value(spark, sf):
 
 @query("select user_id as key, count_if(event_type = 'view') - count_if(event_type = 'click') as counter from events group by user_id")
 def kv_counter(spark, sf):
-    return _log(spark, sf).groupBy("key").agg(F.sum(F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", -1).otherwise(0)).alias("counter"))
+    step = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", -1).otherwise(0)
+    return tasks.counters(_log(spark, sf).withColumn("delta", step))
 
 
 @query("select user_id as key, string_agg(distinct event_type, ',' order by event_type) as members from events group by user_id")
 def kv_set(spark, sf):
-    return _log(spark, sf).groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("members"))
+    return tasks.members(_log(spark, sf).withColumn("value", F.col("event_type"))).withColumn("members", F.array_join("members", ","))
 
 
 @query("select user_id as key from events group by user_id having max(ts) + interval 3600 second > (select max(ts) from events)")
 def kv_ttl(spark, sf):
     log = _log(spark, sf)
-    now = log.agg(F.max("ts")).first()[0]
-    return tasks.unexpired(log, F.lit(now).cast("timestamp_ntz"), 3600).select("key")
+    return tasks.unexpired(log, log.agg(F.max("ts").cast("timestamp_ntz")).scalar(), 3600).select("key")
+
 
+_PAIRS = "string_agg(concat('\"', field_name, '\":', {0}), ',' order by field_name)"
+_OWN = " ".join(f"coalesce(max(case when field_name = '{k}' then concat(',\"{v}\":\"', value, '\"') end), '')," for k, v in catalog.PROMOTED_FIELDS.items())[:-1]
 
-@query("select doc_id, concat(chr(123), '\"docType\":\"', expected, '\",\"invoiceNo\":\"', doc_id, '\"', chr(125)) as structured from {fx_docs}")
+
+@query(f"""with {_CONFIDENT} select doc_id, concat(chr(123), '"docType":"', doc_type, '","fields":', chr(123), {_PAIRS.format("concat('" + chr(34) + "', value, '" + chr(34) + "')")}, chr(125), ',"fieldConfidences":', chr(123), {_PAIRS.format("cast(round(confidence, 4) as varchar)")}, chr(125), {_OWN}, chr(125)) as structured from c group by doc_id, doc_type""")
 def structured_camel(spark, sf):
-    return frame(spark, sf, "fx_docs").select("doc_id", F.to_json(F.struct(F.col("expected").alias("docType"), F.col("doc_id").cast("string").alias("invoiceNo"), F.lit(None).cast("string").alias("taxAmount"))).alias("structured"))
+    fields = rules.value_confidence(rules.extract_fields(frame(spark, sf, "fx_docs").select("doc_id", "full_text"), remark=False), doc_blocks(spark, sf))
+    return ingest.structured_json(fields, catalog.PROMOTED_FIELDS)
 
 
-@query(f"with b as {_LINES} select b.doc_id, string_agg(case when line_index = 1 then concat('[TABLE]<t>', text, '</t>[/TABLE]') else text end, chr(10) order by line_index) as full_text from b group by b.doc_id")
-def structure_parse(spark, sf):
-    """Regions of type table go into the text between marks; others as they are."""
+def _structure(spark, sf) -> DataFrame:
+    """Each line of a document is a text region with that line; the second one is a table."""
     b = doc_blocks(spark, sf)
-    shown = F.when(F.col("line_index") == 1, F.concat(F.lit("[TABLE]<t>"), "text", F.lit("</t>[/TABLE]"))).otherwise(F.col("text"))
-    return b.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_index", shown.alias("t")))), lambda x: x["t"]), "\n").alias("full_text"))
+    line = F.struct("text", "confidence", F.lit(None).cast("array<array<double>>").alias("bbox"))
+    is_table = F.col("line_index") == 1
+    return b.select("doc_id", F.col("line_index").alias("region"), F.when(is_table, "table").otherwise("text").alias("type"), F.when(~is_table, F.array(line)).alias("lines"), F.when(is_table, F.concat(F.lit("<t>"), "text", F.lit("</t>"))).alias("html"))
+
+
+@query(f"with b as {_LINES} select b.doc_id, string_agg(case when line_index = 1 then concat('[TABLE]', chr(10), '<t>', text, '</t>', chr(10), '[/TABLE]') else text end, chr(10) order by line_index) as full_text, round(avg(confidence) filter (where line_index <> 1), 6) as overall_confidence from b group by b.doc_id")
+def structure_parse(spark, sf):
+    return ingest.structure_documents(_structure(spark, sf)).withColumn("overall_confidence", F.round("overall_confidence", 6))
+
+
+@query(f"with b as {_LINES} select doc_id, line_index as region, cast(0 as int) as line_index, text, confidence from b where line_index <> 1")
+def structure_blocks(spark, sf):
+    return ingest.structure_blocks(_structure(spark, sf)).drop("bbox")
 
 
-@query("with e as (select doc_id, expected from {fx_docs}) select doc_id, case when expected = 'UNKNOWN' then concat(chr(123), chr(125)) else concat(chr(123), '\"docType\":', chr(123), '\"matched\":true,\"snippet\":\"', expected, '\"', chr(125), chr(125)) end as evidence from e")
+@query("select doc_id, line_index as ordinal, case when line_index = 1 then 'table' else 'text' end as region_type, cast(10 * line_index as double) as y1, case when line_index = 1 then cast(0 as double) else confidence end as confidence, case when line_index = 1 then concat('<t>', text, '</t>') end as table_html, case when line_index = 1 then cast(2 as int) end as n_rows, case when line_index = 1 then cast(3 as int) end as n_cols, case when line_index = 1 then '' else text end as content from {0}".replace("{0}", _LINES))
+def structure_regions(spark, sf):
+    """Regions of a structure model with the size of its tables: five cells in two rows and three columns."""
+    cells = F.lit([[0.0, 0.0, 9.0, 9.0], [10.0, 0.0, 19.0, 9.0], [0.0, 10.0, 9.0, 19.0], [10.0, 10.0, 19.0, 19.0], [20.0, 10.0, 29.0, 19.0]])
+    s = _structure(spark, sf).withColumns({"ordinal": F.col("region"), "box": F.array(F.lit(0.0), F.col("region") * 10.0, F.lit(9.0), F.col("region") * 10.0 + 9), "score": F.get("lines", F.lit(0))["confidence"], "cells": F.when(F.col("type") == "table", cells)})
+    return layout.structure_regions(s).select("doc_id", "ordinal", "region_type", "y1", "confidence", "table_html", "n_rows", "n_cols", "content")
+
+
+@query("select cast(message_id as bigint) as message_id, concat(chr(123), '\"taskId\":\"', tid, '\",\"taskType\":\"EVIDENCE_ENRICH\",\"docId\":\"', user_id, '\",', case when failed then '\"errorMessage\":\"boom\"' else concat('\"evidenceMap\":', chr(123), case when event_type = 'view' then '' else concat('\"docType\":', chr(123), '\"matched\":true,\"snippet\":\"', event_type, '\"', chr(125)) end, chr(125), ',\"durationMs\":', retry) end, chr(125)) as body, case when failed then '/callback/failed' else '/callback/success' end as endpoint, case when failed then 'FAILED' else 'SUCCESS' end as status, cast(6 + case when failed then 1 else 0 end + case when event_type = 'view' then 0 else 1 end as int) as n_keys from {fx_tasks}")
 def evidence_envelope(spark, sf):
-    d = frame(spark, sf, "fx_docs")
-    one = F.create_map(F.lit("docType"), F.struct(F.lit(True).alias("matched"), F.col("expected").alias("snippet")))
-    return d.select("doc_id", F.to_json(F.map_filter(one, lambda k, v: F.col("expected") != "UNKNOWN")).alias("evidence"))
+    """The message for the stream and the callback's body; an empty evidence map is not in the message."""
+    t = frame(spark, sf, "fx_tasks")
+    one = F.create_map(F.lit("docType"), F.struct(F.lit(True).alias("matched"), F.col("event_type").alias("snippet")))
+    rows = t.select(F.col("tid").alias("task_id"), F.col("user_id").alias("doc_id"), F.when(F.col("failed"), "boom").alias("error"), F.map_filter(one, lambda k, v: F.col("event_type") != "view").alias("evidence"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_millis"), F.col("retry").alias("duration_ms"), "message_id")
+    e = ingest.evidence_envelope(rows.withColumn("task_id", F.concat_ws("|", "task_id", F.col("message_id").cast("string"))))
+    number = F.split("task_id", r"\|")
+    return e.select(number[1].cast("long").alias("message_id"), F.replace("body", F.concat(F.lit("|"), number[1]), F.lit("")).alias("body"), "endpoint", F.col("message")["status"].alias("status"), F.size("message").alias("n_keys"))
+
+
+_MODE = _CELLS + """, w as (select doc_id, row_index, string_agg(text, ' | ' order by col_index) as line, kind from c group by doc_id, kind, row_index),
+ t as (select doc_id, string_agg(case when kind = 'header' then concat(line, chr(10), repeat('-', 40)) else line end, chr(10) order by row_index) as table_text from w group by doc_id),
+ n as (select doc_id, count(*) as n from c where kind = 'cell' and text <> '' group by doc_id)"""
 
 
-@query(_CELLS + " select doc_id, count(*) as n_cells, count_if(kind = 'header') as n_headers from c group by doc_id")
+def _mode(spark, sf) -> DataFrame:
+    line = F.struct(F.concat(F.lit("Region "), F.col("doc_id").cast("string")).alias("text"), F.lit(0.5).alias("confidence"), F.lit(None).cast("array<array<double>>").alias("bbox"))
+    html = _html(spark, sf)
+    box = F.array(F.lit(0.0), F.lit(0.0), F.lit(200.0), F.lit(120.0))
+    return html.select("doc_id", F.lit(0).alias("region"), F.lit("text").alias("type"), F.array(line).alias("lines"), F.lit(None).cast("string").alias("html"), box.alias("box")).unionByName(html.select("doc_id", F.lit(1).alias("region"), F.lit("table").alias("type"), F.lit(None).cast("array<struct<text:string,confidence:double,bbox:array<array<double>>>>").alias("lines"), "html", box.alias("box")))
+
+
+@query(_MODE + " select t.doc_id, concat('Region ', t.doc_id, chr(10), table_text) as full_text, round((0.5 + 0.95 * n.n) / (1 + n.n), 6) as overall_confidence, cast(1 as bigint) as n_tables from t join n on t.doc_id = n.doc_id".replace("0.5 ", "cast(0.5 as double) ").replace("0.95 ", "cast(0.95 as double) "))
 def table_mode(spark, sf):
-    return ingest.html_cells(_html(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n_cells"), F.count_if(F.col("kind") == "header").alias("n_headers"))
+    """Documents of a table recogniser: text lines and table texts in order of their regions."""
+    return ingest.table_mode_documents(_mode(spark, sf)).withColumn("overall_confidence", F.round("overall_confidence", 6))
+
+
+@query(_MODE + " select doc_id, cast(0 as int) as line_index, concat('Region ', doc_id) as text, cast(0.5 as double) as confidence from t union all select doc_id, cast(row_number() over (partition by doc_id order by row_index, col_index) as int), text, cast(0.95 as double) from c where kind = 'cell' and text <> ''")
+def table_mode_blocks(spark, sf):
+    """Their blocks: text lines, then cells, numbered through."""
+    return ingest.table_mode_blocks(_mode(spark, sf)).select("doc_id", "line_index", "text", "confidence")
+
+
+@query(f"with b as {_LINES} select doc_id, line_index, text, confidence, cast(case when line_index % 2 = 0 then 10 * line_index else 0 end as double) as y_top, cast(case when line_index % 2 = 0 then 10 * line_index + 8 else 0 end as double) as y_bottom from b")
+def blocks_from_flat_polygons(spark, sf):
+    """Model pages without dt_polys: rec_polys serve, flat numbers here; those under four numbers are four zeros."""
+    m = doc_blocks(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_index", "text", "confidence"))).alias("b"))
+    flat = lambda x: F.when(x["line_index"] % 2 == 0, F.array(F.lit(0.0), x["line_index"] * 10.0, F.lit(99.0), x["line_index"] * 10.0, F.lit(99.0), x["line_index"] * 10.0 + 8, F.lit(0.0), x["line_index"] * 10.0 + 8)).otherwise(F.array(F.lit(1.0), F.lit(2.0)))
+    pages = m.select("doc_id", F.lit(1).alias("page"), F.transform("b", lambda x: x["text"]).alias("rec_texts"), F.transform("b", lambda x: x["confidence"]).alias("rec_scores"), F.lit(None).cast("array<array<array<double>>>").alias("dt_polys"), F.transform("b", flat).alias("rec_polys"))
+    return ingest.blocks_from_model(pages).select("doc_id", "line_index", "text", "confidence", F.col("bbox")[0][1].alias("y_top"), F.col("bbox")[3][1].alias("y_bottom"))
+
+
+@query("select n_regionkey, cast(6 + count(*) as bigint) as n_rules from nation group by n_regionkey")
+def rules_refresh(spark, sf):
+    """Rules after a refresh: the built-in ones and those of each region's source, here a rule a nation."""
+    from ..sources.rule_cache import RuleCache
+
+    n = frame(spark, sf, "nation")
+    own = n.select(F.col("n_name").alias("id"), F.lit("dict").alias("rule_type"), F.col("n_name").alias("pattern"), F.lit("").alias("replacement"), F.lit("ALL").alias("doc_type"), F.lit(None).cast("string").alias("field_name"), F.lit(100).alias("priority"), F.lit(True).alias("is_enabled"), F.col("n_nationkey").cast("int").alias("ordinal"), "n_regionkey")
+    regions = frame(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"))
+    loaded = RuleCache(spark, lambda _: own.drop("n_regionkey")).rules()
+    built = loaded.where("id like 'builtin%'").select("id").crossJoin(regions)
+    mine = loaded.select("id").join(own.select("id", "n_regionkey"), "id")
+    return built.unionByName(mine).groupBy("n_regionkey").agg(F.count("*").alias("n_rules"))
+
+
+@query("select doc_id, value from {fx_amounts}")
+def rule_bad_patterns(spark, sf):
+    """Rules whose pattern doesn't compile, or whose replacement names a group that isn't there, leave values as they are."""
+    bad = [dict(zip(("id", "rule_type", "pattern", "replacement"), r, strict=True)) | {"doc_type": "ALL", "field_name": None, "priority": k, "is_enabled": True, "ordinal": k} for k, r in enumerate([("open", "regex", "(", "x"), ("group", "normalize", r"\d", r"\2"), ("range", "regex", "[z-a]", "")])]
+    return rules.apply_rules(frame(spark, sf, "fx_amounts"), bad).select("doc_id", "value")
+
+
+@query(f"select doc_id, {_rules_sql('value', _AMOUNT)} as value from {{fx_amounts}}".replace(r"\d{3}", r"\d\d\d"))
+def rule_apply_table(spark, sf):
+    """The built-in rules among a thousand others of another document type: rules as a table instead of one expression."""
+    many = [dict(id=f"r{k}", rule_type="dict", pattern=str(k), replacement="", doc_type="CONTRACT", field_name=None, priority=1, is_enabled=True, ordinal=100 + k) for k in range(rules.MOST_RULES)]
+    return rules.apply_rules(frame(spark, sf, "fx_amounts"), built_in() + many).select("doc_id", "value")

@@ -34,3 +34,11 @@ def files(spark: SparkSession, path: str, recognise: Callable[[DataFrame], DataF
 
 def write_results(envelopes: DataFrame, path: str, mode: str = "append") -> None:
     envelopes.write.mode(mode).json(path)
+
+
+def clear(spark: SparkSession, path: str, kind: str = "parquet") -> int:
+    """Empties a table, as of dead letters; how many rows it had. Its schema stays."""
+    table = spark.read.format(kind).load(path)
+    count, schema = table.count(), table.schema
+    spark.createDataFrame([], schema).write.mode("overwrite").format(kind).save(path)
+    return count

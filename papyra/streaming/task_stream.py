@@ -1,23 +1,33 @@
 """The task life cycle as Structured Streaming.
 
-One query reads messages, routes them, runs the caller's work on each micro-batch and keeps attempts per task in
-state: a failed task is tried again after its backoff, by a processing-time timer, until MAX_RETRY, then it is a dead
-letter. Nothing is fed back into the source.
+`run_batches` runs the caller's work on each micro-batch. `run_tasks` keeps each task in state and executes it by itself:
+a failed one is tried again by a processing-time timer once its backoff has passed, until MAX_RETRY; then it is a dead
+letter. `retries` only follows the attempts that another system makes. Nothing is fed back into the source. A consumer
+group is a checkpoint folder (`ensure_group`, `destroy_group`).
 """
 
 from __future__ import annotations
 
+import json
+import threading
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.tasks import MAX_RETRY, parse, route
+from ..operators.tasks import MAX_RETRY, RETRY_BASE, RETRY_CAP, parse, route
 
 ATTEMPT = "task_id string, message_id string, failed boolean, error string"
 TRANSITION = "task_id string, state string, executions int, error string"
+#: Milliseconds for which an ended task is remembered, so that its message's redelivery does nothing.
+REMEMBER = 24 * 3600 * 1000
+
+
+class TaskCancelled(RuntimeError):
+    """The work was cancelled, or took longer than its time."""
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -25,14 +35,82 @@ def parsed(messages: DataFrame) -> DataFrame:
     return route(parse(messages)).where("route <> 'drop'")
 
 
-def run_batches(messages: DataFrame, work: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str):
+def ensure_group(spark: SparkSession, path: str) -> bool:
+    """Makes a consumer group, the checkpoint folder that a query reads from the start with; False if it is there already."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return not files.exists(where) and files.mkdirs(where)
+
+
+def destroy_group(spark: SparkSession, path: str) -> bool:
+    """Forgets a consumer group: the next query starts from the first message. False if there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cancellable(spark: SparkSession, work: Callable[[], object], seconds: float, cancelled: threading.Event | None = None):
+    """work's result; its Spark jobs are cancelled, and TaskCancelled raised, after so many seconds or once `cancelled` is set."""
+    tag, context, done = f"papyra-{uuid.uuid4().hex}", spark.sparkContext, threading.Event()
+    stop = cancelled or threading.Event()
+    late = threading.Timer(seconds, stop.set)
+
+    def watch() -> None:
+        while not done.wait(0.05):
+            if stop.is_set():
+                context.cancelJobsWithTag(tag)
+
+    if stop.is_set():
+        raise TaskCancelled("cancelled before it began")
+    context.addJobTag(tag)
+    late.start()
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        out = work()
+    except Exception as error:
+        if stop.is_set():
+            raise TaskCancelled("cancelled, or over its time") from error
+        raise
+    finally:
+        done.set()
+        late.cancel()
+        context.removeJobTag(tag)
+    if stop.is_set():
+        raise TaskCancelled("cancelled, or over its time")
+    return out
+
+
+def either(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A sink that hands each batch to all sinks; it has arrived if one took it, else the last error is raised."""
+
+    def send(batch: DataFrame, number: int) -> None:
+        errors = []
+        for sink in sinks:
+            try:
+                sink(batch, number)
+            except Exception as error:
+                errors.append(error)
+        if sinks and len(errors) == len(sinks):
+            raise errors[-1]
+
+    return send
+
+
+def run_batches(messages: DataFrame, work: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, failed: Callable[[DataFrame, int, str], None] | None = None):
     """Runs work on each micro-batch and hands its result with the batch's number to an idempotent sink.
 
-    A batch counts as acknowledged once the sink has returned, so delivery is at least once.
+    A batch counts as acknowledged once the sink has returned, so delivery is at least once. If work or sink fails, the
+    batch's tasks go with the error's text to `failed`; without it the query ends with the error.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(work(parsed(batch)), number)
+        tasks = parsed(batch)
+        try:
+            sink(work(tasks), number)
+        except Exception as error:
+            if failed is None:
+                raise
+            failed(tasks, number, f"{type(error).__name__}: {error}")
 
     return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -45,20 +123,73 @@ class RetryMachine(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, ended = self.seen.get() if self.seen.exists() else (0, False)
+        out = []
         for frame in rows:
             for failed, error in zip(frame["failed"], frame["error"], strict=True):
-                if ended:
-                    continue
-                n += 1
-                state = "done" if not failed else "dlq" if n > MAX_RETRY else "retry"
-                ended = state != "retry"
-                yield pd.DataFrame({"task_id": [key[0]], "state": [state], "executions": [n], "error": [error]})
+                if not ended:
+                    n += 1
+                    state = "done" if not failed else "dlq" if n > MAX_RETRY else "retry"
+                    ended = state != "retry"
+                    out.append((key[0], state, n, error))
         self.seen.update((n, ended))
+        yield pd.DataFrame(out, columns=["task_id", "state", "executions", "error"])
 
     def close(self) -> None:
         pass
 
 
+class TaskMachine(StatefulProcessor):
+    """Executes each task, and again by a timer after a failure's backoff; what has ended is forgotten after `remember`."""
+
+    def __init__(self, work: Callable[[dict], None], permanent: tuple[type[Exception], ...], base: float, remember: int):
+        self.work, self.permanent, self.base, self.remember = work, permanent, base, remember
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.task = handle.getValueState("task", "data string, executions int, ended boolean", self.remember)
+
+    def _execute(self, key, data: str, n: int, now: int) -> pd.DataFrame:
+        error = None
+        try:
+            self.work(json.loads(data))
+            state = "done"
+        except self.permanent as e:
+            state, error = "dlq", str(e)
+        except Exception as e:
+            state, error = "dlq" if n + 1 > MAX_RETRY else "retry", str(e)
+        if state == "retry":
+            self.handle.registerTimer(now + int(1000 * min(self.base * 2**n, RETRY_CAP)))
+        self.task.update((data, n + 1, state != "retry"))
+        return pd.DataFrame({"task_id": [key[0]], "state": [state], "executions": [n + 1], "error": [error]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # A message of a task that is known, ended or waiting, is a redelivery.
+        first = next((data for frame in rows for data in frame["data"]), None)
+        if first is not None and not self.task.exists():
+            yield self._execute(key, first, 0, timerValues.getCurrentProcessingTimeInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.task.exists():
+            data, n, ended = self.task.get()
+            if not ended:
+                yield self._execute(key, data, n, timerValues.getCurrentProcessingTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def run_tasks(messages: DataFrame, work: Callable[[dict], None], permanent: tuple[type[Exception], ...] = (FileNotFoundError,), base: float = RETRY_BASE, remember: int = REMEMBER) -> DataFrame:
+    """Transitions (retry, done, dlq) of a stream of messages whose tasks are executed by work(data), on the executors.
+
+    A failure waits for min(base * 2**retry, 300) seconds, at most MAX_RETRY times; errors of the permanent kinds are dead
+    letters at once. Delivery is at least once, so work must bear repetition. Needs the RocksDB state store and a
+    processing-time trigger.
+    """
+    tasks = parsed(messages).select("task_id", F.to_json("data").alias("data"))
+    machine = TaskMachine(work, permanent, base, remember)
+    return tasks.groupBy("task_id").transformWithStateInPandas(machine, outputStructType=TRANSITION, outputMode="Append", timeMode="ProcessingTime")
+
+
 def retries(attempts: DataFrame) -> DataFrame:
     """Transitions (retry, done, dlq) of a stream of attempts; needs the RocksDB state store."""
     return attempts.groupBy("task_id").transformWithStateInPandas(RetryMachine(), outputStructType=TRANSITION, outputMode="Append", timeMode="None")

@@ -10,8 +10,6 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 from papyra.registry import ORACLE_SQL, QUERIES  # noqa: E402
 
-QUICK = sorted(set(QUERIES) - {"projection_hist", "projection_columns"}) if not os.environ.get("TEST_ALL") else sorted(QUERIES)
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -21,7 +19,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     got = sorted(str(tuple(r)) for r in df.select(*(f"`{c}`" for c in sorted(df.columns))).collect())
@@ -199,3 +197,158 @@ def test_message_batches(spark, tmp_path):
     spark.createDataFrame([("1", {"taskId": "a"}), ("2", {"taskId": ""})], "message_id string, data map<string,string>").coalesce(1).write.json(f"{tmp_path}/in")
     run_batches(message_stream(spark, f"{tmp_path}/in"), lambda b: b.select("task_id"), lambda out, n: out.write.mode("overwrite").json(f"{tmp_path}/out/{n}"), f"{tmp_path}/cp").awaitTermination()
     assert [r.task_id for r in spark.read.json(f"{tmp_path}/out/*").collect()] == ["a"]
+
+
+def test_failing_batches_go_to_their_handler(spark, tmp_path):
+    from papyra.sources.readers import message_stream
+    from papyra.streaming.task_stream import either, run_batches
+
+    spark.createDataFrame([("1", {"taskId": "a"})], "message_id string, data map<string,string>").coalesce(1).write.json(f"{tmp_path}/in")
+
+    def broken(batch, number):
+        raise OSError("no sink")
+
+    dead, taken = [], []
+    run_batches(message_stream(spark, f"{tmp_path}/in"), lambda b: b, broken, f"{tmp_path}/cp", lambda b, n, e: dead.append(([r.task_id for r in b.collect()], e))).awaitTermination()
+    assert dead == [(["a"], "OSError: no sink")]
+    run_batches(message_stream(spark, f"{tmp_path}/in"), lambda b: b, either(broken, lambda b, n: taken.append(b.count())), f"{tmp_path}/cp2").awaitTermination()
+    assert taken == [1]
+    with pytest.raises(OSError):
+        either(broken)(None, 0)
+
+
+def test_tasks_are_tried_again(spark, tmp_path):
+    import time
+
+    from papyra.sources.readers import message_stream
+    from papyra.streaming import task_stream
+
+    names = ["good", "flaky", "bad", "gone"]
+    spark.createDataFrame([(n, {"taskId": n}) for n in names], "message_id string, data map<string,string>").coalesce(1).write.json(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = str(tmp_path)
+
+    def work(data):
+        import os
+
+        name = data["taskId"]
+        count = len([f for f in os.listdir(folder) if f.startswith(f"try-{name}-")])
+        open(f"{folder}/try-{name}-{count}", "w").close()
+        if name == "gone":
+            raise FileNotFoundError(name)
+        if name == "bad" or (name == "flaky" and count < 2):
+            raise ValueError(name)
+
+    stream = task_stream.run_tasks(message_stream(spark, f"{tmp_path}/in"), work, base=0.01)
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="0 seconds").start()
+    want = {"good": (1, "done"), "flaky": (3, "done"), "bad": (4, "dlq"), "gone": (1, "dlq")}
+    got, until = {}, time.time() + 90
+    while got != want and time.time() < until:
+        time.sleep(1)
+        try:
+            got = {r.task_id: (r.executions, r.state) for r in task_stream.latest(spark.read.schema(task_stream.TRANSITION).parquet(f"{tmp_path}/out")).collect()}
+        except Exception:  # nothing written yet
+            continue
+    query.stop()
+    assert got == want
+
+
+def test_work_can_be_cancelled(spark):
+    import threading
+    import time
+
+    from pyspark.sql import functions as F
+
+    from papyra.streaming.task_stream import TaskCancelled, cancellable
+
+    @F.udf("long")
+    def slow(x):
+        time.sleep(30)
+        return x
+
+    assert cancellable(spark, lambda: spark.range(3).count(), 60) == 3
+    began = time.time()
+    with pytest.raises(TaskCancelled):
+        cancellable(spark, lambda: spark.range(1).select(slow("id")).collect(), 0.5)
+    assert time.time() - began < 25
+    stop = threading.Event()
+    stop.set()
+    with pytest.raises(TaskCancelled):
+        cancellable(spark, lambda: spark.range(1).count(), 60, stop)
+
+
+def test_consumer_groups(spark, tmp_path):
+    from papyra.streaming.task_stream import destroy_group, ensure_group
+
+    path = f"file://{tmp_path}/group"
+    assert [ensure_group(spark, path), ensure_group(spark, path), destroy_group(spark, path), destroy_group(spark, path)] == [True, False, True, False]
+
+
+def test_rule_cache(spark):
+    from papyra.operators.rules import RULE_SCHEMA
+    from papyra.sources.rule_cache import RuleCache
+
+    reads, now = [], [0.0]
+
+    def load(session):
+        reads.append(now[0])
+        if len(reads) == 3:
+            raise OSError("no rules")
+        return session.createDataFrame([(f"own{k}", "dict", "a", "b", "ALL", None, 1, True, k) for k in range(len(reads))], RULE_SCHEMA)
+
+    cache = RuleCache(spark, load, clock=lambda: now[0])
+    assert cache.rules().count() == 7 and cache.rules().count() == 7 and reads == [0.0]
+    now[0] = 300.0
+    assert cache.rules().count() == 8
+    now[0] = 600.0  # reading fails: the rules before stay
+    assert cache.rules().count() == 8 and len(reads) == 3
+    assert cache.refresh() == 10
+
+
+def test_readers(spark, tmp_path):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from papyra.operators.ingest import blocks_from_model
+    from papyra.sources import readers
+
+    with open(f"{tmp_path}/rules.json", "w") as file:
+        for k, kind in enumerate(("regex", "magic", "dict")):
+            file.write(json.dumps({"id": f"r{k}", "rule_type": kind, "pattern": "a", "doc_type": "ALL", "priority": k, "is_enabled": True, "ordinal": k}) + "\n")
+    assert sorted(r.id for r in readers.rules(spark, f"{tmp_path}/rules.json").collect()) == ["r0", "r2"]
+    (tmp_path / "scans").mkdir()
+    (tmp_path / "scans" / "a.png").write_bytes(b"one two")
+
+    def recognise(raw):
+        words = F.split(F.decode("content", "UTF-8"), " ")
+        box = F.array(*[F.array(F.lit(1.0), F.lit(2.0))] * 4)
+        return raw.select(F.lit(1).alias("doc_id"), F.lit(1).alias("page"), words.alias("rec_texts"), F.transform(words, lambda w: F.lit(0.5)).alias("rec_scores"), F.transform(words, lambda w: box).alias("dt_polys"))
+
+    assert [r.text for r in blocks_from_model(readers.files(spark, f"{tmp_path}/scans", recognise)).orderBy("line_index").collect()] == ["one", "two"]
+    spark.range(4).write.parquet(f"{tmp_path}/dead")
+    assert readers.clear(spark, f"{tmp_path}/dead") == 4 and readers.clear(spark, f"{tmp_path}/dead") == 0
+
+
+def test_vertical_split_without_anchors(spark):
+    """Without blocks beside it, a vertical block's characters are spread evenly; the commonest character is the first of equals."""
+    from papyra.operators.geometry import vertical_split, with_geometry
+
+    box = lambda x1, y1, x2, y2: [[x1, y1], [x2, y1], [x2, y2], [x1, y2]]
+    rows = [(1, 1, 0, "a b ab", 0.5, box(0.0, 0.0, 10.0, 100.0)), (1, 1, 1, "x", 0.5, box(0.0, 200.0, 10.0, 210.0)), (1, 1, 2, "y", 0.5, box(0.0, 300.0, 10.0, 310.0))]
+    rows += [(2, 1, 0, "bab a", 0.5, box(0.0, 0.0, 10.0, 100.0)), (2, 1, 1, "x", 0.5, box(90.0, 20.0, 99.0, 30.0)), (2, 1, 2, "y", 0.5, box(90.0, 60.0, 99.0, 70.0))]
+    frame = with_geometry(spark.createDataFrame(rows, "doc_id long, page int, ordinal long, text string, confidence double, bbox array<array<double>>"))
+    got = [(r.text, r.y_center, r.height) for r in vertical_split(frame).where("doc_id = 1").orderBy("y_center").collect()]
+    assert got == [("a", 12.5, 25.0), ("b", 37.5, 25.0), ("a", 62.5, 25.0), ("b", 87.5, 25.0), ("x", 205.0, 10.0), ("y", 305.0, 10.0)]
+    got = [(r.text, r.y_center, r.height) for r in vertical_split(frame).where("doc_id = 2 and x_min = 0").orderBy("y_center").collect()]
+    assert got == [("b", 25.0, 10.0), ("b", 65.0, 10.0)]
+
+
+def test_post_process_without_blocks_needs_review(spark):
+    from papyra.operators.rules import post_process
+    from papyra.plans.queries import built_in
+
+    docs = spark.createDataFrame([(1, "发票号码：12345678"), (2, None), (3, "nothing")], "doc_id long, full_text string")
+    blocks = spark.createDataFrame([], "doc_id long, line_index int, text string, confidence double")
+    got = {r.field_name: (r.confidence, r.needs_review) for r in post_process(docs, blocks, built_in()).collect()}
+    assert got == {"invoice_no": (0.0, True), "remark": (0.0, True)}
