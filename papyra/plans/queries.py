@@ -416,15 +416,15 @@ def region_counts(spark, sf):
 
 
 @query(f"""with {_BODY[5:]}, b as (select *, cast(dense_rank() over (partition by doc_id, page order by floor((y_center - 80) / 40)) - 1 as int) as row_index, least(greatest(cast(round((x_center - 90) / 150) as int), 0), 7) as c from {{fx_blocks}})
- select b.doc_id, b.page, b.ordinal, w.row_type, b.c as column_index from b join w on b.doc_id = w.doc_id and b.page = w.page and b.row_index = w.row_index where b.width = 100""")
+ select b.doc_id, b.page, b.ordinal, w.row_type, b.c as column_index from b join w on b.doc_id = w.doc_id and b.page = w.page and b.row_index = w.row_index""")
 def table_advanced(spark, sf):
-    return table.advanced_table(clustered(spark, sf)).where("width = 100").select("doc_id", "page", "ordinal", "row_type", "column_index")
+    return table.advanced_table(clustered(spark, sf)).select("doc_id", "page", "ordinal", "row_type", "column_index")
 
 
-@query("""with b as (select *, cast(dense_rank() over (partition by doc_id, page order by floor((y_center - 80) / 40)) - 1 as int) as row_index, least(greatest(cast(round((x_center - 90) / 150) as int), 0), 7) as c from {fx_blocks} where width = 100)
+@query("""with b as (select *, cast(dense_rank() over (partition by doc_id, page order by floor((y_center - 80) / 40)) - 1 as int) as row_index, least(greatest(cast(round((x_center - 90) / 150) as int), 0), 7) as c from {fx_blocks})
  select doc_id, page, row_index, (['项目名称', '规格型号', '单位', '数量', '单价', '金额', '税率', '税额'])[c + 1] as column_key, string_agg(text, ' ' order by x_center) as cell from b group by all""")
 def document_structure(spark, sf):
-    return table.document_structure(table.advanced_table(clustered(spark, sf)).where("width = 100"))
+    return table.document_structure(table.advanced_table(clustered(spark, sf)))
 
 
 @query("select doc_id, page, min(x_min) as x1, min(y_min) as y1, max(x_max) as x2, max(y_max) as y2 from {fx_blocks} group by doc_id, page")
@@ -592,10 +592,10 @@ def evidence_exact(spark, sf):
     return evidence.exact(f, _evidence_blocks(spark, sf)).select("doc_id", "ordinal")
 
 
-@query(f"with b as {_LINES}, a as (select doc_id, line_index, regexp_replace(text, '[^0-9.]', '', 'g') as v from b), f as (select doc_id, regexp_extract(full_text, '小写）：¥([0-9.]+)', 1) as v from {{fx_docs}} where expected = 'INVOICE') select f.doc_id, count(*) as n, case when count(*) = 1 then cast(0.9 as double) else cast(0.95 as double) end as confidence from f join a on a.doc_id = f.doc_id and a.v = f.v group by f.doc_id".replace("count(*) as n, ", ""))
+@query(f"with b as {_LINES}, a as (select doc_id, line_index, text, regexp_replace(text, '[^0-9.]', '', 'g') as v from b), f as (select doc_id, regexp_extract(full_text, '小写）：¥([0-9.]+)', 1) as v from {{fx_docs}} where expected = 'INVOICE') select f.doc_id, cast(max(a.line_index) as bigint) as ordinal, arg_max(a.text, a.line_index) as snippet, count(*) as n, case when count(*) = 1 then cast(0.9 as double) else cast(0.95 as double) end as confidence from f join a on a.doc_id = f.doc_id and a.v = f.v group by f.doc_id".replace("count(*) as n, ", ""))
 def evidence_context(spark, sf):
     f = frame(spark, sf, "fx_docs").where("expected = 'INVOICE'").select("doc_id", F.lit("totalAmount").alias("field_key"), F.regexp_extract("full_text", "小写）：¥([0-9.]+)", 1).alias("field_value"))
-    return evidence.context(f, _evidence_blocks(spark, sf)).select("doc_id", "confidence")
+    return evidence.context(f, _evidence_blocks(spark, sf)).select("doc_id", "ordinal", "snippet", "confidence")
 
 
 @query("select doc_id, cast(0 as bigint) as ordinal from {fx_docs} where expected = 'EXPENSE'")
