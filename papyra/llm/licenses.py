@@ -2,7 +2,9 @@
 
 A block is a window of words, whatever line breaks and signs stand between them, so wrapped and commented notices are
 whole. Its length is the template's over `threshold`, so words scattered over a long line are no notice. A template is
-found in it if the window holds at least `threshold` of the template's distinct words.
+found in it if the window holds at least `threshold` of the template's distinct words, those among them that tell its
+label from others (DECISIVE). Of templates under WHOLE distinct words, where a single word decides what licence it is,
+it must hold all, in a window as long as the template.
 
 A text can have such a window only if it holds so many of the words itself, which is joined first. Template words are
 ordered by the number of texts in the whole corpus that hold them, rarest first (ties by the word). A text that reaches
@@ -11,7 +13,8 @@ distinct words (length filter), and from its first shared word on enough of the
 What passes is counted exactly, and its windows are then slid over the template's words. The vocabulary is that of the
 templates, so corpus counts and index are small whatever the corpus.
 
-Defined results: null and empty texts have no words, no labels and score 0; windows that reach the threshold and
+Defined results: null and empty texts have no words, no labels and score 0; repeated rows and rows of equal or null
+doc_id are texts of their own; lines and texts of any length are slid over in one pass, in memory of one text; windows that reach the threshold and
 overlap are one block, with the line and the containment of the best of them, the first of equals.
 """
 
@@ -30,15 +33,59 @@ from .common import arrow_map, batch_of
 
 #: label: phrase. Its words must stand consecutively.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
-#: label: notices. A label is found if any of its notices is.
+#: label: notices, whole as licences ask for them, or one of their paragraphs, or the line that is common instead. A label
+#: is found if any of its notices is. Fixed values.
 TEMPLATES = {
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
-    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
-    "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
+    "apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
+        writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+        either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        """you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0""",
+    ),
+    "mit": (
+        "Released under the MIT License.",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+        (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+        publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do
+        so, subject to the following conditions:""",
+        """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    ),
+    "bsd": (
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+        disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution.""",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met""",
+    ),
+    "gpl-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+        """it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License,
+        or any later version""",
+    ),
+    "mpl-2.0": (
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
+        this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    ),
+    "cc-by-nc-4.0": (
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License",
+    ),
     "all-rights-reserved": ("All rights reserved.",),
-}
+}
+#: label: words that each of its notices must show where it has them. Fixed values.
+DECISIVE = {"apache-2.0": ("apache", "2"), "gpl-3.0": ("3",), "mpl-2.0": ("mozilla",), "cc-by-nc-4.0": ("nc", "noncommercial")}
+#: Distinct words under which a template must be there with all of them.
+WHOLE = 20
 #: Every byte that is no word byte becomes a space, A-Z become lower case: words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -67,17 +114,29 @@ def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[byte
     return {bytes(r.word): r.n for r in rows}
 
 
+def needs(templates: list[tuple[str, frozenset[bytes]]], lengths: list[int], threshold: float, whole: int) -> list[tuple[int, int, frozenset[bytes]]]:
+    """Of each template: distinct words that it needs, the length of its windows, and its decisive words."""
+    out = []
+    for (label, words), n in zip(templates, lengths, strict=True):
+        decisive = words.intersection(w.encode() for w in DECISIVE.get(label, ()))
+        if len(words) < whole:
+            out.append((len(words), n, decisive))
+        else:
+            out.append((math.ceil(threshold * len(words) - 1e-9), math.ceil(n / threshold - 1e-9), decisive))
+    return out
+
+
 class Join:
     """The index of the templates and its probe. lengths: words of each template, as many as are distinct by default."""
 
-    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], frequencies: dict[bytes, int], threshold: float, lengths: list[int] | None = None):
+    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], frequencies: dict[bytes, int], threshold: float, lengths: list[int] | None = None, whole: int = 0):
         self.threshold, self.index, self.templates = threshold, {}, []
-        self.windows = [math.ceil(n / threshold - 1e-9) for n in lengths or [len(words) for _, words in templates]]
-        for label, words in templates:
+        asked = needs(templates, lengths or [len(words) for _, words in templates], threshold, whole)
+        self.windows = [width for _, width, _ in asked]
+        for (label, words), (need, _, decisive) in zip(templates, asked, strict=True):
             ordered = sorted(words, key=lambda w: (frequencies.get(w, 0), w))
-            need = math.ceil(threshold * len(ordered) - 1e-9)
             at = len(self.templates)
-            self.templates.append((label, words, len(ordered), need))
+            self.templates.append((label, words, len(ordered), need, decisive))
             for place, word in enumerate(ordered[: len(ordered) - need + 1]):
                 self.index.setdefault(word, []).append((at, place))
         self.prefixes = frozenset(self.index)
@@ -90,8 +149,8 @@ class Join:
                 first[at] = min(place, first.get(at, place))
         out: dict[int, int] = {}
         for at, place in first.items():
-            _, words, size, need = self.templates[at]
-            if len(block) >= need and size - place >= need and (shared := len(words & block)) >= need:
+            _, words, size, need, decisive = self.templates[at]
+            if len(block) >= need and size - place >= need and decisive <= block and (shared := len(words & block)) >= need:
                 out[at] = shared
         return out
 
@@ -99,7 +158,7 @@ class Join:
         """label: containment, of templates that reach the threshold."""
         out: dict[str, float] = {}
         for at, shared in self.reached(block).items():
-            label, _, size, _ = self.templates[at]
+            label, _, size, _, _ = self.templates[at]
             out[label] = max(out.get(label, 0.0), shared / size)
         return out
 
@@ -107,7 +166,7 @@ class Join:
         """(first word, label, containment) of each block of a text's words, in this order."""
         out = []
         for at in self.reached(frozenset(words)):
-            label, sought, size, need = self.templates[at]
+            label, sought, size, need, decisive = self.templates[at]
             places = [k for k, word in enumerate(words) if word in sought]
             held: Counter = Counter()
             left, end, best = 0, -1, None
@@ -118,7 +177,7 @@ class Join:
                     if not held[words[places[left]]]:
                         del held[words[places[left]]]
                     left += 1
-                if len(held) >= need:
+                if len(held) >= need and all(w in held for w in decisive):
                     if best and places[left] > end:
                         out.append(best)
                         best = None
@@ -151,7 +210,7 @@ def scan(docs: DataFrame, threshold: float = 0.8, phrases: dict[str, str] | None
     """doc_id, n_words, n_base, first_word, last_word long, base_labels, labels string, score double, blocks array<struct<line int, label string, containment double>>."""
     known = template_sets(TEMPLATES if templates is None else templates)
     lengths = template_lengths(TEMPLATES if templates is None else templates)
-    join = Join(known, word_frequencies(docs, frozenset().union(*(w for _, w in known))), threshold, lengths)
+    join = Join(known, word_frequencies(docs, frozenset().union(*(w for _, w in known))), threshold, lengths, WHOLE)
     sought = [(label, b" " + b" ".join(phrase.encode().translate(_WORDS).split()) + b" ") for label, phrase in (PHRASES if phrases is None else phrases).items()]
     kind = docs.schema["doc_id"].dataType.simpleString()
     block = pa.list_(pa.struct([("line", pa.int32()), ("label", pa.string()), ("containment", pa.float64())]))

@@ -324,7 +324,7 @@ def test_license_join_is_exact():
 def test_license_windows(spark, tmp_path):
     from papyra.llm import queries
 
-    mit = licenses.TEMPLATES["mit"][1]
+    mit = " ".join(licenses.TEMPLATES["mit"][1].split())
     w = mit.split(" ")
     wrapped = "\n".join("# " + " ".join(w[k : k + 6]) for k in range(0, len(w), 6))
     prose = [f"word{k}" for k in range(60)]
@@ -344,6 +344,26 @@ def test_license_windows(spark, tmp_path):
     assert labels[0] == ("mit", 1.0) and labels[1] == ("", 0.0)
 
 
+def test_license_labels_tell_licenses_apart(spark):
+    """Other licences' lines have no label; wrapped and commented notices have theirs."""
+    wrap = lambda t: "\n".join(" * " + " ".join(t.split()[k : k + 9]) for k in range(0, len(t.split()), 9))
+    gpl2 = licenses.TEMPLATES["gpl-3.0"][1].replace("version 3", "version 2")
+    cases = {
+        "Released under the BSD License.": "", "Released under the Apache License": "", "Licensed under the Mozilla Public License, version 2.0.": "", "Licensed under CC BY 4.0.": "",
+        "all the rights we reserved are listed": "", "This work is licensed under a Creative Commons Attribution 4.0 International License": "", wrap(gpl2): "",
+        "Released under the MIT License.": "mit", "licensed under cc by-nc 4.0": "cc-by-nc-4.0", "ALL RIGHTS RESERVED": "all-rights-reserved",
+    }
+    cases |= {wrap(t): label for label, notices in licenses.TEMPLATES.items() for t in notices}
+    cases |= {wrap(licenses.TEMPLATES["bsd"][0].replace("this list of conditions", "the list")): "bsd", "": ""}
+    frame = spark.createDataFrame(list(enumerate(cases)) * 2 + [(None, "Released under the MIT License.\n" + "x " * 200_000)], "doc_id long, text string")
+    got = licenses.scan(frame).collect()
+    for r in got:
+        own = {label for label in r.labels.split(",") if label and label not in r.base_labels.split(",")}
+        want = "mit" if r.doc_id is None else list(cases.values())[r.doc_id]
+        assert want in own if want else not own, (r.doc_id, r.labels)
+    assert len(got) == 2 * len(cases) + 1
+
+
 def test_license_windows_are_exact():
     rnd = random.Random(13)
     vocabulary = [bytes([97 + k]) for k in range(14)]
