@@ -8,9 +8,11 @@ more than `block` vectors are dealt into blocks by hash; each block holds its ow
 so memory is bounded whatever the cell. Blocks count links and send one edge a vector with links, never pairs; equal
 vectors are one vector with a multiplicity throughout.
 
-Pivots come from a bounded sample (PIVOT_SAMPLE vectors with the smallest hashes) by farthest-first choice; they
-affect speed alone. Where vectors have no clusters, as in high dimensions, bounds exclude little and the join compares
-all pairs of blocks: exact, and quadratic in the input.
+Pivots come from a bounded sample (SAMPLE times as many vectors, those with the smallest hashes) by farthest-first
+choice; they affect speed alone. There is one for each `block` vectors, from LEAST_PIVOTS to MOST_PIVOTS, so cells keep
+their size as the input grows; what goes to or comes from the driver is in proportion to them. Where vectors have no
+clusters, as in high dimensions, bounds exclude little and the join compares all pairs of blocks: exact, and quadratic in
+the input, with each vector sent to about N / (2 * block) blocks.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors
 of different lengths don't link; rows of equal vec_id each have a row, and count each other as copies.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, batch_of, components, freed, stored
 
-PIVOT_SAMPLE, PIVOTS, BLOCK = 2048, 16, 4096
+LEAST_PIVOTS, MOST_PIVOTS, SAMPLE, BLOCK = 16, 1024, 4, 4096
 
 
 def unit_rows(raw: list[bytes]) -> np.ndarray:
@@ -93,7 +95,11 @@ class Cells:
         return home, reach
 
 
-def range_join(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+def pivot_count(vectors: int, block: int = BLOCK) -> int:
+    return min(max(-(-vectors // block), LEAST_PIVOTS), MOST_PIVOTS)
+
+
+def range_join(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
     """vec_id, n_links long, component_id long, kept boolean: a row for each row of vectors."""
     spark = vectors.sparkSession
 
@@ -107,7 +113,8 @@ def range_join(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, pivot
     # One row a distinct vector; ids are its own, whatever the ids of its rows.
     distinct = good.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
     distinct = stored(distinct.withColumn("node", F.xxhash64("key")).withColumn("width", (F.length("v") / 8).cast("int")), "vectors-distinct")
-    sample = distinct.orderBy("node").limit(PIVOT_SAMPLE).select("v").toPandas()["v"]  # bounded
+    pivots = pivots or pivot_count(distinct.count(), block)
+    sample = distinct.orderBy("node").limit(SAMPLE * max(pivots, 512)).select("v").toPandas()["v"]  # bounded by the pivots
     by_width: dict[int, list[bytes]] = {}
     for v in sample:
         by_width.setdefault(len(v) // 8, []).append(bytes(v))
@@ -136,7 +143,7 @@ def range_join(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, pivot
         total += n
     ranges = spark.createDataFrame([(w, c, at, n) for (w, c), (at, n) in blocks.items()] or [(0, 0, 0, 0)], "width int, cell int, first int, n int")
     own_block = lambda first, n: F.col(first) + F.pmod(F.col("node"), F.greatest(F.col(n), F.lit(1))).cast("int")
-    homes = F.broadcast(ranges)  # a row a cell, of which there are at most PIVOTS a vector length
+    homes = F.broadcast(ranges)  # a row a cell, of which there are at most MOST_PIVOTS a vector length
     own = placed.join(homes.select("width", F.col("cell").alias("home"), F.col("first").alias("home_first"), F.col("n").alias("home_n")), ["width", "home"]).withColumn("mine", own_block("home_first", "home_n"))
     visits = own.withColumn("cell", F.explode("visits")).join(homes, ["width", "cell"])
     visits = visits.withColumn("block", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1))).where("block <= mine")

@@ -1,5 +1,8 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
+Defined results: null and empty texts have the score of an all-zero row; texts of any length count whole; repeated rows
+and rows of equal or null doc_id are each scored; an empty table gives no rows; columns that aren't kept are left out.
+
 The statistics come from the text alone. A bounded, documented sample of labelled rows trains the trees on the
 driver; each tree is complete, so it is three arrays and numpy descends one level for all rows at once.
 """
@@ -159,8 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Tre
     """Trees from labelled documents that are not held out.
 
     A document with several labels counts with its smallest. At most most_rows labelled ids train: those with
-    the smallest hashes, so the sample is the same whatever the partitions. A null label or text of null id
-    doesn't train; no labels at all give a constant score.
+    the smallest hashes, so the sample is the same whatever the partitions. Of rows of equal doc_id one trains, that with
+    the smallest features. A null label or text of null id doesn't train; no labels at all give a constant score.
     """
     sample = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
@@ -174,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Tre
 
     # The sample has at most most_rows rows, whatever the input: it is broadcast.
     rows = arrow_map(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), step, "doc_id long, quality int, x array<double>")
-    got = rows.toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("doc_id", "r.quality", "r.x")
+    got = one.toArrow().sort_by([("doc_id", "ascending")])  # most_rows rows at most
     x = np.asarray(got.column("x").combine_chunks().flatten()).reshape(-1, size)
     return fit(x, (np.asarray(got.column("quality")) > 0).astype(float))
 

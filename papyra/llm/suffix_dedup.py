@@ -10,12 +10,10 @@
    those bytes and the anchor in the next round (`split`). Equal windows go the same way, so this is exact, and in the
    last round (the anchor is the whole window by then) nothing but equal windows is left. So no task holds more than
    SHARD + HOT bytes of stretches, whatever the corpus.
-3. Induced sorting. A shard's stretches are suffix-sorted: LMS substrings are sorted by induction and named, names are
-   doubled until they decide `length` bytes, and the order of all suffixes is induced from the LMS suffixes. Induction
-   pops the queues of 256 byte values in order, and a queue passes all its suffixes to their predecessors' queues at
-   once, in numpy; queues of large shards are on disk (memory-mapped, in the task's own temporary folder).
-4. Windows that neighbour an equal window in that order are repeated (hashes first, then bytes). Their spans return to
-   the documents.
+3. Induced sorting. A shard's stretches are suffix-sorted by induction with disk-backed queues that carry common
+   prefixes (`suffix_order`); `memory` bounds what a task holds of that, so a shard may be far larger.
+4. Windows that have `length` bytes in common with a neighbour, by the carried values, are repeated. Their spans return
+   to the documents.
 
 Texts that stand in several rows are repeated as a whole if they have `length` bytes; one row of them serves as a
 source. Defined results: a null text is empty; texts under `length` bytes lose nothing; rows of equal doc_id are
@@ -25,7 +23,6 @@ documents of their own.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +33,11 @@ from pyspark.sql import functions as F
 from .common import arrow_map, batch_of, freed, steps, stored, text_bytes
 from .kernel import byte_sums, range_hash
 from .shingle_join import FLUSH, Sender, exchange, grouped, present
+from .suffix_order import MEMORY, suffix_order
 
 GRAM = 160
-#: Bytes of stretches that are sorted together (a single anchor's may be HOT), and items from which a queue is on disk.
-SHARD, HOT, ON_DISK = 2_000_000, 4_000_000, 32_000_000
+#: Bytes of stretches that are sorted together (a single anchor's may be HOT).
+SHARD, HOT = 2_000_000, 4_000_000
 _PLACE = np.dtype([("sig", "V16"), ("at", "<i8")])
 _ANCHOR = np.dtype([("sig", "S16"), ("at", "<u4"), ("first", "<u4"), ("last", "<u4")])
 
@@ -79,134 +77,29 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM
     return place[first], hashes[place[first]], starts[first], starts[last]
 
 
-class Queues:
-    """A queue of suffixes for each symbol; each is filled in order and has a known final length."""
-
-    def __init__(self, counts: np.ndarray, folder: str | None):
-        self.starts = np.concatenate([[0], np.cumsum(counts)])
-        total = int(self.starts[-1])
-        self.items = np.memmap(tempfile.NamedTemporaryFile(dir=folder), np.int64, "w+", shape=(max(total, 1),)) if folder else np.zeros(total, np.int64)  # noqa: SIM115
-        self.ends = self.starts[:-1].copy()
-
-    def push(self, symbols: np.ndarray, suffixes: np.ndarray) -> None:
-        order = np.argsort(symbols, kind="stable")
-        symbols, suffixes = symbols[order], suffixes[order]
-        n = np.bincount(symbols, minlength=len(self.ends))
-        before = np.cumsum(n) - n
-        self.items[(self.ends - before)[symbols] + np.arange(len(symbols))] = suffixes
-        self.ends += n
-
-    def of(self, symbol: int, start: int | None = None) -> np.ndarray:
-        return self.items[self.starts[symbol] if start is None else start : self.ends[symbol]]
-
-
-def induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, folder: str | None) -> np.ndarray:
-    """The order of all suffixes, from that of the LMS suffixes. smaller: suffixes of type S; text ends with a single 0."""
-    symbols = int(text.max()) + 1
-    large, small = np.bincount(text[~smaller], minlength=symbols), np.bincount(text[smaller], minlength=symbols)
-    heads = text[lms]
-    order = np.argsort(heads, kind="stable")
-    seeds, cut = lms[order], np.searchsorted(heads[order], np.arange(symbols + 1))
-    left = Queues(large, folder)
-
-    def before(suffixes: np.ndarray, kind: bool) -> np.ndarray:
-        previous = suffixes[suffixes > 0] - 1
-        return previous[smaller[previous] == kind]
-
-    for c in range(symbols):
-        done = int(left.starts[c])
-        while done < left.ends[c]:
-            batch, done = left.of(c, done), int(left.ends[c])
-            if len(found := before(batch, False)):
-                left.push(text[found], found)
-        if cut[c] < cut[c + 1] and len(found := before(seeds[cut[c] : cut[c + 1]], False)):
-            left.push(text[found], found)
-    right = Queues(small, folder)
-    right.push(np.zeros(1, np.int64), np.array([len(text) - 1]))
-    for c in range(symbols - 1, -1, -1):
-        done = int(right.starts[c])
-        while done < right.ends[c]:
-            batch, done = right.of(c, done), int(right.ends[c])
-            if len(found := before(batch, True)):
-                right.push(text[found], found)
-        if len(found := before(left.of(c)[::-1], True)):
-            right.push(text[found], found)
-    return np.concatenate([part for c in range(symbols) for part in (left.of(c), right.of(c)[::-1])])
-
-
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of text (symbols from 1; a 0 is put behind) in the order of their first `depth` symbols at least."""
-    text = np.append(text, 0).astype(np.int64)
-    n = len(text)
-    if n == 1:
-        return np.zeros(1, np.int64)
-    ends = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)
-    rising = np.append(text[ends[:-1] + 1] > text[ends[:-1]], True)
-    smaller = np.repeat(rising, np.diff(np.append(-1, ends)))
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    with tempfile.TemporaryDirectory() as folder:
-        disk = folder if n > ON_DISK else None
-        if len(lms) > 1:
-            order = induce(text, smaller, lms, disk)
-            is_lms = np.zeros(n, bool)
-            is_lms[lms] = True
-            order = order[is_lms[order]]
-            # Names: LMS substrings up to the next LMS symbol, equal ones alike.
-            following = np.zeros(n, np.int64)
-            following[lms[:-1]], following[lms[-1]] = lms[1:] + 1, n
-            hashes = range_hash(byte_sums(text.astype(np.uint16).astype(np.int64) & 255) + _high_sums(text), order, following[order])
-            names = np.zeros(n, np.int64)
-            names[order] = np.concatenate([[0], np.cumsum(hashes[1:] != hashes[:-1])])
-            ranks, reach = names[lms], 1
-            # An LMS substring advances by two symbols at least.
-            while ranks.max() + 1 < len(ranks) and 2 * reach < depth + 2:
-                second = np.zeros(len(ranks), np.int64)
-                second[:-reach] = ranks[reach:] + 1
-                _, ranks = np.unique(ranks * (len(ranks) + 1) + second, return_inverse=True)
-                reach *= 2
-            lms = lms[np.argsort(ranks, kind="stable")]
-        return induce(text, smaller, lms, disk)
-
-
-def _high_sums(text: np.ndarray) -> np.ndarray:
-    """Tells symbol 256 from 0, and 0 from bytes: sums of a second table over the symbols' high part."""
-    from .kernel import prefix_sums
-
-    return prefix_sums((text >> 8).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + (text == 0).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
-
-
-def repeated_windows(stretches: list[bytes], windows: list[int], length: int) -> list[np.ndarray]:
+def repeated_windows(stretches: list[bytes], windows: list[int], length: int, memory: int = MEMORY) -> list[np.ndarray]:
     """For each stretch, which of its first windows (so many starts) stand in the stretches more than once."""
     sizes = np.array([len(s) for s in stretches], np.int64)
     offsets = np.cumsum(sizes + 1) - sizes - 1
-    text = np.frombuffer(b"\0".join(stretches) + b"\0", np.uint8).astype(np.int64) + 1
-    text[offsets + sizes] = 0  # between stretches: a symbol below all bytes
-    text += 1
-    order = suffix_order(text, length)
-    start = np.zeros(len(text) + 1, bool)
+    text = np.frombuffer(b"\0".join(stretches) + b"\0", np.uint8).astype(np.int32) + 2
+    text[offsets + sizes] = 1  # between stretches: a symbol below all bytes
+    order, common = suffix_order(text, length, memory)
+    start, hit = np.zeros(len(text) + 1, bool), np.zeros(len(text) + 1, bool)
     counts = np.array(windows, np.int64)
-    spots = np.repeat(offsets - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    start[spots] = True
-    order = order[start[order]]
-    raw = np.frombuffer(b"\0".join(stretches) + b"\0", np.uint8)
-    hashes = range_hash(byte_sums(raw), order, order + length)
-    same = np.flatnonzero(hashes[1:] == hashes[:-1])
-    a, b = order[same], order[same + 1]
-    # Byte by byte: pairs that continue a pair one place before need only their last byte.
-    partner = np.full(len(text) + 1, -1, np.int64)
-    partner[a] = b
-    goes_on = (a > 0) & (partner[a - 1] == b - 1) & (partner[a - 1] >= 0)
-    equal = raw[a + length - 1] == raw[b + length - 1]
-    heads = np.flatnonzero(~goes_on)
-    view = np.lib.stride_tricks.sliding_window_view(raw, length)
-    for k in range(0, len(heads), 4096):
-        part = heads[k : k + 4096]
-        equal[part] = (view[a[part]] == view[b[part]]).all(1)
-    if not equal.all():  # hashes of different windows agree: all pairs by bytes
-        for k in range(0, len(a), 4096):
-            equal[k : k + 4096] = (view[a[k : k + 4096]] == view[b[k : k + 4096]]).all(1)
-    hit = np.zeros(len(text) + 1, bool)
-    hit[a[equal]] = hit[b[equal]] = True
+    start[np.repeat(offsets - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())] = True
+    before, least = -1, 0  # the window before, and what all since have in common
+    for a in range(0, len(order), memory):
+        places, shared = np.asarray(order[a : a + memory]), np.asarray(common[a : a + memory])
+        at = np.flatnonzero(start[places])
+        if not len(at):
+            least = min(least, int(shared.min()))
+            continue
+        mins = np.minimum.reduceat(shared[: at[-1] + 1], np.append(0, at[:-1] + 1))
+        mins[0] = min(mins[0], least)
+        same = mins >= length
+        own, ahead = places[at], np.append(before, places[at[:-1]])
+        hit[own[same]] = hit[ahead[same]] = True
+        before, least = int(own[-1]), int(shared[at[-1] + 1 :].min(initial=length))
     return [hit[o : o + w] for o, w in zip(offsets.tolist(), windows, strict=True)]
 
 
@@ -288,10 +181,10 @@ def repeated_anchors(docs: DataFrame, length: int, receivers: int) -> DataFrame:
     return exchange(docs.select("text", "sig"), send, present, settle, "sig binary, places array<struct<at:long,first:long,last:long>>", receivers)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, hot: int = HOT, memory: int = MEMORY) -> DataFrame:
     """doc_id, text, n_bytes, n_removed, n_spans long, kept binary, spans array<struct<start,end>>: a row for each row of docs.
 
-    hot: bytes of distinct stretches from which an anchor is split.
+    hot: bytes of distinct stretches from which an anchor is split; memory: items that sorting a shard holds.
     """
     spark = docs.sparkSession
     receivers = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -370,7 +263,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFram
 
         def sort() -> Iterator[pa.RecordBatch]:
             texts = [b for _, b in bodies]
-            for (body, (_, *places)), hit in zip(((b, v) for (_, b), v in bodies.items()), repeated_windows(texts, [len(b) - length + 1 for b in texts], length), strict=True):
+            for (body, (_, *places)), hit in zip(((b, v) for (_, b), v in bodies.items()), repeated_windows(texts, [len(b) - length + 1 for b in texts], length, memory), strict=True):
                 yield from give(places, [(0, len(body))] if several(places) else spans(hit, length))
             bodies.clear()
 

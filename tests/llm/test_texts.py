@@ -127,6 +127,79 @@ def test_fingerprints(spark, docs, rows, empty):
     assert fingerprints.edit_pairs(one).first().near_next == 1.0
 
 
+def naive_signature(raw, k):
+    """Pieces of a text at block size 3 * 2**k: ends where the rolling hash of the last seven bytes plus one is a multiple of it."""
+    from papyra.llm.fingerprints import _ROLL, LETTERS, PIECES, WINDOW
+    from papyra.llm.kernel import byte_sums, range_hash
+    import numpy as np
+
+    ends = []
+    for at in range(WINDOW - 1, len(raw)):
+        h, factor = 0, 1
+        for j in range(WINDOW):
+            h = (h + int(_ROLL[raw[at - j]]) * factor) & 0xFFFFFFFF
+            factor = factor * 0x9E3779B1 & 0xFFFFFFFF
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D & 0xFFFFFFFF
+        h ^= h >> 13
+        if (h + 1) % (3 << k) == 0 and at + 1 < len(raw):
+            ends.append(at + 1)
+    limits = [0, *ends[: PIECES - 1], len(raw)]
+    sums = byte_sums(np.frombuffer(raw, np.uint8))
+    letters = [LETTERS[int(range_hash(sums, np.array([a]), np.array([b]))[0] >> np.uint64(58))] for a, b in zip(limits, limits[1:])]
+    return len(ends), "".join(letters)
+
+
+def naive_likeness(left, right):
+    """Likeness of two fingerprints from their texts, by dynamic programming."""
+    if left == right:
+        return 1.0
+    (a, *x), (b, *y) = (f.split(":") for f in (left, right))
+    pairs = [(x[0], y[0]), (x[1], y[1])] if a == b else [(x[0], y[1])] if int(a) == 2 * int(b) else [(x[1], y[0])] if int(b) == 2 * int(a) else []
+
+    def one(s, t):
+        lcs = [0] * (len(t) + 1)
+        for u in s:
+            before = 0
+            for j, v in enumerate(t, 1):
+                before, lcs[j] = lcs[j], before + 1 if u == v else max(lcs[j], lcs[j - 1])
+        m = min(7, len(s), len(t))
+        if not s or not t:
+            return float(s == t)
+        return 2 * lcs[-1] / (len(s) + len(t)) if any(s[i : i + m] in t for i in range(len(s) - m + 1)) else 0.0
+
+    return max((one(s, t) for s, t in pairs), default=0.0)
+
+
+def test_fingerprints_one_by_one(spark):
+    """Signatures piece by piece and likenesses by dynamic programming, with tied and null ids."""
+    rnd = random.Random(21)
+    texts = ["".join(rnd.choice("abcde \n") for _ in range(rnd.randrange(0, 900))) for _ in range(14)] + [None, "", "short", "same line\n" * 130]
+    texts += [texts[0], texts[3] + " tail"]
+    rows = [(None if i == 5 else i // 2 * 2 if i in (8, 9) else i, t) for i, t in enumerate(texts)]
+    got = fingerprints.edit_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    known = {}
+    for t in texts:
+        raw = (t or "").encode()
+        if not raw:
+            known[t or ""] = "3::"
+            continue
+        k = next(k for k in range(31) if naive_signature(raw, k)[0] <= fingerprints.PIECES - 1)
+        known[t] = f"{3 << k}:{naive_signature(raw, k)[1]}:{naive_signature(raw, k + 1)[1]}"
+    own = Counter((r.doc_id, r.fingerprint) for r in got)
+    assert own == Counter((i, known[t or ""]) for i, t in rows)
+    ring = sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0])
+    order = {r[0]: k for k, r in enumerate(ring)}
+    for r in got:
+        assert r.near_edited == pytest.approx(naive_likeness(r.fingerprint, r.edited_fingerprint))
+        if r.doc_id in (None, 8, 10) or Counter(i for i, _ in rows)[r.doc_id] > 1:
+            continue  # what follows a tied id is either of its rows
+        after = ring[order[r.doc_id] + 1] if order[r.doc_id] + 1 < len(ring) else next(x for x in rows if x[0] is None)
+        if Counter(i for i, _ in rows)[after[0]] == 1:
+            assert r.near_next == pytest.approx(naive_likeness(r.fingerprint, known[after[1] or ""]))
+
+
 def test_likeness_is_indel_distance():
     rnd = random.Random(2)
     for _ in range(50):
@@ -218,15 +291,64 @@ def test_split_sends_equal_windows_alike():
                 assert [(x[0], x[2]) for x in alone] == [(key, place - k)]
 
 
-def test_suffix_order_random(monkeypatch):
+def common_prefix(x, i, j):
+    k = 0
+    while max(i, j) + k < len(x) and x[i + k] == x[j + k]:
+        k += 1
+    return k
+
+
+@pytest.mark.parametrize("memory", [1 << 40, 40, 7])
+def test_suffix_order_random(memory):
+    """Order and common prefixes, up to any depth, also with queues and texts on disk and names sorted by recursion."""
     import numpy as np
 
+    from papyra.llm.suffix_order import suffix_order
+
     rnd = random.Random(3)
-    for disk in (1 << 60, 0):
-        monkeypatch.setattr(suffix_dedup, "ON_DISK", disk)
-        for _ in range(100):
-            x = [rnd.randrange(1, rnd.choice([2, 3, 27]) + 1) for _ in range(rnd.randrange(1, 150))]
-            assert suffix_dedup.suffix_order(np.array(x), len(x) + 1).tolist() == sorted(range(len(x) + 1), key=lambda i: (x + [0])[i:])
+    for turn in range(150):
+        kinds = rnd.choice([1, 2, 3, 27])
+        x = [rnd.randrange(1, kinds + 1) for _ in range(rnd.randrange(0, 150))]
+        if turn % 3 == 0:
+            x = (x * 3)[:200]
+        y = [*x, 0]
+        order, common = suffix_order(np.array(x, np.int32), len(y), memory)
+        assert list(order) == sorted(range(len(y)), key=lambda i: y[i:])
+        assert list(common) == [0] + [common_prefix(y, i, j) for i, j in zip(order, order[1:])]
+        depth = rnd.randrange(1, 12)
+        order, common = suffix_order(np.array(x, np.int32), depth, memory)
+        assert sorted(order) == list(range(len(y))) and all(y[i : i + depth] <= y[j : j + depth] for i, j in zip(order, order[1:]))
+        assert list(common) == [0] + [min(depth, common_prefix(y, i, j)) for i, j in zip(order, order[1:])]
+
+
+def test_shard_larger_than_memory(monkeypatch):
+    """A shard of some 30 KB with 500 items of memory: queues spill, names recurse, and repeats are those of brute force."""
+    from papyra.llm import suffix_order
+
+    rnd = random.Random(31)
+    passage = bytes(rnd.randrange(97, 123) for _ in range(90))
+    stretches = [bytes(rnd.randrange(97, 123) for _ in range(rnd.randrange(40, 400))) for _ in range(100)]
+    stretches = [s[: len(s) // 2] + passage[k % 50 :] + s[len(s) // 2 :] if k % 3 == 0 else s for k, s in enumerate(stretches)] + [b"ab" * 60, b"\0" * 80]
+    spills = []
+    keep = suffix_order.Queue.spill
+    monkeypatch.setattr(suffix_order.Queue, "spill", lambda self: spills.append(self.held) or keep(self))
+    windows = [len(s) - 40 + 1 for s in stretches]
+    got = suffix_dedup.repeated_windows(stretches, windows, 40, memory=500)
+    times = Counter(s[k : k + 40] for s in stretches for k in range(len(s) - 39))
+    assert [list(h) for h in got] == [[times[s[k : k + 40]] > 1 for k in range(len(s) - 39)] for s in stretches]
+    assert len(spills) > 20 and max(spills) <= 500 + max(map(len, stretches)) * 30
+
+
+def test_suffix_dedup_with_little_memory(spark):
+    """Repeated and null doc_ids, NUL bytes, and sorting with hardly any memory."""
+    rnd = random.Random(8)
+    letters = lambda n: "".join(rnd.choice("abcd\0") for _ in range(n))
+    shared = letters(700)
+    rows = [(k // 2 if k < 20 else None, letters(rnd.randrange(0, 300)) + (shared[: rnd.randrange(350, 700)] if k % 2 else "") + letters(rnd.randrange(0, 300))) for k in range(26)]
+    want = removed_by_brute_force([t for _, t in rows], 400)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(frame, memory=300).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((i, *w)) for (i, _), w in zip(rows, want, strict=True))
 
 
 def test_token_files(spark, docs, rows, empty):
@@ -401,6 +523,78 @@ def test_quality(spark, docs, rows, empty):
     assert {r.score for r in quality.score(docs, constant).collect()} == {0.5}
 
 
+def naive_features(text):
+    """FEATURES of one text, one by one."""
+    import math
+
+    raw = (text or "").encode()
+    n = len(raw)
+    if not n:
+        return [0.0] * len(quality.FEATURES)
+    share = lambda keep: sum(map(keep, raw)) / n
+    chars = lambda s: lambda b: b in s
+    words = [w.lower() for w in re.split(rb"[\x20\x09-\x0d]+", raw) if w]
+    counts, lines = Counter(raw), raw.split(b"\n")
+    signs = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    upper, lower, high = (sum(map(keep, raw)) for keep in (lambda b: 65 <= b <= 90, lambda b: 97 <= b <= 122, lambda b: b >= 128))
+    times = Counter(words)
+    pairs = len({(a, b) for a, b in zip(words, words[1:])}) / max(len(words) - 1, 1)
+    fives = len({tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}) if words else 0
+    spaces = sum(b in b" \t\r\x0b\x0c\n" for b in raw)
+    out = [math.log1p(n), upper / n, lower / n, share(lambda b: 48 <= b <= 57), share(chars(b" \t\r\x0b\x0c")), share(chars(b"\n")), share(chars(signs)), high / n]
+    out += [share(chars(b"!")), share(chars(b"|")), share(chars(b".")), share(chars(b",")), share(lambda b: b < 9 or 14 <= b < 32), share(chars(b"/@")), share(chars(b"<>{}[]()"))]
+    out += [-sum(c / n * math.log2(c / n) for c in counts.values()), upper / max(upper + lower + high, 1), math.log1p(len(words)), (n - spaces) / max(len(words), 1)]
+    out += [len(times) / max(len(words), 1), max(times.values(), default=0) / max(len(words), 1), pairs, fives / max(len(words) - 4, 1)]
+    out += [math.log1p(len(lines)), math.log1p(n / len(lines)), len(set(lines)) / len(lines), sum(len(x) < 25 for x in lines) / len(lines), sum(x[-1:] in (b".", b"!", b"?") for x in lines) / len(lines)]
+    return [*out, raw.count(b"|") / max(len(words), 1), raw.count(b"!") / max(len(words), 1)]
+
+
+def test_quality_features_one_by_one(rows):
+    import numpy as np
+    import pyarrow as pa
+
+    from papyra.llm.common import text_bytes
+
+    texts = [r[1] for r in rows] + ["A.\nB! c|d\n\n/x@y <z>", "One two one TWO three", "\x01\x02 é"]
+    got = quality.features(*text_bytes(pa.array(texts)))
+    for text, x in zip(texts, got, strict=True):
+        want = naive_features(text)
+        assert np.allclose(x, want), (text, [(f, a, b) for f, a, b in zip(quality.FEATURES, x, want, strict=True) if abs(a - b) > 1e-8])
+
+
+def test_quality_trees_one_by_one():
+    """The flattened traversal gives what walking each tree node by node gives."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5))
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float), trees=12, depth=3)
+
+    def walk(row):
+        total = model.base
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(model.score(x), [walk(r) for r in x])
+    assert ((model.score(x) > 0.5) == (x[:, 0] + x[:, 1] * x[:, 2] > 0)).mean() > 0.8
+
+
+def test_quality_bounds_repeated_ids(spark, monkeypatch):
+    """Rows of one id train once, however many there are; each is scored."""
+    seen = []
+    keep = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(y)) or keep(x, y))
+    free = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    frame = spark.createDataFrame([(i, f"text {i} {k}") for i in free[:10] for k in range(50)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in free], "doc_id long, quality int, toxic int")
+    assert quality.score(frame, quality.train(frame, labels)).count() == 501
+    assert seen == [10]
+
+
 def test_quality_learns_nothing_from_held_out_labels(spark):
     frame = spark.createDataFrame([(i, "A" * (i % 7) + " text") for i in range(100)], "doc_id long, text string")
     labels = lambda flip: spark.createDataFrame([(i, (i % 2) ^ (flip and zlib.crc32(str(i).encode()) % 3 == 1), 0) for i in range(100)], "doc_id long, quality int, toxic int")

@@ -39,6 +39,18 @@ def test_range_join(spark, block):
     assert got == {i: (links[i], label[i], label[i] == i) for i, _ in rows}
 
 
+def test_pivots_follow_the_input():
+    assert [embedding_join.pivot_count(n) for n in (0, 10_000, 4096 * 50, 10**9)] == [16, 16, 50, 1024]
+    # On clustered vectors a vector goes to few cells, however many there are; one cell at least, its own.
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(200, 32)) * 4
+    x = np.concatenate([c + rng.normal(size=(20, 32)) * 0.1 for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for n in (16, 64, 200):
+        _, reach = embedding_join.Cells(embedding_join._farthest(x, n), 0.9).home(x)
+        assert reach.sum(1).min() == 1 and reach.sum(1).mean() < 3
+
+
 def test_range_join_empty(spark):
     assert embedding_join.range_join(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
