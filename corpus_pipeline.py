@@ -1,4 +1,11 @@
-"""Corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, mixing, SentencePiece encoding."""
+"""Corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, mixing, SentencePiece encoding.
+
+Each stage takes the documents that its predecessor kept (COLUMNS; others are left out, as names of their own would clash
+with what operators add) and, but for the last, returns the same columns. Nulls: a null text is an empty text to the
+classifier, the mix and the encoder, stays null in the line stage, and is a document without words to the join, where it
+stays; rows of null doc_id, source or lang are rows like others. Empty texts are scored, kept by the join, and have no
+tokens. Equal rows count once after the join. An empty table gives an empty one of the same columns.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +18,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the stage's own labelled input, doesn't reject."""
+    """Documents that the classifier, trained on the stage's own labelled input, doesn't reject: a score of 0.5 stays.
+
+    Without labels, or with labels of one kind, the score is a constant (0.5 without any), which rejects nothing or all.
+    """
     from papyra.llm.quality import score, train
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -19,7 +29,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of two lines or more that stand elsewhere already."""
+    """All documents, without the passages of two lines or more that stand elsewhere already; n_chars is the new length.
+
+    A text that is all repeats becomes empty and stays; of ties, rows of one doc_id, each keeps its own first place.
+    """
     from papyra.llm.line_dedup import dedup_passages
 
     return dedup_passages(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -53,7 +66,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of each document, and digests of ids and decoded text."""
+    """SentencePiece ids of each document, and digests of ids and decoded text: a row for each row of docs."""
     import public_tokenizers
 
     from papyra.llm.pieces import encode_documents
