@@ -88,6 +88,34 @@ def test_shingle_join(spark, docs, rows, empty, monkeypatch):
     assert {r.doc_id: r.component_id for r in shingle_join.shingle_classes(docs).collect()} == label
 
 
+def test_shingle_join_holds_many_of_a_shingle(spark, monkeypatch):
+    """A shingle of many sets in a flush travels once; small flushes, rows of one id with several texts, another order of
+    rows and long texts give the same classes."""
+    rnd = random.Random(19)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for _ in range(70):
+        w = list(base)
+        for _ in range(rnd.randrange(0, 9)):
+            w[rnd.randrange(60)] = f"x{rnd.randrange(500)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"v{rnd.randrange(5000)}" for _ in range(9000))] * 2
+    texts.append(texts[-1] + " more words than the other")
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[60]), (4, "other words of an id that is there already")]
+    numbered = [(k, t) for k, (_, t) in enumerate(rows)]
+    _, label, linked = jaccard_classes(numbered)
+    assert len(linked) > 60 and len(set(label.values())) > 5
+    least = {}
+    for k, c in label.items():
+        least[c] = min(least.get(c, 1 << 60), rows[k][0])
+    want = sorted((rows[k][0], least[c]) for k, c in label.items())
+    for flush in (2_000_000, 300):
+        monkeypatch.setattr(shingle_join, "FLUSH", flush)
+        for parts in (1, 4):
+            frame = spark.createDataFrame(rows[::-1] if parts == 4 else rows, "doc_id long, text string").repartition(parts)
+            assert sorted((r.doc_id, r.component_id) for r in shingle_join.shingle_classes(frame).collect()) == want
+
+
 def test_shingle_join_null_and_repeated_ids(spark):
     t = " ".join(f"w{k}" for k in range(40))
     frame = spark.createDataFrame([(None, t), (None, t), (7, t), (7, t), (3, t + " x"), (None, "alone by itself")], "doc_id long, text string")
