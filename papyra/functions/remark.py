@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..catalog import MERGED_REMARK, PARTY_ADDRESS, PARTY_BANK, PARTY_CODES, PARTY_NAMES, RAW_REMARK, REGION_REMARK, TEXT_REMARK
-from .text import FLAGS, collapse_cjk, first_of, strip
+from .text import FLAGS, collapse_cjk, first_of, let, strip
 
 _PUNCTUATION = r"^[;；：:，,。.、\s]+$"
 
@@ -34,35 +34,50 @@ def _joined(parts: dict[str, Column]) -> Column:
 
 def distinct_parts(parts: Column) -> Column:
     """Parts that differ in more than colons, semicolons and white space from all before them."""
-    keys = F.transform(parts, lambda p: F.regexp_replace(p, FLAGS + r"[：:;\s]", ""))
-    return F.filter(parts, lambda p, k: F.array_position(keys, F.get(keys, k)) == k + 1)
+
+    def first(keyed: Column) -> Column:
+        keys = F.transform(keyed, lambda x: x["key"])
+        return F.transform(F.filter(keyed, lambda x, k: F.array_position(keys, x["key"]) == k + 1), lambda x: x["part"])
+
+    return let(F.transform(parts, lambda p: F.struct(p.alias("part"), F.regexp_replace(p, FLAGS + r"[：:;\s]", "").alias("key"))), first)
 
 
 def finished(parts: Column) -> Column:
     """A remark of its distinct parts; null if nothing of more than one character is left."""
     built = F.regexp_replace(F.array_join(distinct_parts(parts), "; "), FLAGS + r"^[;；\s]+|[;；\s]+$", "")
-    return F.when(F.length(built) > 1, built)
+    return let(built, lambda x: F.when(F.length(x) > 1, x))
+
+
+def _parts(text: Column) -> Column:
+    dot_all = "(?s)" + FLAGS
+    found = {name: F.coalesce(*(_found(text, p, dot_all if name in ("收款人", "复核人") else FLAGS) for p in patterns)) for name, patterns in TEXT_REMARK.items()}
+    cleaned = {"账期": _period, "人工备注": lambda c: let(strip(c), _solid), "收款人": lambda c: let(c, _solid), "复核人": lambda c: let(c, _solid)}
+
+    def labelled(name: str) -> Column:
+        value = cleaned[name](found[name]) if name in cleaned else found[name]
+        return let(value, lambda v: F.when(v.isNotNull(), F.concat(F.lit(f"{name}："), v)))
+
+    return F.array_compact(F.array(*map(labelled, found)))
+
+
+def _raw(text: Column) -> Column:
+    raw = F.regexp_replace(strip(_found(text, RAW_REMARK, "(?s)" + FLAGS)), FLAGS + r"\s+", " ")
+    return let(raw, lambda x: F.when(F.length(x) > 1, x))
 
 
 def remark_parts(full_text: Column) -> Column:
     """The labelled parts that a whole text names, in order."""
-    text, dot_all = collapse_cjk(full_text), "(?s)" + FLAGS
-    found = {name: F.coalesce(*(_found(text, p, dot_all if name in ("收款人", "复核人") else FLAGS) for p in patterns)) for name, patterns in TEXT_REMARK.items()}
-    found["账期"] = _period(found["账期"])
-    found["人工备注"] = _solid(strip(found["人工备注"]))
-    found |= {name: _solid(found[name]) for name in ("收款人", "复核人")}
-    return _labelled(found)
+    return let(collapse_cjk(full_text), _parts)
 
 
 def raw_remark(full_text: Column) -> Column:
     """What follows the remark's label, in one line; null if it has no more than one character."""
-    raw = F.regexp_replace(strip(_found(collapse_cjk(full_text), RAW_REMARK, "(?s)" + FLAGS)), FLAGS + r"\s+", " ")
-    return F.when(F.length(raw) > 1, raw)
+    return let(collapse_cjk(full_text), _raw)
 
 
 def text_remark(full_text: Column) -> Column:
     """The remark of a whole text by its labelled parts, or else what follows the label; null if neither is there."""
-    return F.coalesce(finished(remark_parts(full_text)), raw_remark(full_text))
+    return let(collapse_cjk(full_text), lambda t: F.coalesce(finished(_parts(t)), _raw(t)))
 
 
 def region_remark(text: Column) -> Column:

@@ -18,6 +18,11 @@ def java_replacement(replacement: str | None) -> str:
     return re.sub(r"\\(\d)|([$\\])", lambda m: f"${m[1]}" if m[1] else "\\" + m[2], replacement or "")
 
 
+def let(value: Column, body) -> Column:
+    """body of value, evaluated once: what stands in it more than once, or in a lambda, would be worked out as often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, FLAGS + r"^\s+|\s+\z", "")
 
