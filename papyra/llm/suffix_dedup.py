@@ -192,7 +192,10 @@ def suffix_dedup(docs: DataFrame, length: int = 400, hot: int = HOT, memory: int
     texts = signed.groupBy("sig").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one"))
     found = repeated_anchors(signed, length, receivers)
     # A text's copies may be in several map tasks: any one's places are the same text's, but each may know others as repeated.
-    places = found.groupBy("sig").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("places")))).alias("places"))
+    lists = found.groupBy("sig").agg(F.collect_set("places").alias("lists"))
+    # One list, as most have, is in order and distinct already; several are merged by sorting, without comparing all pairs.
+    merge = F.transform(F.array(F.sort_array(F.flatten("lists"))), lambda p: F.filter(p, lambda x, k: (k == 0) | (x["at"] != F.get(p, k - 1)["at"])))
+    places = lists.select("sig", F.when(F.size("lists") == 1, F.get("lists", F.lit(0))).otherwise(F.get(merge, F.lit(0))).alias("places"))
     known = stored(texts.join(places, "sig", "left").where("copies > 1 or places is not null"), "suffix-anchors")
     sources = known.where("places is not null").select(F.col("sig").alias("_sig"), F.col("one").alias("_one"), "places")
     rows = signed.join(sources, F.col("sig") == F.col("_sig")).where(F.col("doc_id").eqNullSafe(F.col("_one"))).select("sig", "text", "places")
