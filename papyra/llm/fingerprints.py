@@ -1,12 +1,15 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A hash rolls over seven bytes; where it plus one is a multiple of the block size 3*2^k, a piece ends. Each piece's
-hash gives one of 64 characters. A document has the smallest block size that gives at most 64 pieces (whatever
-follows the 63rd limit is one piece), and its fingerprint is "block:signature:signature at twice the block".
+hash gives one of 64 characters. A document has the smallest block size that gives at most 64 pieces, or half of it
+where these are under 32 (then whatever follows the 63rd limit is one piece, so that a text of one stretch repeated has
+a signature too), and its fingerprint is "block:signature:signature at twice the block".
 Fingerprints are compared at equal block sizes: 1 - (insertions + deletions) / (both lengths), 0 where no run of seven
 characters (or of the shorter signature, if that is shorter) is common. Equal fingerprints have 1.
 
-Defined results: a null text is an empty text; empty texts have the fingerprint "3::".
+Defined results: a null text is an empty text; empty texts have the fingerprint "3::"; the next document of several rows
+with one doc_id goes by text hash and text; a single row is its own next document; an empty table gives no rows; further
+columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -68,6 +71,7 @@ def fingerprint_rows(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, s
         own, level = own[inside], level[inside]
         counts = np.bincount(level, minlength=32)[::-1].cumsum()[::-1]  # limits at block 3*2^k
         k = int(np.argmax(counts <= PIECES - 1)) if (counts <= PIECES - 1).any() else 30
+        k -= k > 0 and counts[k] + 1 < PIECES // 2
         sizes = []
         for j in (k, k + 1):
             limits = own[level >= j][: PIECES - 1]
@@ -229,8 +233,10 @@ def edit_pairs(docs: DataFrame) -> DataFrame:
     # Two rows a task: the last of each with the first of the next task, and of the last with the first.
     ends = made.where("part is not null").select("doc_id", "part", "at", "text")
     first = ends.where("at = 0").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
-    order = Window.orderBy("part")
-    last = ends.where("at = 1").withColumn("next_part", F.coalesce(F.lead("part").over(order), F.min("part").over(Window.partitionBy())))
+    # The window orders the tasks' numbers alone; texts meet by them.
+    follows = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy()))
+    last = ends.where("at = 1")
+    last = last.join(last.select("part", follows.alias("next_part")), "part")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -214,6 +214,7 @@ def test_fingerprints_one_by_one(spark):
             known[t or ""] = "3::"
             continue
         k = next(k for k in range(31) if naive_signature(raw, k)[0] <= fingerprints.PIECES - 1)
+        k -= k > 0 and naive_signature(raw, k)[0] + 1 < fingerprints.PIECES // 2
         known[t] = f"{3 << k}:{naive_signature(raw, k)[1]}:{naive_signature(raw, k + 1)[1]}"
     own = Counter((r.doc_id, r.fingerprint) for r in got)
     assert own == Counter((i, known[t or ""]) for i, t in rows)
@@ -228,6 +229,17 @@ def test_fingerprints_one_by_one(spark):
             assert r.near_next == pytest.approx(naive_likeness(r.fingerprint, known[after[1] or ""]))
 
 
+def test_fingerprints_of_repeated_lines():
+    """A text of one stretch repeated keeps a signature, and half of it edited away leaves a likeness."""
+    for times in (64, 130, 1000):
+        text = "the same line stands here again\n" * times
+        other = "".join(random.Random(times).choice("abcdefgh \n") for _ in range(len(text)))
+        changed = fingerprints.edited(text, other)
+        first, second = fingerprints.fingerprints([text, changed])
+        assert len(first[1]) >= fingerprints.PIECES // 2
+        assert fingerprints.compare([first], [second])[0] > 0.25
+
+
 def test_likeness_is_indel_distance():
     rnd = random.Random(2)
     for _ in range(50):
