@@ -748,6 +748,34 @@ def test_passages_brute_force(spark, empty):
     assert line_dedup.dedup_passages(empty).count() == 0
 
 
+def test_line_chunks_one_by_one(spark):
+    """Limits line by line in Python, from hashes alone; text put in front shifts them; the passages don't depend on them."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(8)
+    lines = [[f"{rnd.randrange(60)} line" for _ in range(n)] for n in (0, 1, 2, 3, 40, 90)]
+    lines.append(["put", "in", "front", *lines[-1]])
+    frame = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.c for r in frame.select("doc_id", line_dedup._line_chunks(F.col("text"), 3, True).alias("c")).collect()}
+    known = sorted({v for x in lines for v in x} | {""})
+    line_hash = {r.v: r.h for r in spark.createDataFrame([(v,) for v in known], "v string").select("v", F.xxhash64("v").alias("h")).collect()}
+    pairs = sorted({(line_hash[a], line_hash[b]) for x in lines for a, b in zip(x, x[1:])})
+    hit = {(r.a, r.b): r.h % 3 == 0 for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    for i, x in enumerate(lines):
+        x = x or [""]
+        h = [line_hash[v] for v in x]
+        ends = [k for k in range(2, len(x)) if hit[h[k - 2], h[k - 1]] and not (k > 2 and hit[h[k - 3], h[k - 2]])]
+        limits = [0, *ends, len(x)]
+        want = [(a, h[a:b], h[b] if b < len(h) else None, "\n".join(x[a:b])) for a, b in zip(limits, limits[1:]) if b - a > 1]
+        assert [(c.s, c.h, c.next, c.body) for c in got[i]] == want
+    assert {c.body for c in got[5][1:]} <= {c.body for c in got[6]}
+    rows = [(i, "\n".join(rnd.choice(lines)[rnd.randrange(3) :] + [f"own {i}"] + rnd.choice(lines))) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: kept for (i, _), (kept, _) in zip(rows, passages_by_brute_force(rows), strict=True)}
+    for modulus in (1, 2, 1000):
+        assert {r.doc_id: r.text for r in line_dedup.dedup_passages(frame, modulus).collect()} == want
+
+
 def test_lines_that_share_a_hash(spark, monkeypatch):
     """With a hash of seven values most lines share theirs: pairs and chunks are still told apart by their bytes."""
     from pyspark.sql import functions as F
