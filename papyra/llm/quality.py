@@ -52,7 +52,6 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n_words = np.diff(first)
     _, fives = shingle_sets(data, offsets)
     more = np.zeros((rows, 7))
-    breaks = np.flatnonzero(data == 10)
     for i in range(rows):
         own = w[first[i] : first[i + 1]]
         if len(own):
@@ -64,7 +63,6 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         more[i, 3], more[i, 4] = len(lines), len(set(lines)) / len(lines)
         more[i, 5] = sum(len(x) < 25 for x in lines) / len(lines)
         more[i, 6] = sum(x[-1:] in b".!?" and x != b"" for x in lines) / len(lines)
-    del breaks
     letters = np.maximum(named[:, 0] + named[:, 1] + named[:, 6], 1)
     per_word = np.maximum(n_words, 1)
     columns = [np.log1p(sizes), *(named / per).T, entropy, named[:, 0] / letters, np.log1p(n_words), (sizes - named[:, 3] - named[:, 4]) / per_word, more[:, 0], more[:, 1], more[:, 2], np.diff(fives) / np.maximum(n_words - 4, 1), np.log1p(more[:, 3]), np.log1p(sizes / np.maximum(more[:, 3], 1)), more[:, 4], more[:, 5], more[:, 6], named[:, 8] / per_word, named[:, 7] / per_word]
