@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step handles; longer texts are steps of their own.
 STEP_BYTES = 1 << 20
@@ -101,6 +102,53 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def ranked(df: DataFrame, group: str, order: tuple[str, ...], name: str, running: str | None = None) -> DataFrame:
+    """df, written to the shared folder, with _index long (a row's place in its group by order, from 0) and _size long
+    (the group's rows); with running, a long column without nulls, also _before (its sum over earlier rows of the group)
+    and _whole (over the group). Nulls of group are one group.
+
+    Rows are dealt by ranges of (group, order), equal rows by their place in the input, so that a group of any size
+    spreads; a row's place is its place among its partition's rows plus the counts of earlier partitions, of which there
+    is one row for each group of a partition.
+    """
+    spread = df.withColumn("_tie", F.monotonically_increasing_id())
+    keys = [group, *order, "_tie"]
+    rows = spread.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
+    if running:
+        schema = T.StructType([*rows.schema.fields, T.StructField("_sum", T.LongType())])
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0
+            for b in batches:
+                ends = total + np.cumsum(np.asarray(b.column(b.schema.get_field_index(running)), np.int64))
+                values = np.concatenate(([total], ends[:-1])) if len(ends) else ends
+                total = int(ends[-1]) if len(ends) else total
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.int64())], names=[*b.schema.names, "_sum"])
+
+        rows = rows.mapInArrow(freed(summed), schema)
+    table = stored(rows.withColumn("_m", F.monotonically_increasing_id()), name).withColumn("_part", F.shiftright("_m", 33))
+    sums = [F.min("_sum").alias("_sum0"), F.sum(running).alias("_all")] if running else []
+    parts = table.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_of")).agg(F.min("_m").alias("_m0"), F.count("*").alias("_n"), *sums)
+    whole = Window.partitionBy("_group")
+    earlier = whole.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"_offset": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_size": F.sum("_n").over(whole)})
+    if running:
+        parts = parts.withColumns({"_offset_sum": F.coalesce(F.sum("_all").over(earlier), F.lit(0)), "_whole": F.sum("_all").over(whole)})
+    j = table.join(parts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
+    extra = [(F.col("_sum") - F.col("_sum0") + F.col("_offset_sum")).alias("_before"), "_whole"] if running else []
+    return j.select(*df.columns, (F.col("_m") - F.col("_m0") + F.col("_offset")).alias("_index"), "_size", *extra)
+
+
+def numbered(df: DataFrame, name: str, number: str) -> DataFrame:
+    """df, written to the shared folder, with dense numbers from 0; the offsets of its partitions are a row a partition."""
+    table = stored(df.withColumn("_m", F.monotonically_increasing_id()), name).withColumn("_part", F.shiftright("_m", 33))
+    parts = table.groupBy(F.col("_part").alias("_of")).count()
+    before = Window.partitionBy(F.lit(0)).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_of", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    j = table.join(F.broadcast(offsets), F.col("_part") == F.col("_of"))
+    return j.select(*df.columns, (F.col("_m") - F.shiftleft("_part", 33) + F.col("_offset")).alias(number))
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a, b of one ordered type): rows (id, component), component the smallest id reachable.
 

@@ -84,7 +84,40 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("removed_lines").cast("long").alias("removed_lines"), F.col("removed_chunks").cast("long").alias("removed_chunks"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shingle_join, op2_fingerprints, op3_suffix_dedup, op4_embedding_dedup, op5_token_output, op6_sentencepiece, op7_license_scan, op8_quality_classifier, op9_mixing, op10_line_dedup)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest, verified
+
+    chars = F.col("n_chars").cast("long")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, chars + 1).otherwise(chars)
+    return verified(manifest(_read(spark, sf_dir, "documents"), changed={"n_chars": tampered}))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie, rebuilt, turns_of
+
+    conv = F.col("conv")
+    turns = turns_of(_read(spark, sf_dir, "conversations"))
+    return prefix_trie(rebuilt(turns, base=conv - conv % 100, head=F.crc32(conv.cast("string")) % 6, most=5))
+
+
+def op13_top_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .top_search import search
+
+    return search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+_ALL = (
+    op1_shingle_join, op2_fingerprints, op3_suffix_dedup, op4_embedding_dedup, op5_token_output, op6_sentencepiece, op7_license_scan,
+    op8_quality_classifier, op9_mixing, op10_line_dedup, op11_merkle_manifest, op12_prefix_trie, op13_top_search,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL where it can express a query.
-ORACLE_SQL: dict[str, str] = {"op1_shingle_join": oracles.SHINGLES, "op4_embedding_dedup": oracles.EMBEDDINGS, "op7_license_scan": oracles.licenses()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_shingle_join": oracles.SHINGLES,
+    "op4_embedding_dedup": oracles.EMBEDDINGS,
+    "op7_license_scan": oracles.licenses(),
+    "op11_merkle_manifest": oracles.MERKLE,
+    "op12_prefix_trie": oracles.TRIE,
+    "op13_top_search": oracles.TOP,
+}
