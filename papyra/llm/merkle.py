@@ -109,35 +109,41 @@ def build(leaves: DataFrame, arity: int = 2, levels: int = LEVELS) -> tuple[list
     return inputs, nodes, out
 
 
-def siblings(leaves: DataFrame, nodes: DataFrame, arity: int, levels: int, payload: tuple[str, ...]) -> DataFrame:
-    """leaves (tree, index, count, payload) with cell, place, slots (own place in each level's run) and path: for each level
-    of the tier the arity - 1 siblings from left to right, null where the last run is shorter.
+def _slots(arity: int, levels: int) -> Column:
+    """Own place in the run of each level of the tier, for rows of _cell."""
+    return F.transform(_levels(), lambda j: _up(F.col("place"), j, arity, levels) % arity)
+
+
+def _levels() -> Column:
+    return F.when(F.col("steps") > 0, F.sequence(F.lit(0), F.col("steps") - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _up(x: Column, j: Column, arity: int, levels: int) -> Column:
+    """x div arity ** j."""
+    return F.floor(x / F.get(F.array(*(F.lit(arity**k) for k in range(levels + 1))), j)).cast("int")
+
+
+def siblings(leaves: DataFrame, nodes: DataFrame, arity: int, levels: int) -> DataFrame:
+    """(tree, cell, place, path) of leaves (tree, index, count) with levels in this tier: for each level the arity - 1
+    siblings from left to right, null where the last run is shorter.
 
     Each leaf explodes the coordinates of its siblings; these rows meet the nodes in an equi-join and are put in order.
     """
-    powers = F.array(*(F.lit(arity**k) for k in range(levels + 1)))
-    up = lambda x, j: F.floor(x / F.get(powers, j)).cast("int")
-    # ceil((here) / arity ** j) nodes stand at level j of the cell.
-    wide = lambda j: F.floor((F.col("here") + F.get(powers, j) - 1) / F.get(powers, j)).cast("int")
-    level = F.when(F.col("steps") > 0, F.sequence(F.lit(0), F.col("steps") - 1)).otherwise(F.array().cast("array<int>"))
+    # ceil(here / arity ** j) nodes stand at level j of the cell.
+    wide = lambda j: _up(F.col("here") - 1, j, arity, levels) + 1
 
     def asked(j: Column) -> Column:
-        own = up(F.col("place"), j)
+        own = _up(F.col("place"), j, arity, levels)
         first = F.floor(own / arity).cast("int") * arity
         at = lambda k: F.when(first + k < own, first + k).otherwise(first + k + 1)
-        coordinate = lambda k: F.struct(j.alias("level"), k.alias("k"), F.when(at(k) < wide(j), at(k)).alias("at"))
-        return F.transform(F.sequence(F.lit(0), F.lit(arity - 2)), coordinate)
-
-    rows = _cell(leaves, arity, levels).select("tree", "cell", "place", "here", "steps", *payload).repartition("tree", "cell")
-    slots = F.transform(level, lambda j: up(F.col("place"), j) % arity)
-    asking = rows.select("tree", "cell", "place", *payload, slots.alias("slots"), F.explode_outer(F.flatten(F.transform(level, asked))).alias("_c"))
-    asking = asking.select("tree", "cell", "place", *payload, "slots", F.col("_c.level").alias("level"), F.col("_c.at").alias("at"), F.col("_c.k").alias("k"))
-    known = nodes.where("not top").select("tree", "cell", "level", F.col("place").alias("at"), F.col("digest").alias("_d")).repartition("tree", "cell")
+        return F.transform(F.sequence(F.lit(0), F.lit(arity - 2)), lambda k: F.struct(j.alias("level"), k.alias("k"), F.when(at(k) < wide(j), at(k)).alias("at")))
+
+    rows = _cell(leaves, arity, levels).select("tree", "cell", "place", F.explode(F.flatten(F.transform(_levels(), asked))).alias("_c"))
+    asking = rows.select("tree", "cell", "place", F.col("_c.level").alias("level"), F.col("_c.at").alias("at"), F.col("_c.k").alias("k"))
+    known = nodes.where("not top").select("tree", "cell", "level", F.col("place").alias("at"), "digest")
     found = asking.join(known, ["tree", "cell", "level", "at"], "left")
-    entry = F.when(F.col("level").isNotNull(), F.struct("level", "k", F.lower(F.hex("_d")).alias("d")))
-    kept = [F.first(c).alias(c) for c in (*payload, "slots")]
-    path = F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["d"])
-    return found.groupBy("tree", "cell", "place").agg(*kept, path.alias("path"))
+    entries = F.sort_array(F.collect_list(F.struct("level", "k", "digest")))
+    return found.groupBy("tree", "cell", "place").agg(F.transform(entries, lambda x: F.lower(F.hex(x["digest"]))).alias("path"))
 
 
 def fold(leaf: Column, path: Column, slots: Column, arity: int = 2) -> Column:
@@ -164,8 +170,10 @@ def _paths(inputs: list[DataFrame], nodes: list[DataFrame], ends: DataFrame, ari
         last = ends.where(F.col("tier") == tier).select("tree", F.lit(0).cast("long").alias("cell"), *(F.col(c).alias(f"_{c}") for c in extra))
         above = last if above is None else above.unionByName(last)
         own = payload if tier == 0 else ("index",)
-        found = siblings(inputs[tier], nodes[tier], arity, levels, own).join(above, ["tree", "cell"])
-        joined = found.select("tree", *own, F.concat("path", "_path").alias("path"), F.concat("slots", "_slots").alias("slots"), *(F.col(f"_{c}").alias(c) for c in extra if c not in ("path", "slots")))
+        leaves = _cell(inputs[tier], arity, levels).select("tree", "cell", "place", _slots(arity, levels).alias("slots"), *own).join(above, ["tree", "cell"])
+        found = leaves.join(siblings(inputs[tier], nodes[tier], arity, levels), ["tree", "cell", "place"], "left")
+        path = F.concat(F.coalesce("path", F.array().cast("array<string>")), "_path")
+        joined = found.select("tree", *own, path.alias("path"), F.concat("slots", "_slots").alias("slots"), *(F.col(f"_{c}").alias(c) for c in extra if c not in ("path", "slots")))
         if tier:
             above = stored(joined.select("tree", F.col("index").alias("cell"), *(F.col(c).alias(f"_{c}") for c in extra)), "merkle-paths")
     return joined

@@ -112,7 +112,7 @@ def test_cells_stay_small(spark):
     assert [x.count() for x in inputs] == [3000, 188, 12] and tops.count() == 1
     for x, n in zip(inputs, nodes, strict=True):
         assert n.groupBy("tree", "cell").count().agg(F.max("count")).first()[0] <= 31
-        assert merkle.siblings(x, n, 2, 4, ("index",)).agg(F.max(F.size("path"))).first()[0] == 4
+        assert merkle.siblings(x, n, 2, 4).agg(F.max(F.size("path"))).first()[0] == 4
 
 
 # ---------------------------------------------------------------- 12
