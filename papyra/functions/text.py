@@ -42,7 +42,7 @@ def norm_invoice_no(c: Column) -> Column:
 
 def norm_amount(c: Column) -> Column:
     """Digits and the first dot."""
-    kept = F.regexp_replace(c, r"[^0-9.]", "")
+    kept = F.regexp_replace(c, FLAGS + r"[^\d.]", "")
     parts = F.split(kept, r"\.", -1)
     return F.when(F.size(parts) > 2, F.concat(parts[0], F.lit("."), F.array_join(F.slice(parts, 2, F.size(parts)), ""))).otherwise(kept)
 

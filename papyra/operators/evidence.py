@@ -1,20 +1,25 @@
-"""Where field values stand on the page: a cascade of strategies, each only for fields that none before has matched."""
+"""Where field values stand on the page: strategies in order, each only for fields that none before has placed.
 
-from __future__ import annotations
+Fields are rows (doc_id, field_key, field_value), blocks (doc_id, ordinal, text) with their polygon `bbox`, or with x_min,
+x_max, y_min, y_max, x_center and y_center. A document's fields and blocks meet once: blocks get their normalised texts,
+their neighbours in reading order and the next total word before the join, so a pair of field and block tells by itself
+which strategies it fits, and all strategies are ranked in one grouping. Everything is dealt by doc_id, one exchange
+for either side.
+"""
 
-import difflib
-from functools import reduce
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..catalog import FIELD_NORMALIZERS, TOTAL_WORDS
-from ..functions.text import contains_any, first_of, norm_amount, norm_check_code, norm_date, norm_default, norm_invoice_no
+from ..functions.similarity import ratio
+from ..functions.text import contains_any, first_of, norm_amount, norm_check_code, norm_date, norm_default, norm_invoice_no, strip
 
 _OWN = {"invoice_no": norm_invoice_no, "amount": norm_amount, "date": norm_date, "check_code": norm_check_code}
-RESULT = ("doc_id", "field_key", "normalized", "ordinal", "snippet", "confidence", "match_type")
+RESULT = ("doc_id", "field_key", "normalized", "ordinal", "snippet", "bbox", "confidence", "match_type")
+STRATEGIES = ("context", "exact", "contains", "fuzzy", "adjacent")
+_KEY = ("doc_id", "field_key", "normalized")
 
 
 def normalized(key: Column, value: Column) -> Column:
@@ -23,106 +28,135 @@ def normalized(key: Column, value: Column) -> Column:
 
 
 def _fields(fields: DataFrame) -> DataFrame:
-    return fields.where(F.trim("field_value") != "").select("doc_id", "field_key", "field_value", normalized(F.col("field_key"), F.col("field_value")).alias("normalized")).where("normalized <> ''")
+    return fields.where(strip(F.col("field_value")) != "").select("doc_id", "field_key", normalized(F.col("field_key"), F.col("field_value")).alias("normalized"))
 
 
-def _result(found: DataFrame, kind: str, confidence: Column) -> DataFrame:
-    return found.select("doc_id", "field_key", "normalized", F.col("b.ordinal").alias("ordinal"), F.col("b.text").alias("snippet"), confidence.cast("double").alias("confidence"), F.lit(kind).alias("match_type"))
+def _located(blocks: DataFrame) -> DataFrame:
+    """blocks with ends (least and greatest x and y of all points), rect (the ends as integers; zeros under four points) and centres."""
+    if "bbox" in blocks.columns:
+        points = F.filter("bbox", lambda p: F.size(p) >= 2)
+        xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
+        mean = lambda c: F.coalesce(F.aggregate(c, F.lit(0.0), lambda a, b: a + b) / F.nullif(F.size(c), F.lit(0)), F.lit(0.0))
+        out = blocks.withColumns({"ends": F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2")), "_whole": F.size("bbox") >= 4, "cx": mean(xs), "cy": mean(ys)})
+    else:
+        out = blocks.withColumns({"ends": F.struct(F.col("x_min").alias("x1"), F.col("y_min").alias("y1"), F.col("x_max").alias("x2"), F.col("y_max").alias("y2")), "_whole": F.lit(True), "cx": F.col("x_center"), "cy": F.col("y_center")})
+    return out.withColumn("rect", F.when(F.col("_whole"), _rect(F.col("ends"))).otherwise(F.array(*[F.lit(0)] * 4)))
 
 
-def context(fields: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Total amounts: the only block of that amount, else the one nearest to a total word within 50, else the lowest."""
-    f = _fields(fields).where("field_key = 'totalAmount'")
-    amounts = blocks.select("doc_id", "ordinal", "text", "y_center", norm_amount(F.col("text")).alias("normalized"))
-    c = f.join(amounts, ["doc_id", "normalized"])
-    words = blocks.where(contains_any(F.lower("text"), TOTAL_WORDS)).select("doc_id", F.col("y_center").alias("wy"))
-    block = F.struct("ordinal", "text")
-    each = c.join(words, "doc_id", "left").groupBy("doc_id", "field_key", "normalized", "ordinal", "text", "y_center").agg(F.min(F.abs(F.col("y_center") - F.col("wy"))).alias("gap"))
-    best = each.groupBy("doc_id", "field_key", "normalized").agg(
-        F.count("*").alias("n"),
-        F.min(F.when(F.col("gap") < 50, F.struct("gap", "ordinal", "text"))).alias("near"),
-        F.max(F.struct("y_center", (-F.col("ordinal")).alias("o"), block.alias("b"))).alias("low"),
-        F.min(block).alias("only"),
-    )
-    pick = F.when(F.col("n") == 1, F.col("only")).when(F.col("near").isNotNull(), F.struct(F.col("near.ordinal"), F.col("near.text"))).otherwise(F.col("low.b"))
-    confidence = F.when(F.col("n") == 1, 0.9).when(F.col("near").isNotNull(), 0.95).otherwise(0.8)
-    return _result(best.withColumn("b", pick), "context", confidence)
+def _rect(ends: Column) -> Column:
+    """[x1, y1, x2, y2], cut to integers; zeros without points."""
+    return F.array(*(F.coalesce(ends[c].cast("int"), F.lit(0)) for c in ("x1", "y1", "x2", "y2")))
 
 
-def exact(fields: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The first block whose text is the value."""
-    b = blocks.select("doc_id", "ordinal", "text", norm_default(F.col("text")).alias("normalized"))
-    return _result(_fields(fields).join(b, ["doc_id", "normalized"]).groupBy("doc_id", "field_key", "normalized").agg(F.min(F.struct("ordinal", "text")).alias("b")), "exact", F.lit(1.0))
+def _runs(gap: float) -> Column:
+    """An array of the runs of two to four neighbouring blocks that begin with b0: k, normalized, text, rect."""
+
+    def near(a: str, b: str) -> Column:
+        r, s = F.col(f"{a}.rect"), F.col(f"{b}.rect")
+        beside, below = F.abs(s[0] - r[2]), F.abs(s[1] - r[3])
+        return F.when(F.abs(F.col(f"{a}.cy") - F.col(f"{b}.cy")) < 30, beside).otherwise(below) <= gap
 
+    runs, fits = [], F.lit(True)
+    for k in (1, 2, 3):
+        fits = fits & F.coalesce(near(f"b{k - 1}", f"b{k}"), F.lit(False))
+        some = range(k + 1)
+        text = F.concat(*(F.coalesce(F.col(f"b{m}.text"), F.lit("")) for m in some))
+        side = lambda f, c: f(*(F.col(f"b{m}.ends.{c}") for m in some))  # noqa: E731, B023
+        ends = F.struct(*(side(F.least if c.endswith("1") else F.greatest, c).alias(c) for c in ("x1", "y1", "x2", "y2")))
+        runs.append(F.when(fits, F.struct(F.lit(k).alias("k"), norm_default(text).alias("normalized"), text.alias("text"), _rect(ends).alias("rect"))))
+    return F.array_compact(F.array(*runs))
+
+
+def _prepared(blocks: DataFrame, strategies: tuple[str, ...], gap: float) -> DataFrame:
+    """A row a block: what each strategy asks of it, worked out before fields meet it."""
+    out = _located(blocks)
+    reading = Window.partitionBy("doc_id").orderBy("cy", "cx", "ordinal")
+    columns = {"solid": norm_default(F.coalesce("text", F.lit("")))}
+    if "contains" in strategies:
+        columns |= {"as_date": norm_date(F.col("text")), "as_code": norm_check_code(F.col("text"))}
+    if "adjacent" in strategies:
+        b = F.struct("text", "rect", "ends", "cy")
+        out = out.withColumns({"b0": b, "i": F.row_number().over(reading), **{f"b{k}": F.lead(b, k).over(reading) for k in (1, 2, 3)}})
+        columns["runs"] = _runs(gap)
+    if "context" in strategies:
+        word = F.when(contains_any(F.lower("text"), TOTAL_WORDS), F.col("cy"))
+        backwards = Window.partitionBy("doc_id").orderBy(F.desc("cy"), F.desc("cx"), F.desc("ordinal"))
+        out = out.withColumns({"_above": F.last(word, ignorenulls=True).over(reading), "_below": F.last(word, ignorenulls=True).over(backwards)})
+        columns |= {"gap": F.least(F.col("cy") - F.col("_above"), F.col("_below") - F.col("cy")), "as_amount": norm_amount(F.coalesce("text", F.lit("")))}
+    kept = ["doc_id", "ordinal", "text", "rect", "cy", *(["i"] if "adjacent" in strategies else [])]
+    return out.select(*kept, *(v.alias(k) for k, v in columns.items()))
+
+
+def match(fields: DataFrame, blocks: DataFrame, strategies: tuple[str, ...] = STRATEGIES, least: float = 0.85, gap: float = 50.0) -> DataFrame:
+    """RESULT of each field that one of the strategies places, by the first that does. bbox is [x1, y1, x2, y2].
+
+    context: a total amount's block of that amount; of several the one nearest to a total word within 50, else the lowest.
+    exact: the first block whose text is the value. contains: the first that holds it, of four characters (two for party
+    names); dates and check codes also by their own form, of four characters. fuzzy: the most similar block of half to twice
+    the length. adjacent: two to four blocks, neighbours in reading order and no farther apart than `gap`, whose texts end
+    to end are the value; the bbox is of all their points. The first is the one of the smallest ordinal.
+    """
+    key, value = F.col("field_key"), F.col("normalized")
+    pairs = _fields(fields).join(_prepared(blocks, strategies, gap), "doc_id")
+    nothing = F.lit(False)
+    n, m = F.length(value), F.length("solid")
+    own = nothing
+    if "contains" in strategies:
+        own = ((key == "invoiceDate") & (F.col("as_date") == value)) | ((key == "checkCode") & (F.col("as_code") == value))
+    fits = {
+        "context": (key == "totalAmount") & (F.col("as_amount") == value) if "context" in strategies else nothing,
+        "exact": F.col("solid") == value if "exact" in strategies else nothing,
+        "contains": (n >= F.when(key.isin("buyerName", "sellerName"), 2).otherwise(4)) & (F.col("solid").contains(value) | F.coalesce(own, nothing)) if "contains" in strategies else nothing,
+        # 2 * min / (n + m) bounds the similarity.
+        "fuzzy": (n >= F.greatest(m, F.lit(1)) * 0.5) & (n <= F.greatest(m, F.lit(1)) * 2) & (2 * F.least(n, m) >= (n + m) * least) if "fuzzy" in strategies else nothing,
+    }
+    run = F.get(F.filter("runs", lambda r: r["normalized"] == value), F.lit(0)) if "adjacent" in strategies else F.lit(None).cast("struct<k:int,normalized:string,text:string,rect:array<int>>")
+    early = first_of([(fits[s], F.lit(k)) for k, s in enumerate(STRATEGIES[:3])], F.lit(None).cast("int"))
+    told = pairs.select(*_KEY, "ordinal", "text", "rect", "cy", "solid", *(c for c in ("gap", "i") if c in pairs.columns), early.alias("early"), fits["fuzzy"].alias("like"), run.alias("run"))
+    told = told.where("early is not null or like or run is not null")
+    # Similarity is worked out for the fields that the first three leave.
+    field = Window.partitionBy(*_KEY)
+    told = told.withColumns({"_first": F.min("early").over(field), "_n": F.sum((F.col("early") == 0).cast("int")).over(field)})
+    told = told.where("early = _first or (_first is null and (like or run is not null))")
+    told = told.withColumn("r", ratio(F.when(F.col("like") & F.col("_first").isNull(), value), F.col("solid"), least) if "fuzzy" in strategies else F.lit(None).cast("double"))
+
+    def found(kind: int, order: tuple, confidence: Column, ordinal="ordinal", text=F.col("text"), rect=F.col("rect")) -> Column:  # noqa: B008
+        return F.struct(F.lit(kind).alias("kind"), order[0].cast("int").alias("o1"), order[1].cast("double").alias("o2"), F.col(ordinal).alias("ordinal"), text.alias("snippet"), rect.alias("bbox"), confidence.cast("double").alias("confidence"))
+
+    zero = F.lit(0)
+    cases = []
+    if "context" in strategies:
+        close = F.coalesce(F.col("gap") < 50, nothing)
+        sure = F.when(F.col("_n") == 1, 0.9).when(close, 0.95).otherwise(0.8)
+        cases.append(F.when(F.col("early") == 0, found(0, (~close, F.when(close, F.col("gap")).otherwise(-F.col("cy"))), sure)))
+    cases += [F.when(F.col("early") == k, found(k, (zero, zero), F.lit(c))) for k, c in ((1, 1.0), (2, 0.9))]
+    cases.append(F.when(F.col("r").isNotNull() & (F.col("r") > 0), found(3, (zero, -F.col("r")), F.col("r"))))
+    if "adjacent" in strategies:
+        cases.append(F.when(F.col("run").isNotNull() & F.col("_first").isNull(), found(4, (zero, F.col("i")), F.lit(0.85), text=F.col("run.text"), rect=F.col("run.rect"))))
+    best = told.select(*_KEY, F.array_min(F.array_compact(F.array(*cases))).alias("m")).groupBy(*_KEY).agg(F.min("m").alias("m")).where("m is not null")
+    names = F.array(*(F.lit(s) for s in STRATEGIES))
+    return best.select(*_KEY, F.col("m.ordinal").alias("ordinal"), F.col("m.snippet").alias("snippet"), F.col("m.bbox").alias("bbox"), F.col("m.confidence").alias("confidence"), F.get(names, F.col("m.kind")).alias("match_type"))
 
-def contains(fields: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The first block that holds the value, of four characters (two for party names); dates and codes also by their own form."""
-    least = F.when(F.col("field_key").isin("buyerName", "sellerName"), 2).otherwise(4)
-    f = _fields(fields).where(F.length("normalized") >= least)
-    b = blocks.select("doc_id", "ordinal", "text", norm_default(F.col("text")).alias("solid"), norm_date(F.col("text")).alias("as_date"), norm_check_code(F.col("text")).alias("as_code"))
-    own = first_of([(F.col("field_key") == "invoiceDate", F.col("as_date") == F.col("normalized")), (F.col("field_key") == "checkCode", F.col("as_code").contains(F.col("normalized")))], F.lit(False))
-    j = f.join(b, "doc_id").where(F.col("solid").contains(F.col("normalized")) | own)
-    return _result(j.groupBy("doc_id", "field_key", "normalized").agg(F.min(F.struct("ordinal", "text")).alias("b")), "contains", F.lit(0.9))
 
+def context(fields: DataFrame, blocks: DataFrame) -> DataFrame:
+    return match(fields, blocks, ("context",))
 
-def ratio(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Ratcliff-Obershelp similarity, null if it is under `least`; two cheaper upper bounds come first."""
 
-    @F.pandas_udf(T.DoubleType())
-    def compared(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> float | None:
-            m = difflib.SequenceMatcher(None, x, y)
-            if m.real_quick_ratio() < least or m.quick_ratio() < least:
-                return None
-            return r if (r := m.ratio()) >= least else None
+def exact(fields: DataFrame, blocks: DataFrame) -> DataFrame:
+    return match(fields, blocks, ("exact",))
 
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return compared(a, b)
+def contains(fields: DataFrame, blocks: DataFrame) -> DataFrame:
+    return match(fields, blocks, ("contains",))
 
 
 def fuzzy(fields: DataFrame, blocks: DataFrame, least: float = 0.85) -> DataFrame:
-    """The most similar block of half to twice the length. Bounds by lengths and by common characters come before the comparison."""
-    f = _fields(fields)
-    b = blocks.select("doc_id", "ordinal", "text", norm_default(F.col("text")).alias("solid")).where("solid <> ''")
-    n, m = F.length("normalized"), F.length("solid")
-    # 2 * min / (n + m) bounds the ratio.
-    j = f.join(b, "doc_id").where((m >= n * 0.5) & (m <= n * 2) & (2 * F.least(n, m) >= (n + m) * least))
-    scored = j.withColumn("r", ratio(F.col("normalized"), F.col("solid"), least)).where(F.col("r") >= least)
-    best = scored.groupBy("doc_id", "field_key", "normalized").agg(F.max(F.struct("r", (-F.col("ordinal")).alias("o"), "text")).alias("m"))
-    return _result(best.withColumn("b", F.struct((-F.col("m.o")).alias("ordinal"), F.col("m.text").alias("text"))), "fuzzy", F.col("m.r"))
+    return match(fields, blocks, ("fuzzy",), least=least)
 
 
 def adjacent(fields: DataFrame, blocks: DataFrame, gap: float = 50.0) -> DataFrame:
-    """Two to four blocks, neighbours in reading order, whose texts end to end are the value."""
-    page = Window.partitionBy("doc_id").orderBy("y_center", "x_center", "ordinal")
-    s = F.struct("ordinal", "text", norm_default(F.col("text")).alias("solid"), "x_min", "x_max", "y_min", "y_max", "y_center")
-    w = blocks.select("doc_id", F.row_number().over(page).alias("i"), s.alias("b0"), *(F.lead(s, k).over(page).alias(f"b{k}") for k in (1, 2, 3)))
-
-    def near(a: str, b: str) -> Column:
-        same_line = F.abs(F.col(f"{a}.y_center") - F.col(f"{b}.y_center")) < 30
-        return F.when(same_line, F.col(f"{b}.x_min") - F.col(f"{a}.x_max") <= gap).otherwise(F.col(f"{b}.y_min") - F.col(f"{a}.y_max") <= gap)
-
-    chains, fits = [], F.lit(True)
-    for k in (1, 2, 3):
-        fits = fits & F.coalesce(near(f"b{k - 1}", f"b{k}"), F.lit(False))
-        chains.append(F.when(fits, F.struct(F.lit(k).alias("k"), F.concat(*(F.col(f"b{m}.solid") for m in range(k + 1))).alias("normalized"), F.array_join(F.array(*(F.col(f"b{m}.text") for m in range(k + 1))), " ").alias("text"))))
-    runs = w.select("doc_id", "i", F.col("b0.ordinal").alias("ordinal"), F.inline(F.array_compact(F.array(*chains))))
-    best = _fields(fields).join(runs, ["doc_id", "normalized"]).groupBy("doc_id", "field_key", "normalized").agg(F.min(F.struct("i", "k", "ordinal", "text")).alias("b"))
-    return _result(best, "adjacent", F.lit(0.85))
+    return match(fields, blocks, ("adjacent",), gap=gap)
 
 
 def cascade(fields: DataFrame, blocks: DataFrame) -> DataFrame:
-    """All fields with a place: context, exact, contains, fuzzy, adjacent, in that order.
-
-    The first three are cheap and look at every field; only what they leave is compared by similarity and by runs of
-    blocks. A field's rows of its first successful strategy stay, so the plan grows with the strategies, not with
-    their combinations.
-    """
-    key = ["doc_id", "field_key"]
-    ranked = lambda k, strategy, over: strategy(over, blocks).withColumn("_rank", F.lit(k))
-    early = reduce(DataFrame.unionByName, (ranked(k, s, fields) for k, s in enumerate((context, exact, contains))))
-    rest = fields.join(early.select(*key), key, "left_anti")
-    found = early.unionByName(ranked(3, fuzzy, rest)).unionByName(ranked(4, adjacent, rest))
-    first = F.min("_rank").over(Window.partitionBy(*key))
-    return found.withColumn("_first", first).where(F.col("_rank") == F.col("_first")).select(*RESULT)
+    return match(fields, blocks)

@@ -604,16 +604,61 @@ def evidence_adjacent(spark, sf):
     return evidence.adjacent(f, _evidence_blocks(spark, sf)).select("doc_id", "ordinal")
 
 
-@query("select doc_id, 'title' as field_key, 'expensoclaim' as normalized, cast(0 as bigint) as ordinal, 'Expense claim' as snippet, cast(22 as double) / cast(24 as double) as confidence, 'fuzzy' as match_type from {fx_docs} where expected = 'EXPENSE'")
+_BOX = ("x1", "y1", "x2", "y2")
+
+
+def _with_box(found):
+    """A result's bbox as four columns, for SQL's sake."""
+    return found.select(*(c for c in found.columns if c != "bbox"), *(F.col("bbox")[k].alias(c) for k, c in enumerate(_BOX)))
+
+
+@query("""select doc_id, 'title' as field_key, 'expensoclaim' as normalized, cast(0 as bigint) as ordinal, 'Expense claim' as snippet,
+  cast(22 as double) / cast(24 as double) as confidence, 'fuzzy' as match_type, 0 as x1, 0 as y1, 300 as x2, 24 as y2 from {fx_docs} where expected = 'EXPENSE'""")
 def evidence_fuzzy(spark, sf):
     f = frame(spark, sf, "fx_docs").where("expected = 'EXPENSE'").select("doc_id", F.lit("title").alias("field_key"), F.lit("Expenso claim").alias("field_value"))
-    return evidence.fuzzy(f, _evidence_blocks(spark, sf))
+    return _with_box(evidence.fuzzy(f, _evidence_blocks(spark, sf)))
 
 
 @query(f"""with b as {_LINES}, f as (select doc_id, 'invoiceNo' as field_key, lpad(cast(doc_id as varchar), 8, '0') as normalized from {{fx_docs}} where expected = 'INVOICE' union all select doc_id, 'contractNo', concat('ht-', doc_id) from {{fx_docs}} where expected = 'CONTRACT')
- select f.doc_id, field_key, normalized, cast(min(line_index) as bigint) as ordinal, arg_min(text, line_index) as snippet, cast(0.9 as double) as confidence, 'contains' as match_type from f join b on b.doc_id = f.doc_id and contains(lower(text), normalized) group by f.doc_id, field_key, normalized""")
+ select f.doc_id, field_key, normalized, cast(min(line_index) as bigint) as ordinal, arg_min(text, line_index) as snippet, cast(0.9 as double) as confidence, 'contains' as match_type,
+   0 as x1, cast(min(line_index) * 40 as int) as y1, 300 as x2, cast(min(line_index) * 40 + 24 as int) as y2 from f join b on b.doc_id = f.doc_id and contains(lower(text), normalized) group by f.doc_id, field_key, normalized""")
 def evidence_match(spark, sf):
-    return evidence.cascade(_evidence_fields(spark, sf), _evidence_blocks(spark, sf))
+    return _with_box(evidence.cascade(_evidence_fields(spark, sf), _evidence_blocks(spark, sf)))
+
+
+_NEAR = lambda a, b: f"""case when abs({a}.y_center - {b}.y_center) < 30 then abs(cast({b}.x_min as int) - cast({a}.x_max as int)) <= 50
+    else abs(cast({b}.y_min as int) - cast({a}.y_max as int)) <= 50 end"""
+
+
+@query(rf"""with b as materialized (select doc_id * 10 + page as doc_id, ordinal, text, x_min, x_max, y_min, y_max, y_center, lower(regexp_replace(text, '\s+', '', 'g')) as solid,
+    regexp_replace(text, '[^0-9.]', '', 'g') as amount, {_any('lower(text)', catalog.TOTAL_WORDS)} as word,
+    row_number() over (partition by doc_id, page order by y_center, x_center, ordinal) as i from {{fx_blocks}}),
+ f as materialized (select doc_id, 'name' as field_key, solid as normalized from b where ordinal = 8
+   union all select doc_id, 'kind', substr(solid, 2, 6) from b where ordinal = 9
+   union all select x.doc_id, 'pair', concat(x.solid, y.solid) from b x join b y on x.doc_id = y.doc_id and x.ordinal = 8 and y.ordinal = 9
+   union all select x.doc_id, 'unit', concat(x.solid, y.solid) from b x join b y on x.doc_id = y.doc_id and x.ordinal = 9 and y.ordinal = 10
+   union all select doc_id, 'totalAmount', amount from b where ordinal = 13 union all select doc_id, 'totalAmount', '200' from b where ordinal = 0),
+ c as (select f.*, b.*, count(*) over (partition by f.doc_id, normalized) as n, (select min(abs(k.y_center - b.y_center)) from b k where k.word and k.doc_id = b.doc_id) as gap
+   from f join b on b.doc_id = f.doc_id and b.amount = f.normalized where field_key = 'totalAmount'),
+ all_found as (
+   select doc_id, field_key, normalized, 0 as rank, row_number() over (partition by doc_id, normalized order by coalesce(gap, 50) >= 50, case when gap < 50 then gap else -y_center end, ordinal) as pick,
+     ordinal, text as snippet, case when n = 1 then 0.9 when gap < 50 then 0.95 else 0.8 end as confidence, 'context' as match_type, x_min as l, y_min as t, x_max as r, y_max as u from c
+   union all select f.doc_id, field_key, normalized, 1, row_number() over (partition by f.doc_id, field_key, normalized order by ordinal), ordinal, text, 1, 'exact', x_min, y_min, x_max, y_max
+     from f join b on b.doc_id = f.doc_id and solid = normalized
+   union all select f.doc_id, field_key, normalized, 2, row_number() over (partition by f.doc_id, field_key, normalized order by ordinal), ordinal, text, 0.9, 'contains', x_min, y_min, x_max, y_max
+     from f join b on b.doc_id = f.doc_id and length(normalized) >= 4 and contains(solid, normalized)
+   union all select f.doc_id, field_key, normalized, 4, row_number() over (partition by f.doc_id, field_key, normalized order by a.i), a.ordinal, concat(a.text, d.text), 0.85, 'adjacent',
+       least(a.x_min, d.x_min), least(a.y_min, d.y_min), greatest(a.x_max, d.x_max), greatest(a.y_max, d.y_max)
+     from f join b a on a.doc_id = f.doc_id join b d on d.doc_id = a.doc_id and d.i = a.i + 1 where concat(a.solid, d.solid) = normalized and {_NEAR('a', 'd')})
+ select doc_id, field_key, normalized, ordinal, snippet, cast(confidence as double) as confidence, match_type, cast(l as int) as x1, cast(t as int) as y1, cast(r as int) as x2, cast(u as int) as y2
+ from (select *, min(rank) over (partition by doc_id, field_key, normalized) as first from all_found) where rank = first and pick = 1""")
+def evidence_cells(spark, sf):
+    """Values of table cells on their page, by all strategies but similarity: in one cell, inside one, over two."""
+    b = blocks(spark, sf).withColumn("doc_id", F.col("doc_id") * 10 + F.col("page"))
+    texts = b.where("ordinal in (8, 9, 10, 13)").groupBy("doc_id").agg(*(F.max(F.when(F.col("ordinal") == k, F.col("text"))).alias(f"t{k}") for k in (8, 9, 10, 13)))
+    pairs = [("name", F.col("t8")), ("kind", F.substring(X.norm_default(F.col("t9")), 2, 6)), ("pair", F.concat("t8", "t9")), ("unit", F.concat("t9", "t10")), ("totalAmount", F.col("t13")), ("totalAmount", F.lit("200"))]
+    fields = texts.select("doc_id", F.inline(F.array(*(F.struct(F.lit(k).alias("field_key"), v.alias("field_value")) for k, v in pairs))))
+    return _with_box(evidence.match(fields, b, ("context", "exact", "contains", "adjacent")))
 
 
 # ---------------------------------------------------------------- model output, tables, envelopes

@@ -106,41 +106,6 @@ def test_text_traced(spark):
     assert value(remark.merge_remarks(F.lit(""), F.lit("x"))) == "x"
 
 
-def test_cascade_equals_brute_force(spark):
-    import difflib
-    import random
-
-    from papyra.operators.evidence import cascade
-
-    random.seed(3)
-    word = lambda n: "".join(random.choice("abc") for _ in range(n))
-    blocks = [(d, k, word(random.randint(3, 9)), 0.0, 90.0, 45.0, 40.0 * k, 40.0 * k + 24, 40.0 * k + 12) for d in range(40) for k in range(5)]
-    texts = {d: [b[2] for b in blocks if b[0] == d] for d in range(40)}
-    fields = []
-    for d in range(40):
-        whole, last = random.choice(texts[d]), random.randint(1, 4)
-        fields += [(d, "a", whole.upper()), (d, "b", whole[1:]), (d, "c", whole[:-1] + "x"), (d, "d", texts[d][last - 1] + " " + texts[d][last]), (d, "e", word(7)), (d, "f", " ")]
-
-    def place(d, value):
-        v, t = value.lower().replace(" ", ""), texts[d]
-        if not v:
-            return None
-        if v in t:
-            return ("exact", t.index(v), 1.0)
-        if len(v) >= 4 and any(v in x for x in t):
-            return ("contains", next(k for k, x in enumerate(t) if v in x), 0.9)
-        near = [(difflib.SequenceMatcher(None, v, x).ratio(), -k) for k, x in enumerate(t) if len(v) / 2 <= len(x) <= 2 * len(v)]
-        if near and max(near)[0] >= 0.85:
-            return ("fuzzy", -max(near)[1], max(near)[0])
-        runs = [k for k in range(len(t)) for n in (2, 3, 4) if k + n <= len(t) and "".join(t[k : k + n]) == v]
-        return ("adjacent", runs[0], 0.85) if runs else None
-
-    want = {(d, k): place(d, v) for d, k, v in fields}
-    got = cascade(spark.createDataFrame(fields, "doc_id long, field_key string, field_value string"), spark.createDataFrame(blocks, "doc_id long, ordinal long, text string, x_min double, x_max double, x_center double, y_min double, y_max double, y_center double")).collect()
-    assert {(r.doc_id, r.field_key): (r.match_type, r.ordinal, r.confidence) for r in got} == {k: v for k, v in want.items() if v}
-    assert len(got) == sum(v is not None for v in want.values()) and {r.match_type for r in got} == {"exact", "contains", "fuzzy", "adjacent"}
-
-
 def test_html_and_model(spark):
     from papyra.operators.ingest import table_rows
 
