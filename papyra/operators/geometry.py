@@ -135,38 +135,88 @@ def vertical_split(blocks: DataFrame) -> DataFrame:
     return each.select(*PAGE, *(F.col("_x._block")[c].alias(c) for c in rest))
 
 
+def _tall_shape(b) -> Column:
+    """What tells a vertical block without its page: higher than twice its width, over two characters of at most two kinds."""
+    kinds = F.size(F.array_distinct(F.split(F.replace(b("text"), F.lit(" "), F.lit("")), "")))
+    return F.coalesce((b("height") > b("width") * 2) & (F.length(b("text")) > 2) & (kinds <= 2), F.lit(False))
+
+
 def row_clusters(blocks: DataFrame) -> DataFrame:
     """blocks with row_index and pos: rows by the running mean of y centres, items by x.
 
-    Vertical blocks are split first, where the columns for it are there. A page's blocks, sorted by (y_center, ordinal),
-    join the current row while within max(half the mean positive height, 5) of its mean, which moves with each. The fold
-    keeps row starts alone; rows are slices of the page's array, so a page is the unit of memory and pages spread over
-    the cluster.
+    A page's blocks, in order of (y_center, ordinal), join the current row while within max(half the mean positive height, 5)
+    of its mean, which moves with each. A block farther than that from the one before it is farther from any mean of those
+    before it, so it always starts a row: windows cut the page into islands there. An island no higher than the
+    limit is a row; in others the mean is folded, which keeps row starts alone. So islands, not pages, are the unit of
+    memory; only a page with a vertical block, whose parts belong to rows all over it, is one island (where the columns for
+    it are there). One exchange, by page.
     """
-    pages, rest = _page_items(blocks)
-    if all(c in rest for c in _SPLIT):
-        pages = pages.withColumn("items", _split_items(F.col("items"), rest))
+    g = with_geometry(blocks) if "x_center" not in blocks.columns else blocks
+    g = g.where("x_center is not null")
+    rest = [c for c in g.columns if c not in PAGE]
+    vertical = all(c in rest for c in _SPLIT)
+    reading = Window.partitionBy(*PAGE).orderBy("y_center", "ordinal")
+    whole = reading.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # A mean in reading order, so that it is the same sum however often it is worked out.
+    high = F.when(F.col("height") > 0, F.col("height")) if "height" in rest else F.lit(None).cast("double")
+    mean = F.coalesce(F.sum(high).over(whole) / F.nullif(F.count(high).over(whole), F.lit(0)), F.lit(20.0))
+    tall = F.max(_tall_shape(F.col)).over(whole) if vertical else F.lit(False)
+    marked = g.withColumns({"_near": F.greatest(mean * 0.5, F.lit(5.0)), "_before": F.lag("y_center").over(reading), "_tall": tall})
+    opens = (~F.col("_tall") & (F.col("y_center") - F.col("_before") > F.col("_near"))).cast("int")
+    marked = marked.withColumn("_island", F.coalesce(F.sum(F.coalesce(opens, F.lit(0))).over(reading), F.lit(0)))
+    plain = not any("map<" in kind or "variant" in kind for _, kind in blocks.dtypes)
+    # By x within the island, which is all that one that is a row needs; _k and _p are for the others.
+    zero = F.lit(0)
+    item = F.struct(F.col("x_center").alias("x"), F.col("y_center").alias("y"), F.col("ordinal").alias("o"), zero.alias("k"), zero.alias("p"), F.struct(*rest).alias("_block"))
+    by_x = F.sort_array(F.collect_list(item)) if plain else F.array_sort(F.collect_list(item), _before(("x", "y", "o")))
+    sums = [F.first(c).alias(c) for c in ("_near", "_tall")]
+    islands = marked.groupBy(*PAGE, "_island").agg(by_x.alias("items"), (F.max("y_center") - F.min("y_center")).alias("_high"), *sums)
+    low = ~F.col("_tall") & (F.col("_high") <= F.col("_near"))
+    parted = islands.withColumn("items", F.when(low, F.col("items")).otherwise(_let(F.struct("items", "_near", "_tall"), lambda i: _parted(i, rest, vertical, plain))))
+    before = Window.partitionBy(*PAGE).orderBy("_island").rowsBetween(Window.unboundedPreceding, -1)
+    counted = parted.withColumns({"_first": F.coalesce(F.sum(F.element_at("items", -1)["k"] + 1).over(before), zero), "_low": low})
+    each = counted.select(*PAGE, "_first", "_low", F.posexplode("items").alias("_at", "_x"))
+    pos = F.when(F.col("_low"), F.col("_at")).otherwise(F.col("_x.p"))
+    return each.select(*PAGE, *(F.col("_x._block")[c].alias(c) for c in rest), (F.col("_first") + F.col("_x.k")).cast("int").alias("row_index"), pos.alias("pos"))
+
+
+def _before(keys: tuple[str, ...]):
+    """A comparison of structs by some of their fields."""
+    first = lambda x: F.struct(*(x[k].alias(k) for k in keys))
+    return lambda x, y: F.when(first(x) < first(y), -1).when(first(x) > first(y), 1).otherwise(0)
+
+
+def _parted(island: Column, rest: list[str], vertical: bool, plain: bool) -> Column:
+    """An island's items row by row, with their row k and place p; vertical blocks are split first, the mean height is then the parts' too."""
+    moved = F.transform(island["items"], lambda x: F.struct(x["y"].alias("y_center"), x["o"].alias("ordinal"), x["_block"].alias("_block")))
+    by_y = F.sort_array(moved) if plain else F.array_sort(moved, _before(("y_center", "ordinal")))
+    if vertical:
+        by_y = _let(by_y, lambda items: F.when(island["_tall"], _split_items(items, rest)).otherwise(items))
+
+    def near(items: Column) -> Column:
+        high = F.transform(F.filter(items, lambda x: x["_block"]["height"] > 0), lambda x: x["_block"]["height"])
+        mean = F.coalesce(F.aggregate(high, F.lit(0.0), lambda a, h: a + h) / F.nullif(F.size(high), F.lit(0)), F.lit(20.0))
+        return F.when(island["_tall"], F.greatest(mean * 0.5, F.lit(5.0))).otherwise(island["_near"])
+
     start = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"))
 
     def rows(page: Column) -> Column:
-        items = page["items"]
-        near = F.greatest(page["mean"] * 0.5, F.lit(5.0))
-
         def step(s: Column, x: Column) -> Column:
-            joins = (s["n"] > 0) & (F.abs(x["y_center"] - s["total"] / F.greatest(s["n"], F.lit(1))) <= near)
+            joins = (s["n"] > 0) & (F.abs(x["y_center"] - s["total"] / F.greatest(s["n"], F.lit(1))) <= page["near"])
             total, n = F.when(joins, s["total"]).otherwise(F.lit(0.0)), F.when(joins, s["n"]).otherwise(F.lit(0))
             return F.struct((s["k"] + 1).alias("k"), (total + x["y_center"]).alias("total"), (n + 1).alias("n"), F.when(joins, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["k"]))).alias("starts"))
 
-        cut = lambda s: F.transform(s, lambda a, r: F.slice(items, a + 1, F.coalesce(F.get(s, r + 1), F.size(items)) - a))
-        return _let(F.aggregate(items, start, step, lambda s: s["starts"]), cut)
+        def row(starts: Column, a: Column, r: Column) -> Column:
+            some = F.slice(page["items"], a + 1, F.coalesce(F.get(starts, r + 1), F.size(page["items"])) - a)
+            keyed = F.transform(some, lambda x: F.struct(x["_block"]["x_center"].alias("x"), x["y_center"].alias("y"), x["ordinal"].alias("o"), x["_block"].alias("_block")))
+            ordered = F.sort_array(keyed) if plain else F.array_sort(keyed, _before(("x", "y", "o")))
+            return F.transform(ordered, lambda x, p: F.struct(x["x"].alias("x"), x["y"].alias("y"), x["o"].alias("o"), r.alias("k"), p.alias("p"), x["_block"].alias("_block")))
+
+        cut = lambda starts: F.flatten(F.transform(starts, lambda a, r: row(starts, a, r)))
+        return _let(F.aggregate(page["items"], start, step, lambda s: s["starts"]), cut)
 
-    high = F.transform(F.filter("items", lambda x: x["_block"]["height"] > 0), lambda x: x["_block"]["height"])
-    mean = F.coalesce(F.aggregate(high, F.lit(0.0), lambda a, h: a + h) / F.nullif(F.size(high), F.lit(0)), F.lit(20.0))
-    cut = pages.select(*PAGE, F.posexplode(_let(F.struct("items", mean.alias("mean")), rows)).alias("row_index", "_row"))
-    order = lambda x: F.struct(x["_block"]["x_center"].alias("x"), x["y_center"].alias("y"), x["ordinal"].alias("o"))
-    ranked = F.array_sort("_row", lambda x, y: F.when(order(x) < order(y), -1).when(order(x) > order(y), 1).otherwise(0))
-    placed = cut.select(*PAGE, "row_index", F.posexplode(ranked).alias("pos", "_x"))
-    return placed.select(*PAGE, *(F.col("_x._block")[c].alias(c) for c in rest), "row_index", "pos")
+    height = near if vertical else lambda items: island["_near"]
+    return _let(by_y, lambda items: _let(F.struct(items.alias("items"), height(items).alias("near")), rows))
 
 
 def bottom_half(blocks: DataFrame) -> DataFrame:
@@ -208,57 +258,79 @@ def assign_columns(items: DataFrame, columns: DataFrame) -> DataFrame:
     return joined.withColumn("column_index", F.coalesce(nearest_column(F.col("_columns"), F.col("x_center"))["i"], F.lit(-1))).drop("_columns")
 
 
+def coverage(blocks: DataFrame, low: str = "x_min", high: str = "x_max") -> DataFrame:
+    """Per page the steps (at, until, n) between neighbouring ends of blocks that n of them cover; stretches that none covers are absent.
+
+    A sweep: each block is a rise and a fall, equal ones are summed before they are dealt, and a window sums them along the
+    page. So a page costs its blocks' ends, however long they are.
+    """
+    lo, hi = F.col(low).cast("int"), F.col(high).cast("int")
+    turn = lambda at, d: F.struct(at.alias("at"), F.lit(d).alias("d"))
+    turns = blocks.where(hi > lo).select(*PAGE, F.inline(F.array(turn(lo, 1), turn(hi, -1)))).groupBy(*PAGE, "at").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy(*PAGE).orderBy("at")
+    steps = turns.withColumns({"until": F.lead("at").over(w), "n": F.sum("d").over(w)})
+    return steps.where("n > 0").select(*PAGE, "at", "until", "n")
+
+
 def projection(blocks: DataFrame, low: str = "x_min", high: str = "x_max") -> DataFrame:
     """Per page and integer position: how many blocks cover it, ends excluded. Positions that none covers are absent."""
-    lo, hi = F.col(low).cast("int"), F.col(high).cast("int")
-    # Equal stretches, as a column's cells are, count before they spread.
-    stretches = blocks.where(hi > lo).groupBy(*PAGE, lo.alias("lo"), hi.alias("hi")).agg(F.count("*").alias("k"))
-    return stretches.select(*PAGE, "k", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("at")).groupBy(*PAGE, "at").agg(F.sum("k").alias("n"))
+    return coverage(blocks, low, high).select(*PAGE, F.explode(F.sequence(F.col("at"), F.col("until") - 1)).alias("at"), "n")
+
+
+def _until(steps: DataFrame) -> DataFrame:
+    return steps if "until" in steps.columns else steps.withColumn("until", F.col("at") + 1)
 
 
-def projection_columns(histogram: DataFrame, ratio: float = 0.3) -> DataFrame:
-    """Maximal runs of positions above ratio times the page's maximum: column_index, first, last (excluded; the run that ends the page stops one earlier)."""
+def projection_columns(steps: DataFrame, ratio: float = 0.3) -> DataFrame:
+    """Maximal runs above ratio times the page's maximum, of coverage's steps or projection's positions: column_index, first, last (excluded; the run that ends the page stops one earlier)."""
     page = Window.partitionBy(*PAGE)
-    high = histogram.withColumns({"_max": F.max("n").over(page), "_end": F.max("at").over(page)}).where(F.col("n") > F.col("_max") * ratio)
+    high = _until(steps).withColumns({"_max": F.max("n").over(page), "_end": F.max("until").over(page) - 1}).where(F.col("n") > F.col("_max") * ratio)
     w = page.orderBy("at")
-    islands = high.withColumn("_i", F.col("at") - F.row_number().over(w))
-    runs = islands.groupBy(*PAGE, "_i").agg(F.min("at").alias("first"), (F.max("at") + 1).alias("last"), F.max("_end").alias("_end"))
-    runs = runs.withColumn("last", F.when(F.col("last") > F.col("_end"), F.col("_end")).otherwise(F.col("last")))
-    return runs.select(*PAGE, (F.row_number().over(page.orderBy("first")) - 1).cast("int").alias("column_index"), "first", "last")
+    opens = F.coalesce(F.lag("until").over(w) != F.col("at"), F.lit(True))
+    runs = high.withColumn("_opens", opens.cast("int")).withColumn("_run", F.sum("_opens").over(w)).groupBy(*PAGE, "_run")
+    ends = runs.agg(F.min("at").alias("first"), F.least(F.max("until"), F.max("_end")).alias("last"))
+    return ends.select(*PAGE, (F.col("_run") - 1).cast("int").alias("column_index"), "first", "last")
 
 
 def projection_runs(spans: Column, ratio: float = 0.3) -> Column:
-    """projection_columns of one page's array of spans (lo, hi): an array of (column_index, first, last), by a sweep over its sorted ends."""
-    edges = F.flatten(F.transform(F.filter(spans, lambda s: s["hi"] > s["lo"]), lambda s: F.array(F.struct(s["lo"].alias("at"), F.lit(1).alias("d")), F.struct(s["hi"].alias("at"), F.lit(-1).alias("d")))))
-    steps = "array<struct<at:int,n:int>>"
+    """projection_columns of one page's array of spans (lo, hi): an array of (column_index, first, last).
 
-    def sweep(s: Column, e: Column) -> Column:
-        last = F.try_element_at(s, F.lit(-1))
-        n = F.coalesce(last["n"], F.lit(0)) + e["d"]
-        earlier = F.when(last["at"] == e["at"], F.slice(s, 1, F.size(s) - 1)).otherwise(s)
-        return F.concat(earlier, F.array(F.struct(e["at"].cast("int").alias("at"), n.alias("n"))))
+    Two sweeps over the sorted ends, for the maximum and for the runs; what they carry is numbers and the runs so far.
+    """
+    kept = F.filter(spans, lambda s: s["hi"] > s["lo"])
+    turn = lambda at, d: F.struct(at.cast("int").alias("at"), F.lit(d).alias("d"))
+    turns = F.sort_array(F.flatten(F.transform(kept, lambda s: F.array(turn(s["lo"], 1), turn(s["hi"], -1)))))
+    nothing = F.lit(None).cast("int")
 
-    swept = F.aggregate(F.sort_array(edges), F.array().cast(steps), sweep)
+    def highest(turns: Column) -> Column:
+        start = F.struct(nothing.alias("at"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+        # A level stands once all turns at its place are in.
+        step = lambda s, t: F.struct(t["at"].alias("at"), (s["n"] + t["d"]).alias("n"), F.when(s["at"] != t["at"], F.greatest(s["most"], s["n"])).otherwise(s["most"]).alias("most"))
+        return F.aggregate(turns, start, step, lambda s: s["most"])
 
     def runs(page: Column) -> Column:
-        def turn(s: Column, x: Column) -> Column:
-            on = x["n"] > page["highest"] * ratio
-            run = F.struct(F.size(s["out"]).alias("column_index"), s["first"].alias("first"), F.least(x["at"], page["end"] - 1).alias("last"))
-            return F.struct(on.alias("on"), F.when(s["on"], s["first"]).otherwise(x["at"]).alias("first"), F.when(s["on"] & ~on, F.concat(s["out"], F.array(run))).otherwise(s["out"]).alias("out"))
+        kind = "array<struct<column_index:int,first:int,last:int>>"
+
+        def settled(s: Column) -> Column:
+            on = F.coalesce(s["at"].isNotNull() & (s["n"] > page["most"] * ratio), F.lit(False))
+            run = F.struct(F.size(s["out"]).alias("column_index"), s["first"].alias("first"), F.least(s["at"], page["end"] - 1).alias("last"))
+            return F.struct(on.alias("on"), F.when(on & ~s["on"], s["at"]).otherwise(s["first"]).alias("first"), F.when(s["on"] & ~on, F.concat(s["out"], F.array(run))).otherwise(s["out"]).alias("out"))
+
+        def step(s: Column, t: Column) -> Column:
+            there = F.struct(s["on"].alias("on"), s["first"].alias("first"), s["out"].alias("out"))
+            now = F.when(s["at"] != t["at"], settled(s)).otherwise(there)
+            return F.struct(t["at"].alias("at"), (s["n"] + t["d"]).alias("n"), now["on"].alias("on"), now["first"].alias("first"), now["out"].alias("out"))
 
-        start = F.struct(F.lit(False).alias("on"), F.lit(0).alias("first"), F.array().cast("array<struct<column_index:int,first:int,last:int>>").alias("out"))
-        return F.aggregate(page["levels"], start, turn, lambda s: s["out"])
+        start = F.struct(nothing.alias("at"), F.lit(0).alias("n"), F.lit(False).alias("on"), nothing.alias("first"), F.array().cast(kind).alias("out"))
+        return F.aggregate(page["turns"], start, step, lambda s: settled(s)["out"])
 
-    # Lambdas over arrays of one element bind what is used more than once.
-    page = F.transform(F.array(swept), lambda v: F.struct(v.alias("levels"), F.array_max(F.transform(v, lambda x: x["n"])).alias("highest"), F.array_max(F.transform(v, lambda x: x["at"])).alias("end")))
-    return F.flatten(F.transform(page, runs))
+    return _let(turns, lambda t: _let(F.struct(t.alias("turns"), highest(t).alias("most"), F.try_element_at(t, F.lit(-1))["at"].alias("end")), runs))
 
 
-def row_gaps(histogram: DataFrame, least: int = 5) -> DataFrame:
-    """Centres of stretches of at least `least` empty positions that ink follows; the margin before the first ink counts."""
+def row_gaps(steps: DataFrame, least: int = 5) -> DataFrame:
+    """Centres of stretches of at least `least` empty positions that ink follows, of coverage's steps or projection's positions; the margin before the first ink counts."""
     w = Window.partitionBy(*PAGE).orderBy("at")
-    before = F.coalesce(F.lag("at").over(w) + 1, F.lit(0))
-    gaps = histogram.withColumn("_from", before).where(F.col("at") - F.col("_from") >= least)
+    gaps = _until(steps).withColumn("_from", F.coalesce(F.lag("until").over(w), F.lit(0))).where(F.col("at") - F.col("_from") >= least)
     return gaps.select(*PAGE, F.floor((F.col("_from") + F.col("at")) / 2).cast("int").alias("gap_center"))
 
 

@@ -378,13 +378,13 @@ def projection_hist(spark, sf):
  i as (select *, "at" - row_number() over (partition by doc_id, page order by "at") as g from m where n > mx * cast(0.3 as double)), r as (select doc_id, page, g, min("at") as "first", max("at") + 1 as "last", max(e) as e from i group by doc_id, page, g)
  select doc_id, page, cast(row_number() over (partition by doc_id, page order by "first") - 1 as int) as column_index, cast("first" as int) as "first", cast(case when "last" > e then e else "last" end as int) as "last" from r""")
 def projection_columns(spark, sf):
-    return geometry.projection_columns(geometry.projection(geometry.with_geometry(blocks(spark, sf))))
+    return geometry.projection_columns(geometry.coverage(geometry.with_geometry(blocks(spark, sf))))
 
 
 @query("""with h as (select distinct doc_id, page, unnest(range(cast(y_min as bigint), cast(y_max as bigint))) as p from {fx_blocks}), g as (select doc_id, page, p, coalesce(lag(p) over (partition by doc_id, page order by p) + 1, 0) as f from h)
  select doc_id, page, cast(floor((f + p) / 2) as int) as gap_center from g where p - f >= 5""")
 def row_gaps(spark, sf):
-    return geometry.row_gaps(geometry.projection(geometry.with_geometry(blocks(spark, sf)), "y_min", "y_max"))
+    return geometry.row_gaps(geometry.coverage(geometry.with_geometry(blocks(spark, sf)), "y_min", "y_max"))
 
 
 @query("""select doc_id, page, ordinal, cast(c as int) as column_index from (select b.doc_id, b.page, b.ordinal, v.c, row_number() over (partition by b.doc_id, b.page, b.ordinal order by not (b.x_center between v.l - (v.r - v.l) * cast(0.5 as double) and v.r + (v.r - v.l) * cast(0.5 as double)), abs(b.x_center - (v.l + v.r) / 2), v.c) as p

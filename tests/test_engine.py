@@ -62,8 +62,77 @@ def test_projection_runs_equal_the_histogram(spark):
     rows = [(d, 1, lo, lo + random.randint(0, 30)) for d in range(12) for lo in (random.randint(0, 200) for _ in range(d * 2))]
     spans = spark.createDataFrame(rows, "doc_id long, page int, x_min int, x_max int")
     swept = spans.groupBy("doc_id", "page").agg(F.collect_list(F.struct(F.col("x_min").alias("lo"), F.col("x_max").alias("hi"))).alias("s")).select("doc_id", "page", F.inline(geometry.projection_runs(F.col("s"))))
-    want = geometry.projection_columns(geometry.projection(spans))
-    assert sorted(map(tuple, swept.collect())) == sorted(map(tuple, want.select(swept.columns).collect()))
+    for steps in (geometry.projection(spans), geometry.coverage(spans)):
+        want = geometry.projection_columns(steps)
+        assert sorted(map(tuple, swept.collect())) == sorted(map(tuple, want.select(swept.columns).collect()))
+    gaps = [sorted(map(tuple, geometry.row_gaps(steps).collect())) for steps in (geometry.projection(spans), geometry.coverage(spans))]
+    assert gaps[0] == gaps[1]
+    # Against pixels, page by page.
+    pixels = {}
+    for d, _, lo, hi in rows:
+        for at in range(lo, hi):
+            pixels.setdefault(d, {}).setdefault(at, 0)
+            pixels[d][at] += 1
+    runs = []
+    for d, n in pixels.items():
+        high = sorted(at for at in n if n[at] > max(n.values()) * 0.3)
+        first = [at for at in high if at - 1 not in high]
+        last = [at + 1 if at != max(n) else at for at in high if at + 1 not in high]
+        runs += [(d, 1, k, a, b) for k, (a, b) in enumerate(zip(first, last, strict=True))]
+    assert sorted(map(tuple, swept.collect())) == sorted(runs)
+
+
+def test_many_edges_of_one_page(spark):
+    """A page of 200,000 edges: a sweep carries runs, not levels."""
+    from pyspark.sql import functions as F
+
+    from papyra.operators import geometry
+
+    spans = spark.range(100_000).select(F.lit(1).alias("doc_id"), F.lit(1).alias("page"), (F.col("id") * 20).alias("x_min"), (F.col("id") * 20 + F.when(F.col("id") % 1000 == 0, 25).otherwise(20)).alias("x_max"))
+    one = spans.groupBy("doc_id", "page").agg(F.collect_list(F.struct(F.col("x_min").alias("lo"), F.col("x_max").alias("hi"))).alias("s"))
+    assert [tuple(r) for r in one.select(F.inline(geometry.projection_runs(F.col("s"), 0.6))).collect()][:2] == [(0, 20, 25), (1, 20_020, 20_025)]
+    assert geometry.projection_columns(geometry.coverage(spans), 0.6).count() == 100
+
+
+def test_rows_of_a_large_page(spark):
+    """A page of a million blocks: islands are a hundredth of a thousandth of it, and no array is longer."""
+    from pyspark.sql import functions as F
+
+    from papyra.operators.geometry import row_clusters
+
+    n = 1_000_000
+    page = spark.range(n).select(F.lit(1).alias("doc_id"), F.lit(1).alias("page"), F.col("id").alias("ordinal"), (F.floor(F.col("id") / 10) * 40.0 + F.col("id") % 7).alias("y_center"), (F.col("id") * 7 % 10 * 50.0).alias("x_center"), F.lit(20.0).alias("height"))
+    got = row_clusters(page).agg(F.count("*").alias("n"), F.count_if((F.col("row_index") != F.floor(F.col("ordinal") / 10)) | (F.col("pos") != F.col("ordinal") * 7 % 10)).alias("wrong")).first()
+    assert (got.n, got.wrong) == (n, 0)
+
+
+def test_rows_of_any_island(spark):
+    """Islands against the running mean folded over the whole page; vertical blocks and unordered columns too."""
+    import random
+
+    from papyra.operators.geometry import row_clusters
+
+    rng = random.Random(7)
+    rows = []
+    for d in range(40):
+        high = rng.choice([30, 200, 2000])
+        rows += [(d, 1, k, rng.choice([rng.uniform(0, high), round(rng.uniform(0, high) / 8) * 8.0]), rng.choice([8.0, 12.0, 0.0, 30.0]), rng.choice([0.0, 50.0, 100.0])) for k in range(rng.randint(1, 60))]
+    want = {}
+    for d in range(40):
+        page = sorted((r for r in rows if r[0] == d), key=lambda r: (r[3], r[2]))
+        heights = [r[4] for r in page if r[4] > 0]
+        near = max((sum(heights) / len(heights) if heights else 20.0) * 0.5, 5.0)
+        cut = []
+        for r in page:
+            if cut and abs(r[3] - sum(x[3] for x in cut[-1]) / len(cut[-1])) <= near:
+                cut[-1].append(r)
+            else:
+                cut.append([r])
+        for k, row in enumerate(cut):
+            want |= {(d, r[2]): (k, p) for p, r in enumerate(sorted(row, key=lambda r: (r[5], r[3], r[2])))}
+    frame = spark.createDataFrame(rows, "doc_id long, page int, ordinal long, y_center double, height double, x_center double")
+    for more in (frame, frame.selectExpr("*", "map('k', ordinal) as m")):
+        assert {(r.doc_id, r.ordinal): (r.row_index, r.pos) for r in row_clusters(more).collect()} == want
 
 
 def test_columns_without_header(spark):
