@@ -110,8 +110,11 @@ def header_matches(text: Column, headers: dict | None = None) -> Column:
 
 
 def first_match(text: Column, patterns) -> Column:
-    """Group 1 of the first pattern that is found, stripped; null if none is. A match with an empty group counts."""
-    return first_of([(text.rlike(FLAGS_CI + p), strip(F.regexp_extract(text, FLAGS_CI + p, 1))) for p in patterns], F.lit(None).cast("string"))
+    """Group 1 of the first pattern that is found, stripped; null if none is. A match with an empty group counts.
+
+    A pattern is searched once: all its matches' groups, of which the first counts, are null if there is no match.
+    """
+    return F.coalesce(*(strip(F.get(F.regexp_extract_all(text, F.lit(FLAGS_CI + p), F.lit(1)), F.lit(0))) for p in patterns), F.lit(None).cast("string"))
 
 
 def number(c: Column) -> Column:

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..catalog import BUILTIN_RULES, FIELD_PATTERNS
 from ..functions.remark import text_remark
 from ..functions.text import FLAGS, doc_type, first_match, first_of, java_replacement
+from .rule_tasks import apply_table
 
 RULE_SCHEMA = "id string, rule_type string, pattern string, replacement string, doc_type string, field_name string, priority int, is_enabled boolean, ordinal int"
-#: Rules that become one expression at most; more are joined to the values as a table.
+#: Rules that become one expression at most; more are dealt to tasks.
 MOST_RULES = 1000
 
 
@@ -64,7 +65,9 @@ def apply_rule(value: Column, rule_type: str, pattern: str, replacement: str | N
     if rule_type in ("regex", "normalize"):
         return F.regexp_replace(value, FLAGS + pattern, java_replacement(replacement))
     if rule_type == "dict":
-        return F.replace(value, F.lit(pattern), F.lit(replacement or ""))
+        # An empty text stands between all characters.
+        literal = java_replacement((replacement or "").replace("\\", "\\\\"))
+        return F.replace(value, F.lit(pattern), F.lit(replacement or "")) if pattern else F.regexp_replace(value, "", literal)
     if rule_type == "fuzzy":
         return F.regexp_replace(value, "(?iu)\\Q" + pattern + "\\E", java_replacement((replacement or "").replace("\\", "\\\\")))
     return value
@@ -76,70 +79,39 @@ def _step(rule: dict, fits: Column):
     def turn(s: Column) -> Column:
         new = apply_rule(s["v"], rule["rule_type"], rule["pattern"], rule["replacement"])
         entry = F.struct(F.lit(rule["id"]).alias("rule_id"), s["v"].alias("before"), new.alias("after"))
-        changed = fits & (new != s["v"])
+        changed = fits & (s["v"] != "") & (new != s["v"])
         return F.struct(F.when(changed, new).otherwise(s["v"]).alias("v"), F.when(changed, F.concat(s["log"], F.array(entry))).otherwise(s["log"]).alias("log"))
 
     return turn
 
 
-def apply_rules(values: DataFrame, rules: list, types: Column | None = None) -> DataFrame:
+def apply_rules(values: DataFrame, rules: list | DataFrame, types: Column | None = None) -> DataFrame:
     """values with `value` corrected and `applied` array<struct<rule_id, before, after>>, an entry for each change.
 
-    A rule that doesn't work changes nothing. Up to MOST_RULES rules become one expression: no join, no shuffle. More
-    are a table that meets the values by document type.
+    A rule that doesn't work changes nothing. A list of up to MOST_RULES rules becomes one expression: no join, no
+    shuffle. A longer list, or a table of rules of any size, is dealt to tasks by scope; see rule_tasks. Both give the same
+    values, and neither needs field_name: without it only rules of every field hold.
     """
     kind = F.col("doc_type") if types is None else types
+    if isinstance(rules, DataFrame):
+        return apply_table(values, rules, kind)
+    if len(rules) > MOST_RULES:
+        names = [f.split()[0] for f in RULE_SCHEMA.split(", ")]
+        return apply_table(values, values.sparkSession.createDataFrame([tuple(r[n] for n in names) for r in rules], RULE_SCHEMA), kind)
+    named = F.col("field_name") if "field_name" in values.columns else F.lit(None).cast("string")
     sound = [r for r in rules if r["is_enabled"] and works(values.sparkSession, r)]
-    sound = sorted(sound, key=lambda r: (r["priority"], r["ordinal"]))
-    if len(sound) > MOST_RULES:
-        return _apply_table(values, sound, kind)
     state = F.struct(F.col("value").alias("v"), F.array().cast(_LOG).alias("log"))
-    for r in sound:
+    for r in sorted(sound, key=lambda r: (r["priority"], r["ordinal"])):
         fits = F.lit(True)
         if r["doc_type"] != "ALL":
             fits = fits & (kind == r["doc_type"])
         if r["field_name"] is not None:
-            fits = fits & (F.col("field_name") == r["field_name"])
+            fits = fits & (named == r["field_name"])
         state = F.get(F.transform(F.array(state), _step(r, fits)), F.lit(0))
     return values.withColumn("_rules", state).withColumn("value", F.col("_rules.v")).withColumn("applied", F.col("_rules.log")).drop("_rules")
 
 
 _LOG = "array<struct<rule_id:string,before:string,after:string>>"
-_TABLE = "turn int, id string, literal boolean, pattern string, replacement string, doc_type string, field_name string"
-
-
-def _apply_table(values: DataFrame, rules: list, kind: Column) -> DataFrame:
-    """apply_rules with the rules as a table: those of a document type and field, in order, are one array that is joined
-    and folded over the value."""
-    spark = values.sparkSession
-    rows = []
-    for turn, r in enumerate(rules):
-        if r["rule_type"] in ("regex", "normalize"):
-            rows.append((turn, r["id"], False, FLAGS + r["pattern"], java_replacement(r["replacement"]), r["doc_type"], r["field_name"]))
-        elif r["rule_type"] == "fuzzy":
-            rows.append((turn, r["id"], False, "(?iu)\\Q" + r["pattern"] + "\\E", java_replacement((r["replacement"] or "").replace("\\", "\\\\")), r["doc_type"], r["field_name"]))
-        elif r["rule_type"] == "dict":
-            rows.append((turn, r["id"], True, r["pattern"], r["replacement"] or "", r["doc_type"], r["field_name"]))
-    table = spark.createDataFrame(rows, _TABLE)
-    scopes = values.select(kind.alias("_type"), "field_name").distinct().select("_type", F.col("field_name").alias("_name"))
-    fits = table.where(F.col("doc_type").isNotNull()).withColumnRenamed("doc_type", "_rule_type")
-    met = scopes.withColumn("_rule_type", F.explode(F.array_distinct(F.array("_type", F.lit("ALL"))))).join(fits, "_rule_type").where(F.col("field_name").isNull() | (F.col("field_name") == F.col("_name")))
-    lists = met.groupBy("_type", "_name").agg(F.array_sort(F.collect_list(F.struct("turn", "id", "literal", "pattern", "replacement"))).alias("_turns"))
-
-    def turn(s: Column, r: Column) -> Column:
-        new = F.when(r["literal"], F.replace(s["v"], r["pattern"], r["replacement"])).otherwise(F.regexp_replace(s["v"], r["pattern"], r["replacement"]))
-
-        def logged(x: Column) -> Column:
-            entry = F.struct(r["id"].alias("rule_id"), s["v"].alias("before"), x.alias("after"))
-            return F.struct(x.alias("v"), F.when(x != s["v"], F.concat(s["log"], F.array(entry))).otherwise(s["log"]).alias("log"))
-
-        return F.get(F.transform(F.array(new), logged), F.lit(0))
-
-    joined = values.withColumn("_t", kind).join(lists, F.col("_t").eqNullSafe(F.col("_type")) & F.col("field_name").eqNullSafe(F.col("_name")), "left")
-    state = F.struct(F.col("value").alias("v"), F.array().cast(_LOG).alias("log"))
-    done = F.when(F.col("_turns").isNull() | F.col("value").isNull(), state).otherwise(F.aggregate("_turns", state, turn))
-    out = joined.withColumn("_done", done).withColumns({"value": F.col("_done.v"), "applied": F.col("_done.log")})
-    return out.drop("_t", "_type", "_name", "_turns", "_done")
 
 
 def extract_fields(docs: DataFrame, patterns: dict | None = None, remark: bool = True) -> DataFrame:
@@ -169,10 +141,13 @@ def value_confidence(fields: DataFrame, blocks: DataFrame, overall: bool = False
     """
     low = F.lower(F.col("value"))
     words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
-    joined = fields.join(blocks.select("doc_id", F.col("text").alias("_text"), F.col("confidence").alias("_c"), F.col("line_index").alias("_line")), "doc_id", "left")
-    place = F.col("_line").cast("long")
-    inside = F.when(F.lower("_text").contains(low), F.struct(place.alias("o"), F.col("_c").alias("c")))
-    shares = F.when(F.arrays_overlap(words(low), words(F.lower("_text"))), F.struct(place.alias("o"), F.col("_c").alias("c")))
+    # Both sides are lower-cased and split once, before they meet.
+    text = F.lower("text")
+    there = blocks.select("doc_id", text.alias("_text"), words(text).alias("_words"), F.col("confidence").alias("_c"), F.col("line_index").cast("long").alias("_line"))
+    joined = fields.withColumns({"_low": low, "_own": words(low)}).join(there, "doc_id", "left")
+    place = F.struct(F.col("_line").alias("o"), F.col("_c").alias("c"))
+    inside = F.when(F.col("_text").contains(F.col("_low")), place)
+    shares = F.when(F.arrays_overlap("_own", "_words"), place)
     keys = fields.columns
     out = joined.groupBy(*keys).agg(F.min(inside).alias("_inside"), F.min(shares).alias("_shares"), F.count("_text").alias("_n"), F.avg("_c").alias("overall_confidence"))
     value = F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.coalesce("_inside.c", "_shares.c", F.lit(0.7)))

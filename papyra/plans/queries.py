@@ -205,20 +205,51 @@ def rule_applicable(spark, sf):
     return rules.applicable(frame(spark, sf, "fx_amounts"), rules.builtin_rules(spark)).select("doc_id", "rule_id", "priority", "turn")
 
 
-@query(f"select id, count(*) as n from (select id from {_RULES_TABLE} union all select id from {_RULES_TABLE}) group by id")
+_LOADED = "(select concat('nation_', n_nationkey) as id, 60 as priority, n_nationkey as ordinal from nation where n_regionkey <> 3)"
+
+
+def _loaded_rules(spark, sf) -> DataFrame:
+    """Rules as a table gives them: each nation's name is to be written in lower case."""
+    n = frame(spark, sf, "nation").where("n_regionkey <> 3")
+    return n.select(
+        F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("dict").alias("rule_type"), F.col("n_name").alias("pattern"), F.lower("n_name").alias("replacement"),
+        F.lit("ALL").alias("doc_type"), F.lit(None).cast("string").alias("field_name"), F.lit(60).alias("priority"), F.lit(True).alias("is_enabled"), F.col("n_nationkey").cast("int").alias("ordinal"),
+    )
+
+
+@query(f"select id, count(*) as n from (select id from {_RULES_TABLE} union all select id from {_LOADED} union all select id from {_LOADED}) group by id")
 def rules_union(spark, sf):
-    r = rules.builtin_rules(spark)
-    return rules.union_rules(r, r).groupBy("id").agg(F.count("*").alias("n"))
+    loaded = _loaded_rules(spark, sf)
+    return rules.union_rules(rules.builtin_rules(spark), loaded, loaded).groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query(f"select id from {_RULES_TABLE} where id <> 'builtin_trim'")
+@query(f"select id from (select id from {_RULES_TABLE} union all select id from {_LOADED}) where id <> 'nation_7'")
 def rules_remove(spark, sf):
-    return rules.remove(rules.builtin_rules(spark), "builtin_trim").select("id")
+    return rules.remove(rules.union_rules(rules.builtin_rules(spark), _loaded_rules(spark, sf)), "nation_7").select("id")
 
 
-@query(f"select id, priority, ordinal from {_RULES_TABLE}")
+@query(f"select id, priority, ordinal from {_RULES_TABLE} union all select id, priority, ordinal from {_LOADED}")
 def rules_source(spark, sf):
-    return rules.builtin_rules(spark).select("id", "priority", "ordinal")
+    """All rules that hold: the built-in ones and a table's."""
+    return rules.union_rules(rules.builtin_rules(spark), _loaded_rules(spark, sf)).select("id", "priority", "ordinal")
+
+
+@query("""select o_orderkey as doc_id, case when c_custkey % 2 = 1 and o_orderkey % 3 = 0 then concat('client ', c_name, ' ', o_orderstatus) else concat('client ', c_mktsegment, '-', c_custkey, ' ', o_orderstatus) end as value,
+  case when c_custkey % 2 = 1 and o_orderkey % 3 = 0 then null else concat('customer_', c_custkey) end as rule_id from orders join customer on o_custkey = c_custkey""")
+def rule_apply_customers(spark, sf):
+    """A rule for each customer, of three kinds and two scopes, over the orders' texts: rules from a table, of any number."""
+    c, key = frame(spark, sf, "customer"), F.col("c_custkey")
+    kinds = F.array(*(F.lit(k) for k in ("dict", "regex", "fuzzy")))
+    kind = F.get(kinds, (key % 3).cast("int"))
+    pattern = F.when(kind == "regex", F.concat("c_name", F.lit(r"\b"))).when(kind == "fuzzy", F.upper("c_name")).otherwise(F.col("c_name"))
+    catalogue = c.select(
+        F.concat(F.lit("customer_"), key.cast("string")).alias("id"), kind.alias("rule_type"), pattern.alias("pattern"), F.concat_ws("-", "c_mktsegment", key.cast("string")).alias("replacement"),
+        F.when(key % 2 == 1, "INVOICE").otherwise("ALL").alias("doc_type"), F.lit(None).cast("string").alias("field_name"), F.lit(10).alias("priority"), F.lit(True).alias("is_enabled"), key.cast("int").alias("ordinal"),
+    )
+    orders = frame(spark, sf, "orders").join(c.select(key.alias("o_custkey"), "c_name"), "o_custkey")
+    values = orders.select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 3 == 0, "CONTRACT").otherwise("INVOICE").alias("doc_type"), F.concat_ws(" ", F.lit("client"), "c_name", "o_orderstatus").alias("value"))
+    fixed = rules.apply_rules(values, catalogue)
+    return fixed.select("doc_id", "value", F.get("applied", F.lit(0))["rule_id"].alias("rule_id"))
 
 
 _ALL_FIELDS = " union all ".join(f"select doc_id, doc_type, '{f}' as field_name, {_case(p)} as value from d where doc_type = '{k}'" for k, fs in catalog.FIELD_PATTERNS.items() for f, p in fs.items())
