@@ -11,6 +11,7 @@ from ..catalog import DETECTOR_CLASSES, FOOTER_WORDS, STRUCTURE_LABELS, TABLE_WO
 from ..functions.remark import merge_remarks
 from ..functions.text import contains_any, first_of
 from .geometry import PAGE
+from .templates import matched
 
 
 def rule_based_regions(blocks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -66,14 +67,14 @@ def match_templates(docs: DataFrame, templates: DataFrame, form: str | None = No
     """The first template, by ordinal, whose key stands in the text.
 
     form: a pattern that every key matches as a whole wherever it stands in a text. With it the texts' candidates meet
-    the keys in an equi-join; without it each text is searched for each key, which suits small catalogues.
+    the keys in an equi-join; without it all keys are searched at once (see templates).
     """
     if form:
         found = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("full_text", F.lit(f"({form})"), F.lit(1)))).alias("supplier_key"))
         hit = found.join(templates, "supplier_key")
-    else:
-        hit = docs.select("doc_id", "full_text").join(templates, F.col("full_text").contains(F.col("supplier_key")))
-    return hit.groupBy("doc_id").agg(F.min_by("supplier_key", "ordinal").alias("supplier_key"), F.min("ordinal").alias("ordinal"))
+        return hit.groupBy("doc_id").agg(F.min_by("supplier_key", "ordinal").alias("supplier_key"), F.min("ordinal").alias("ordinal"))
+    best = matched(docs, templates).groupBy("doc_id").agg(F.min("hit").alias("hit"))
+    return best.select("doc_id", F.col("hit.supplier_key").alias("supplier_key"), F.col("hit.ordinal").cast(dict(templates.dtypes)["ordinal"]).alias("ordinal"))
 
 
 def bounding_boxes(blocks: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:

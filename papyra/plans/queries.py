@@ -564,13 +564,23 @@ def label_map(spark, sf):
     return frame(spark, sf, "fx_tasks").select("message_id", layout.structure_label(label).alias("region_type"))
 
 
-@query("with t as (select c_custkey as o, replace(c_name, '#', '') as k from customer), f as (select distinct doc_id, unnest(regexp_extract_all(full_text, 'Customer[0-9]+')) as k from {fx_docs}), h as (select f.doc_id, t.o, t.k, row_number() over (partition by f.doc_id order by t.o) as p from f join t on f.k = t.k) select doc_id, k as supplier_key, o as ordinal from h where p = 1")
+_TEMPLATE_SQL = "with t as (select c_custkey as o, replace(c_name, '#', '') as k from customer), f as (select distinct doc_id, unnest(regexp_extract_all(full_text, 'Customer[0-9]+')) as k from {fx_docs}), h as (select f.doc_id, t.o, t.k, row_number() over (partition by f.doc_id order by t.o) as p from f join t on f.k = t.k) select doc_id, k as supplier_key, o as ordinal from h where p = 1"
+
+
+@query(_TEMPLATE_SQL)
 def template_match(spark, sf):
     """All customers are templates; their names have a form, so candidates meet them in an equi-join."""
     t = frame(spark, sf, "customer").select(F.col("c_custkey").alias("ordinal"), F.replace("c_name", F.lit("#"), F.lit("")).alias("supplier_key"))
     return layout.match_templates(frame(spark, sf, "fx_docs"), t, "Customer[0-9]+")
 
 
+@query(_TEMPLATE_SQL)
+def template_search(spark, sf):
+    """The same without a form: all customers' names are searched in each text at once."""
+    t = frame(spark, sf, "customer").select(F.col("c_custkey").alias("ordinal"), F.replace("c_name", F.lit("#"), F.lit("")).alias("supplier_key"))
+    return layout.match_templates(frame(spark, sf, "fx_docs"), t)
+
+
 _O = "select doc_id, 'amount' as field_key, value, case when doc_id % 2 = 0 then cast(0.9 as double) else cast(0.5 as double) end as confidence, 'OCR' as source from {fx_amounts} where doc_id % 3 > 0"
 
 
