@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.rules import builtin_rules, union_rules
 
@@ -23,6 +24,13 @@ class RuleCache:
         self.spark, self.load, self.ttl, self.clock = spark, load, ttl, clock
         self.loaded: DataFrame | None = None
         self.read_at: float | None = None
+        self.version = "0-0"
+
+    @staticmethod
+    def _version(loaded: DataFrame) -> str:
+        """The number of rules and the sum of their hashes: another one if any rule is."""
+        r = loaded.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*loaded.columns).cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+        return f"{r.n}-{int(r.h):x}"
 
     def _read(self) -> None:
         try:
@@ -34,9 +42,11 @@ class RuleCache:
             if self.loaded is not None:
                 self.loaded.unpersist()
             self.loaded = new
+            self.version = self._version(new)
         self.read_at = self.clock()
 
     def rules(self) -> DataFrame:
+        """The rules that hold now; `version` is that of the loaded ones."""
         if self.read_at is None or self.clock() - self.read_at >= self.ttl:
             self._read()
         own = builtin_rules(self.spark)
@@ -47,5 +57,5 @@ class RuleCache:
         self.read_at = None
         if self.loaded is not None:
             self.loaded.unpersist()
-            self.loaded = None
+            self.loaded, self.version = None, "0-0"
         return self.rules().count()

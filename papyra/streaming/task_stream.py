@@ -96,15 +96,15 @@ def either(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int
     return send
 
 
-def run_batches(messages: DataFrame, work: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, failed: Callable[[DataFrame, int, str], None] | None = None):
-    """Runs work on each micro-batch and hands its result with the batch's number to an idempotent sink.
+def run_batches(messages: DataFrame, work: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, failed: Callable[[DataFrame, int, str], None] | None = None, typed: Callable[[DataFrame], DataFrame] = parsed):
+    """Runs work on each micro-batch, whose rows `typed` makes tasks, and hands its result with the batch's number to an idempotent sink.
 
     A batch counts as acknowledged once the sink has returned, so delivery is at least once. If work or sink fails, the
     batch's tasks go with the error's text to `failed`; without it the query ends with the error.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        tasks = parsed(batch)
+        tasks = typed(batch)
         try:
             sink(work(tasks), number)
         except Exception as error:
