@@ -99,7 +99,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     sizes = stored(docs.select("doc_id", "source", key.alias("skey"), word_count(F.col("text")).alias("size")), "mix-sizes")
     goals = stored(targets(sizes, share, most), "mix-goals")
     found = goals.join(balance(sizes, goals, most), "skey", "left").select("skey", "source_size", "target", "scale", "multiplier")
-    rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("multiplier").isNull(), F.lit(float(most))).otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.col("multiplier") * F.col("size") / F.col("scale"), F.lit(1.0)))))
+    rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("multiplier").isNull(), F.lit(float(most))).otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.col("multiplier") * F.col("size") / F.col("scale"), F.lit(math.log(most))))))
     rated = sizes.join(found, "skey").withColumn("rate", rate).withColumn("units", F.round(F.col("rate") * _UNIT).cast("long")).withColumn("h", F.xxhash64("doc_id"))
     summed = running(rated, ["skey"], ["size", "h", "doc_id"], "units", "upto", "mix-rates")
     whole = lambda x: F.floor((x + _UNIT // 2) / F.lit(_UNIT))

@@ -670,6 +670,28 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [1.5, 4.0])
+def test_mixing_rates(spark, most):
+    """Rates are exp(l * size / mean size) of one l a source, up to `most`, and meet the targets, beyond e as below it."""
+    import math
+
+    rows = [(k, "ab"[k % 2], " ".join(["w"] * (1 + k * 7 % 40))) for k in range(300)] + [(1000 + k, "c", "w " * 900) for k in range(3)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), most=most).collect()
+    for source in "abc":
+        of = [r for r in got if r.source == source]
+        mean, target = sum(r.size for r in of) / len(of), of[0].target
+        assert sum(r.rate * r.size for r in of) == pytest.approx(target, rel=1e-6) and max(r.rate for r in of) <= most + 1e-12
+        assert abs(sum(r.taken for r in of) - target) <= 2 * max(r.size for r in of)
+        # Bisection for the multiplier, by itself.
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            l = (low + high) / 2
+            low, high = (l, high) if sum(r.size * min(most, math.exp(min(l * r.size / mean, 50))) for r in of) < target else (low, l)
+        if target < most * of[0].source_size:
+            assert [r.rate for r in of] == pytest.approx([min(most, math.exp(min(low * r.size / mean, 50))) for r in of], rel=1e-5)
+    assert most < math.e or max(r.rate for r in got) > 3
+
+
 def test_line_dedup(spark, empty):
     shared = "\n".join(f"shared line {k}" for k in range(60))
     texts = [shared, "own a\nown b\n" + shared, None, "", "x", shared + "\n" + shared, "a\nb"]
