@@ -139,11 +139,11 @@ def extract_remark(spark, sf):
     return remarks.extract_remark(docs, lines)
 
 
-#: Page 1 as a document. With an even number, the row 小计 is a lone label, and the row 40 below it the remark.
-@query("select doc_id, case when doc_id % 2 = 0 then '价税合计（小写） 200' else '开票人 张三' end as part, confidence from {fx_blocks} where page = 1 and text = case when doc_id % 2 = 0 then '价税合计（小写） 200' else '备注 开票人 张三' end")
+#: Each page as a document. With an even number, the row 小计 is a lone label, and the row 40 below it the remark.
+@query("select doc_id * 10 + page as doc_id, case when doc_id % 2 = 0 then '价税合计（小写） 200' else '开票人 张三' end as part, confidence from {fx_blocks} where text = case when doc_id % 2 = 0 then '价税合计（小写） 200' else '备注 开票人 张三' end")
 def remark_positional(spark, sf):
     shown = F.when((F.col("doc_id") % 2 == 0) & (F.col("text") == "小计 100"), "备 注：").otherwise(F.col("text"))
-    page = geometry.with_geometry(blocks(spark, sf)).where("page = 1").withColumn("text", shown)
+    page = geometry.with_geometry(blocks(spark, sf)).withColumn("text", shown).withColumn("doc_id", F.col("doc_id") * 10 + F.col("page"))
     return remarks.positional_remark(page)
 
 
@@ -706,7 +706,7 @@ def evidence_cells(spark, sf):
 def _model(spark, sf):
     lines = doc_blocks(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_index", "text", "confidence"))).alias("b"))
     page = lambda n, s: lines.select("doc_id", F.lit(n).alias("page"), s.alias("b"))
-    both = page(1, F.slice("b", 1, 2)).unionByName(page(2, F.slice("b", 3, 100)))
+    both = page(1, F.slice("b", 1, 2)).unionByName(page(2, F.slice("b", F.lit(3), F.size("b"))))
     return both.where(F.size("b") > 0).select("doc_id", "page", F.concat(F.transform("b", lambda x: x["text"]), F.array(F.lit(" "))).alias("rec_texts"), F.transform("b", lambda x: x["confidence"]).alias("rec_scores"), F.array().cast("array<array<array<double>>>").alias("dt_polys"))
 
 
