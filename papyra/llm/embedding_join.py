@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, components, freed, stored
+from .common import arrow_map, batch_of, components, freed, numbered, stored
 
 LEAST_PIVOTS, MOST_PIVOTS, SAMPLE, BLOCK = 16, 1024, 4, 4096
 
@@ -112,9 +112,9 @@ def range_join(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, pivot
     good = keyed.where("v is not null")
     # One row a distinct vector; ids are its own, whatever the ids of its rows.
     distinct = good.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    distinct = stored(distinct.withColumn("node", F.xxhash64("key")).withColumn("width", (F.length("v") / 8).cast("int")), "vectors-distinct")
+    distinct = numbered(distinct.withColumn("width", (F.length("v") / 8).cast("int")), "vectors-distinct", "node")
     pivots = pivots or pivot_count(distinct.count(), block)
-    sample = distinct.orderBy("node").limit(SAMPLE * max(pivots, 512)).select("v").toPandas()["v"]  # bounded by the pivots
+    sample = distinct.orderBy(F.xxhash64("key"), "key").limit(SAMPLE * max(pivots, 512)).select("v").toPandas()["v"]  # bounded by the pivots
     by_width: dict[int, list[bytes]] = {}
     for v in sample:
         by_width.setdefault(len(v) // 8, []).append(bytes(v))
