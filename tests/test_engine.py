@@ -95,7 +95,7 @@ def test_many_edges_of_one_page(spark):
 
 
 def test_rows_of_a_large_page(spark):
-    """A page of a million blocks: islands are a hundredth of a thousandth of it, and no array is longer."""
+    """A page of a million blocks in islands of ten: no array is longer."""
     from pyspark.sql import functions as F
 
     from papyra.operators.geometry import row_clusters
