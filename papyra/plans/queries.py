@@ -11,6 +11,7 @@ from .. import catalog
 from ..functions import remark as R
 from ..functions import text as X
 from ..operators import evidence, geometry, ingest, layout, remarks, rules, table, tasks
+from ..sources import scans
 from .fixtures import duck, frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1116,3 +1117,24 @@ def rule_apply_table(spark, sf):
     """The built-in rules among a thousand others of another document type: rules as a table instead of one expression."""
     many = [dict(id=f"r{k}", rule_type="dict", pattern=str(k), replacement="", doc_type="CONTRACT", field_name=None, priority=1, is_enabled=True, ordinal=100 + k) for k in range(rules.MOST_RULES)]
     return rules.apply_rules(frame(spark, sf, "fx_amounts"), built_in() + many).select("doc_id", "value")
+
+
+@query("""select doc_id, page, count(*) as n_blocks, cast(sum(length(t)) as bigint) as n_chars, arg_min(t, i) as first_line from (
+  select doc_id, i, t, cast((i - 1) // 3 + 1 as int) as page from (
+    select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null))
+  where trim(t) <> '' group by doc_id, page""")
+def scan_pages(spark, sf):
+    """Each document's text is a file of pages of three lines, which a recogniser of plain text reads page by page."""
+
+    def open_pages(content: bytes) -> list[bytes]:
+        lines = content.split(b"\n")
+        return [b"\n".join(lines[k : k + 3]) for k in range(0, len(lines), 3)]
+
+    def recognise(page: bytes) -> dict:
+        lines = page.decode().split("\n")
+        return {"rec_texts": lines, "rec_scores": [1.0] * len(lines), "width": 1.0, "height": float(len(lines))}
+
+    files = frame(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("task_id"), F.encode("text", "UTF-8").alias("content"))
+    read = scans.scan(files, recognise, open_pages).where("error_class is null and page is not null")
+    blocks = ingest.blocks_from_model(read.withColumn("doc_id", F.col("task_id").cast("long")))
+    return blocks.groupBy("doc_id", "page").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"), F.min_by("text", "line_index").alias("first_line"))
