@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import PHRASES, TEMPLATES, WHOLE, needs, template_lengths, template_sets
+from .licenses import PHRASES, TEMPLATES, needs, template_lengths, template_sets
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,8 +80,8 @@ def _words(words) -> str:
 def licenses(threshold: float = 0.8) -> str:
     phrases = ", ".join(f"('{label}', {_words(phrase.split())})" for label, phrase in PHRASES.items())
     sets = template_sets(TEMPLATES)
-    asked = needs(sets, template_lengths(TEMPLATES), threshold, WHOLE)
-    listed = lambda words: f"cast({_words(sorted(w.decode() for w in words))} as varchar[])"
+    asked = needs(sets, template_lengths(TEMPLATES), threshold)
+    listed = lambda pairs: f"cast({_words(sorted(b' '.join(p).decode() for p in pairs))} as varchar[])"
     known = ", ".join(f"('{label}', {listed(words)}, {need}, {width}, {listed(decisive)})" for (label, words), (need, width, decisive) in zip(sets, asked, strict=True))
     split = "list_filter(string_split_regex({0}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     return f"""with d as (select doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as t from documents),
@@ -90,8 +90,9 @@ f as (select * from (values {phrases}) as f(label, ps)),
 i as (select doc_id, label, i from (select w.doc_id, w.ws, f.label, f.ps, unnest(range(1, len(w.ws) + 1)) as i from w join f on list_has_all(w.ws, f.ps)) where ws[i : i + len(ps) - 1] = ps),
 b as (select doc_id, count(*) as n_base, min(i) - 1 as first_word, max(i) - 1 as last_word, string_agg(distinct label, ',' order by label) as base_labels from i group by doc_id),
 k as (select * from (values {known}) as k(label, ts, need, width, ds)),
-c as (select w.doc_id, w.ws, k.* from w join k on len(list_intersect(k.ts, w.ws)) >= k.need),
-l as (select doc_id, label, ts, need, ds, ws[i : i + width - 1] as bs from (select *, unnest(range(1, len(ws) + 1)) as i from c)),
+p as materialized (select doc_id, list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1])) as ps from w),
+c as (select p.doc_id, p.ps, k.* from p join k on len(list_intersect(k.ts, p.ps)) >= k.need),
+l as (select doc_id, label, ts, need, ds, ps[i : i + width - 1] as bs from (select *, unnest(range(1, len(ps) + 1)) as i from c)),
 h as (select doc_id, label, max(cast(len(list_intersect(ts, bs)) as double) / len(ts)) as c from l where len(list_intersect(ts, bs)) >= need and list_has_all(bs, ds) group by 1, 2),
 a as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from h union all select doc_id, label from i) group by doc_id)
 select w.doc_id, len(w.ws) as n_words, coalesce(b.n_base, 0) as n_base, b.first_word, b.last_word, coalesce(b.base_labels, '') as base_labels, coalesce(a.labels, '') as labels,

@@ -512,7 +512,7 @@ def test_license_labels_tell_licenses_apart(spark):
     gpl2 = licenses.TEMPLATES["gpl-3.0"][1].replace("version 3", "version 2")
     cases = {
         "Released under the BSD License.": "", "Released under the Apache License": "", "Licensed under the Mozilla Public License, version 2.0.": "", "Licensed under CC BY 4.0.": "",
-        "all the rights we reserved are listed": "", "This work is licensed under a Creative Commons Attribution 4.0 International License": "", wrap(gpl2): "",
+        "all the rights we reserved are listed": "", "This work is licensed under a Creative Commons Attribution 4.0 International License": "", wrap(gpl2): "gpl-2.0",
         "Released under the MIT License.": "mit", "licensed under cc by-nc 4.0": "cc-by-nc-4.0", "ALL RIGHTS RESERVED": "all-rights-reserved",
     }
     cases |= {wrap(t): label for label, notices in licenses.TEMPLATES.items() for t in notices}
@@ -526,6 +526,22 @@ def test_license_labels_tell_licenses_apart(spark):
     assert len(got) == 2 * len(cases) + 1
 
 
+def test_license_order_and_rivals(spark):
+    """Words in another order are no notice, a short notice may miss as many pairs as a long one, and of near notices only the own label holds."""
+    cases = {
+        "reserved: all rights": set(), "License: under the MIT released": set(), "version 2.0 Apache licensed the license under": set(), "the license is released under MIT": set(),
+        "This work was licensed under a Creative Commons Attribution NonCommercial 4.0 International License": {"cc-by-nc-4.0"},
+        "licensed under the Apache License version 2.0": {"apache-2.0"}, "Licensed under the Apache License, Version 1.1": set(), "SPDX-License-Identifier: MIT": {"mit"},
+        "// SPDX-License-Identifier: GPL-3.0-or-later": {"gpl-3.0"}, "SPDX-License-Identifier: LGPL-3.0": {"lgpl-3.0"}, "SPDX-License-Identifier: CC-BY-NC-SA-4.0": set(), "SPDX-License-Identifier: BSD-4-Clause": set(),
+        "SPDX-License-Identifier: CC-BY-4.0": set(), "SPDX-License-Identifier: Zlib": set(),
+    } | {notice: {label} for label, notices in licenses.TEMPLATES.items() for notice in notices}
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: {b.label for b in r.blocks} for r in licenses.scan(frame).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
+    with pytest.raises(ValueError):
+        licenses.scan(frame, templates={"one": ("word",)})
+
+
 def test_license_windows_are_exact():
     rnd = random.Random(13)
     vocabulary = [bytes([97 + k]) for k in range(14)]
