@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql import types as T
 
 EMPTY_BOX = [[0.0, 0.0]] * 4
 
@@ -147,24 +148,36 @@ def table_rows(html: str) -> tuple[list[str], list[list[str]]]:
     return headers, rows
 
 
-@udtf(returnType="kind string, row_index int, col_index int, text string")
-class HtmlCells:
-    """SELECT ... FROM t, LATERAL html_cells(t.html): headers, then cells."""
-
-    def eval(self, html: str) -> Iterator[tuple]:
-        headers, rows = table_rows(html)
-        for k, text in enumerate(headers):
-            yield "header", -1, k, text
-        for i, row in enumerate(rows):
-            for k, text in enumerate(row):
-                yield "cell", i, k, text
+#: Cells of a batch that html_cells gives.
+_CELLS = 50_000
 
 
 def html_cells(tables: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keys, kind, row_index, col_index, text of each header and cell."""
-    tables.sparkSession.udtf.register("papyra_html_cells", HtmlCells)
-    names = ", ".join(f"t.{k}" for k in keys)
-    return tables.sparkSession.sql(f"select {names}, c.kind, c.row_index, c.col_index, c.text from {{t}} t, lateral papyra_html_cells(t.html) c", t=tables.select(*keys, "html"))
+    """keys, kind, row_index, col_index, text of each header (row -1) and cell, in Arrow batches; a table without cells has no row."""
+    given = tables.select(*keys, "html")
+    schema = T.StructType([*given.schema.fields[:-1], *(T.StructField(c, t) for c, t in (("kind", T.StringType()), ("row_index", T.IntegerType()), ("col_index", T.IntegerType()), ("text", T.StringType())))])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+
+            def flush(batch=batch, at=at, found=found) -> pa.RecordBatch:
+                rows = pa.array(at, pa.int64())
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)]
+                at.clear(), found.clear()
+                return pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[:-1]), *columns], names=schema.names)
+
+            for k, html in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                headers, rows = table_rows(html)
+                found += [("header", -1, j, text) for j, text in enumerate(headers)]
+                found += [("cell", i, j, text) for i, row in enumerate(rows) for j, text in enumerate(row)]
+                at += [k] * (len(found) - len(at))
+                if len(found) > _CELLS:
+                    yield flush()
+            if found:
+                yield flush()
+
+    return given.mapInArrow(cells, schema)
 
 
 def table_text(cells: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

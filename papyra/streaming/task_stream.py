@@ -13,6 +13,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,23 +117,26 @@ def run_batches(messages: DataFrame, work: Callable[[DataFrame], DataFrame], sin
 
 
 class RetryMachine(StatefulProcessor):
-    """State of each task: executions so far, and whether it has ended."""
+    """State of each task: executions so far, and whether it has ended; forgotten `remember` milliseconds after its last attempt, if given."""
+
+    def __init__(self, remember: int | None):
+        self.remember = remember
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "executions int, ended boolean")
+        self.seen = handle.getValueState("seen", "executions int, ended boolean", self.remember)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, ended = self.seen.get() if self.seen.exists() else (0, False)
-        out = []
         for frame in rows:
-            for failed, error in zip(frame["failed"], frame["error"], strict=True):
-                if not ended:
-                    n += 1
-                    state = "done" if not failed else "dlq" if n > MAX_RETRY else "retry"
-                    ended = state != "retry"
-                    out.append((key[0], state, n, error))
+            if ended or frame.empty:
+                continue
+            executions = np.arange(n + 1, n + 1 + len(frame))
+            state = np.where(~frame["failed"].to_numpy(bool), "done", np.where(executions > MAX_RETRY, "dlq", "retry"))
+            last = np.flatnonzero(state != "retry")[:1]  # what comes behind the end of a task changes nothing
+            ended, upto = bool(len(last)), last[0] + 1 if len(last) else len(frame)
+            n = int(executions[upto - 1])
+            yield pd.DataFrame({"task_id": key[0], "state": state[:upto], "executions": executions[:upto], "error": frame["error"].iloc[:upto].to_numpy()})
         self.seen.update((n, ended))
-        yield pd.DataFrame(out, columns=["task_id", "state", "executions", "error"])
 
     def close(self) -> None:
         pass
@@ -190,9 +194,15 @@ def run_tasks(messages: DataFrame, work: Callable[[dict], None], permanent: tupl
     return tasks.groupBy("task_id").transformWithStateInPandas(machine, outputStructType=TRANSITION, outputMode="Append", timeMode="ProcessingTime")
 
 
-def retries(attempts: DataFrame) -> DataFrame:
-    """Transitions (retry, done, dlq) of a stream of attempts; needs the RocksDB state store."""
-    return attempts.groupBy("task_id").transformWithStateInPandas(RetryMachine(), outputStructType=TRANSITION, outputMode="Append", timeMode="None")
+def retries(attempts: DataFrame, remember: int | None = None) -> DataFrame:
+    """Transitions (retry, done, dlq) of a stream of attempts (task_id, failed, error); needs the RocksDB state store.
+
+    With `remember`, a task is forgotten so many milliseconds after its last attempt, and one that comes later is a task's
+    first. State is then bounded by what comes in that time; the query needs a processing-time trigger, as it doesn't end by
+    itself. Without, state grows with the tasks.
+    """
+    mode = "None" if remember is None else "ProcessingTime"
+    return attempts.groupBy("task_id").transformWithStateInPandas(RetryMachine(remember), outputStructType=TRANSITION, outputMode="Append", timeMode=mode)
 
 
 def latest(transitions: DataFrame) -> DataFrame:

@@ -183,6 +183,18 @@ def test_html_and_model(spark):
     assert table_rows("") == ([], [])
 
 
+def test_html_cells_keep_their_keys(spark, monkeypatch):
+    from papyra.operators import ingest
+
+    rows = [(f"k{i}", i, "".join(f"<tr><td>{i}</td><td>{j}</td></tr>" for j in range(i))) for i in range(30)] + [("null", None, None)]
+    tables = spark.createDataFrame(rows, "name string, n long, html string")
+    for most in (1, 50_000):
+        monkeypatch.setattr(ingest, "_CELLS", most)
+        got = {tuple(r) for r in ingest.html_cells(tables, ("name", "n")).collect()}
+        want = {(f"k{i}", i, "header", -1, c, t) for i in range(1, 30) for c, t in enumerate((str(i), "0"))}
+        assert got == want | {(f"k{i}", i, "cell", j - 1, c, t) for i in range(30) for j in range(1, i) for c, t in enumerate((str(i), str(j)))}
+
+
 def test_html_tables_in_pages_counts_cells(spark, tmp_path):
     rows = [(1, "u", "<p>none</p>"), (2, "u", "<p>x</p><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr><tr><td>3</td><td>4</td></tr></table>"), (3, "u", "<table></table>")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
@@ -224,6 +236,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {(r.task_id, r.executions, r.state) for r in retry_or_dlq(attempts).collect()}
 
 
+@pytest.mark.parametrize("remember,executions", [(3_600_000, [1, 2]), (1, [1, 1])])
+def test_attempts_are_forgotten(spark, tmp_path, remember, executions):
+    import time
+
+    from papyra.streaming import task_stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(task_stream.ATTEMPT).json(f"{tmp_path}/in")
+    transitions = task_stream.retries(stream, remember).coalesce(1)
+    query = transitions.writeStream.format("memory").queryName(f"seen_{remember}").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="0 seconds").start()
+    try:
+        for k in range(2):
+            spark.createDataFrame([("t", str(k), True, "boom")], task_stream.ATTEMPT).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+            until = time.time() + 60
+            while spark.table(f"seen_{remember}").count() <= k and time.time() < until:
+                time.sleep(0.3)
+    finally:
+        query.stop()
+    assert sorted(r.executions for r in spark.table(f"seen_{remember}").collect()) == executions
+
+
 def test_message_batches(spark, tmp_path):
     from papyra.sources.readers import message_stream
     from papyra.streaming.task_stream import run_batches
