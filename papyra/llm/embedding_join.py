@@ -149,7 +149,7 @@ def range_join(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, pivot
     visits = visits.withColumn("block", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1))).where("block <= mine")
     dealt = visits.select("block", (F.col("block") != F.col("mine")).cast("int").alias("guest"), "node", "copies", "v")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total)
-    dealt = dealt.repartition(parts, "block").sortWithinPartitions("block", "guest")
+    dealt = dealt.repartitionById(parts, F.col("block").cast("int")).sortWithinPartitions("block", "guest")
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("least", pa.int64())])
 
     class Block:

@@ -109,7 +109,7 @@ class Sender:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.documents:
             return
-        uid = TaskContext.get().partitionId() << 24 | self.seq
+        uid, spread = TaskContext.get().partitionId() << 24 | self.seq, TaskContext.get().partitionId() + self.seq
         self.seq += 1
         hashes, owners, meta = np.concatenate(self.hashes), np.concatenate(self.owners), np.concatenate(self.meta)
         self.clear()
@@ -123,7 +123,7 @@ class Sender:
         beside = (keys[several], counts[several].astype(np.uint32), held) if self.with_owners else (np.bincount(held, minlength=len(meta)).astype(np.uint32),)
         holders = np.where(several, _MANY | counts.astype(np.uint32), owners[cut[:-1]])
         del hashes, owners, run
-        yield from _rows([_wire(uid % self.receivers, -1, uid, meta, *beside)])
+        yield from _rows([_wire(spread % self.receivers, -1, uid, meta, *beside)])
         parts = self.receivers * self.fine
         of = ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
         cut, _ = runs_of(of)
@@ -182,7 +182,7 @@ def by_flush(uids: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
 
 def exchange(rows: DataFrame, send: Callable, answer: Callable, settle: Callable, schema: str, receivers: int) -> DataFrame:
     """send's flushes to the receivers of their shingles, the receivers' answers back to the flushes, which settle."""
-    sent = rows.mapInArrow(freed(send), _WIRE).repartition(receivers, "r").sortWithinPartitions("part")
+    sent = rows.mapInArrow(freed(send), _WIRE).repartitionById(receivers, "r").sortWithinPartitions("part")
     answered = sent.mapInArrow(freed(lambda batches: received(batches, answer)), _WIRE)
     return answered.repartition(receivers, "uid").sortWithinPartitions("uid", "part").mapInArrow(freed(settle), schema)
 
