@@ -83,18 +83,31 @@ def build(spark: SparkSession, sf_dir: str, folder: str) -> None:
         BUILT[sf_dir, name] = f"{folder}/{name}"
 
 
-#: Lines of a partition, about eleven blocks each: what later steps sort by page stays in memory.
+#: Lines or documents of a partition, about eleven blocks a line: what later steps sort by page stays in memory.
 PARTITION_LINES = 50_000
 _FIRST = ("项目名称", "规格型号", "单位", "数量", "单价", "金额", "税率", "税额")
 _LAST = ("小计 100", "价税合计（小写） 200", "备注 开票人 张三")
 
 
+def _parts(spark: SparkSession, rows: int) -> int:
+    """Partitions of about PARTITION_LINES rows; of few rows no more than the session's number."""
+    return max(rows // PARTITION_LINES + 1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 5_000 + 1))
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_docs dealt by document before their texts are made, so that lines and fields of a document meet where they are."""
+    if (sf_dir, "fx_docs") in BUILT:
+        return frame(spark, sf_dir, "fx_docs")
+    orders, customer = frame(spark, sf_dir, "orders"), frame(spark, sf_dir, "customer")
+    met = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "c_name")
+    select, _ = SQL["fx_docs"].split("from {orders}")
+    return spark.sql(select.replace("{fmt}", _FMT["spark"]) + "from {met}", met=met.repartition(_parts(spark, orders.count()), "o_orderkey"))
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_lines with page, first_rn and last_rn of the page, dealt by document; nothing later need be dealt again."""
     lines = frame(spark, sf_dir, "lineitem")
-    n = lines.count()
-    parts = max(n // PARTITION_LINES + 1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 5_000 + 1))
-    met = lines.join(frame(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).repartition(parts, "l_orderkey")
+    met = lines.join(frame(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).repartition(_parts(spark, lines.count()), "l_orderkey")
     order = "l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
     w = Window.partitionBy("l_orderkey").orderBy(*order)
     rn, n = F.row_number().over(w), F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("int")
