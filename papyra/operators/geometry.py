@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import reading
+
 PAGE = ("doc_id", "page")
 
 
@@ -73,8 +75,6 @@ def in_order(frame: DataFrame, keys: tuple[str, ...], columns: list[str], name:
 
 
 _SPLIT = ("text", "x_min", "x_max", "y_min", "y_max", "width", "height")
-#: Parts of a vertical block are numbered from here, so that they follow all whole blocks.
-_PARTS = 1 << 40
 
 
 def _let(value: Column, body) -> Column:
@@ -123,7 +123,7 @@ def _split_items(items: Column, rest: list[str]) -> Column:
                 def part(c: Column, k: Column) -> Column:
                     low, high = c - half, c + half
                     text = F.when(anchored, F.array_max(counts)["c"]).otherwise(F.get(chars, k))
-                    new = {"text": text, "ordinal": F.lit(_PARTS) + b["ordinal"] * (1 << 16) + k, "y_center": c, "y_min": low, "y_max": high, "x_center": middle, "width": b["x_max"] - b["x_min"], "height": half * 2}
+                    new = {"text": text, "ordinal": F.lit(reading.PARTS) + b["ordinal"] * (1 << 16) + k, "y_center": c, "y_min": low, "y_max": high, "x_center": middle, "width": b["x_max"] - b["x_min"], "height": half * 2}
                     new["bbox"] = F.array(F.array(b["x_min"], low), F.array(b["x_max"], low), F.array(b["x_max"], high), F.array(b["x_min"], high))
                     fields = [(new[c2] if c2 in new else b[c2]).alias(c2) for c2 in rest]
                     return F.struct(c.alias("y_center"), new["ordinal"].alias("ordinal"), F.struct(*fields).alias("_block"))
@@ -237,6 +237,38 @@ def _parted(island: Column, rest: list[str], vertical: bool, plain: bool) -> Col
     return _let(by_y, lambda items: _let(F.struct(items.alias("items"), height(items).alias("near")), rows))
 
 
+def row_numbers(blocks: DataFrame) -> DataFrame:
+    """row_clusters for callers that group no more by page: a window numbers a page's blocks in reading order, the fold runs over
+    Arrow batches of whole pages, of which it takes numbers alone (see reading).
+
+    That takes less time, but Spark forgets how rows are dealt where Python evaluates a column, so a grouping by page
+    behind it deals all blocks again. A page's numbers are the unit of memory.
+    """
+    g = with_geometry(blocks) if "x_center" not in blocks.columns else blocks
+    g = g.where("x_center is not null")
+    rest = [c for c in g.columns if c not in PAGE]
+    vertical = all(c in rest for c in _SPLIT)
+    double = lambda c: F.col(c).cast("double").alias(c)
+    tall = F.lit(None).cast("struct<solid:string>")
+    if vertical:
+        # Told before blocks are sorted; texts of blocks that aren't high need not be made for it.
+        g = g.withColumn("_text", F.when(F.col("height") > F.col("width") * 2, F.col("text")))
+        shape = _tall_shape(lambda c: F.col("_text" if c == "text" else c))
+        tall = F.when(shape, F.struct(F.replace("_text", F.lit(" "), F.lit("")).alias("solid"), F.col("ordinal").cast("long").alias("ordinal"), *map(double, ("x_min", "x_max", "y_min", "y_max"))))
+    height = F.col("height").cast("double") if "height" in rest else F.lit(None).cast("double")
+    # Not deterministic, so that no filter on its rows moves below it and takes blocks from their page.
+    number = F.arrow_udf(reading.number, reading.RESULT).asNondeterministic()
+    ordered = g.withColumn("_tall", tall).withColumn("_k", F.row_number().over(Window.partitionBy(*PAGE).orderBy("y_center", "ordinal")))
+    each = ordered.withColumn("_r", number("_k", double("y_center"), double("x_center"), height, "_tall")).drop("_k", "_tall")
+    if not vertical:
+        return each.select(*PAGE, *rest, F.col("_r.row_index").alias("row_index"), F.col("_r.pos").alias("pos"))
+    each = each.select(*PAGE, *rest, "_r.row_index", "_r.pos", F.explode_outer("_r.parts").alias("_p"))
+    part, p = F.col("_p").isNotNull(), F.col("_p")
+    new = {c: p[c] for c in ("text", "ordinal", "x_center", "y_center", "y_min", "y_max", "width", "height")}
+    new["bbox"] = F.array(F.array("x_min", p["y_min"]), F.array("x_max", p["y_min"]), F.array("x_max", p["y_max"]), F.array("x_min", p["y_max"]))
+    return each.select(*PAGE, *(F.when(part, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in rest), *(F.when(part, p[c]).otherwise(F.col(c)).alias(c) for c in ("row_index", "pos")))
+
+
 def bottom_half(blocks: DataFrame) -> DataFrame:
     """The lower half of each page's blocks by (y_min, ordinal), the middle one included."""
     w = Window.partitionBy(*PAGE)

@@ -59,3 +59,29 @@ def test_geometry_of_any_polygon(spark):
         (0, 0.0, 4.0, 1.0, 3.5, 2.0, 2.125, 4.0, 2.5), (1, 0.0, 9.0, -2.0, 3.5, 3.4, 1.3, 9.0, 5.5), (2, *[None] * 8),
         (3, 1.0, 4.0, 2.0, 4.0, 2.5, None, 3.0, 2.0), (4, 2.0, 4.0, 2.0, 4.0, None, None, 2.0, 2.0), (5, *[None] * 8),
     ]
+
+
+def test_row_numbers_equal_row_clusters(spark):
+    """The fold over Arrow batches against the fold of SQL's arrays: jitter, vertical blocks, centres and heights that are null, batches that cut pages."""
+    import random
+
+    r = random.Random(7)
+    rows = []
+    for doc in range(60):
+        spread = r.choice([0, 3, 14, 40])
+        for k in range(r.choice([1, 5, 40, 200])):
+            x, y, h = r.randrange(8) * 100.0, k // 6 * r.choice([30, 40]) + r.random() * spread, r.choice([20.0, 24.0, 0.0])
+            tall = doc % 3 == 0 and r.random() < 0.04
+            text, wide, h = ("件件 件", 20.0, 150.0) if tall else (f"t{k}", 80.0, h)
+            rows.append((doc // 2, doc % 2, k, text, x, x + wide, y, y + h, x + wide / 2, None if doc % 7 == 1 and k % 9 == 0 else y + h / 2, wide, None if r.random() < 0.05 else h))
+    frame = spark.createDataFrame(rows, "doc_id long, page int, ordinal long, text string, x_min double, x_max double, y_min double, y_max double, x_center double, y_center double, width double, height double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for some in (frame, frame.drop("text")):
+            got, want = geometry.row_numbers(some), geometry.row_clusters(some)
+            assert got.columns == want.columns and got.dtypes == want.dtypes
+            got, want = (sorted(map(str, f.collect())) for f in (got, want))
+            assert got == want
+            assert len(got) > len(rows) or "text" not in some.columns
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
