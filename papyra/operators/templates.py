@@ -1,8 +1,7 @@
 """Which template a text belongs to: the first whose key stands in it, for catalogues of any size.
 
-All keys are searched at once, by an automaton over them. A catalogue of up to MOST_BYTES of keys goes to every task, so texts
-stay where they are. A larger one is cut into shards of that size; a text then meets each shard in a task of its own, which
-takes the shard's keys in before its texts stream by.
+All keys are searched at once. A catalogue of up to MOST_BYTES of keys goes to every task as an automaton over them, so texts
+stay where they are. Keys of a larger one meet the texts that hold a piece of them in an equi-join (see anchors).
 """
 
 from __future__ import annotations
@@ -14,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of keys that go to every task, and that a shard holds; bytes of texts that a task of a shard takes.
-MOST_BYTES, TASK_BYTES = 8 << 20, 256 << 20
+from . import anchors
+
+#: Bytes of keys that go to every task.
+MOST_BYTES = 8 << 20
 
 
 class Keys:
@@ -46,7 +47,7 @@ def _found(keys: Keys, texts: list[str | None]) -> pa.Array:
     return pa.array([None if h is None else {"ordinal": h[0], "supplier_key": h[1]} for h in map(keys.first, texts)], _HIT)
 
 
-def matched(docs: DataFrame, templates: DataFrame, most_bytes: int = MOST_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
+def matched(docs: DataFrame, templates: DataFrame, most_bytes: int = MOST_BYTES, most_filter: int = anchors.MOST_FILTER) -> DataFrame:
     """(doc_id, hit struct<ordinal, supplier_key>) of docs (doc_id, full_text): rows with a hit, one or more a document."""
     keys = templates.where("supplier_key is not null").groupBy("supplier_key").agg(F.min("ordinal").cast("long").alias("ordinal"))
     size = F.sum(F.octet_length("supplier_key") + 64)
@@ -62,28 +63,8 @@ def matched(docs: DataFrame, templates: DataFrame, most_bytes: int = MOST_BYTES,
                 yield pa.RecordBatch.from_arrays([b.column(0), _found(ready, b.column(1).to_pylist())], names=["doc_id", "hit"])
 
         return texts.mapInArrow(search, out).where("hit is not null")
-    shards = -(-total // most_bytes)
-    tasks = int((docs.agg(F.sum(F.octet_length("full_text")).alias("n")).first().n or 0) // task_bytes) + 1
-    spread = texts.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(int(shards) - 1)))).withColumn("task", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(tasks)).cast("int"))
-    spread = spread.select("shard", "task", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("bigint").alias("ordinal"))
-    dealt = keys.select(F.pmod(F.xxhash64("supplier_key"), F.lit(int(shards))).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), F.lit(0).alias("kind"), F.lit(None).cast(dict(texts.dtypes)["doc_id"]).alias("doc_id"), F.col("supplier_key").alias("text"), "ordinal")
-    mixed = spread.unionByName(dealt).repartition("shard", "task").sortWithinPartitions("shard", "task", "kind")
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, ready = None, [], None
-        for b in batches:
-            shard, task, kind, text, place = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("shard", "task", "kind", "text", "ordinal"))
-            at, hits = [], []
-            for k, of in enumerate(zip(shard, task, strict=True)):
-                if of != now:
-                    now, held, ready = of, [], None
-                if kind[k] == 0:
-                    held.append((text[k], place[k]))
-                    continue
-                ready = ready or Keys(held)
-                if (hit := ready.first(text[k])) is not None:
-                    at.append(k)
-                    hits.append({"ordinal": hit[0], "supplier_key": hit[1]})
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).take(pa.array(at, pa.int64())), pa.array(hits, _HIT)], names=["doc_id", "hit"])
-
-    return mixed.mapInArrow(stream, out)
+    some = keys.where("supplier_key <> ''").select(F.col("supplier_key").alias("key"), "ordinal")
+    hits = anchors.met(texts, some, most_filter).select("doc_id", F.struct("ordinal", F.col("key").alias("supplier_key")).alias("hit"))
+    # An empty key stands in every text.
+    empty = keys.where("supplier_key = ''").select(F.struct("ordinal", "supplier_key").alias("hit"))
+    return hits.unionByName(texts.where("text is not null").select("doc_id").crossJoin(F.broadcast(empty)))

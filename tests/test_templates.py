@@ -33,3 +33,19 @@ def test_empty_key_and_no_keys(spark):
     assert Keys([]).first("x") is None and Keys([("a", 1)]).first(None) is None
     docs = spark.createDataFrame([(1, "x")], "doc_id long, full_text string")
     assert match_templates(docs, spark.createDataFrame([], "supplier_key string, ordinal int")).count() == 0
+
+
+def test_a_text_meets_few_of_many_keys(spark):
+    """Keys of a large catalogue meet texts by pieces; each text once went to every shard of them."""
+    from papyra.operators import anchors
+
+    keys = spark.range(3000).selectExpr("concat('Customer', lpad(cast(id as string), 9, '0')) as key", "id as ordinal")
+    texts = spark.range(500).selectExpr("id as doc_id", "concat('von Ä Customer', lpad(cast(id * 7 as string), 9, '0'), ' an') as text")
+    met = anchors.met(texts, keys)
+    assert {(r.doc_id, r.ordinal) for r in met.collect()} == {(k, k * 7) for k in range(500) if k * 7 < 3000}
+    ready = anchors.anchored(keys)
+    # Last pieces tell keys apart that begin alike, and few places of a text pass.
+    assert ready.select("anchor").distinct().count() == 3000
+    found = anchors.filtered(ready)
+    rows, _ = found.places(texts.toArrow().column("text").combine_chunks())
+    assert 429 <= len(rows) < 600
