@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +123,11 @@ def filtered(keys: DataFrame, most: int = MOST_FILTER) -> Filter:
 def met(texts: DataFrame, keys: DataFrame, most: int = MOST_FILTER) -> DataFrame:
     """texts (text and others) with each key (key and others) that stands in them, once a pair."""
     ready = anchored(keys)
-    found = texts.sparkSession.sparkContext.broadcast(filtered(ready, most))
+    return meeting(texts, ready, texts.sparkSession.sparkContext.broadcast(filtered(ready, most)))
+
+
+def meeting(texts: DataFrame, ready: DataFrame, found: Broadcast) -> DataFrame:
+    """met with anchored keys and their broadcast filter."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

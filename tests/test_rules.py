@@ -88,3 +88,23 @@ def test_many_rules_are_one_search():
     value, log = ready.apply("see <15>")
     assert value == "see end" and [e["rule_id"] for e in log] == [f"r{k}" for k in range(15, 21)]
     assert len(ready._sought("see <15>", -1)) == 1
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_rules_by_rounds(spark, empty):
+    """A catalogue that no task holds meets its values by joins: the same values and logs, with rules that every value tries or without."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rules = [r for r in catalogue(25, 7) if empty or r["pattern"] not in ("", r"(\d)[oO](\d)", "[ab]c", r"\s+", "(ab|ba)c", "(?i)ABC")]
+    rules += [dict(rules[0], id=f"c{k}", rule_type="dict", pattern=f"<{k}>", replacement=f"<{k + 1}>", doc_type="ALL", field_name=None, is_enabled=True, priority=4, ordinal=100 + k) for k in range(3)]
+    rules += [dict(rules[-1], id="gone", pattern="xyz", replacement="", ordinal=200), dict(rules[-1], id="behind", rule_type="regex", pattern="q*", replacement="after", ordinal=201)][: 1 + empty]
+    texts = [None, "", "xyz", "see <0>", *("".join(rng.choice("abcxÉ 1o") for _ in range(9)) for _ in range(30))]
+    values = [(k, rng.choice(["A", "B", "C", None]), rng.choice(["f", "g", None]), texts[k % len(texts)], {"k": k}) for k in range(120)]
+    frame = spark.createDataFrame(values, "doc_id long, doc_type string, field_name string, value string, more map<string,int>")
+    table = spark.createDataFrame([tuple(r[n] for n in NAMES) for r in rules], RULE_SCHEMA)
+    frames = [apply_table(frame, table, F.col("doc_type"), 30, held) for held in (0, 1 << 20)]
+    rounds, held = ({r.doc_id: (r.value, [tuple(e) for e in r.applied], r.more["k"]) for r in f.collect()} for f in frames)
+    want = {k: (*plain(v, rules, t, f), k) for k, t, f, v, _ in values}
+    assert rounds == want and held == want
+    assert max(len(x[1]) for x in want.values()) > 2 and any(x[0] == "" and x[1] for x in want.values())
