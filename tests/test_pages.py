@@ -44,6 +44,12 @@ def test_pages_are_dealt_once(spark, name):
 
 
 
+@pytest.mark.parametrize("name", ["table_simple", "layout_text", "header_hits", "table_body", "header_row", "row_classify", "header_template8", "header_keyset", "header_merge"])
+def test_rows_of_pages_are_dealt_once(spark, name):
+    """Also where rows are counted in the end, of which a row a kind and task is dealt."""
+    assert set(exchanges(queries.QUERIES[name](spark, SF))) == {"l_orderkey"} | ({"row_type"} if name == "table_simple" else set())
+
+
 @pytest.mark.parametrize("name", ["post_process", "needs_review", "evidence_contains", "extract_remark", "doc_confidence"])
 def test_documents_are_dealt_once(spark, name):
     """Orders are dealt by key before their texts are made; lines and fields then meet without another exchange."""
