@@ -312,6 +312,29 @@ def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
         assert rounds.count("suffix-spans") > (2 if hot < 10_000 else 1)
 
 
+def test_suffix_dedup_deals_common_anchors_evenly(spark, monkeypatch):
+    rows = hot_rows()
+    rows += [(len(rows) + k, f"{k:>5}" + rows[3][1][:450] * 2) for k in range(60)] + [(500, "z" * 3000), (None, "q" * 150 + rows[3][1] + "q")]
+    want = Counter((i, *w) for (i, _), w in zip(rows, removed_by_brute_force([t for _, t in rows], 400), strict=True))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt = []
+    keep = suffix_dedup.in_shards
+    monkeypatch.setattr(suffix_dedup, "in_shards", lambda pieces, n: dealt.append(pieces) or keep(pieces, n))
+    for common in (1_000_000, 20, 1):
+        for hot in (suffix_dedup.HOT, 2000):
+            dealt.clear()
+            out = suffix_dedup.suffix_dedup(frame, hot=hot, common=common)
+            assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect()) == want
+        most = []
+        for pieces in dealt:
+            stretches = [r for r in pieces.collect() if r.body is not None]
+            # Equal stretches leave a task once: no row has two places.
+            assert stretches and all(len(r.places) == (0 if r.several else 24) for r in stretches)
+            most.append(max(Counter(r.anchor for r in stretches if not r.common and r.known < 400).values(), default=0))
+        # A passage below the length, in 45 documents, is one task's, unless it is split by others before.
+        assert max(most) >= 45 if common > 45 else max(most) <= common
+
+
 def test_split_sends_equal_windows_alike():
     rnd = random.Random(12)
     for _ in range(200):
