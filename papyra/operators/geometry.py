@@ -49,10 +49,10 @@ def rects(blocks: DataFrame) -> DataFrame:
 
 
 def normalized_boxes(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """blocks with bbox_norm: points divided by their page's size, or by the document's first page's; null without a size."""
+    """blocks with bbox_norm: points divided by their page's size, or by the document's first page's; null without a size. Both sides are dealt by document alone."""
     own = pages.select("doc_id", "page", F.col("width").alias("_w"), F.col("height").alias("_h"))
     first = pages.groupBy("doc_id").agg(F.min_by(F.struct("width", "height"), "page").alias("_first"))
-    j = blocks.join(own, ["doc_id", "page"], "left").join(first, "doc_id", "left")
+    j = meets(meets(blocks, own, how="left"), first, ("doc_id",), "left")
     w, h = F.coalesce("_w", "_first.width"), F.coalesce("_h", "_first.height")
     scaled = F.transform("bbox", lambda p: F.array(p[0] / w, p[1] / h))
     return j.withColumn("bbox_norm", F.when((w > 0) & (h > 0), scaled)).drop("_w", "_h", "_first")

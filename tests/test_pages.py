@@ -91,3 +91,12 @@ def test_row_numbers_equal_row_clusters(spark):
             assert len(got) > len(rows) or "text" not in some.columns
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_normalized_boxes_are_dealt_by_document(spark):
+    """Blocks meet their page's size where their lines were dealt; a page without a size takes the first page's."""
+    assert set(exchanges(queries.QUERIES["bbox_normalized"](spark, SF))) == {"l_orderkey"}
+    blocks = spark.createDataFrame([(1, 1, 0, [[10.0, 20.0]]), (1, 3, 0, [[10.0, 20.0]]), (1, None, 0, [[10.0, 20.0]]), (2, 1, 0, [[1.0, 1.0]]), (3, 1, 0, [[1.0, 1.0]])], "doc_id long, page int, ordinal long, bbox array<array<double>>")
+    pages = spark.createDataFrame([(1, 1, 100, 200), (1, 2, 1, 1), (2, 1, 0, 5)], "doc_id long, page int, width int, height int")
+    got = geometry.normalized_boxes(blocks, pages).orderBy("doc_id", "page").select("doc_id", "page", "bbox_norm")
+    assert [tuple(r) for r in got.collect()] == [(1, None, [[0.1, 0.1]]), (1, 1, [[0.1, 0.1]]), (1, 3, [[0.1, 0.1]]), (2, 1, None), (3, 1, None)]
