@@ -10,19 +10,23 @@ from pyspark.sql import functions as F
 from ..catalog import DETECTOR_CLASSES, FOOTER_WORDS, STRUCTURE_LABELS, TABLE_WORDS, VERTICAL_MARKERS
 from ..functions.remark import merge_remarks
 from ..functions.text import contains_any, first_of
-from .geometry import PAGE
+from .geometry import PAGE, meets
 from .templates import matched
 
 
 def rule_based_regions(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """table, header and footer regions of each page by height bands and words: region_type, ordinal, bounds, confidence, orientation."""
-    j = blocks.join(pages.select("doc_id", "page", F.col("width").alias("_w"), F.col("height").alias("_h")), list(PAGE)).where("_h > 0")
-    ratio = F.col("y_center") / F.col("_h")
-    text = F.col("text")
+    sizes = pages.select(*PAGE, F.col("width").alias("_w"), F.col("height").alias("_h")).where("_h > 0")
+    j = meets(blocks, sizes)
+    ratio, text = F.col("y_center") / F.col("_h"), F.col("text")
     bands = [("table", ratio.between(0.2, 0.85) | contains_any(text, TABLE_WORDS), 0.8), ("header", ratio < 0.2, 0.7), ("footer", (ratio > 0.8) | contains_any(text, FOOTER_WORDS), 0.7)]
-    kinds = F.array_compact(F.array(*(F.when(fits, F.struct(F.lit(k).alias("ordinal"), F.lit(name).alias("region_type"), F.lit(c).alias("confidence"))) for k, (name, fits, c) in enumerate(bands))))
-    each = j.select(*PAGE, "x_min", "y_min", "x_max", "y_max", F.when(F.col("_h") > F.col("_w"), "portrait").otherwise("landscape").alias("orientation"), F.inline(kinds))
-    return each.groupBy(*PAGE, "ordinal", "region_type", "confidence", "orientation").agg(F.min("x_min").alias("x1"), F.min("y_min").alias("y1"), F.max("x_max").alias("x2"), F.max("y_max").alias("y2"))
+    fits = j.withColumns({f"_{name}": fit for name, fit, _ in bands}).withColumn("orientation", F.when(F.col("_h") > F.col("_w"), "portrait").otherwise("landscape"))
+    sides = [("x1", F.min, "x_min"), ("y1", F.min, "y_min"), ("x2", F.max, "x_max"), ("y2", F.max, "y_max")]
+    # All bands of a page in one row, so that no block is copied.
+    page = fits.groupBy(*PAGE, "orientation").agg(*(F.count_if(f"_{name}").alias(f"_{name}") for name, _, _ in bands), *(side(F.when(F.col(f"_{name}"), F.col(c))).alias(f"_{name}_{k}") for name, _, _ in bands for k, side, c in sides))
+    kinds = [F.when(F.col(f"_{name}") > 0, F.struct(F.lit(k).alias("ordinal"), F.lit(name).alias("region_type"), F.lit(c).alias("confidence"), *(F.col(f"_{name}_{s}").alias(s) for s, _, _ in sides))) for k, (name, _, c) in enumerate(bands)]
+    each = page.select(*PAGE, "orientation", F.inline(F.array_compact(F.array(*kinds))))
+    return each.select(*PAGE, "ordinal", "region_type", "confidence", "orientation", *(s for s, _, _ in sides))
 
 
 def reading_order(regions: DataFrame) -> DataFrame:
@@ -49,10 +53,13 @@ def detector_regions(boxes: DataFrame) -> DataFrame:
 
 def blocks_in_regions(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     """blocks with in_table and the ordinal of the first region that holds their centre."""
-    r = regions.select(*PAGE, F.col("ordinal").alias("_region"), "x1", "y1", "x2", "y2")
-    hit = blocks.join(r, list(PAGE)).where(F.col("x_center").between(F.col("x1"), F.col("x2")) & F.col("y_center").between(F.col("y1"), F.col("y2")))
-    first = hit.groupBy(*PAGE, "ordinal").agg(F.min("_region").alias("region_ordinal"))
-    return blocks.join(first, [*PAGE, "ordinal"], "left").withColumn("in_table", F.col("region_ordinal").isNotNull())
+    each = F.struct("ordinal", "x1", "y1", "x2", "y2")
+    page = regions.groupBy(*PAGE).agg(F.sort_array(F.collect_list(each)).alias("_regions"))
+    # A page's regions reach its blocks once, so blocks are neither dealt again nor joined with themselves.
+    j = meets(blocks, page, how="left")
+    holds = lambda r: r["ordinal"].isNotNull() & F.col("x_center").between(r["x1"], r["x2"]) & F.col("y_center").between(r["y1"], r["y2"])
+    first = F.get(F.filter("_regions", holds), F.lit(0))["ordinal"]
+    return j.withColumn("region_ordinal", first).drop("_regions").withColumn("in_table", F.col("region_ordinal").isNotNull())
 
 
 def vertical_regions(blocks: DataFrame, least_ratio: float = 2.0) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from papyra.operators import geometry
+from papyra.operators import geometry, layout
 from papyra.plans import fixtures, queries
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +100,16 @@ def test_normalized_boxes_are_dealt_by_document(spark):
     pages = spark.createDataFrame([(1, 1, 100, 200), (1, 2, 1, 1), (2, 1, 0, 5)], "doc_id long, page int, width int, height int")
     got = geometry.normalized_boxes(blocks, pages).orderBy("doc_id", "page").select("doc_id", "page", "bbox_norm")
     assert [tuple(r) for r in got.collect()] == [(1, None, [[0.1, 0.1]]), (1, 1, [[0.1, 0.1]]), (1, 3, [[0.1, 0.1]]), (2, 1, None), (3, 1, None)]
+
+
+@pytest.mark.parametrize("name", ["blocks_in_table", "layout_rule_based"])
+def test_regions_are_dealt_by_document(spark, name):
+    assert set(exchanges(queries.QUERIES[name](spark, SF))) == {"l_orderkey"}
+
+
+def test_blocks_take_the_first_region_that_holds_them(spark):
+    """Of overlapping regions the smallest ordinal; pages without regions, and regions without an ordinal, hold nothing."""
+    blocks = spark.createDataFrame([(1, 1, 0, 5.0, 5.0), (1, 1, 1, 15.0, 5.0), (1, 1, 2, 99.0, 5.0), (1, 2, 0, 5.0, 5.0), (2, 1, 0, 5.0, 5.0)], "doc_id long, page int, ordinal long, x_center double, y_center double")
+    regions = spark.createDataFrame([(1, 1, 3, 0.0, 0.0, 20.0, 9.0), (1, 1, 1, 0.0, 0.0, 10.0, 5.0), (1, 2, None, 0.0, 0.0, 9.0, 9.0)], "doc_id long, page int, ordinal int, x1 double, y1 double, x2 double, y2 double")
+    got = layout.blocks_in_regions(blocks, regions).select("doc_id", "page", "ordinal", "region_ordinal", "in_table").orderBy("doc_id", "page", "ordinal").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 0, 1, True), (1, 1, 1, 3, True), (1, 1, 2, None, False), (1, 2, 0, None, False), (2, 1, 0, None, False)]
