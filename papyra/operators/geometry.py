@@ -237,36 +237,45 @@ def _parted(island: Column, rest: list[str], vertical: bool, plain: bool) -> Col
     return _let(by_y, lambda items: _let(F.struct(items.alias("items"), height(items).alias("near")), rows))
 
 
-def row_numbers(blocks: DataFrame) -> DataFrame:
-    """row_clusters for callers that group no more by page: a window numbers a page's blocks in reading order, the fold runs over
-    Arrow batches of whole pages, of which it takes numbers alone (see reading).
-
-    That takes less time, but Spark forgets how rows are dealt where Python evaluates a column, so a grouping by page
-    behind it deals all blocks again. A page's numbers are the unit of memory.
-    """
+def over_pages(blocks: DataFrame, f, result: str, more: dict[str, str] | None = None) -> DataFrame:
+    """blocks with _r: what f says of each over Arrow batches of whole pages in reading order, the columns `more` (with their types) included."""
     g = with_geometry(blocks) if "x_center" not in blocks.columns else blocks
     g = g.where("x_center is not null")
-    rest = [c for c in g.columns if c not in PAGE]
-    vertical = all(c in rest for c in _SPLIT)
     double = lambda c: F.col(c).cast("double").alias(c)
     tall = F.lit(None).cast("struct<solid:string>")
-    if vertical:
+    if all(c in g.columns for c in _SPLIT):
         # Told before blocks are sorted; texts of blocks that aren't high need not be made for it.
         g = g.withColumn("_text", F.when(F.col("height") > F.col("width") * 2, F.col("text")))
         shape = _tall_shape(lambda c: F.col("_text" if c == "text" else c))
         tall = F.when(shape, F.struct(F.replace("_text", F.lit(" "), F.lit("")).alias("solid"), F.col("ordinal").cast("long").alias("ordinal"), *map(double, ("x_min", "x_max", "y_min", "y_max"))))
-    height = F.col("height").cast("double") if "height" in rest else F.lit(None).cast("double")
+    height = F.col("height").cast("double") if "height" in g.columns else F.lit(None).cast("double")
     # Not deterministic, so that no filter on its rows moves below it and takes blocks from their page.
-    number = F.arrow_udf(reading.number, reading.RESULT).asNondeterministic()
+    called = F.arrow_udf(f, result).asNondeterministic()
     ordered = g.withColumn("_tall", tall).withColumn("_k", F.row_number().over(Window.partitionBy(*PAGE).orderBy("y_center", "ordinal")))
-    each = ordered.withColumn("_r", number("_k", double("y_center"), double("x_center"), height, "_tall")).drop("_k", "_tall")
-    if not vertical:
+    return ordered.withColumn("_r", called("_k", double("y_center"), double("x_center"), height, "_tall", *(F.col(c).cast(t) for c, t in (more or {}).items()))).drop("_k", "_tall", "_text")
+
+
+def with_parts(rest: list[str], p: Column) -> list[Column]:
+    """The columns `rest` of blocks, or of the part p in place of one."""
+    new = {c: p[c] for c in ("text", "ordinal", "x_center", "y_center", "y_min", "y_max", "width", "height")}
+    new["bbox"] = F.array(F.array("x_min", p["y_min"]), F.array("x_max", p["y_min"]), F.array("x_max", p["y_max"]), F.array("x_min", p["y_max"]))
+    return [F.when(p.isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rest]
+
+
+def row_numbers(blocks: DataFrame) -> DataFrame:
+    """row_clusters for callers that group no more by page: a window numbers a page's blocks in reading order, the fold runs over
+    Arrow batches of whole pages, of which it takes numbers alone (see reading).
+
+    That takes less time, but Spark forgets how rows are dealt where Python evaluates a column, so a grouping by page
+    behind it deals all blocks again. A page's numbers are the unit of memory.
+    """
+    each = over_pages(blocks, reading.number, reading.RESULT)
+    rest = [c for c in each.columns if c not in (*PAGE, "_r")]
+    if not all(c in rest for c in _SPLIT):
         return each.select(*PAGE, *rest, F.col("_r.row_index").alias("row_index"), F.col("_r.pos").alias("pos"))
     each = each.select(*PAGE, *rest, "_r.row_index", "_r.pos", F.explode_outer("_r.parts").alias("_p"))
     part, p = F.col("_p").isNotNull(), F.col("_p")
-    new = {c: p[c] for c in ("text", "ordinal", "x_center", "y_center", "y_min", "y_max", "width", "height")}
-    new["bbox"] = F.array(F.array("x_min", p["y_min"]), F.array("x_max", p["y_min"]), F.array("x_max", p["y_max"]), F.array("x_min", p["y_max"]))
-    return each.select(*PAGE, *(F.when(part, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in rest), *(F.when(part, p[c]).otherwise(F.col(c)).alias(c) for c in ("row_index", "pos")))
+    return each.select(*PAGE, *with_parts(rest, p), *(F.when(part, p[c]).otherwise(F.col(c)).alias(c) for c in ("row_index", "pos")))
 
 
 def bottom_half(blocks: DataFrame) -> DataFrame:

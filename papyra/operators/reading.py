@@ -1,8 +1,9 @@
-"""Rows of a page's blocks: the fold of the running mean over whole Arrow batches, and over one page with vertical blocks."""
+"""Rows of a page's blocks: the fold of the running mean over Arrow batches of whole pages, vertical blocks split first."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,8 @@ import pyarrow as pa
 PARTS = 1 << 40
 PART = "struct<text:string,ordinal:bigint,x_center:double,y_center:double,y_min:double,y_max:double,width:double,height:double,row_index:int,pos:int>"
 RESULT = f"struct<row_index:int,pos:int,parts:array<{PART}>>"
-_PART = pa.struct([("text", pa.string()), ("ordinal", pa.int64()), *((c, pa.float64()) for c in ("x_center", "y_center", "y_min", "y_max", "width", "height")), ("row_index", pa.int32()), ("pos", pa.int32())])
+_SIDES = ("x_center", "y_center", "y_min", "y_max", "width", "height")
+_PART = pa.struct([("text", pa.string()), ("ordinal", pa.int64()), *((c, pa.float64()) for c in _SIDES), ("row_index", pa.int32()), ("pos", pa.int32())])
 #: Islands that are folded side by side; fewer are folded one by one.
 _FEW = 8
 
@@ -37,10 +39,10 @@ def _starts(y: np.ndarray, near: np.ndarray, first: np.ndarray, end: np.ndarray)
     return out
 
 
-def _numbered(y: np.ndarray, absent: np.ndarray, x: np.ndarray, h: np.ndarray, opens: np.ndarray, islands: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def _numbered(y: np.ndarray, absent: np.ndarray, x: np.ndarray, h: np.ndarray, opens: np.ndarray, islands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """row_index and pos of the blocks of whole pages in reading order; opens says where pages start, absent where y is null.
 
-    Pages are cut into islands first, as in geometry.row_clusters, unless they hold vertical shapes.
+    Pages are cut into islands first, as in geometry.row_clusters, where islands says so: not those that hold vertical shapes.
     """
     page = np.cumsum(opens) - 1
     positive = h > 0
@@ -48,12 +50,12 @@ def _numbered(y: np.ndarray, absent: np.ndarray, x: np.ndarray, h: np.ndarray, o
     sums, counts = np.bincount(page, np.where(positive, h, 0.0)), np.bincount(page, positive)
     near = np.maximum(np.where(counts > 0, sums / np.maximum(counts, 1), 20.0) * 0.5, 5.0)[page]
     gap = np.zeros(len(y), bool)
-    gap[1:] = islands & ~(y[1:] - y[:-1] <= near[1:]) & ~absent[1:] & ~absent[:-1]
+    gap[1:] = islands[1:] & ~(y[1:] - y[:-1] <= near[1:]) & ~absent[1:] & ~absent[:-1]
     cut = opens | gap
     first = np.flatnonzero(cut)
     end = np.append(first[1:], len(y))
     # Sorted, so an island's last block is its lowest.
-    low = islands & (y[end - 1] - np.fmin.reduceat(y, first) <= near[first])
+    low = islands[first] & (y[end - 1] - np.fmin.reduceat(y, first) <= near[first])
     high = ~low
     starts = cut | _starts(y, near[first[high]], first[high], end[high]) if high.any() else cut
     row = np.cumsum(starts) - 1
@@ -64,80 +66,121 @@ def _numbered(y: np.ndarray, absent: np.ndarray, x: np.ndarray, h: np.ndarray, o
     return row - row[np.flatnonzero(opens)][page], pos
 
 
-def _upper_median(values: list) -> float | None:
-    # As SQL sorts: not a number behind all numbers, null last.
-    return sorted(values, key=lambda v: (v is None, v != v, v))[len(values) // 2]
-
-
-def _split(y: list, x: list, h: list, tall: list) -> tuple[list, dict]:
-    """A page's items (y, kind, place, x, height, block, part) in reading order with its vertical blocks' parts, and those by block."""
-    median = _upper_median(h)
-    vertical = {k for k, t in enumerate(tall) if t and median is not None and h[k] > median * 2.5}
-    others = [k for k in range(len(y)) if k not in vertical]
-    items, parts = [(y[k], 0, k, x[k], h[k], k, None) for k in others], {}
-    for k in vertical:
-        t = tall[k]
-        low, high, middle = t["y_min"] - median, t["y_max"] + median, (t["x_min"] + t["x_max"]) / 2
-        anchors: list[float] = []
-        for j in others:
-            if y[j] is not None and low <= y[j] <= high and abs(x[j] - middle) >= median * 2 and (not anchors or y[j] - anchors[-1] > median * 0.4):
-                anchors.append(y[j])
-        chars = list(t["solid"]) or [""]
-        step = (t["y_max"] - t["y_min"]) / len(chars)
-        half = (median if anchors else step) / 2
-        # The commonest character, the first of equals.
-        common = max(chars, key=chars.count)
-        parts[k] = []
-        for n, c in enumerate(anchors or [t["y_min"] + (n + 0.5) * step for n in range(len(chars))]):
-            p = {"text": common if anchors else chars[n], "ordinal": PARTS + t["ordinal"] * (1 << 16) + n, "x_center": middle, "y_center": c, "y_min": c - half, "y_max": c + half, "width": t["x_max"] - t["x_min"], "height": half * 2}
-            parts[k].append(p)
-            items.append((c, 1, p["ordinal"], middle, half * 2, k, p))
-    return sorted(items, key=lambda i: (i[0] is not None, i[:3])), parts
-
-
-def _page(y: list, x: list, h: list, tall: list) -> tuple[list, list, list]:
-    """row_index, pos and parts of the blocks of a page with vertical shapes; blocks that are vertical have parts alone."""
-    items, parts = _split(y, x, h, tall)
-    ys = np.array([np.nan if i[0] is None else i[0] for i in items])
-    one = np.zeros(len(items), bool)
-    one[0] = True
-    row, pos = _numbered(ys, np.array([i[0] is None for i in items]), np.array([i[3] for i in items]), np.array([np.nan if i[4] is None else i[4] for i in items]), one, False)
-    rows, places = [None] * len(y), [None] * len(y)
-    for (*_, k, p), r, n in zip(items, row.tolist(), pos.tolist(), strict=True):
-        if p is None:
-            rows[k], places[k] = r, n
-        else:
-            p["row_index"], p["pos"] = r, n
-    return rows, places, [parts.get(k) for k in range(len(y))]
+class Items(NamedTuple):
+    """What stands on a batch's pages, in reading order: blocks, and parts in place of vertical ones."""
+
+    block: np.ndarray
+    part: np.ndarray  # of parts; -1 for blocks
+    page: np.ndarray
+    row: np.ndarray
+    pos: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    parts: dict[str, list]
+
+
+def numbers(a: pa.Array) -> np.ndarray:
+    return a.fill_null(float("nan")).to_numpy(zero_copy_only=False)
+
+
+def _split(shapes: np.ndarray, page: np.ndarray, opens: np.ndarray, y: np.ndarray, x: np.ndarray, h: np.ndarray, tall: pa.Array) -> dict[str, list]:
+    """The parts of vertical blocks, as columns with the block of each; shapes are the blocks that look vertical."""
+    out: dict[str, list] = {c: [] for c in ("block", "text", "ordinal", *_SIDES)}
+    first = np.append(np.flatnonzero(opens), len(y))
+    some = tall.take(pa.array(shapes))
+    t = {c: some.field(c).to_pylist() for c in ("solid", "ordinal", "x_min", "x_max", "y_min", "y_max")}
+    cuts = np.append(np.flatnonzero(np.append(True, np.diff(page[shapes]) > 0)), len(shapes))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        a, b = first[page[shapes[i]]], first[page[shapes[i]] + 1]
+        high, ys, xs = h[a:b], y[a:b], x[a:b]
+        # As SQL sorts: what isn't a number, or null, last.
+        median = np.partition(high, (b - a) // 2)[(b - a) // 2]
+        vertical = [n for n in range(i, j) if h[shapes[n]] > median * 2.5]
+        others = np.ones(b - a, bool)
+        others[shapes[vertical] - a] = False
+        for n in vertical:
+            low, top, middle, width = t["y_min"][n], t["y_max"][n], (t["x_min"][n] + t["x_max"][n]) / 2, t["x_max"][n] - t["x_min"][n]
+            beside = others & (ys >= low - median) & (ys <= top + median) & (np.abs(xs - middle) >= median * 2)
+            centers: list[float] = []
+            for v in ys[beside].tolist():
+                if not centers or v - centers[-1] > median * 0.4:
+                    centers.append(v)
+            solid = t["solid"][n]
+            step = (top - low) / max(len(solid), 1)
+            half = float(median if centers else step) / 2
+            if centers:
+                # The commonest character, the first of equals.
+                texts = [max(dict.fromkeys(solid), key=solid.count, default="")] * len(centers)
+            else:
+                texts = list(solid) or [""]
+                centers = [low + (k + 0.5) * step for k in range(len(texts))]
+            many = len(centers)
+            out["block"] += [int(shapes[n])] * many
+            out["text"] += texts
+            out["ordinal"] += range(PARTS + t["ordinal"][n] * (1 << 16), PARTS + t["ordinal"][n] * (1 << 16) + many)
+            out["x_center"] += [middle] * many
+            out["y_center"] += centers
+            out["y_min"] += [c - half for c in centers]
+            out["y_max"] += [c + half for c in centers]
+            out["width"] += [width] * many
+            out["height"] += [half * 2] * many
+    return out
 
 
-def _whole(columns: list[pa.Array]) -> pa.Array:
+def items(columns: list[pa.Array]) -> Items:
+    """The items of whole pages, of the columns that number takes."""
     k, y, x, h, tall = columns
-    number = lambda a: a.fill_null(float("nan")).to_numpy(zero_copy_only=False)
-    opens = k.to_numpy(zero_copy_only=False) == 1
-    row, pos = _numbered(number(y), y.is_null().to_numpy(zero_copy_only=False), number(x), number(h), opens)
-    row, pos, kind = row.astype(np.int32), pos.astype(np.int32), _PART
-    none = np.zeros(len(row), bool)
-    parts = None
-    if tall.null_count < len(tall):
-        ends = [*np.flatnonzero(opens).tolist(), len(row)]
-        some = np.flatnonzero(tall.is_valid().to_numpy(zero_copy_only=False))
-        parts = [None] * len(row)
-        for p in np.unique(np.searchsorted(ends, some, "right") - 1).tolist():
-            a, b = ends[p], ends[p + 1]
-            rows, places, parts[a:b] = _page(*(c.slice(a, b - a).to_pylist() for c in (y, x, h, tall)))
-            for at, (r, n) in enumerate(zip(rows, places, strict=True), a):
-                none[at] = r is None
-                row[at], pos[at] = (0, 0) if r is None else (r, n)
-    listed = pa.nulls(len(row), pa.list_(kind)) if parts is None else pa.array(parts, pa.list_(kind))
-    return pa.StructArray.from_arrays([pa.array(row, mask=none), pa.array(pos, mask=none), listed], names=["row_index", "pos", "parts"])
+    opens, absent = k.to_numpy(zero_copy_only=False) == 1, y.is_null().to_numpy(zero_copy_only=False)
+    y, x, h = numbers(y), numbers(x), numbers(h)
+    page, block = np.cumsum(opens) - 1, np.arange(len(y))
+    if tall.null_count == len(tall):
+        row, pos = _numbered(y, absent, x, h, opens, np.ones(len(y), bool))
+        return Items(block, np.full(len(y), -1), page, row, pos, x, y, {})
+    shapes = np.flatnonzero(tall.is_valid().to_numpy(zero_copy_only=False))
+    parts = _split(shapes, page, opens, y, x, h, tall)
+    of = np.array(parts["block"], np.int64)
+    whole = np.ones(len(y), bool)
+    whole[of] = False
+    at = block[whole]
+    both = lambda a, c: np.concatenate([a[at], np.array(parts[c], a.dtype)])
+    place, part = both(block, "ordinal"), np.concatenate([np.full(len(at), -1), np.arange(len(of))])
+    block = both(block, "block")
+    y, x, h = both(y, "y_center"), both(x, "x_center"), both(h, "height")
+    absent = np.concatenate([absent[at], np.zeros(len(of), bool)])
+    order = np.lexsort((place, part >= 0, np.where(absent, 0.0, y), ~absent, page[block]))
+    block, part, y, x, h, absent = (a[order] for a in (block, part, y, x, h, absent))
+    islands = ~np.isin(np.arange(page[-1] + 1), page[shapes])
+    page = page[block]
+    opens = np.append(True, np.diff(page) > 0)
+    row, pos = _numbered(y, absent, x, h, opens, islands[page])
+    return Items(block, part, page, row, pos, x, y, parts)
+
+
+def listed(block: np.ndarray, blocks: int, values: pa.Array) -> pa.Array:
+    """For each block the list of its values; block says whose each is."""
+    offsets = np.zeros(blocks + 1, np.int32)
+    np.cumsum(np.bincount(block, minlength=blocks), out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), values if (np.diff(block) >= 0).all() else values.take(pa.array(np.argsort(block, kind="stable"))))
 
 
-def number(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-    """RESULT for rows (number on the page, y_center, x_center, height, what tells a vertical block) in reading order.
-
-    Pages are cut where numbers start again; the last of a batch waits for the next.
-    """
+def _whole(columns: list[pa.Array]) -> pa.Array:
+    found, n = items(columns), len(columns[0])
+    plain = found.part < 0
+    row, pos, none = np.zeros(n, np.int32), np.zeros(n, np.int32), np.ones(n, bool)
+    at = found.block[plain]
+    row[at], pos[at], none[at] = found.row[plain], found.pos[plain], False
+    parts = pa.nulls(n, pa.list_(_PART))
+    if found.parts:
+        own = np.flatnonzero(~plain)
+        own = own[np.argsort(found.part[own])]
+        fields = {c: pa.array(v, _PART.field(c).type) for c, v in found.parts.items() if c != "block"}
+        fields |= {"row_index": pa.array(found.row[own].astype(np.int32)), "pos": pa.array(found.pos[own].astype(np.int32))}
+        parts = listed(found.block[own], n, pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
+    return pa.StructArray.from_arrays([pa.array(row, mask=none), pa.array(pos, mask=none), parts], names=["row_index", "pos", "parts"])
+
+
+def on_pages(batches: Iterator[tuple[pa.Array, ...]], f: Callable[[list[pa.Array]], pa.Array]) -> Iterator[pa.Array]:
+    """f of batches of whole pages. Pages are cut where numbers start again; the last of a batch waits for the next."""
     held: list[list[pa.Array]] = []
     for columns in batches:
         first = np.flatnonzero(columns[0].to_numpy(zero_copy_only=False) == 1)
@@ -148,6 +191,11 @@ def number(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         whole = [*held, [c.slice(0, last) for c in columns]]
         held = [[c.slice(last) for c in columns]]
         if sum(len(w[0]) for w in whole):
-            yield _whole([pa.concat_arrays(c) for c in zip(*whole, strict=True)])
+            yield f([pa.concat_arrays(c) for c in zip(*whole, strict=True)])
     if held:
-        yield _whole([pa.concat_arrays(c) for c in zip(*held, strict=True)])
+        yield f([pa.concat_arrays(c) for c in zip(*held, strict=True)])
+
+
+def number(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """RESULT for rows (number on the page, y_center, x_center, height, what tells a vertical block) in reading order."""
+    yield from on_pages(batches, _whole)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import HEADERS, KEY_HEADERS, NOT_HEADERS, SIMPLE_HEADER_WORDS, UNIT_CHARACTERS
 from ..functions.text import contains_any, header_matches, header_name, hits, row_class, simple_row_class
-from .geometry import PAGE, in_order, nearest_column, projection_runs
+from . import cells
+from .geometry import PAGE, in_order, nearest_column, over_pages, projection_runs, with_parts
 
 
 def header_scores(rows: DataFrame) -> DataFrame:
@@ -194,3 +195,30 @@ def document_structure(table: DataFrame) -> DataFrame:
     """Per row and column key (name, or col_i): the texts joined by a space."""
     key = F.when(F.col("column_name") != "", F.col("column_name")).otherwise(F.concat(F.lit("col_"), F.col("column_index").cast("string")))
     return table.where("column_index >= 0").groupBy(*PAGE, "row_index", key.alias("column_key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("cell"))
+
+
+_TABLE = {"text": "string", "x_min": "double", "x_max": "double"}
+
+
+def page_columns(blocks: DataFrame) -> DataFrame:
+    """adaptive_columns of blocks whose rows aren't told yet, over Arrow batches of whole pages (see cells); as geometry.row_numbers, for callers that group no more by page."""
+    return over_pages(blocks, cells.bounds, cells.COLUMN, _TABLE).select(*PAGE, F.inline("_r"))
+
+
+def page_items(blocks: DataFrame) -> DataFrame:
+    """advanced_table of blocks whose rows aren't told yet, in the same way."""
+    each = over_pages(blocks, cells.placed, cells.ITEM, _TABLE)
+    rest = [c for c in each.columns if c not in (*PAGE, "_r")]
+    each = each.select(*PAGE, *rest, F.explode("_r").alias("_x"))
+    new = ("row_index", "pos", "row_type", "in_body", "column_index", "column_name")
+    return each.select(*PAGE, *with_parts(rest, F.col("_x.part")), *(F.col(f"_x.{c}").alias(c) for c in new))
+
+
+def page_cells(blocks: DataFrame) -> DataFrame:
+    """document_structure of the advanced table of blocks whose rows aren't told yet, in the same way."""
+    return over_pages(blocks, cells.cells, cells.CELL, _TABLE).select(*PAGE, F.inline("_r"))
+
+
+def page_rows(blocks: DataFrame) -> DataFrame:
+    """geometry.row_texts of blocks whose rows aren't told yet, in the same way."""
+    return over_pages(blocks, cells.rows, cells.ROW, _TABLE).select(*PAGE, F.inline("_r"))

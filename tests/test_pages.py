@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from papyra.operators import geometry, layout
+from papyra.operators import cells, geometry, layout, table
 from papyra.plans import fixtures, queries
 
 SF = "/root/testdata/sf0.001"
@@ -113,3 +113,64 @@ def test_blocks_take_the_first_region_that_holds_them(spark):
     regions = spark.createDataFrame([(1, 1, 3, 0.0, 0.0, 20.0, 9.0), (1, 1, 1, 0.0, 0.0, 10.0, 5.0), (1, 2, None, 0.0, 0.0, 9.0, 9.0)], "doc_id long, page int, ordinal int, x1 double, y1 double, x2 double, y2 double")
     got = layout.blocks_in_regions(blocks, regions).select("doc_id", "page", "ordinal", "region_ordinal", "in_table").orderBy("doc_id", "page", "ordinal").collect()
     assert [tuple(r) for r in got] == [(1, 1, 0, 1, True), (1, 1, 1, 3, True), (1, 1, 2, None, False), (1, 2, 0, None, False), (2, 1, 0, None, False)]
+
+
+@pytest.mark.parametrize("name", ["table_advanced"])
+def test_tables_gather_no_blocks(spark, name):
+    """Rows and tables are worked out over Arrow batches: no page is gathered into SQL's arrays, or unfolded and gathered again."""
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+@pytest.fixture(scope="module")
+def odd_pages(spark):
+    """Pages with headers of all kinds and without, vertical blocks, jitter, texts and heights that are null, overlapping and empty spans."""
+    import random
+
+    r = random.Random(11)
+    heads = ["项目名称", "规格型号", "单位", "单", "位", "数 量", "单价", "金额", "税率", "税额", "件", "品名", " 金额 ", "", None, "kg", "Name", "个", "名称"]
+    words = ["小计", "价税合计", "备注", "开票人", "a", "B c", "", None, "项目名称 金额", "数量", "12.50", "税额 规格", "单位", "kg"]
+    rows = []
+    for doc in range(160):
+        spread, start, k = r.choice([0, 3, 14, 40]), r.choice([0, 0, 1, 9]), 0
+        lines = r.choice([1, 4, 12, 30])
+        for line in range(lines):
+            head = line == start and doc % 3
+            for _ in range(r.choice([1, 3, 8, 10])):
+                x, y, h = r.randrange(10) * 45.0 + r.random(), line * r.choice([30, 40]) + r.random() * spread, r.choice([20.0, 24.0, 0.0])
+                tall = doc % 4 == 0 and r.random() < 0.05
+                text = r.choice(heads) if head else r.choice(words)
+                wide = r.choice([0.0, 30.0, 80.0, 300.0])
+                if tall:
+                    text, wide, h = r.choice(["件件 件", "个件个件", "件 件 个"]), 20.0, 150.0
+                rows.append((doc // 2, doc % 2, k, text, x, x + wide, y, y + h, x + wide / 2, None if doc % 7 == 1 and k % 9 == 0 else y + h / 2, wide, None if r.random() < 0.05 else h))
+                k += 1
+    r.shuffle(rows)
+    return spark.createDataFrame(rows, "doc_id long, page int, ordinal long, text string, x_min double, x_max double, y_min double, y_max double, x_center double, y_center double, width double, height double").cache()
+
+
+@pytest.mark.parametrize("batch", ["10000", "37"])
+@pytest.mark.parametrize("kind", ["rows", "columns", "items", "cells"])
+def test_pages_in_arrow_equal_their_sql(spark, odd_pages, kind, batch):
+    clusters = geometry.row_clusters(odd_pages)
+    want = {"rows": geometry.row_texts, "columns": table.adaptive_columns, "items": table.advanced_table, "cells": lambda c: table.document_structure(table.advanced_table(c))}[kind](clusters)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = getattr(table, f"page_{kind}")(odd_pages)
+        assert sorted(got.columns) == sorted(want.columns)
+        got, want = (sorted(str(tuple(r)) for r in f.select(*sorted(f.columns)).collect()) for f in (got, want))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(got) > 300
+
+
+def test_nearest_column_in_parts(spark, odd_pages, monkeypatch):
+    """Columns are compared in parts of a batch, whatever their size."""
+    import pyarrow as pa
+
+    some = odd_pages.where("doc_id < 20").sort("doc_id", "page", "y_center", "ordinal").toPandas()
+    columns = [pa.array(some[c], from_pandas=True) for c in ("y_center", "x_center", "height", "text", "x_min", "x_max")]
+    columns = [pa.array(some.groupby(["doc_id", "page"]).cumcount() + 1), *columns[:3], pa.nulls(len(some)), *columns[3:]]
+    whole = cells._Pages(columns).nearest
+    monkeypatch.setattr(cells, "_PAIRS", 7)
+    assert (cells._Pages(columns).nearest == whole).all()
