@@ -24,6 +24,7 @@ COLUMN = "array<struct<column_index:int,name:string,left:double,right:double>>"
 CELL = "array<struct<row_index:int,column_key:string,cell:string>>"
 ITEM = f"array<struct<row_index:int,pos:int,row_type:string,in_body:boolean,column_index:int,column_name:string,part:struct<text:string,ordinal:bigint,{','.join(f'{c}:double' for c in _SIDES)}>>>"
 _KINDS = ("header", "total", "subtotal", "footer", "data")
+_WORDS = [re.sub(" ", "", w.lower()) for w in chain(*HEADERS.values(), *ROW_WORDS.values())]
 #: Pairs of an item and a column that are compared at once.
 _PAIRS = 1 << 20
 
@@ -32,6 +33,13 @@ def _holds(texts: pa.Array, words) -> np.ndarray:
     return pc.match_substring_regex(texts, "|".join(map(re.escape, words))).to_numpy(zero_copy_only=False)
 
 
+def _values(a: pa.Array) -> tuple:
+    """As to_pylist, which takes its time, each value made once."""
+    a = a.dictionary_encode()
+    values = [*a.dictionary.to_pylist(), None]
+    return tuple(values[k] for k in a.indices.fill_null(len(values) - 1).to_numpy().tolist())
+
+
 def _squeezed(text: str) -> str:
     return text.lower().replace(" ", "")
 
@@ -146,11 +154,24 @@ class _Pages:
         return self.joined(self.text, self.first)
 
     @cached_property
-    def kind(self) -> np.ndarray:
-        """Each row's place in _KINDS."""
+    def told(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows whose text holds any word that tells something, and the kind and matches of their text. Texts that occur more than once are looked at once."""
         low = pc.utf8_lower(self.texts)
+        some = np.flatnonzero(_holds(pc.replace_substring(low, " ", ""), _WORDS))
+        texts = low.take(pa.array(some)).dictionary_encode()
+        back, raw = texts.indices.to_numpy(), self.texts.take(pa.array(some))
+        low, squeezed = texts.dictionary, pc.replace_substring(texts.dictionary, " ", "")
         header = sum(_holds(low, [w]).astype(np.int8) for w in ROW_WORDS["header"]) >= 2
-        return np.select([header, *(_holds(low, ROW_WORDS[k]) for k in _KINDS[1:4])], range(4), 4)
+        kind = np.select([header, *(_holds(low, ROW_WORDS[k]) for k in _KINDS[1:4])], range(4), 4)
+        n = sum(_holds(squeezed, map(_squeezed, spellings)).astype(np.int64) for spellings in HEADERS.values())
+        return some, kind[back], np.where(_holds(raw, NOT_HEADERS), np.maximum(n[back] - 1, 0), n[back])
+
+    @cached_property
+    def kind(self) -> np.ndarray:
+        """Each row's place in _KINDS."""
+        out = np.full(len(self.index), 4)
+        out[self.told[0]] = self.told[1]
+        return out
 
     @cached_property
     def body(self) -> np.ndarray:
@@ -161,10 +182,9 @@ class _Pages:
     @cached_property
     def heads(self) -> np.ndarray:
         """The header rows: of a page's first eight the one with most matches, three at least, the first of equals."""
-        squeezed = pc.replace_substring(pc.utf8_lower(self.texts), " ", "")
-        n = sum(_holds(squeezed, map(_squeezed, spellings)).astype(np.int64) for spellings in HEADERS.values())
-        n = np.where(_holds(self.texts, NOT_HEADERS), np.maximum(n - 1, 0), n)
-        score = np.where((self.index < 8) & (n >= 3), n * 8 + 7 - self.index, -1)
+        at, _, n = self.told
+        score = np.full(len(self.index), -1)
+        score[at] = np.where((self.index[at] < 8) & (n >= 3), n * 8 + 7 - self.index[at], -1)
         return np.flatnonzero((score >= 0) & (score == np.maximum.reduceat(score, self.page_first)[self.page]))
 
     @cached_property
@@ -174,7 +194,7 @@ class _Pages:
         ends = np.append(self.first, len(self.row)).tolist()
         spans = [(ends[r], ends[r + 1]) for r in self.heads.tolist()]
         at = pa.array(np.concatenate([np.arange(a, b) for a, b in spans] or [np.zeros(0, np.int64)]))
-        texts, left, right = (tuple(c.take(at).to_pylist()) for c in (self.text, self.left, self.right))
+        texts, left, right = (_values(c.take(at)) for c in (self.text, self.left, self.right))
         k = 0
         for p, (a, b) in zip(self.page[self.heads].tolist(), spans, strict=True):
             n = k + b - a
@@ -200,28 +220,30 @@ class _Pages:
     @cached_property
     def nearest(self) -> np.ndarray:
         """Each item's column, a place among all: the nearest centre of those whose range, widened by half its width, holds it; else of all."""
-        left, right = (numbers(pa.array(self.flat(k), pa.float64())) for k in (1, 2))
-        centre, slack = (left + right) / 2, (right - left) * 0.5
-        page, x = self.items.page, self.items.x
-        n = np.diff(self.offsets)[page]
-        ends = np.cumsum(n)
-        out, a = np.empty(len(n), np.int64), 0
-        while a < len(n):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _PAIRS, "right")))
-            few = n[a:b]
-            starts = np.cumsum(few) - few
-            column = np.repeat(self.offsets[page[a:b]] - starts, few) + np.arange(few.sum())
-            v, c = np.repeat(x[a:b], few), centre[column]
-            # A column without ends comes before all others, as in SQL.
-            open_ = np.isnan(c)
-            far = np.where(open_, -np.inf, np.abs(v - c))
-            near = open_ | ((v >= left[column] - slack[column]) & (v <= right[column] + slack[column]))
-            any_ = np.logical_or.reduceat(near, starts)
-            far[~near & np.repeat(any_, few)] = np.inf
-            hit = (far == np.repeat(np.minimum.reduceat(far, starts), few)) & (near | ~np.repeat(any_, few))
-            out[a:b] = column[np.minimum.reduceat(np.where(hit, np.arange(len(hit)), len(hit) - 1), starts)]
-            a = b
-        return out
+        x, page = self.items.x, self.items.page
+        out = np.empty(len(x), np.int64)
+        # Pages of the same header have the same columns: they are compared together.
+        same: dict[int, int] = {}
+        group = np.array([same.setdefault(id(c), len(same)) for c in self.columns])[page]
+        order = np.argsort(group, kind="stable") if len(same) > 1 else np.arange(len(x))
+        ends = np.cumsum(np.bincount(group, minlength=len(same))).tolist()
+        kinds = {same[id(c)]: c for c in self.columns}
+        for g, (a, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            left, right = (np.array(c, float) for c in kinds[g][1:3])
+            centre, slack = (left + right) / 2, (right - left) * 0.5
+            low, high, none = left - slack, right + slack, np.isnan(centre)
+            many = max(1, _PAIRS // len(centre))
+            while a < end:
+                at = order[a : min(a + many, end)]
+                v = x[at, None]
+                far, near = np.abs(v - centre), (v >= low) & (v <= high)
+                if none.any():
+                    # A column without ends comes before all others, as in SQL.
+                    far[:, none], near[:, none] = -np.inf, True
+                far[~near & near.any(1)[:, None]] = np.inf
+                out[at] = far.argmin(1)
+                a += len(at)
+        return self.offsets[page] + out
 
 
 def _rows(columns: list[pa.Array]) -> pa.Array:
