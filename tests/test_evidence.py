@@ -173,3 +173,32 @@ def test_three_exchanges(spark):
     told = list(pages(3))
     plan = evidence.cascade(*frames(spark, told))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 3
+
+
+def test_blocks_are_read_in_one_order(spark):
+    """Words before and behind a block come from one order of the page, and what a pair of field and block is asked stays small enough to be compiled."""
+    from papyra.plans import queries
+
+    plan = queries.QUERIES["evidence_cells"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "DESC NULLS LAST" not in plan and len(re.findall(r"Sort \[doc_id#\d+L ASC NULLS FIRST, page#\d+ ASC NULLS FIRST, cy#", plan)) == 1
+    join = next(line for line in plan.splitlines() if "SortMergeJoin [doc_id#" in line or "BroadcastHashJoin [doc_id#" in line)
+    assert "regexp_replace" not in join and "lambdafunction" not in join
+
+
+def test_located_polygons(spark):
+    """Four whole points need no arrays; points without two coordinates don't count, a coordinate that is null has no part in the ends."""
+    some = [[[0.0, 1.0], [4.0, 1.0], [4.0, 3.0], [0.0, 3.5]], [[0.0, 1.0], [4.0, 1.0], [4.0, 3.0], [0.0, 3.5], [9.0, -2.0]], [[1.0], [2.0, 2.0], [3.0, 3.0], [4.0, 4.0]], [None, [2.0, 2.0], [3.0, 3.0], [4.0, 4.0]], [[None, 1.0], [2.0, 2.0], [3.0, 3.0], [4.0, 4.0]], [[1.0, 2.0]] * 3, [], None]
+    got = evidence._located(spark.createDataFrame(list(enumerate(some)), "k int, bbox array<array<double>>")).orderBy("k").select("ends.*", "cx", "cy", "rect")
+    assert [tuple(r) for r in got.collect()] == [
+        (0.0, 1.0, 4.0, 3.5, 2.0, 2.125, [0, 1, 4, 3]), (0.0, -2.0, 9.0, 3.5, 3.4, 1.3, [0, -2, 9, 3]), (2.0, 2.0, 4.0, 4.0, 3.0, 3.0, [2, 2, 4, 4]), (2.0, 2.0, 4.0, 4.0, 3.0, 3.0, [2, 2, 4, 4]),
+        (2.0, 1.0, 4.0, 4.0, 0.0, 2.5, [2, 1, 4, 4]), (1.0, 2.0, 1.0, 2.0, 1.0, 2.0, [0, 0, 0, 0]), (None, None, None, None, 0.0, 0.0, [0, 0, 0, 0]), (None, None, None, None, 0.0, 0.0, [0, 0, 0, 0]),
+    ]
+
+
+def test_runs_of_letters_that_depend_on_their_place(spark):
+    """A sigma at the end of a block is not the last of the run's text."""
+    blocks = spark.createDataFrame([(1, 0, "ΑΣ", 0.0), (1, 1, "Α", 100.0), (1, 2, "Β", 200.0)], "doc_id long, ordinal long, text string, x_min double")
+    blocks = blocks.selectExpr("*", "x_min + 90 as x_max", "0d as y_min", "20d as y_max", "x_min + 45 as x_center", "10d as y_center")
+    fields = spark.createDataFrame([(1, "a", "ΑΣΑ"), (1, "b", "ασ αβ"), (1, "c", "αα"), (1, "d", "αβ")], "doc_id long, field_key string, field_value string")
+    got = evidence.adjacent(fields, blocks).orderBy("field_key").collect()
+    assert [(r.field_key, r.ordinal, r.snippet, r.bbox) for r in got] == [("a", 0, "ΑΣΑ", [0, 0, 190, 20]), ("b", 0, "ΑΣΑΒ", [0, 0, 290, 20]), ("d", 1, "ΑΒ", [100, 0, 290, 20])]
